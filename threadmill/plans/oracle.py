@@ -1,0 +1,87 @@
+"""DuckDB oracle SQL for every registered query.
+
+Each oracle rebuilds the adapter rows from the same parquet tables with SQL
+and computes the expected result independently of Spark.  Dialect traps
+handled here: RE2's ``\\s`` lacks the vertical tab (Java's has it), so the
+whitespace class is spelled out; ``regexp_replace`` needs the ``'g'`` flag;
+NULL ordering is always explicit; arrays are rendered as joined text.
+"""
+
+from __future__ import annotations
+
+from ..functions.text import QUESTION_STARTERS
+
+WS = r"[ \t\n\x0B\f\r]"
+NWS = r"[^ \t\n\x0B\f\r]"
+STARTER_RE = "^(" + "|".join(QUESTION_STARTERS) + ")"
+
+
+def q(s: str) -> str:
+    """SQL string literal."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+def clean_sql(c: str) -> str:
+    return (f"trim(regexp_replace(regexp_replace(regexp_replace(lower({c}), "
+            f"'http{NWS}+|www\\.{NWS}+', '', 'g'), "
+            f"'[^a-zA-Z0-9 \\t\\n\\x0B\\f\\r?.!]', ' ', 'g'), '{WS}+', ' ', 'g'))")
+
+
+def sentences_sql(c: str) -> str:
+    return (f"list_transform(string_split(replace(replace({c}, '!', '.'), '?', '?.'), '.'), "
+            f"lambda s: trim(s))")
+
+
+def questions_sql(c: str) -> str:
+    return (f"coalesce(list_filter({sentences_sql(c)}, lambda s: s <> '' AND "
+            f"(suffix(s, '?') OR regexp_matches(lower(s), '{STARTER_RE}')) AND length(s) > 15), "
+            f"[]::VARCHAR[])")
+
+
+SOCIAL = """
+social AS (
+  SELECT doc_id AS id, 'reddit' AS source, source AS product,
+         CASE WHEN doc_id % 3 = 0 THEN 'post' ELSE 'comment' END AS data_type,
+         text AS content,
+         CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, 60) END AS title,
+         'u' || CAST(doc_id % 97 AS VARCHAR) AS author,
+         CAST(doc_id * 37 % 101 - 10 AS INTEGER) AS score,
+         'https://example.org/' || source || '/' || CAST(doc_id AS VARCHAR) AS url,
+         lang AS subreddit,
+         strftime(TIMESTAMP '1970-01-01' + to_seconds(CAST(1704067200 + doc_id * 60 AS BIGINT)),
+                  '%Y-%m-%dT%H:%M:%SZ') AS created_at
+  FROM documents)"""
+
+CLEANED = f"""
+cleaned AS (
+  SELECT * FROM (SELECT *, {clean_sql('content')} AS content_cleaned FROM social)
+  WHERE length(content_cleaned) > 20)"""
+
+SCORED = f"""
+scored AS (
+  SELECT *, CAST((CAST(score AS BIGINT) + 1) * CASE WHEN data_type = 'post' THEN 2 ELSE 1 END
+                 AS BIGINT) AS relevance_score,
+         CAST(length(content_cleaned) AS INTEGER) AS content_length,
+         len(extracted_questions) > 0 AS has_question
+  FROM (SELECT *, {questions_sql('content_cleaned')} AS extracted_questions FROM cleaned))"""
+
+READY = """
+ready AS (
+  SELECT id, product, content_cleaned AS content, extracted_questions, relevance_score,
+         data_type, url AS source_url, score AS engagement_score
+  FROM scored WHERE relevance_score > 1 OR len(extracted_questions) > 0)"""
+
+
+def with_(*ctes: str) -> str:
+    return "WITH " + ",".join(ctes) + "\n"
+
+
+BASE = with_(SOCIAL, CLEANED, SCORED, READY)
+
+
+def ranked_ready(cap: int) -> str:
+    return f"""
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY product
+                               ORDER BY relevance_score DESC NULLS LAST, id) AS rank
+  FROM ready QUALIFY rank <= {cap})"""
