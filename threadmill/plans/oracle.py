@@ -85,3 +85,104 @@ ranked AS (
   SELECT *, row_number() OVER (PARTITION BY product
                                ORDER BY relevance_score DESC NULLS LAST, id) AS rank
   FROM ready QUALIFY rank <= {cap})"""
+
+
+def iso_sql(epoch_expr: str) -> str:
+    return (f"strftime(TIMESTAMP '1970-01-01' + to_seconds(CAST({epoch_expr} AS BIGINT)), "
+            f"'%Y-%m-%dT%H:%M:%SZ')")
+
+
+THREAD_POSTS = """
+conv_counts AS (SELECT conv_id, CAST(count(*) AS INTEGER) AS num_comments
+                FROM conversations WHERE turn > 0 GROUP BY conv_id),
+tposts AS (
+  SELECT c.conv_id,
+         'prod' || CAST(c.conv_id % 5 AS VARCHAR) AS product,
+         'kw' || CAST(c.conv_id % 3 AS VARCHAR) AS keyword,
+         'p' || CAST(c.conv_id AS VARCHAR) AS id,
+         CASE WHEN c.conv_id % 10 = 7 THEN '' ELSE substr(c.text, 1, 60) END AS title,
+         CASE WHEN c.conv_id % 5 = 2 THEN '' ELSE c.text END AS selftext,
+         'a' || CAST(c.conv_id % 31 AS VARCHAR) AS author,
+         'sub' || CAST(c.conv_id % 4 AS VARCHAR) AS subreddit,
+         CAST(c.conv_id * 7 % 50 AS INTEGER) AS score,
+         coalesce(n.num_comments, 0) AS num_comments,
+         CAST(1704067200 + c.conv_id * 3600 + 0.75 AS DOUBLE) AS created_utc,
+         '/r/sub' || CAST(c.conv_id % 4 AS VARCHAR) || '/comments/p' || CAST(c.conv_id AS VARCHAR)
+           || '/' AS permalink
+  FROM conversations c LEFT JOIN conv_counts n USING (conv_id) WHERE c.turn = 0)"""
+
+NPOSTS = f"""
+nposts AS (
+  SELECT id AS post_id, 'reddit' AS source, product, 'post' AS data_type,
+         CASE WHEN selftext <> '' THEN selftext ELSE title END AS content,
+         title, author, score, 'https://reddit.com' || permalink AS url, subreddit,
+         {iso_sql('trunc(created_utc)')} AS created_at,
+         CAST(num_comments AS VARCHAR) AS num_comments, keyword
+  FROM tposts WHERE title <> '' OR selftext <> '')"""
+
+THREAD_COMMENTS = """
+tcomments AS (
+  SELECT 'c' || CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS comment_id,
+         'p' || CAST(conv_id AS VARCHAR) AS post_id,
+         CASE WHEN (conv_id + turn) % 11 = 0 THEN 'more' ELSE 't1' END AS kind,
+         CASE WHEN (conv_id + turn) % 13 = 0 THEN '[deleted]'
+              WHEN (conv_id + turn) % 17 = 0 THEN '[removed]' ELSE text END AS body,
+         role || '_' || CAST(conv_id % 23 AS VARCHAR) AS author,
+         CAST((conv_id * 31 + turn * 7) % 40 - 5 AS INTEGER) AS score,
+         CAST(1704067200 + conv_id * 3600 + turn * 60 + 0.5 AS DOUBLE) AS created_utc,
+         't3_p' || CAST(conv_id AS VARCHAR) AS parent_id
+  FROM conversations WHERE turn > 0)"""
+
+NCOMMENTS = f"""
+ncomments AS (
+  SELECT c.comment_id, c.post_id, 'reddit' AS source, p.product, 'comment' AS data_type,
+         c.body AS content, c.author, c.score, p.url, p.subreddit,
+         {iso_sql('trunc(c.created_utc)')} AS created_at, c.parent_id
+  FROM tcomments c JOIN nposts p USING (post_id)
+  WHERE c.kind = 't1' AND c.body <> '' AND c.body <> '[deleted]')"""
+
+STATUSES_SQL = ("['pending', 'scraping', 'processing', 'generating', 'completed', 'error', "
+                "'processed', 'processing_failed', 'pipeline_completed']")
+
+PRODUCTS = f"""
+products AS (
+  SELECT c_custkey AS id, c_name AS name, c_mktsegment AS description,
+         CASE WHEN c_custkey % 13 = 0 THEN NULL
+              WHEN c_custkey % 7 = 0 THEN []::VARCHAR[]
+              ELSE ['sub' || CAST(c_custkey % 4 AS VARCHAR), lower(c_mktsegment)] END AS subreddits,
+         CASE WHEN c_custkey % 5 = 0 THEN []::VARCHAR[]
+              WHEN c_custkey % 11 = 0 THEN [lower(c_mktsegment), 'price & "deal"']
+              ELSE [lower(c_mktsegment), 'review'] END AS keywords,
+         c_mktsegment AS category,
+         TIMESTAMP '2024-01-01' + to_hours(CAST(c_custkey AS BIGINT)) AS created_at,
+         CAST(NULL AS TIMESTAMP) AS last_scraped, CAST(NULL AS TIMESTAMP) AS last_processed,
+         0 AS faq_count,
+         ({STATUSES_SQL})[c_custkey % 9 + 1] AS status
+  FROM customer)"""
+
+COMMUNITIES = """
+comm AS (
+  SELECT lower(trim(n_name)) AS topic, s_name AS display_name,
+         CAST(trunc(s_acctbal) AS BIGINT) AS subscribers, s_suppkey AS search_rank
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
+
+KEYWORDS = """
+words AS (
+  SELECT subreddit, w AS word FROM (
+    SELECT subreddit, unnest(string_split_regex(lower(content), '[^a-z]+')) AS w FROM social)
+  WHERE length(w) BETWEEN 4 AND 8),
+kwords AS (
+  SELECT subreddit, word AS keyword, CAST(row_number() OVER (PARTITION BY subreddit
+         ORDER BY count(*) DESC, word) AS INTEGER) AS keyword_rank
+  FROM words GROUP BY subreddit, word QUALIFY keyword_rank <= 3)"""
+
+
+def matches(per_search: int) -> str:
+    return f"""
+matches AS (
+  SELECT s.id, s.product, s.subreddit, k.keyword, k.keyword_rank, s.created_at,
+         CAST(row_number() OVER (PARTITION BY s.product, s.subreddit, k.keyword
+                                 ORDER BY s.created_at DESC, s.id) AS INTEGER) AS search_rank
+  FROM social s JOIN kwords k USING (subreddit)
+  WHERE contains(lower(s.content), k.keyword)
+  QUALIFY search_rank <= {per_search})"""

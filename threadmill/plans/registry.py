@@ -138,3 +138,108 @@ SELECT product, count(*) AS total_records,
 FROM flags GROUP BY product""")
 def q_pipeline_summary(spark, d):
     return scoring.pipeline_summary(A.social(spark, d))
+
+
+# ---------------------------------------------------------------------------
+# ingest: listings, grid, matches, dedup, communities
+# ---------------------------------------------------------------------------
+
+from ..operators import ingest as I  # noqa: E402
+
+POSTS_OUT = ["post_id", "source", "product", "data_type", "content", "title", "author", "score",
+             "url", "subreddit", "created_at"]
+
+
+def _posts(spark, d):
+    return I.normalize_posts(A.post_listings(spark, d))
+
+
+def _comments(spark, d):
+    return I.normalize_comments(A.comment_listings(spark, d), _posts(spark, d))
+
+
+@register("normalize_posts", O.with_(O.THREAD_POSTS, O.NPOSTS) + """
+SELECT * FROM nposts""")
+def q_normalize_posts(spark, d):
+    p = _posts(spark, d)
+    return p.select(*POSTS_OUT, F.col("metadata")["num_comments"].alias("num_comments"),
+                    F.col("metadata")["keyword"].alias("keyword"))
+
+
+@register("normalize_comments", O.with_(O.THREAD_POSTS, O.NPOSTS, O.THREAD_COMMENTS, O.NCOMMENTS) + """
+SELECT * FROM ncomments""")
+def q_normalize_comments(spark, d):
+    c = _comments(spark, d)
+    return c.select("comment_id", "post_id", "source", "product", "data_type", "content", "author",
+                    "score", "url", "subreddit", "created_at",
+                    F.col("metadata")["parent_id"].alias("parent_id"))
+
+
+@register("post_comments", O.with_(O.THREAD_POSTS, O.NPOSTS, O.THREAD_COMMENTS, O.NCOMMENTS) + """
+SELECT post_id, comment_id, score,
+       CAST(row_number() OVER (PARTITION BY post_id ORDER BY score DESC NULLS LAST, comment_id)
+            AS INTEGER) AS comment_rank
+FROM ncomments WHERE post_id IN (SELECT post_id FROM nposts WHERE CAST(num_comments AS INTEGER) > 2)
+QUALIFY comment_rank <= 3""")
+def q_post_comments(spark, d):
+    pc = I.post_comments(_posts(spark, d), _comments(spark, d), min_comments=2, per_post=3)
+    return pc.select("post_id", "comment_id", "score", "comment_rank")
+
+
+@register("search_grid", O.with_(O.PRODUCTS) + """
+, g AS (
+  SELECT id AS product_id, name AS product,
+         CASE WHEN coalesce(len(subreddits), -1) > 0 THEN subreddits
+              ELSE ['technology', 'gadgets', 'samsung', 'Android', 'samsunggalaxy'] END AS subs,
+         CASE WHEN coalesce(len(keywords), -1) > 0 THEN keywords
+              ELSE ['review', 'problem', 'issue', 'help', 'question', 'experience', 'opinion'] END AS kws
+  FROM products),
+s1 AS (SELECT product_id, product, kws, unnest(generate_series(0, len(subs) - 1)) AS sub_pos,
+              unnest(subs) AS subreddit FROM g),
+s2 AS (SELECT product_id, product, sub_pos, subreddit,
+              unnest(generate_series(0, len(kws) - 1)) AS kw_pos, unnest(kws) AS keyword FROM s1)
+SELECT *, '"' || product || '" AND ' || keyword AS search_query,
+       replace(url_encode('"' || product || '" AND ' || keyword), '%20', '+') AS query_escaped
+FROM s2""")
+def q_search_grid(spark, d):
+    g = I.search_grid(A.products(spark, d))
+    return g.select("product_id", "product", F.col("sub_pos").cast("long").alias("sub_pos"),
+                    "subreddit", F.col("kw_pos").cast("long").alias("kw_pos"), "keyword",
+                    "search_query", "query_escaped")
+
+
+def _keyword_matches(spark, d, per_search):
+    s = A.social(spark, d)
+    kw = I.frequent_words(s, "subreddit", "content", k=3)
+    return I.keyword_match(s, kw, per_search=per_search)
+
+
+@register("keyword_match", O.with_(O.SOCIAL, O.KEYWORDS, O.matches(5)) + """
+SELECT product, subreddit, keyword, id, created_at, search_rank FROM matches""")
+def q_keyword_match(spark, d):
+    m = _keyword_matches(spark, d, 5)
+    return m.select("product", "subreddit", "keyword", "id", "created_at", "search_rank")
+
+
+@register("dedup_raw", O.with_(O.SOCIAL, O.KEYWORDS, O.matches(25)) + """
+SELECT id, product, keyword, keyword_rank FROM matches
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY keyword_rank DESC, keyword DESC) = 1""")
+def q_dedup_raw(spark, d):
+    m = _keyword_matches(spark, d, 25).select("id", "product", "keyword", "keyword_rank")
+    return I.dedup_raw(m, F.col("id"), ["keyword_rank", "keyword"])
+
+
+@register("discover_communities", O.with_(O.COMMUNITIES) + """
+, hits AS (
+  SELECT topic, CAST(row_number() OVER (PARTITION BY topic ORDER BY subscribers DESC, search_rank)
+                     AS INTEGER) AS rank,
+         display_name, subscribers, false AS is_default
+  FROM comm WHERE coalesce(display_name, '') <> '' AND subscribers > 1000 QUALIFY rank <= 3),
+t AS (SELECT DISTINCT lower(trim(n_name)) AS topic FROM nation)
+SELECT * FROM hits
+UNION ALL
+SELECT t.topic, d.rank, d.display_name, CAST(NULL AS BIGINT), true
+FROM t, (VALUES (1, 'technology'), (2, 'gadgets')) d(rank, display_name)
+WHERE t.topic NOT IN (SELECT topic FROM hits)""")
+def q_discover_communities(spark, d):
+    return I.discover_communities(A.communities(spark, d), A.topics(spark, d))
