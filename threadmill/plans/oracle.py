@@ -186,3 +186,202 @@ matches AS (
   FROM social s JOIN kwords k USING (subreddit)
   WHERE contains(lower(s.content), k.keyword)
   QUALIFY search_rank <= {per_search})"""
+
+
+# --- contexts, prompts, responses --------------------------------------------
+
+NL = "chr(10)"
+
+
+def ctx(cap: int, name: str = "ctx") -> str:
+    return f"""
+{name} AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY product
+                                    ORDER BY relevance_score DESC NULLS LAST, id) AS INTEGER) AS rank
+  FROM ready QUALIFY rank <= {cap})"""
+
+
+def item_large(src: str = "") -> str:
+    return (f"substr(coalesce({src}content, '') || CASE WHEN len(coalesce({src}extracted_questions, []))"
+            f" > 0 THEN {NL} || 'Questions found: ' || "
+            f"array_to_string({src}extracted_questions[1:3], '; ') ELSE '' END, 1, 500)")
+
+
+def item_small(src: str = "") -> str:
+    return (f"substr(coalesce({src}content, ''), 1, 300) || CASE WHEN "
+            f"len(coalesce({src}extracted_questions, [])) > 0 THEN ' Questions: ' || "
+            f"array_to_string({src}extracted_questions[1:2], '; ') ELSE '' END")
+
+
+def context_agg(item: str, n: int, src: str = "ctx") -> str:
+    return (f"SELECT product, count(*) AS n_items, "
+            f"string_agg({item}, {NL} || '---' || {NL} ORDER BY rank) AS context "
+            f"FROM {src} WHERE rank <= {n} GROUP BY product")
+
+
+def template_sql(template: str, product: str, content: str) -> str:
+    parts = []
+    rest = template
+    while rest:
+        i_p, i_c = rest.find("{product}"), rest.find("{content}")
+        hits = [(i, k) for i, k in ((i_p, "product"), (i_c, "content")) if i >= 0]
+        if not hits:
+            parts.append(q(rest))
+            break
+        i, k = min(hits)
+        if i:
+            parts.append(q(rest[:i]))
+        parts.append(product if k == "product" else content)
+        rest = rest[i + len(k) + 2:]
+    return " || ".join(parts)
+
+
+RESPONSES = """
+top3 AS (
+  SELECT *, row_number() OVER (PARTITION BY product
+                               ORDER BY relevance_score DESC NULLS LAST, id) AS rank
+  FROM ready QUALIFY rank <= 3),
+rparts AS (
+  SELECT product, rank,
+         coalesce(extracted_questions[1], substr(content, 1, 40) || '?') AS qt,
+         substr(content, 1, 80) AS atx,
+         (['Features', 'Setup', 'Performance'])[rank] AS cat,
+         (['0.9', '0.85', '0.8'])[rank] AS conf,
+         data_type AS kw1, product AS kw2
+  FROM top3),
+rforms AS (
+  SELECT product,
+    'Sure! Here are the FAQs:' || chr(10) || '[' || string_agg('{"question": "' || qt
+      || '", "answer": "' || atx || '", "category": "' || cat || '", "confidence": ' || conf
+      || ', "keywords": ["' || kw1 || '", "' || kw2 || '"]}', ', ' ORDER BY rank)
+      || ']' || chr(10) || 'Hope this helps.' AS f0,
+    '[' || string_agg(CASE WHEN rank = 1 THEN '{"question": "' || qt || '", "answer": "' || atx
+                             || '", "confidence": "0.75"}'
+                           WHEN rank = 2 THEN '{"answer": "' || atx || '", "confidence": null}'
+                           ELSE '{"question": "' || qt || '", "answer": "' || atx
+                             || '", "category": "Setup", "confidence": "high", "keywords": []}'
+                      END, ', ' ORDER BY rank) || ']' AS f1,
+    max(CASE WHEN rank = 1 THEN 'Here you go: [{"question": "' || qt || '", "answer": ]' END) AS f2,
+    'A: stray answer before any question' || chr(10) ||
+      string_agg(CASE WHEN rank = 1 THEN 'Q: ' || qt || chr(10) || 'A: ' || atx || chr(10)
+                                         || 'see also ' || kw1
+                      WHEN rank = 2 THEN 'Question: ' || qt || chr(10) || 'Answer: ' || atx
+                      ELSE 'Q: ' || qt || chr(10) || 'note first' || chr(10) || 'A: ' || atx END,
+                 chr(10) || chr(10) ORDER BY rank) AS f3,
+    coalesce(TRY_CAST(regexp_extract(product, '([0-9]+)$', 1) AS INTEGER), 0) AS n
+  FROM rparts GROUP BY product),
+resp AS (
+  SELECT product, 'large' AS provider, 1 AS priority, ([f0, f1, f2, f3])[n % 4 + 1] AS response
+  FROM rforms
+  UNION ALL
+  SELECT product, 'small', 2,
+         ([f0, f1, f2, f3])[CASE WHEN n % 8 = 6 THEN 2 ELSE (n + 1) % 4 END + 1]
+  FROM rforms)"""
+
+STRIP_RE = "'^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$'"
+
+def parse_sql() -> str:
+    return f"""
+loc AS (SELECT *, TRY_CAST(nullif(regexp_extract(response, '(?s)\\[.*\\]', 0), '') AS JSON) AS arr
+        FROM resp),
+usable AS (
+  SELECT product, provider, priority, response,
+         CASE WHEN json_type(arr) = 'ARRAY'
+               AND coalesce(list_bool_and(list_transform(json_extract(arr, '$[*]'),
+                                                         lambda e: json_type(e) = 'OBJECT')), true)
+              THEN json_extract(arr, '$[*]') END AS elems
+  FROM loc),
+jexp AS (
+  SELECT product, provider, priority, unnest(generate_series(0, len(elems) - 1)) AS pos,
+         unnest(elems) AS e
+  FROM usable WHERE elems IS NOT NULL),
+jentries AS (
+  SELECT product, provider, priority, CAST(pos AS INTEGER) AS entry_pos,
+         coalesce(json_extract_string(e, '$.question'), '') AS question,
+         coalesce(json_extract_string(e, '$.answer'), '') AS answer,
+         coalesce(json_extract_string(e, '$.category'), 'General') AS category,
+         coalesce(TRY_CAST(json_extract_string(e, '$.confidence') AS DOUBLE),
+                  CASE WHEN provider = 'large' THEN 0.8 WHEN provider = 'small' THEN 0.7 END)
+           AS confidence,
+         coalesce(array_to_string(json_extract_string(e, '$.keywords[*]'), '|'), '') AS keywords,
+         'json' AS method
+  FROM jexp),
+need AS (SELECT product, provider, priority, response FROM usable
+         WHERE provider = 'small' AND elems IS NULL),
+{qa_lines_sql('need', 'lentries')}
+entries AS (SELECT * FROM jentries UNION ALL SELECT * FROM lentries)"""
+
+
+def qa_lines_sql(src: str, out: str) -> str:
+    return f"""
+lx AS (
+  SELECT product, provider, priority, unnest(generate_series(0, len(ls) - 1)) AS pos,
+         unnest(ls) AS raw
+  FROM (SELECT *, string_split(response, chr(10)) AS ls FROM {src})),
+lc AS (
+  SELECT *, (starts_with(line, 'Q:') OR starts_with(line, 'Question:')) AS is_q,
+         NOT (starts_with(line, 'Q:') OR starts_with(line, 'Question:'))
+           AND (starts_with(line, 'A:') OR starts_with(line, 'Answer:')) AS is_a,
+         regexp_replace(regexp_extract(line, '(?s)^[^:]*:(.*)$', 1), {STRIP_RE}, '', 'g') AS after
+  FROM (SELECT *, regexp_replace(raw, {STRIP_RE}, '', 'g') AS line FROM lx)),
+lb AS (
+  SELECT *, sum(CASE WHEN is_q THEN 1 ELSE 0 END) OVER (
+              PARTITION BY product, provider, priority ORDER BY pos
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS block
+  FROM lc QUALIFY block > 0),
+bk AS (
+  SELECT product, provider, priority, block, arg_min(after, pos) AS question,
+         max(pos) FILTER (WHERE is_a) AS last_a
+  FROM lb GROUP BY product, provider, priority, block),
+bka AS (
+  SELECT k.product, k.provider, k.block, x.after AS a_text
+  FROM bk k JOIN lb x ON x.product = k.product AND x.provider = k.provider
+                      AND x.block = k.block AND x.pos = k.last_a),
+bkc AS (
+  SELECT k.product, k.provider, k.block, string_agg(x.line, ' ' ORDER BY x.pos) AS ctext
+  FROM bk k JOIN lb x ON x.product = k.product AND x.provider = k.provider AND x.block = k.block
+                      AND NOT x.is_q AND NOT x.is_a AND x.line <> ''
+                      AND x.pos > coalesce(k.last_a, -1)
+  GROUP BY k.product, k.provider, k.block),
+{out} AS (
+  SELECT * FROM (
+    SELECT k.product, k.provider, k.priority, CAST(k.block - 1 AS INTEGER) AS entry_pos,
+           k.question,
+           regexp_replace(concat_ws(' ', a.a_text, c.ctext), {STRIP_RE}, '', 'g') AS answer,
+           'General' AS category, 0.6 AS confidence, '' AS keywords, 'lines' AS method
+    FROM bk k LEFT JOIN bka a ON a.product = k.product AND a.provider = k.provider
+                             AND a.block = k.block
+              LEFT JOIN bkc c ON c.product = k.product AND c.provider = k.provider
+                             AND c.block = k.block)
+  WHERE question <> '' AND answer <> ''),"""
+
+
+def sources_sql(n_large: int = 10, n_small: int = 5) -> str:
+    return f"""
+srcs AS (
+  SELECT product, 'large' AS provider,
+         array_to_string((list(source_url ORDER BY rank)
+           FILTER (WHERE rank <= {n_large}
+                   AND source_url IS NOT NULL AND source_url <> ''))[1:3], '|') AS sources
+  FROM ctx GROUP BY product
+  UNION ALL
+  SELECT product, 'small' AS provider,
+         array_to_string((list(source_url ORDER BY rank)
+           FILTER (WHERE rank <= {n_small}
+                   AND source_url IS NOT NULL AND source_url <> ''))[1:3], '|') AS sources
+  FROM ctx GROUP BY product)"""
+
+
+CHOSEN = """
+ecounts AS (SELECT product, provider, priority, count(*) AS n_entries FROM entries
+            GROUP BY product, provider, priority),
+best AS (SELECT product, arg_min(provider, priority) AS provider,
+                arg_min(n_entries, priority) AS n_entries FROM ecounts GROUP BY product),
+chosen AS (SELECT r.product, b.provider, b.n_entries
+           FROM (SELECT DISTINCT product FROM resp) r LEFT JOIN best b USING (product))"""
+
+DOC_ENTRIES = """
+dentries AS (
+  SELECT e.*, CASE WHEN e.method = 'json' THEN coalesce(s.sources, '') ELSE '' END AS sources
+  FROM entries e JOIN chosen c ON c.product = e.product AND c.provider = e.provider
+  LEFT JOIN srcs s ON s.product = e.product AND s.provider = e.provider)"""

@@ -243,3 +243,203 @@ FROM t, (VALUES (1, 'technology'), (2, 'gadgets')) d(rank, display_name)
 WHERE t.topic NOT IN (SELECT topic FROM hits)""")
 def q_discover_communities(spark, d):
     return I.discover_communities(A.communities(spark, d), A.topics(spark, d))
+
+
+# ---------------------------------------------------------------------------
+# contexts, prompts, responses, documents
+# ---------------------------------------------------------------------------
+
+from ..operators import inference as INF  # noqa: E402
+from ..operators import prompts as P  # noqa: E402
+from ..operators import responses as R  # noqa: E402
+
+CONTEXT_CAP = 10      # registered cut for context_top200
+LARGE_ITEMS, SMALL_ITEMS = 10, 5
+SEARCH_TERM = "what"
+LOOKUP_PRODUCT = "src3"
+
+
+def _ready(spark, d):
+    return scoring.model_ready(scoring.process(A.social(spark, d)))
+
+
+def _ranked(spark, d, cap=P.CONTEXT_CAP):
+    return P.ranked_context(_ready(spark, d), cap)
+
+
+def _responses(spark, d):
+    return A.model_responses(_ranked(spark, d, 3))
+
+
+def _entries(spark, d):
+    return R.parse_responses(_responses(spark, d))
+
+
+def _documents(spark, d):
+    ranked = _ranked(spark, d)
+    entries = _entries(spark, d)
+    chosen = R.provider_fallback(entries, _responses(spark, d))
+    counts = ranked.groupBy("product").agg(F.count(F.lit(1)).alias("source_count"))
+    return R.faq_documents(entries, chosen, P.context_sources(ranked), counts,
+                           generated_at=F.lit("2024-06-01 00:00:00").cast("timestamp"))
+
+
+@register("context_top200", O.BASE[:-1] + "," + O.ctx(CONTEXT_CAP) + """
+SELECT product, rank, id, relevance_score FROM ctx""")
+def q_context_top200(spark, d):
+    return _ranked(spark, d, CONTEXT_CAP).select("product", "rank", "id", "relevance_score")
+
+
+@register("context_with_fallback", O.BASE[:-1] + "," + O.ctx(500, "r500") + """,
+traw AS (
+  SELECT conv_id * 1000 + turn AS id, 'prod' || CAST(conv_id % 5 AS VARCHAR) AS product,
+         text AS content, CASE WHEN turn = 0 THEN substr(text, 1, 60) END AS title,
+         CAST((conv_id * 31 + turn * 7) % 40 - 5 AS INTEGER) AS score,
+         'https://example.org/t/' || CAST(conv_id AS VARCHAR) AS url
+  FROM conversations),
+rawall AS (SELECT id, product, content, title, score, url FROM social
+           UNION ALL SELECT * FROM traw)
+SELECT product, id, 'processed' AS origin, content, relevance_score, source_url,
+       array_to_string(extracted_questions, '|') AS questions
+FROM r500
+UNION ALL
+SELECT product, id, 'raw', coalesce(content, title, ''), CAST(score AS BIGINT), coalesce(url, ''), ''
+FROM rawall WHERE product NOT IN (SELECT product FROM r500)""")
+def q_context_with_fallback(spark, d):
+    s = scoring.process(A.social(spark, d))
+    processed = scoring.faq_ready(s, cap=500)
+    raw = A.social(spark, d).unionByName(A.thread_records(spark, d))
+    ctx = P.raw_fallback(processed, raw)
+    return ctx.select("product", "id", "origin", "content", "relevance_score", "source_url",
+                      T.join_list("extracted_questions").alias("questions"))
+
+
+@register("prompt_context_large", O.BASE[:-1] + "," + O.ctx(200) + "\n"
+          + O.context_agg(O.item_large(), LARGE_ITEMS))
+def q_prompt_context_large(spark, d):
+    return P.prompt_context(_ranked(spark, d), P.LARGE, LARGE_ITEMS)
+
+
+@register("prompt_context_small", O.BASE[:-1] + "," + O.ctx(200) + "\n"
+          + O.context_agg(O.item_small(), SMALL_ITEMS))
+def q_prompt_context_small(spark, d):
+    return P.prompt_context(_ranked(spark, d), P.SMALL, SMALL_ITEMS)
+
+
+PROMPTS_SQL = (O.BASE[:-1] + "," + O.ctx(200)
+               + ",\npl AS (" + O.context_agg(O.item_large(), LARGE_ITEMS) + ")"
+               + ",\nps AS (" + O.context_agg(O.item_small(), SMALL_ITEMS) + ")"
+               + ",\nprompts AS (SELECT product, 'large' AS provider, 1 AS priority, n_items, "
+               + O.template_sql(P.LARGE_TEMPLATE, "product", "context") + " AS prompt FROM pl"
+               + "\nUNION ALL SELECT product, 'small', 2, n_items, "
+               + O.template_sql(P.SMALL_TEMPLATE, "product", "context") + " FROM ps)\n")
+
+
+@register("prompts", PROMPTS_SQL + "SELECT * FROM prompts")
+def q_prompts(spark, d):
+    return P.prompts(_ranked(spark, d), max_items={"large": LARGE_ITEMS, "small": SMALL_ITEMS})
+
+
+@register("context_sources", O.BASE[:-1] + "," + O.ctx(200) + "," + O.sources_sql() + """
+SELECT product, provider, coalesce(sources, '') AS sources FROM srcs""")
+def q_context_sources(spark, d):
+    s = P.context_sources(_ranked(spark, d))
+    return s.select("product", "provider", T.join_list("sources").alias("sources"))
+
+
+@register("batch_inference", PROMPTS_SQL + """
+SELECT product, provider, priority,
+       'Q: What do users ask about ' || product || '?' || chr(10) || 'A: '
+       || CAST(length(prompt) AS VARCHAR) || ' characters of context were reviewed.' AS response
+FROM prompts""")
+def q_batch_inference(spark, d):
+    pr = P.prompts(_ranked(spark, d), max_items={"large": LARGE_ITEMS, "small": SMALL_ITEMS})
+    return INF.batch_inference(pr, INF.echo_model)
+
+
+ENTRY_COLS = ["product", "provider", "priority", "entry_pos", "question", "answer", "category",
+              "confidence"]
+
+RESP_BASE = O.BASE[:-1] + "," + O.RESPONSES + ","
+
+
+@register("parse_responses", RESP_BASE + O.parse_sql() + """
+SELECT * FROM entries""")
+def q_parse_responses(spark, d):
+    e = _entries(spark, d)
+    return e.select(*ENTRY_COLS, T.join_list("keywords").alias("keywords"), "method")
+
+
+@register("parse_qa_lines", RESP_BASE + O.qa_lines_sql("resp", "lall")[:-1] + """
+SELECT product, provider, priority, entry_pos, question, answer FROM lall""")
+def q_parse_qa_lines(spark, d):
+    e = R.parse_qa_lines(_responses(spark, d))
+    return e.select("product", "provider", "priority", "entry_pos", "question", "answer")
+
+
+@register("provider_fallback", RESP_BASE + O.parse_sql() + "," + O.CHOSEN + """
+SELECT * FROM chosen""")
+def q_provider_fallback(spark, d):
+    e = _entries(spark, d)
+    return R.provider_fallback(e, _responses(spark, d))
+
+
+DOCS_SQL = (RESP_BASE + O.parse_sql() + "," + O.CHOSEN + "," + O.ctx(200) + "," + O.sources_sql()
+            + "," + O.DOC_ENTRIES + """,
+docs AS (
+  SELECT d.product, d.provider AS model_used, n.source_count, count(*) AS faq_count,
+         string_agg(d.question, chr(10) ORDER BY d.entry_pos) AS questions,
+         arg_min(d.sources, d.entry_pos) AS first_sources
+  FROM dentries d JOIN (SELECT product, count(*) AS source_count FROM ctx GROUP BY product) n
+       USING (product)
+  GROUP BY d.product, d.provider, n.source_count),
+fentries AS (
+  SELECT product, CAST(row_number() OVER (PARTITION BY product ORDER BY entry_pos) - 1 AS INTEGER)
+           AS entry_pos, question, answer, category, confidence, sources
+  FROM dentries)
+""")
+
+
+@register("faq_documents", DOCS_SQL + "SELECT * FROM docs")
+def q_faq_documents(spark, d):
+    docs = _documents(spark, d)
+    return docs.select("product", "model_used", "source_count",
+                       F.size("faqs").cast("long").alias("faq_count"),
+                       F.array_join(F.transform("faqs", lambda x: x["question"]), "\n")
+                       .alias("questions"),
+                       F.coalesce(F.array_join(F.get("faqs", 0)["sources"], "|"), F.lit(""))
+                       .alias("first_sources"))
+
+
+@register("faq_report", DOCS_SQL + """
+SELECT product, entry_pos, question, category, CAST(round(confidence * 100) AS INTEGER)
+       AS confidence_pct, substr(answer, 1, 200) AS answer_preview,
+       array_to_string((string_split(sources, '|'))[1:2], '|') AS shown_sources
+FROM fentries""")
+def q_faq_report(spark, d):
+    r = R.faq_report(R.faq_entries(_documents(spark, d)))
+    return r.select("product", "entry_pos", "question", "category", "confidence_pct",
+                    "answer_preview", T.join_list("shown_sources").alias("shown_sources"))
+
+
+@register("faq_search", DOCS_SQL + f"""
+SELECT product, entry_pos, question FROM fentries
+WHERE contains(lower(question), '{SEARCH_TERM}') OR contains(lower(answer), '{SEARCH_TERM}')
+   OR contains(lower(category), '{SEARCH_TERM}')""")
+def q_faq_search(spark, d):
+    return R.faq_search(R.faq_entries(_documents(spark, d)), SEARCH_TERM) \
+            .select("product", "entry_pos", "question")
+
+
+@register("faq_lookup", DOCS_SQL + f"""
+SELECT product, entry_pos, question, answer, category, confidence FROM fentries
+WHERE product = '{LOOKUP_PRODUCT}'""")
+def q_faq_lookup(spark, d):
+    e = R.faq_entries(_documents(spark, d).where(F.col("product") == LOOKUP_PRODUCT))
+    return e.select("product", "entry_pos", "question", "answer", "category", "confidence")
+
+
+@register("faq_list", DOCS_SQL + "SELECT product, model_used, source_count, faq_count FROM docs")
+def q_faq_list(spark, d):
+    return R.faq_list(_documents(spark, d)).select(
+        "product", "model_used", "source_count", F.col("faq_count").cast("long").alias("faq_count"))

@@ -187,3 +187,95 @@ def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The topics searched for: every nation name."""
     return table(spark, sf_dir, "nation").select(F.col("n_name").alias("topic"))
+
+
+# ---------------------------------------------------------------------------
+# Model responses (stand-in for the remote model; derived from ranked rows)
+# ---------------------------------------------------------------------------
+
+RESPONSE_CATEGORIES = ("Features", "Setup", "Performance")
+RESPONSE_CONFIDENCES = ("0.9", "0.85", "0.8")
+
+
+def product_number(c: str = "product") -> F.Column:
+    """Trailing digits of a product name as int (0 when none)."""
+    return F.coalesce(F.expr(f"try_cast(regexp_extract({c}, '([0-9]+)$', 1) AS INT)"), F.lit(0))
+
+
+def model_responses(ranked: DataFrame) -> DataFrame:
+    """Two responses per product (providers ``large`` and ``small``).
+
+    Built from the product's three best rows.  Form by product number: 0 a
+    JSON array with text around it, 1 JSON with missing / quoted / non-number
+    fields, 2 broken JSON, 3 "Q:/A:" lines.  ``large`` uses form n % 4;
+    ``small`` uses (n + 1) % 4, except n % 8 == 6 where it is also broken.
+    """
+    r = ranked.where(F.col("rank") <= 3)
+    q = F.coalesce(F.get(F.col("extracted_questions"), 0),
+                   F.concat(F.substring("content", 1, 40), F.lit("?")))
+    a = F.substring("content", 1, 80)
+    cat = F.get(F.array(*[F.lit(x) for x in RESPONSE_CATEGORIES]), F.col("rank") - 1)
+    conf = F.get(F.array(*[F.lit(x) for x in RESPONSE_CONFIDENCES]), F.col("rank") - 1)
+    kw1, kw2 = F.col("data_type"), F.col("product")
+    entry_a = F.concat(F.lit('{"question": "'), q, F.lit('", "answer": "'), a,
+                       F.lit('", "category": "'), cat, F.lit('", "confidence": '), conf,
+                       F.lit(', "keywords": ["'), kw1, F.lit('", "'), kw2, F.lit('"]}'))
+    entry_b = (F.when(F.col("rank") == 1,
+                      F.concat(F.lit('{"question": "'), q, F.lit('", "answer": "'), a,
+                               F.lit('", "confidence": "0.75"}')))
+                .when(F.col("rank") == 2,
+                      F.concat(F.lit('{"answer": "'), a, F.lit('", "confidence": null}')))
+                .otherwise(F.concat(F.lit('{"question": "'), q, F.lit('", "answer": "'), a,
+                                    F.lit('", "category": "Setup", "confidence": "high", '
+                                          '"keywords": []}'))))
+    broken = F.when(F.col("rank") == 1,
+                    F.concat(F.lit('Here you go: [{"question": "'), q, F.lit('", "answer": ]')))
+    lines_d = (F.when(F.col("rank") == 1,
+                      F.concat(F.lit("Q: "), q, F.lit("\nA: "), a, F.lit("\nsee also "), kw1))
+                .when(F.col("rank") == 2,
+                      F.concat(F.lit("Question: "), q, F.lit("\nAnswer: "), a))
+                .otherwise(F.concat(F.lit("Q: "), q, F.lit("\nnote first\nA: "), a)))
+    from ..operators.prompts import ordered_join
+    forms = (r.groupBy("product")
+              .agg(F.concat(F.lit("Sure! Here are the FAQs:\n["),
+                            ordered_join("product", "rank", entry_a, ", "),
+                            F.lit("]\nHope this helps.")).alias("f0"),
+                   F.concat(F.lit("["), ordered_join("product", "rank", entry_b, ", "),
+                            F.lit("]")).alias("f1"),
+                   F.max(broken).alias("f2"),
+                   F.concat(F.lit("A: stray answer before any question\n"),
+                            ordered_join("product", "rank", lines_d, "\n\n")).alias("f3")))
+    n = product_number()
+    large_form = n % 4
+    small_form = F.when(n % 8 == 6, F.lit(2)).otherwise((n + 1) % 4)
+    all_forms = F.array("f0", "f1", "f2", "f3")
+    large = forms.select("product", F.lit("large").alias("provider"), F.lit(1).alias("priority"),
+                         F.get(all_forms, large_form).alias("response"))
+    small = forms.select("product", F.lit("small").alias("provider"), F.lit(2).alias("priority"),
+                         F.get(all_forms, small_form).alias("response"))
+    return large.unionByName(small)
+
+
+def thread_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation turn as a flat raw record (turn 0 a post).
+
+    Products ``prod0..prod4`` - none of them among the ``social`` products.
+    """
+    c = table(spark, sf_dir, "conversations")
+    cid, turn = F.col("conv_id"), F.col("turn")
+    created = F.lit(EPOCH_2024) + cid * 3600 + turn * 60
+    return c.select(
+        (cid * 1000 + turn).alias("id"),
+        F.lit("reddit").alias("source"),
+        F.concat(F.lit("prod"), (cid % 5).cast("string")).alias("product"),
+        F.when(turn == 0, "post").otherwise("comment").alias("data_type"),
+        F.col("text").alias("content"),
+        F.when(turn == 0, F.substring("text", 1, 60)).alias("title"),
+        F.col("role").alias("author"),
+        ((cid * 31 + turn * 7) % 40 - 5).cast("int").alias("score"),
+        F.concat(F.lit("https://example.org/t/"), cid.cast("string")).alias("url"),
+        F.concat(F.lit("sub"), (cid % 4).cast("string")).alias("subreddit"),
+        _iso_from_epoch(created).alias("created_at"),
+        _iso_from_epoch(created + 3600).alias("scraped_at"),
+        F.create_map(F.lit("conv_id"), cid.cast("string")).alias("metadata"),
+    )
