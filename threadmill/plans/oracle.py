@@ -385,3 +385,31 @@ dentries AS (
   SELECT e.*, CASE WHEN e.method = 'json' THEN coalesce(s.sources, '') ELSE '' END AS sources
   FROM entries e JOIN chosen c ON c.product = e.product AND c.provider = e.provider
   LEFT JOIN srcs s ON s.product = e.product AND s.provider = e.provider)"""
+
+
+# --- products, queue ---------------------------------------------------------
+
+PNUM = "coalesce(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER), 0)"
+
+SOCIAL_PRODUCTS = f"""
+sprod AS (
+  SELECT CAST({PNUM} AS BIGINT) AS id, source AS name,
+         ({STATUSES_SQL})[{PNUM} % 9 + 1] AS status
+  FROM documents GROUP BY source)"""
+
+QUEUE_RECORDS = """
+qrec AS (
+  SELECT id, CASE WHEN id % 23 = 0 THEN NULL ELSE source END AS source,
+         CASE WHEN id % 29 = 0 THEN NULL ELSE product END AS product,
+         data_type, content, title, author, score, url, subreddit, created_at
+  FROM social)"""
+
+RUNS = """
+runs AS (
+  SELECT o_custkey AS product_id,
+         (['scrape', 'process', 'generate', 'pipeline', 'process'])[
+            CAST(substr(o_orderpriority, 1, 1) AS INTEGER)] AS stage,
+         CASE o_orderstatus WHEN 'F' THEN 'ok' WHEN 'O' THEN 'running' WHEN 'P' THEN 'failed' END
+           AS outcome,
+         o_orderdate AS ts, o_orderkey AS run_id
+  FROM orders)"""

@@ -443,3 +443,221 @@ def q_faq_lookup(spark, d):
 def q_faq_list(spark, d):
     return R.faq_list(_documents(spark, d)).select(
         "product", "model_used", "source_count", F.col("faq_count").cast("long").alias("faq_count"))
+
+
+# ---------------------------------------------------------------------------
+# queue and table maintenance
+# ---------------------------------------------------------------------------
+
+from ..operators import tables as TB  # noqa: E402
+from ..sources import queue as QU  # noqa: E402
+
+GEN_AT = "2024-06-01 00:00:00"
+REGEN_AT = "2024-07-01 00:00:00"
+
+
+def _ntz(s: str):
+    return F.lit(s).cast("timestamp_ntz")
+
+
+def _docs_at(spark, d, at: str, flip: bool = False):
+    ranked = _ranked(spark, d)
+    responses = _responses(spark, d)
+    if flip:   # a second run that prefers the other provider
+        responses = responses.withColumn("priority", 3 - F.col("priority"))
+    entries = R.parse_responses(responses)
+    chosen = R.provider_fallback(entries, responses)
+    counts = ranked.groupBy("product").agg(F.count(F.lit(1)).alias("source_count"))
+    return R.faq_documents(entries, chosen, P.context_sources(ranked), counts,
+                           generated_at=_ntz(at))
+
+
+@register("queue_encode", O.with_(O.SOCIAL, O.QUEUE_RECORDS) + """
+SELECT product AS key, id, source, product, data_type, score, url, title, content FROM qrec""")
+def q_queue_encode(spark, d):
+    m = QU.decode(QU.encode(A.queue_records(spark, d)))
+    return m.select("key", *[F.col(f"r.{c}").alias(c) for c in
+                             ("id", "source", "product", "data_type", "score", "url", "title",
+                              "content")])
+
+
+@register("queue_decode", O.with_(O.SOCIAL, O.QUEUE_RECORDS) + """
+SELECT id, coalesce(source, 'unknown') AS source, coalesce(product, 'unknown') AS product,
+       data_type, score, url, content
+FROM qrec WHERE id % 50 <> 0""")
+def q_queue_decode(spark, d):
+    g = QU.good_records(QU.decode(A.queue_messages(spark, d)))
+    return g.select("id", "source", "product", "data_type", "score", "url", "content")
+
+
+@register("landing_groups", O.with_(O.SOCIAL, O.QUEUE_RECORDS) + """
+SELECT coalesce(source, 'unknown') AS source, coalesce(product, 'unknown') AS product,
+       count(*) AS n_records
+FROM qrec WHERE id % 50 <> 0 GROUP BY ALL""")
+def q_landing_groups(spark, d):
+    return QU.landing_groups(QU.good_records(QU.decode(A.queue_messages(spark, d))))
+
+
+@register("status_counts", DOCS_SQL.replace("WITH ", "WITH " + O.PRODUCTS.strip() + ",\n", 1) + """
+SELECT (SELECT count(*) FROM products) AS total_products,
+       (SELECT count(*) FROM docs) AS total_faq_documents,
+       count(*) FILTER (WHERE status = 'pending') AS pending,
+       count(*) FILTER (WHERE status = 'scraping') AS scraping,
+       count(*) FILTER (WHERE status = 'processing') AS processing,
+       count(*) FILTER (WHERE status = 'generating') AS generating,
+       count(*) FILTER (WHERE status = 'completed') AS completed,
+       count(*) FILTER (WHERE status = 'error') AS error,
+       count(*) FILTER (WHERE status NOT IN ('pending', 'scraping', 'processing', 'generating',
+                                             'completed', 'error')) AS other,
+       count(*) FILTER (WHERE status IN ('scraping', 'processing', 'generating')) AS in_progress
+FROM products""")
+def q_status_counts(spark, d):
+    return TB.status_counts(A.products(spark, d), _documents(spark, d))
+
+
+@register("product_faq_counts", DOCS_SQL.replace("WITH ", "WITH " + O.SOCIAL_PRODUCTS.strip() + ",\n", 1)
+          + f"""
+SELECT p.id, p.name, CAST(coalesce(d.faq_count, 0) AS INTEGER) AS faq_count,
+       CASE WHEN d.product IS NOT NULL THEN '{GEN_AT}' END AS last_processed
+FROM sprod p LEFT JOIN docs d ON d.product = p.name""")
+def q_product_faq_counts(spark, d):
+    docs = _docs_at(spark, d, GEN_AT)
+    p = TB.product_faq_counts(A.social_products(spark, d), docs)
+    return p.select("id", "name", F.col("faq_count").cast("int").alias("faq_count"),
+                    F.date_format("last_processed", "yyyy-MM-dd HH:mm:ss").alias("last_processed"))
+
+
+@register("product_page", O.with_(O.PRODUCTS) + """
+SELECT CAST(id AS VARCHAR) AS id, name, status,
+       strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at
+FROM products ORDER BY created_at DESC, products.id LIMIT 50 OFFSET 10""")
+def q_product_page(spark, d):
+    pg = TB.product_page(A.products(spark, d), skip=10, limit=50)
+    return pg.select("id", "name", "status",
+                     F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+
+
+@register("insert_new_products", O.with_(O.PRODUCTS) + """
+, req AS (
+  SELECT c_name AS name, c_custkey AS request_pos,
+         ['sub' || CAST(c_nationkey AS VARCHAR)] AS subreddits FROM customer
+  UNION ALL
+  SELECT s_name, 100000 + s_suppkey,
+         CASE WHEN s_suppkey % 3 = 0 THEN []::VARCHAR[]
+              ELSE ['sub' || CAST(s_nationkey AS VARCHAR)] END FROM supplier),
+firsts AS (SELECT * FROM req QUALIFY row_number() OVER (PARTITION BY name ORDER BY request_pos) = 1)
+SELECT name, array_to_string(CASE WHEN coalesce(len(subreddits), -1) > 0 THEN subreddits
+                                  ELSE ['technology', 'gadgets'] END, '|') AS subreddits,
+       'pending' AS status, 0 AS faq_count
+FROM firsts WHERE name NOT IN (SELECT name FROM products)""")
+def q_insert_new_products(spark, d):
+    c = A.table(spark, d, "customer").select(
+        F.col("c_name").alias("name"), F.col("c_custkey").alias("request_pos"),
+        F.array(F.concat(F.lit("sub"), F.col("c_nationkey").cast("string"))).alias("subreddits"))
+    s = A.table(spark, d, "supplier").select(
+        F.col("s_name").alias("name"), (F.lit(100000) + F.col("s_suppkey")).alias("request_pos"),
+        F.when(F.col("s_suppkey") % 3 == 0, F.array().cast("array<string>"))
+         .otherwise(F.array(F.concat(F.lit("sub"), F.col("s_nationkey").cast("string"))))
+         .alias("subreddits"))
+    req = (c.unionByName(s)
+            .withColumn("description", F.lit(None).cast("string"))
+            .withColumn("keywords", F.lit(None).cast("array<string>"))
+            .withColumn("category", F.lit(None).cast("string")))
+    new = TB.insert_new_products(A.products(spark, d), req, _ntz(GEN_AT))
+    return new.select("name", T.join_list("subreddits").alias("subreddits"), "status", "faq_count")
+
+
+@register("update_products", O.with_(O.PRODUCTS) + """
+, ch AS (SELECT s_suppkey AS id, s_name AS name, 'updated' AS description,
+                ['sub' || CAST(s_nationkey AS VARCHAR)] AS subreddits, []::VARCHAR[] AS keywords,
+                'SUPPLIER' AS category FROM supplier)
+SELECT p.id, CASE WHEN c.id IS NULL THEN p.name ELSE c.name END AS name,
+       CASE WHEN c.id IS NULL THEN p.description ELSE c.description END AS description,
+       array_to_string(CASE WHEN c.id IS NULL THEN p.subreddits ELSE c.subreddits END, '|')
+         AS subreddits,
+       array_to_string(CASE WHEN c.id IS NULL THEN p.keywords ELSE c.keywords END, '|') AS keywords,
+       CASE WHEN c.id IS NULL THEN p.category ELSE c.category END AS category, p.status
+FROM products p LEFT JOIN ch c ON c.id = p.id""")
+def q_update_products(spark, d):
+    s = A.table(spark, d, "supplier")
+    ch = s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"),
+                  F.lit("updated").alias("description"),
+                  F.array(F.concat(F.lit("sub"), F.col("s_nationkey").cast("string")))
+                  .alias("subreddits"),
+                  F.array().cast("array<string>").alias("keywords"),
+                  F.lit("SUPPLIER").alias("category"))
+    u = TB.update_products(A.products(spark, d), ch)
+    return u.select("id", "name", "description", T.join_list("subreddits").alias("subreddits"),
+                    T.join_list("keywords").alias("keywords"), "category", "status")
+
+
+@register("delete_cascade", DOCS_SQL.replace("WITH ", "WITH " + O.SOCIAL_PRODUCTS.strip() + ",\n", 1)
+          + """
+SELECT 'product' AS tbl, name AS key FROM sprod WHERE status <> 'error'
+UNION ALL
+SELECT 'document', product FROM docs
+WHERE product NOT IN (SELECT name FROM sprod WHERE status = 'error')""")
+def q_delete_cascade(spark, d):
+    prods = A.social_products(spark, d)
+    deletions = prods.where(F.col("status") == "error").select("id")
+    kp, kd = TB.delete_cascade(prods, _documents(spark, d), deletions)
+    return (kp.select(F.lit("product").alias("tbl"), F.col("name").alias("key"))
+              .unionByName(kd.select(F.lit("document").alias("tbl"), F.col("product").alias("key"))))
+
+
+@register("product_status", O.with_(O.PRODUCTS, O.RUNS) + """
+, latest AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY product_id
+                                                          ORDER BY ts DESC, run_id DESC) = 1),
+mapped AS (
+  SELECT product_id, ts,
+         CASE stage || ':' || outcome
+           WHEN 'scrape:ok' THEN 'scraping' WHEN 'scrape:running' THEN 'scraping'
+           WHEN 'scrape:failed' THEN 'processing_failed'
+           WHEN 'process:ok' THEN 'processed' WHEN 'process:running' THEN 'processing'
+           WHEN 'process:failed' THEN 'processing_failed'
+           WHEN 'generate:ok' THEN 'completed' WHEN 'generate:running' THEN 'generating'
+           WHEN 'generate:failed' THEN 'error'
+           WHEN 'pipeline:ok' THEN 'pipeline_completed' WHEN 'pipeline:running' THEN 'processing'
+           WHEN 'pipeline:failed' THEN 'error' END AS run_status
+  FROM latest)
+SELECT p.id, coalesce(m.run_status, p.status) AS status,
+       strftime(m.ts, '%Y-%m-%d %H:%M:%S') AS last_run_at
+FROM products p LEFT JOIN mapped m ON m.product_id = p.id""")
+def q_product_status(spark, d):
+    s = TB.product_status(A.products(spark, d), A.run_log(spark, d))
+    return s.select("id", "status",
+                    F.date_format("last_run_at", "yyyy-MM-dd HH:mm:ss").alias("last_run_at"))
+
+
+UPSERT_SQL = (DOCS_SQL + """,
+best2 AS (SELECT product, arg_max(provider, priority) AS provider FROM ecounts GROUP BY product),
+docs2 AS (
+  SELECT e.product, e.provider AS model_used, count(*) AS faq_count
+  FROM entries e JOIN best2 b ON b.product = e.product AND b.provider = e.provider
+  GROUP BY e.product, e.provider)
+SELECT product, model_used, '""" + REGEN_AT + """' AS updated_at, faq_count FROM docs2
+UNION ALL
+SELECT product, model_used, '""" + GEN_AT + """', faq_count FROM docs
+WHERE product NOT IN (SELECT product FROM docs2)""")
+
+
+@register("faq_upsert", UPSERT_SQL)
+def q_faq_upsert(spark, d):
+    existing = _docs_at(spark, d, GEN_AT)
+    incoming = _docs_at(spark, d, REGEN_AT, flip=True)
+    once = TB.faq_upsert(existing, incoming)
+    twice = TB.faq_upsert(once, incoming)      # same run applied again: no change
+    return twice.select("product", "model_used",
+                        F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"),
+                        F.size("faqs").cast("long").alias("faq_count"))
+
+
+@register("validate_products", """
+SELECT doc_id, CAST(coalesce(length(text), 0) AS INTEGER) AS name_length,
+       CASE WHEN coalesce(length(text), 0) < 1 THEN 'name empty'
+            WHEN length(text) > 200 THEN 'name too long' END AS reason,
+       coalesce(length(text), 0) BETWEEN 1 AND 200 AS valid
+FROM documents""")
+def q_validate_products(spark, d):
+    req = A.table(spark, d, "documents").select("doc_id", F.col("text").alias("name"))
+    return TB.validate_products(req).select("doc_id", "name_length", "reason", "valid")

@@ -279,3 +279,57 @@ def thread_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         _iso_from_epoch(created + 3600).alias("scraped_at"),
         F.create_map(F.lit("conv_id"), cid.cast("string")).alias("metadata"),
     )
+
+
+def queue_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as the scraper would send them: some lack source or product."""
+    s = social(spark, sf_dir)
+    return (s.withColumn("source", F.when(F.col("id") % 23 == 0, F.lit(None).cast("string"))
+                                    .otherwise(F.col("source")))
+             .withColumn("product", F.when(F.col("id") % 29 == 0, F.lit(None).cast("string"))
+                                     .otherwise(F.col("product"))))
+
+
+def queue_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(offset, key, value) queue messages; every id % 50 == 0 is truncated JSON."""
+    from .queue import encode
+    r = queue_records(spark, sf_dir)
+    m = encode(r).withColumn("offset", F.get_json_object("value", "$.id").cast("long"))
+    broken = F.concat(F.lit('{"id": '), F.col("offset").cast("string"),
+                      F.lit(', "source": "reddit", "content": "'))
+    return m.withColumn("value", F.when(F.col("offset") % 50 == 0, broken)
+                                  .otherwise(F.col("value")))
+
+
+def social_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One product row per document source (PRODUCT_SCHEMA)."""
+    d = table(spark, sf_dir, "documents").groupBy("source").agg(F.min("doc_id").alias("first"))
+    n = product_number("source")
+    statuses = F.array(*[F.lit(s) for s in PRODUCT_STATUSES])
+    base = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    return d.select(
+        n.cast("long").alias("id"), F.col("source").alias("name"),
+        F.lit(None).cast("string").alias("description"),
+        F.array().cast("array<string>").alias("subreddits"),
+        F.array().cast("array<string>").alias("keywords"),
+        F.lit(None).cast("string").alias("category"),
+        F.timestamp_add("MINUTE", F.col("first"), base).alias("created_at"),
+        F.lit(None).cast("timestamp_ntz").alias("last_scraped"),
+        F.lit(None).cast("timestamp_ntz").alias("last_processed"),
+        F.lit(0).alias("faq_count"),
+        F.get(statuses, (n % len(PRODUCT_STATUSES)).cast("int")).alias("status"))
+
+
+RUN_STAGES = ("scrape", "process", "generate", "pipeline", "process")
+RUN_OUTCOMES = {"F": "ok", "O": "running", "P": "failed"}
+
+
+def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Job runs from ``orders``: stage by priority digit, outcome by status."""
+    o = table(spark, sf_dir, "orders")
+    stage = F.get(F.array(*[F.lit(s) for s in RUN_STAGES]),
+                  F.substring("o_orderpriority", 1, 1).cast("int") - 1)
+    outcome = F.create_map(*[F.lit(x) for kv in RUN_OUTCOMES.items() for x in kv])[F.col("o_orderstatus")]
+    return o.select(F.col("o_custkey").alias("product_id"), stage.alias("stage"),
+                    outcome.alias("outcome"), F.col("o_orderdate").alias("ts"),
+                    F.col("o_orderkey").alias("run_id"))
