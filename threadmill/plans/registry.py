@@ -661,3 +661,119 @@ FROM documents""")
 def q_validate_products(spark, d):
     req = A.table(spark, d, "documents").select("doc_id", F.col("text").alias("name"))
     return TB.validate_products(req).select("doc_id", "name_length", "reason", "valid")
+
+
+# ---------------------------------------------------------------------------
+# file sources / sinks and streams (write to a fresh folder, read back)
+# ---------------------------------------------------------------------------
+
+from pyspark.sql.types import StringType, StructField, StructType  # noqa: E402
+
+from ..session import scratch_path  # noqa: E402
+from ..sources import files as FS  # noqa: E402
+from ..streaming import landing as ST  # noqa: E402
+
+SLUG_SQL = "lower(replace(product, ' ', '_'))"
+
+
+@register("raw_scan", O.with_(O.SOCIAL) + f"""
+, rows AS (
+  SELECT id, CASE WHEN coalesce(TRY_CAST(regexp_extract(product, '([0-9]+)$', 1) AS INTEGER), 0)
+                       % 5 = 4 OR id % 7 = 0 THEN product || ' ' ELSE product END AS product,
+         content FROM social),
+slugged AS (SELECT *, {SLUG_SQL} AS product_slug,
+                   regexp_replace({SLUG_SQL}, '_$', '') AS base FROM rows),
+pick AS (SELECT base, min(CASE WHEN product_slug = base THEN 0 ELSE 1 END) AS v
+         FROM slugged GROUP BY base)
+SELECT id, product, product_slug, content FROM slugged JOIN pick USING (base)
+WHERE CASE WHEN product_slug = base THEN 0 ELSE 1 END = v""")
+def q_raw_scan(spark, d):
+    s = A.social(spark, d)
+    n = A.product_number("product")
+    rows = s.withColumn("product", F.when((n % 5 == 4) | (F.col("id") % 7 == 0),
+                                          F.concat("product", F.lit(" ")))
+                                    .otherwise(F.col("product")))
+    root = scratch_path(spark, "landing")
+    FS.write_landing(rows, root)
+    return FS.raw_scan(spark, root).select("id", "product", "product_slug", "content")
+
+
+@register("first_n_files", O.with_(O.SOCIAL) + f"""
+, b AS (SELECT *, {SLUG_SQL} AS product_slug, floor(id / 100) AS flush FROM social),
+f AS (SELECT product_slug, flush,
+             dense_rank() OVER (PARTITION BY product_slug ORDER BY flush) AS fr
+      FROM (SELECT DISTINCT product_slug, flush FROM b))
+SELECT b.id, b.product, b.product_slug, b.content FROM b JOIN f USING (product_slug, flush)
+WHERE fr <= 2""")
+def q_first_n_files(spark, d):
+    root = scratch_path(spark, "batches")
+    FS.write_batch_files(A.social(spark, d), root, flush_size=100)
+    return FS.first_n_files(spark, root, n=2).select("id", "product", "product_slug", "content")
+
+
+@register("snapshot_roundtrip", O.BASE[:-1] + "," + O.ranked_ready(READY_CAP) + f"""
+SELECT {READY_OUT}, CAST(rank AS INTEGER) AS rank, {SLUG_SQL} AS product_slug FROM ranked""")
+def q_snapshot_roundtrip(spark, d):
+    s = scoring.process(A.social(spark, d))
+    run_dir = scratch_path(spark, "processed") + "/20240601_000000"
+    FS.write_snapshot(scoring.faq_ready(s, cap=READY_CAP, rank_col="rank"), run_dir)
+    return _ready_out(FS.read_snapshot(spark, run_dir), "rank", "product_slug")
+
+
+@register("latest_read", O.BASE[:-1] + "," + O.ranked_ready(READY_CAP) + f"""
+SELECT {READY_OUT}, {SLUG_SQL} AS product_slug FROM ranked""")
+def q_latest_read(spark, d):
+    s = scoring.process(A.social(spark, d))
+    path = scratch_path(spark, "processed") + "/latest.json"
+    FS.write_latest_json(scoring.faq_ready(s, cap=READY_CAP), path)
+    return _ready_out(FS.read_latest(spark, path), "product_slug")
+
+
+def _run_streams(spark, d, clean: bool = False) -> str:
+    base = scratch_path(spark, "stream")
+    ST.stage_messages(A.queue_messages(spark, d), base + "/inbox", n_files=4)
+    msgs = ST.file_queue_source(spark, base + "/inbox")
+    ST.run_to_end(ST.start_landing(msgs, base + "/landing", base + "/ck_landing"),
+                  ST.start_quarantine(msgs, base + "/quarantine", base + "/ck_quarantine"))
+    if clean:
+        landed = ST.landing_stream(spark, base + "/landing")
+        ST.run_to_end(ST.start_clean(landed, base + "/clean", base + "/ck_clean"))
+    return base
+
+
+QUEUE_GOOD = O.with_(O.SOCIAL, O.QUEUE_RECORDS) + """
+, good AS (SELECT id, coalesce(source, 'unknown') AS source, coalesce(product, 'unknown') AS product,
+                  data_type, score, content FROM qrec WHERE id % 50 <> 0)
+"""
+
+
+@register("stream_landing", QUEUE_GOOD + f"""
+SELECT id, source, product, {SLUG_SQL} AS product_slug, data_type, score, content FROM good""")
+def q_stream_landing(spark, d):
+    base = _run_streams(spark, d)
+    schema = StructType(FS._landing_schema(FS.RAW_WITH_ID_SCHEMA).fields)
+    landed = spark.read.schema(schema).json(base + "/landing")
+    return landed.select("id", "source", "product", "product_slug", "data_type", "score", "content")
+
+
+@register("stream_quarantine", O.with_(O.SOCIAL) + """
+SELECT '{"id": ' || CAST(id AS VARCHAR) || ', "source": "reddit", "content": "' AS value
+FROM social WHERE id % 50 = 0""")
+def q_stream_quarantine(spark, d):
+    base = _run_streams(spark, d)
+    return spark.read.schema(StructType([StructField("value", StringType())])) \
+                .json(base + "/quarantine")
+
+
+@register("stream_clean", QUEUE_GOOD + f"""
+, c AS (SELECT *, {O.clean_sql('content')} AS cc FROM good)
+SELECT id, product,
+       CAST((CAST(score AS BIGINT) + 1) * CASE WHEN data_type = 'post' THEN 2 ELSE 1 END AS BIGINT)
+         AS relevance_score,
+       CAST(length(cc) AS INTEGER) AS content_length,
+       len({O.questions_sql('cc')}) > 0 AS has_question
+FROM c WHERE length(cc) > 20""")
+def q_stream_clean(spark, d):
+    base = _run_streams(spark, d, clean=True)
+    out = spark.read.parquet(base + "/clean")
+    return out.select("id", "product", "relevance_score", "content_length", "has_question")
