@@ -777,3 +777,43 @@ def q_stream_clean(spark, d):
     base = _run_streams(spark, d, clean=True)
     out = spark.read.parquet(base + "/clean")
     return out.select("id", "product", "relevance_score", "content_length", "has_question")
+
+
+# ---------------------------------------------------------------------------
+# topics
+# ---------------------------------------------------------------------------
+
+from ..operators import topics as TP  # noqa: E402
+
+STOP_SQL = "[" + ", ".join(O.q(w) for w in TP.english_stop_words()) + "]"
+TOKENS_SQL = O.with_(O.SOCIAL, O.CLEANED) + f"""
+, tk AS (SELECT id, string_split(lower(content_cleaned), ' ') AS words FROM cleaned),
+tf AS (SELECT id, words, list_filter(words, lambda w: NOT list_contains({STOP_SQL}, w)) AS filtered
+       FROM tk)
+"""
+
+
+@register("tokens", TOKENS_SQL + """
+SELECT id, CAST(len(words) AS INTEGER) AS n_tokens, CAST(len(filtered) AS INTEGER) AS n_filtered,
+       array_to_string(filtered, ' ') AS filtered
+FROM tf""")
+def q_tokens(spark, d):
+    t = TP.tokens(scoring.clean(A.social(spark, d)))
+    return t.select("id", F.size("words").alias("n_tokens"), F.size("filtered").alias("n_filtered"),
+                    F.array_join("filtered", " ").alias("filtered"))
+
+
+@register("tfidf_terms", TOKENS_SQL + """
+, terms AS (SELECT DISTINCT id, unnest(filtered) AS term FROM tf)
+SELECT term, count(*) AS doc_freq,
+       round(ln(((SELECT count(*) FROM tf) + 1) / (count(*) + 1)), 6) AS idf
+FROM terms GROUP BY term""")
+def q_tfidf_terms(spark, d):
+    t = TP.tfidf_terms(TP.tokens(scoring.clean(A.social(spark, d))))
+    return t.select("term", "doc_freq", F.round("idf", 6).alias("idf"))
+
+
+@register("topic_clusters")
+def q_topic_clusters(spark, d):
+    members = TP.topic_members(scoring.process(A.social(spark, d)))
+    return TP.topic_clusters(members)
