@@ -24,8 +24,16 @@ FAQ_READY_COLUMNS = ["id", "product", "content", "extracted_questions", "relevan
 
 
 def clean(df: DataFrame, content_col: str = "content") -> DataFrame:
-    """Add ``content_cleaned`` and drop rows whose cleaned text is too short."""
-    return (df.withColumn("content_cleaned", T.clean_text(content_col))
+    """Add ``content_cleaned`` and drop rows whose cleaned text is too short.
+
+    The cleaned text is produced by exploding a one-element array: the
+    length filter then sits above the generator and cannot be pushed below
+    it, so the regex chain runs once per row instead of once in the filter
+    and again in the projection.
+    """
+    cols = [F.col(c) for c in df.columns]
+    return (df.select(*cols, F.explode(F.array(T.clean_text(content_col)))
+                      .alias("content_cleaned"))
               .where(T.keep_cleaned("content_cleaned")))
 
 

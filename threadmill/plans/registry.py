@@ -267,21 +267,30 @@ def _ranked(spark, d, cap=P.CONTEXT_CAP):
     return P.ranked_context(_ready(spark, d), cap)
 
 
-def _responses(spark, d):
-    return A.model_responses(_ranked(spark, d, 3))
+def _responses(spark, d, ranked=None):
+    ranked = ranked if ranked is not None else _ranked(spark, d)
+    return A.model_responses(ranked)
 
 
 def _entries(spark, d):
     return R.parse_responses(_responses(spark, d))
 
 
-def _documents(spark, d):
+def _documents(spark, d, at: str = "2024-06-01 00:00:00", flip: bool = False):
+    """Contexts -> responses -> entries -> chosen provider -> documents.
+
+    One ranked-context DataFrame feeds every branch, so the scan and the
+    cleaning run once (the shared exchange is reused by the planner).
+    """
     ranked = _ranked(spark, d)
-    entries = _entries(spark, d)
-    chosen = R.provider_fallback(entries, _responses(spark, d))
+    responses = _responses(spark, d, ranked)
+    if flip:   # a second run that prefers the other provider
+        responses = responses.withColumn("priority", 3 - F.col("priority"))
+    entries = R.parse_responses(responses)
+    chosen = R.provider_fallback(entries, responses)
     counts = ranked.groupBy("product").agg(F.count(F.lit(1)).alias("source_count"))
     return R.faq_documents(entries, chosen, P.context_sources(ranked), counts,
-                           generated_at=F.lit("2024-06-01 00:00:00").cast("timestamp"))
+                           generated_at=F.lit(at).cast("timestamp_ntz"))
 
 
 @register("context_top200", O.BASE[:-1] + "," + O.ctx(CONTEXT_CAP) + """
@@ -461,15 +470,7 @@ def _ntz(s: str):
 
 
 def _docs_at(spark, d, at: str, flip: bool = False):
-    ranked = _ranked(spark, d)
-    responses = _responses(spark, d)
-    if flip:   # a second run that prefers the other provider
-        responses = responses.withColumn("priority", 3 - F.col("priority"))
-    entries = R.parse_responses(responses)
-    chosen = R.provider_fallback(entries, responses)
-    counts = ranked.groupBy("product").agg(F.count(F.lit(1)).alias("source_count"))
-    return R.faq_documents(entries, chosen, P.context_sources(ranked), counts,
-                           generated_at=_ntz(at))
+    return _documents(spark, d, at, flip)
 
 
 @register("queue_encode", O.with_(O.SOCIAL, O.QUEUE_RECORDS) + """

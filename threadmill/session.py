@@ -36,8 +36,8 @@ def build_session(master: str | None = None, app: str = "threadmill",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        # the largest side we ever broadcast is bounded by a count check in
-        # code (see operators.joins); keep the automatic threshold modest.
+        # joins never force a broadcast; AQE converts a join to a broadcast
+        # only from the measured size of a finished stage (a proven bound).
         "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     }
     if shuffle_partitions:
@@ -73,3 +73,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if "://" not in root and not root.startswith("/"):
         root = os.path.abspath(root)
     return f"{root.rstrip('/')}/threadmill/{name}/{uuid.uuid4().hex}"
+
+
+def balanced(df, key: str | None = None):
+    """Spread an under-partitioned scan over the cluster before CPU-heavy work.
+
+    A large input has far more splits than cores and is returned unchanged
+    (no shuffle).  Only when the scan yields fewer partitions than the
+    default parallelism (e.g. one big single-row-group file) are rows hashed
+    on ``key`` into that many partitions.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key) if key else df.repartition(target)

@@ -36,7 +36,9 @@ def social(spark: SparkSession, sf_dir: str) -> DataFrame:
     One record per document: product = source, subreddit = lang, every third
     document is a post (with a title), the rest comments.
     """
-    d = table(spark, sf_dir, "documents")
+    from ..session import balanced
+    d = balanced(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"),
+                 "doc_id")
     is_post = F.col("doc_id") % 3 == 0
     created = F.lit(EPOCH_2024) + F.col("doc_id") * 60
     return d.select(
