@@ -140,33 +140,47 @@ def fill_template(template: str, **cols: Column) -> Column:
 
 
 def prompts(ranked: DataFrame, providers=PROVIDERS, max_items: dict | None = None) -> DataFrame:
-    """One prompt per (product, provider)."""
-    out = None
+    """One prompt per (product, provider).
+
+    All providers' contexts come out of one aggregation over the ranked rows
+    (one shuffle, one pass); the per-provider results are then unpivoted.
+    """
+    limits = {p.name: (max_items or {}).get(p.name) or p.max_items for p in providers}
+    aggs = []
     for p in providers:
-        c = prompt_context(ranked, p, (max_items or {}).get(p.name))
-        c = c.select("product", F.lit(p.name).alias("provider"),
-                     F.lit(p.priority).alias("priority"), "n_items",
-                     fill_template(p.template, product=F.col("product"),
-                                   content=F.col("context")).alias("prompt"))
-        out = c if out is None else out.unionByName(c)
-    return out
+        n = limits[p.name]
+        inside = F.col("rank") <= n
+        aggs += [F.count_if(inside).alias(f"n_{p.name}"),
+                 ordered_join("product", "rank",
+                              F.when(inside, item_text(p)), ITEM_SEPARATOR).alias(f"c_{p.name}")]
+    per_product = ranked.where(F.col("rank") <= max(limits.values())).groupBy("product").agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(p.name).alias("provider"), F.lit(p.priority).alias("priority"),
+                              F.col(f"n_{p.name}").alias("n_items"),
+                              fill_template(p.template, product=F.col("product"),
+                                            content=F.col(f"c_{p.name}")).alias("prompt"))
+                     for p in providers])
+    return per_product.select("product", F.inline(rows))
 
 
 def context_sources(ranked: DataFrame, providers=PROVIDERS) -> DataFrame:
-    """Per (product, provider): non-empty URLs of the first items, first three."""
-    out = None
-    for p in providers:
-        first = ranked.where(F.col("rank") <= p.source_items)
-        urls = F.array_sort(F.collect_list(F.struct(F.col("rank").alias("r"),
-                                                    F.col("source_url").alias("u"))))
-        s = (first.groupBy("product")
-                  .agg(urls.alias("pairs"))
-                  .select("product", F.lit(p.name).alias("provider"),
-                          F.slice(F.filter(F.transform("pairs", lambda x: x["u"]),
-                                           lambda u: u.isNotNull() & (u != "")),
-                                  1, SOURCES_PER_ENTRY).alias("sources")))
-        out = s if out is None else out.unionByName(s)
-    return out
+    """Per (product, provider): non-empty URLs of the first items, first three.
+
+    One aggregation collects the (rank, url) pairs of the first items of the
+    widest provider; each provider then slices its own prefix.
+    """
+    widest = max(p.source_items for p in providers)
+    pairs = F.array_sort(F.collect_list(F.struct(F.col("rank").alias("r"),
+                                                 F.col("source_url").alias("u"))))
+    per_product = (ranked.where(F.col("rank") <= widest).groupBy("product")
+                         .agg(pairs.alias("pairs")))
+
+    def pick(p: Provider):
+        first = F.filter("pairs", lambda x: x["r"] <= p.source_items)
+        urls = F.filter(F.transform(first, lambda x: x["u"]), lambda u: u.isNotNull() & (u != ""))
+        return F.struct(F.lit(p.name).alias("provider"),
+                        F.slice(urls, 1, SOURCES_PER_ENTRY).alias("sources"))
+
+    return per_product.select("product", F.inline(F.array(*[pick(p) for p in providers])))
 
 
 def raw_fallback(processed: DataFrame, raw: DataFrame) -> DataFrame:

@@ -93,16 +93,22 @@ def faq_ready_single(scored: DataFrame, cap: int = FAQ_READY_CAP) -> DataFrame:
 def pipeline_summary(raw: DataFrame, cap: int = FAQ_READY_CAP) -> DataFrame:
     """Per product: total, cleaned, with-question and model-ready row counts.
 
-    One aggregation with partial (map-side) combine; the model-ready count is
-    ``least(cap, ready rows)`` so no per-product sort is needed.
+    The cleaned text is computed once per row (one-element explode), the
+    flags are plain booleans, and one aggregation with map-side partial
+    combine counts them; the model-ready count is ``least(cap, ready rows)``
+    so no per-product sort is needed.
     """
-    cleaned = T.clean_text("content")
-    kept = T.keep_cleaned(cleaned)
-    has_q = F.size(T.extract_questions(cleaned)) > 0
-    ready = kept & ((relevance() > 1) | has_q)
-    return (raw.groupBy("product")
-               .agg(F.count(F.lit(1)).alias("total_records"),
-                    F.count_if(kept).alias("cleaned_records"),
-                    F.count_if(kept & has_q).alias("question_records"),
-                    F.least(F.count_if(ready), F.lit(cap).cast("long"))
-                     .alias("processed_records")))
+    rows = raw.select("product", "score", "data_type",
+                      F.explode(F.array(T.clean_text("content"))).alias("cc"))
+    flags = rows.select(
+        "product",
+        T.keep_cleaned("cc").alias("kept"),
+        (F.size(T.extract_questions("cc")) > 0).alias("has_q"),
+        (relevance() > 1).alias("rel_ok"))
+    kept = F.coalesce(F.col("kept"), F.lit(False))
+    return (flags.groupBy("product")
+                 .agg(F.count(F.lit(1)).alias("total_records"),
+                      F.count_if(kept).alias("cleaned_records"),
+                      F.count_if(kept & F.col("has_q")).alias("question_records"),
+                      F.least(F.count_if(kept & (F.col("rel_ok") | F.col("has_q"))),
+                              F.lit(cap).cast("long")).alias("processed_records")))

@@ -16,6 +16,7 @@ from ..functions import text as T
 from ..operators import scoring
 from ..sources import adapters as A
 from . import oracle as O
+from ..session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -282,7 +283,7 @@ def _documents(spark, d, at: str = "2024-06-01 00:00:00", flip: bool = False):
     One ranked-context DataFrame feeds every branch, so the scan and the
     cleaning run once (the shared exchange is reused by the planner).
     """
-    ranked = _ranked(spark, d)
+    ranked = materialize(_ranked(spark, d))
     responses = _responses(spark, d, ranked)
     if flip:   # a second run that prefers the other provider
         responses = responses.withColumn("priority", 3 - F.col("priority"))

@@ -87,3 +87,11 @@ def balanced(df, key: str | None = None):
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target, key) if key else df.repartition(target)
+
+
+def materialize(df):
+    """Cut lineage of a small, multiply-used intermediate with a reliable
+    checkpoint in the shared checkpoint folder (survives executor loss;
+    never ``localCheckpoint``)."""
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
