@@ -1,0 +1,55 @@
+import os
+
+from threadmill.sources import adapters as A
+from threadmill.sources import files as FS
+from threadmill.sources import queue as Q
+from threadmill.streaming import landing as ST
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_first_n_files_skips_corrupt_file(spark, scratch):
+    root = os.path.join(scratch, "batches")
+    FS.write_batch_files(A.social(spark, SF), root, flush_size=100)
+    # a broken file placed first in one product folder takes a slot and is skipped
+    pdir = os.path.join(root, "source=reddit", "product_slug=src1", "flush=f0000000000")
+    with open(os.path.join(pdir, "a-broken.txt"), "w") as f:
+        f.write('[{"id": 1, "content": ')
+    rows = FS.first_n_files(spark, root, n=1).collect()
+    assert all(r.product_slug != "src1" for r in rows)
+    assert len({r.product_slug for r in rows}) >= 2
+
+
+def test_raw_scan_folder_variants(spark, scratch):
+    root = os.path.join(scratch, "landing")
+    base = A.social(spark, SF).limit(30)
+    from pyspark.sql import functions as F
+    rows = base.withColumn("product", F.when(F.col("id") % 2 == 0, F.concat("product", F.lit(" ")))
+                           .otherwise(F.col("product")))
+    FS.write_landing(rows, root)
+    got = FS.raw_scan(spark, root).collect()
+    slugs = {}
+    for r in got:
+        slugs.setdefault(r.product_slug.rstrip("_"), set()).add(r.product_slug)
+    assert all(len(v) == 1 for v in slugs.values())     # one folder variant per product
+    only = FS.raw_scan(spark, root, slugs=["src1"]).collect()
+    assert {r.product_slug.rstrip("_") for r in only} <= {"src1"}
+
+
+def test_stream_restart_adds_nothing(spark, scratch):
+    inbox, out, ck = (os.path.join(scratch, x) for x in ("inbox", "landing", "ck"))
+    ST.stage_messages(A.queue_messages(spark, SF), inbox, n_files=3)
+    for _ in range(2):                       # second run resumes from the checkpoint
+        q = ST.start_landing(ST.file_queue_source(spark, inbox), out, ck)
+        ST.run_to_end(q)
+    landed = spark.read.schema(FS._landing_schema(FS.RAW_WITH_ID_SCHEMA)).json(out)
+    expected = Q.good_records(Q.decode(A.queue_messages(spark, SF)))
+    assert landed.count() == expected.count()
+    assert landed.select("id").distinct().count() == landed.count()
+
+
+def test_quarantine_split(spark):
+    m = A.queue_messages(spark, SF)
+    d = Q.decode(m)
+    assert Q.good_records(d).count() + Q.quarantine(d).count() == m.count()
+    assert all('"content": "' in r.value for r in Q.quarantine(d).collect())

@@ -102,7 +102,7 @@ def parse_qa_lines(responses: DataFrame) -> DataFrame:
                    .agg(F.min_by("after", "pos").alias("question"),
                         F.max(F.when(F.col("is_a"), F.col("pos"))).alias("last_a"),
                         parts.alias("parts")))
-    a_text = F.element_at(F.filter("parts", lambda x: x["pos"] == F.col("last_a")), 1)["after"]
+    a_text = F.get(F.filter("parts", lambda x: x["pos"] == F.col("last_a")), 0)["after"]
     conts = F.transform(
         F.filter("parts", lambda x: ~x["is_q"] & ~x["is_a"] & (x["line"] != "")
                  & (x["pos"] > F.coalesce(F.col("last_a"), F.lit(-1)))),
