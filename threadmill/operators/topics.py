@@ -1,8 +1,9 @@
 """Topics: tokens, TF-IDF term weights and k-means clusters (MLlib).
 
-``topic_clusters`` is the reference's tokenizer -> stop words -> hashed term
-frequencies (1000 buckets) -> IDF -> k-means (k=10, seed 42) chain as one
-MLlib Pipeline.  Instead of collecting every member's text, questions and
+``topic_pipeline`` is the reference's tokenizer -> stop words -> hashed
+term frequencies (1000 buckets) -> IDF -> k-means (k=10, seed 42) chain as
+one MLlib Pipeline; ``topic_members`` runs the same stages with only the
+hashed vectors persisted between the fitting passes.  Instead of collecting every member's text, questions and
 URL into per-cluster lists (one list per cluster grows with the data), the
 cluster summary holds counts and averages and ``topic_members`` holds the
 (id, cluster) assignment, which joins back to any column.
@@ -57,15 +58,20 @@ def tokens(df: DataFrame, text_col: str = "content_cleaned") -> DataFrame:
 def tfidf_terms(tokenized: DataFrame, terms_col: str = "filtered") -> DataFrame:
     """Per term: document frequency and IDF = ln((n + 1) / (df + 1)).
 
-    Document frequency is a groupBy over distinct (doc, term) pairs with
-    map-side combine; only the document count ``n`` (one number) is read on
-    the driver.
+    One pass over the documents: every document contributes its distinct
+    terms plus one NULL sentinel, so a single groupBy (map-side combined)
+    yields both the document frequencies and the document count ``n``.  The
+    term table (vocabulary-sized) is checkpointed and ``n`` - one number -
+    is read from its sentinel row.
     """
-    docs = tokenized.select(F.array_distinct(terms_col).alias("terms"))
-    n = docs.count()
-    df = (docs.select(F.explode("terms").alias("term"))
-              .groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq")))
-    return df.withColumn("idf", F.log((F.lit(n) + 1.0) / (F.col("doc_freq") + 1.0)))
+    from ..session import materialize
+    terms = F.concat(F.array(F.lit(None).cast("string")), F.array_distinct(terms_col))
+    counts = materialize(tokenized.select(F.explode(terms).alias("term"))
+                         .groupBy("term").agg(F.count(F.lit(1)).alias("doc_freq")))
+    n_row = counts.where(F.col("term").isNull()).first()
+    n = n_row.doc_freq if n_row else 0
+    return (counts.where(F.col("term").isNotNull())
+                  .withColumn("idf", F.log((F.lit(n) + 1.0) / (F.col("doc_freq") + 1.0))))
 
 
 def topic_pipeline(k: int = NUM_CLUSTERS, seed: int = SEED,
@@ -79,19 +85,35 @@ def topic_pipeline(k: int = NUM_CLUSTERS, seed: int = SEED,
     ])
 
 
-def topic_members(scored: DataFrame, k: int = NUM_CLUSTERS, seed: int = SEED) -> DataFrame:
+def topic_members(scored: DataFrame, k: int = NUM_CLUSTERS, seed: int = SEED,
+                  num_features: int = NUM_FEATURES) -> DataFrame:
     """(id, product, cluster, score, n_questions) for every scored row.
 
-    Raises when there are fewer than two rows (k-means cannot run); the
-    caller decides what to do instead of silently getting another schema.
+    Text is tokenized and hashed once; only the compact sparse term vectors
+    are persisted for the passes of IDF and k-means (never the text).  The
+    assignments are cut from that lineage with a reliable checkpoint and the
+    vectors are released.  Raises when there are fewer than two rows
+    (k-means cannot run) rather than silently returning another schema.
     """
-    rows = scored.select("id", "product", "content_cleaned", "score", "extracted_questions")
-    if rows.limit(2).count() < 2:
-        raise ValueError("topic clustering needs at least two rows")
-    model = topic_pipeline(k, seed).fit(rows)
-    return model.transform(rows).select(
-        "id", "product", "cluster", "score",
-        F.size("extracted_questions").alias("n_questions"))
+    from pyspark import StorageLevel
+
+    from ..session import materialize
+    tok = tokens(scored.select("id", "product", "content_cleaned", "score",
+                               F.size("extracted_questions").alias("n_questions")))
+    tf = (HashingTF(inputCol="filtered", outputCol="raw_features", numFeatures=num_features)
+          .transform(tok)
+          .select("id", "product", "score", "n_questions", "raw_features")
+          .persist(StorageLevel.MEMORY_AND_DISK))
+    try:
+        if tf.limit(2).count() < 2:
+            raise ValueError("topic clustering needs at least two rows")
+        weighted = IDF(inputCol="raw_features", outputCol="features").fit(tf).transform(tf)
+        model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(weighted)
+        members = materialize(model.transform(weighted)
+                              .select("id", "product", "cluster", "score", "n_questions"))
+    finally:
+        tf.unpersist()
+    return members
 
 
 def topic_clusters(members: DataFrame) -> DataFrame:

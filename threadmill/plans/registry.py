@@ -269,8 +269,10 @@ def _ranked(spark, d, cap=P.CONTEXT_CAP):
 
 
 def _responses(spark, d, ranked=None):
+    """Stand-in for the model's output table: like real model output it is
+    stored once (checkpoint) and every parsing branch reads that copy."""
     ranked = ranked if ranked is not None else _ranked(spark, d)
-    return A.model_responses(ranked)
+    return materialize(A.model_responses(ranked))
 
 
 def _entries(spark, d):
@@ -287,7 +289,7 @@ def _documents(spark, d, at: str = "2024-06-01 00:00:00", flip: bool = False):
     responses = _responses(spark, d, ranked)
     if flip:   # a second run that prefers the other provider
         responses = responses.withColumn("priority", 3 - F.col("priority"))
-    entries = R.parse_responses(responses)
+    entries = materialize(R.parse_responses(responses))     # used by two branches
     chosen = R.provider_fallback(entries, responses)
     counts = ranked.groupBy("product").agg(F.count(F.lit(1)).alias("source_count"))
     return R.faq_documents(entries, chosen, P.context_sources(ranked), counts,
