@@ -53,3 +53,18 @@ def test_quarantine_split(spark):
     d = Q.decode(m)
     assert Q.good_records(d).count() + Q.quarantine(d).count() == m.count()
     assert all('"content": "' in r.value for r in Q.quarantine(d).collect())
+
+
+def test_process_job_summary(spark, scratch):
+    from threadmill.plans import jobs
+    landing = os.path.join(scratch, "landing")
+    FS.write_landing(A.social(spark, SF), landing)
+    summary = jobs.process(spark, landing, os.path.join(scratch, "out"), run_id="r1", cap=5)
+    assert summary["total_records"] == A.social(spark, SF).count()
+    snap = spark.read.parquet(summary["output_path"])
+    assert snap.count() == summary["processed_records"]
+    assert snap.groupBy("product").count().where("count > 5").count() == 0
+    latest = FS.read_latest(spark, os.path.join(scratch, "out", "processed", "latest.json"))
+    assert latest.count() == summary["processed_records"]
+    one = jobs.process(spark, landing, os.path.join(scratch, "out1"), product="src3", run_id="r2")
+    assert one["products"] == 1

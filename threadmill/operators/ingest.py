@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.adapters import ISO_FORMAT
+from .joins import small_side
 from .rank import top_n_per_group
 
 # --- fixed values -----------------------------------------------------------
@@ -154,8 +155,10 @@ def keyword_match(docs: DataFrame, keywords: DataFrame, per_search: int = SEARCH
     ``keywords`` = (subreddit, keyword, keyword_rank).  The join is an equi-join
     on subreddit (each record meets only its own subreddit's few keywords) with
     a ``contains`` filter; newest ``per_search`` per (product, subreddit, keyword).
+    The keyword table is broadcast after a size check, so the records are
+    never shuffled for the join (a hot subreddit stays spread over tasks).
     """
-    kw = keywords.select("subreddit", "keyword", "keyword_rank")
+    kw = small_side(keywords.select("subreddit", "keyword", "keyword_rank"))
     m = (docs.join(kw, "subreddit")
              .where(F.lower(F.col("content")).contains(F.col("keyword"))))
     return top_n_per_group(m, ["product", "subreddit", "keyword"],

@@ -199,5 +199,7 @@ def raw_fallback(processed: DataFrame, raw: DataFrame) -> DataFrame:
         F.coalesce(F.col("url"), F.lit("")).alias("source_url"),
         F.col("score").alias("engagement_score"),
         F.lit("raw").alias("origin"))
-    missing = shaped.join(processed.select("product").distinct(), "product", "left_anti")
+    from .joins import small_side
+    done = small_side(processed.select("product").distinct())   # one row per product
+    missing = shaped.join(done, "product", "left_anti")
     return processed.withColumn("origin", F.lit("processed")).unionByName(missing)

@@ -35,26 +35,38 @@ def write_landing(records: DataFrame, root: str, mode: str = "append") -> None:
             .write.mode(mode).partitionBy("source", "product_slug").json(root))
 
 
+def product_folders(spark: SparkSession, root: str) -> list[str]:
+    """Names of the product_slug folders of a landing table (metadata only:
+    lists two directory levels, never the data files)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/source=*/product_slug=*")
+    found = path.getFileSystem(conf).globStatus(path)
+    names = set()
+    for st in (found or []):
+        names.add(st.getPath().getName().split("=", 1)[1])
+    return sorted(names)
+
+
 def raw_scan(spark: SparkSession, root: str, schema: StructType = RAW_WITH_ID_SCHEMA,
              slugs: list[str] | None = None) -> DataFrame:
     """Landing rows with the folder-variant rule of the reference.
 
     A product is stored under ``slug`` or, when its name had a trailing
-    space, under ``slug_``.  Per product the exact folder wins when it has
-    rows; otherwise the underscore folder is used.  ``slugs`` restricts the
-    scan to given products (partition pruning).
+    space, under ``slug_``.  Per product the exact folder wins when it
+    exists; otherwise the underscore folder is used.  The choice is made on
+    the folder listing, so the read is a pure partition filter (no join, no
+    shuffle).  ``slugs`` restricts the scan to given products.
     """
+    folders = set(product_folders(spark, root))
+    losing = sorted(f for f in folders if f.endswith("_") and f[:-1] in folders)
     df = spark.read.schema(_landing_schema(schema)).json(root)
+    if losing:
+        df = df.where(~F.col("product_slug").isin(*losing))
     if slugs:
         wanted = set(slugs) | {s + "_" for s in slugs}
         df = df.where(F.col("product_slug").isin(*sorted(wanted)))
-    df = df.withColumn("__base", F.regexp_replace("product_slug", "_$", "")) \
-           .withColumn("__variant", (F.col("product_slug") != F.col("__base")).cast("int"))
-    # one row per (base, variant) folder: tiny, so the join back is cheap
-    pick = df.groupBy("__base").agg(F.min("__variant").alias("__pick"))
-    return (df.join(pick, "__base")
-              .where(F.col("__variant") == F.col("__pick"))
-              .drop("__base", "__variant", "__pick"))
+    return df
 
 
 def write_batch_files(records: DataFrame, root: str, flush_size: int = 50,
