@@ -42,7 +42,10 @@ def process(spark: SparkSession, landing: str, out: str, product: str | None = N
     raw = FS.raw_scan(spark, landing, slugs=slugs)
     seen = Observation("raw")
     raw = raw.observe(seen, F.count(F.lit(1)).alias("total_records"))
-    ready = scoring.faq_ready(scoring.process(raw), cap=cap, fanout=fanout, rank_col="rank")
+    from threadmill.operators.rank import auto_fanout
+    scored = scoring.process(raw)
+    fanout = fanout if fanout is not None else auto_fanout(raw)
+    ready = scoring.faq_ready(scored, cap=cap, fanout=fanout, rank_col="rank")
     kept = Observation("ready")
     ready = ready.observe(kept, F.count(F.lit(1)).alias("processed_records"),
                           F.count_if(F.col("rank") == 1).alias("products"))

@@ -59,3 +59,12 @@ def landing_groups(records: DataFrame) -> DataFrame:
     return (records.groupBy(F.coalesce("source", F.lit(UNKNOWN)).alias("source"),
                             F.coalesce("product", F.lit(UNKNOWN)).alias("product"))
                    .agg(F.count(F.lit(1)).alias("n_records")))
+
+
+def write_queue(messages: DataFrame, servers: str, topic: str = "raw_social_data") -> None:
+    """Queue sink: (key, value) rows to a Kafka topic (needs the connector jar)."""
+    (messages.select(F.col("key").cast("string"), F.col("value").cast("string"))
+             .write.format("kafka")
+             .option("kafka.bootstrap.servers", servers)
+             .option("topic", topic)
+             .save())
