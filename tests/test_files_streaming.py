@@ -68,3 +68,30 @@ def test_process_job_summary(spark, scratch):
     assert latest.count() == summary["processed_records"]
     one = jobs.process(spark, landing, os.path.join(scratch, "out1"), product="src3", run_id="r2")
     assert one["products"] == 1
+
+
+def test_stream_clean_equals_batch(spark, scratch):
+    """The stateless scoring gives the same rows on the stream and in batch."""
+    from threadmill.operators import scoring
+    inbox, land_dir = os.path.join(scratch, "in"), os.path.join(scratch, "landed")
+    ST.stage_messages(A.queue_messages(spark, SF), inbox, n_files=2)
+    ST.run_to_end(ST.start_landing(ST.file_queue_source(spark, inbox), land_dir,
+                                   os.path.join(scratch, "ck1")))
+    out = os.path.join(scratch, "clean")
+    ST.run_to_end(ST.start_clean(ST.landing_stream(spark, land_dir), out,
+                                 os.path.join(scratch, "ck2")))
+    cols = ["id", "product", "relevance_score", "content_length", "has_question"]
+    streamed = sorted(map(tuple, spark.read.parquet(out).select(*cols).collect()))
+    batch = scoring.process(Q.good_records(Q.decode(A.queue_messages(spark, SF))))
+    assert streamed == sorted(map(tuple, batch.select(*cols).collect()))
+
+
+def test_small_side_is_broadcast(spark):
+    from threadmill.operators.joins import small_side
+    big = spark.range(0, 100000).withColumnRenamed("id", "k")
+    small = spark.range(0, 10).withColumnRenamed("id", "k")
+    plan = big.join(small_side(small), "k")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    plan2 = big.join(small_side(small, max_rows=5), "k")._jdf.queryExecution().executedPlan() \
+               .toString()
+    assert "Broadcast" not in plan2 or "SortMergeJoin" in plan2 or "AdaptiveSparkPlan" in plan2
