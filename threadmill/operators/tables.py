@@ -19,6 +19,8 @@ REPORTED_STATUSES = ("pending", "scraping", "processing", "generating", "complet
 IN_PROGRESS_STATUSES = ("scraping", "processing", "generating")
 NAME_MIN, NAME_MAX = 1, 200
 PAGE_LIMIT_MIN, PAGE_LIMIT_MAX = 1, 100
+# keywords of a product created without any
+DEFAULT_PRODUCT_KEYWORDS = ("review", "problem", "help", "question")
 # status after the latest run of a stage, by (stage, outcome)
 RUN_STATUS = {
     "scrape:ok": "scraping", "scrape:running": "scraping", "scrape:failed": "processing_failed",
@@ -83,22 +85,34 @@ def validate_products(requests: DataFrame, name_col: str = "name") -> DataFrame:
 
 
 def insert_new_products(products: DataFrame, requests: DataFrame, created_at: Column,
-                        order_col: str = "request_pos") -> DataFrame:
+                        order_col: str = "request_pos",
+                        discovered: DataFrame | None = None) -> DataFrame:
     """New product rows for requests whose name does not exist yet.
 
-    Duplicate names inside the batch keep their first request.  Missing
-    subreddits take the default communities; counters and times start empty.
+    Duplicate names inside the batch keep their first request.  Omitted
+    keywords take the default list (an explicit empty list stays empty).  A
+    request without subreddits takes its discovered communities
+    (``discovered`` = topic, rank, display_name, joined on the normalised
+    name), else the default communities.  Counters and times start empty.
     """
     first = (requests.groupBy("name")
                      .agg(F.min_by(F.struct(*[c for c in requests.columns if c != "name"]),
                                    F.col(order_col)).alias("r"))
                      .select("name", "r.*"))
     new = first.join(products.select("name"), "name", "left_anti")
-    subs = F.when(F.coalesce(F.size("subreddits"), F.lit(-1)) > 0, F.col("subreddits")) \
-            .otherwise(_lit_array(DEFAULT_COMMUNITIES))
+    found = F.lit(None).cast("array<string>")
+    if discovered is not None:
+        lists = (discovered.groupBy("topic")
+                 .agg(F.array_sort(F.collect_list(F.struct("rank", "display_name"))).alias("d"))
+                 .select("topic", F.transform("d", lambda x: x["display_name"]).alias("found")))
+        new = new.join(lists, F.lower(F.trim(new["name"])) == lists["topic"], "left").drop("topic")
+        found = F.col("found")
+    subs = (F.when(F.coalesce(F.size("subreddits"), F.lit(-1)) > 0, F.col("subreddits"))
+             .when(found.isNotNull(), found)
+             .otherwise(_lit_array(DEFAULT_COMMUNITIES)))
     return new.select(
         F.xxhash64("name").alias("id"), "name", "description", subs.alias("subreddits"),
-        F.coalesce(F.col("keywords"), F.array().cast("array<string>")).alias("keywords"),
+        F.coalesce(F.col("keywords"), _lit_array(DEFAULT_PRODUCT_KEYWORDS)).alias("keywords"),
         "category", created_at.alias("created_at"),
         F.lit(None).cast(products.schema["last_scraped"].dataType).alias("last_scraped"),
         F.lit(None).cast(products.schema["last_processed"].dataType).alias("last_processed"),

@@ -541,34 +541,67 @@ def q_product_page(spark, d):
                      F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
 
 
-@register("insert_new_products", O.with_(O.PRODUCTS) + """
+@register("insert_new_products", O.with_(O.PRODUCTS, O.COMMUNITIES) + """
 , req AS (
   SELECT c_name AS name, c_custkey AS request_pos,
-         ['sub' || CAST(c_nationkey AS VARCHAR)] AS subreddits FROM customer
+         ['sub' || CAST(c_nationkey AS VARCHAR)] AS subreddits, CAST(NULL AS VARCHAR[]) AS keywords
+  FROM customer
   UNION ALL
   SELECT s_name, 100000 + s_suppkey,
          CASE WHEN s_suppkey % 3 = 0 THEN []::VARCHAR[]
-              ELSE ['sub' || CAST(s_nationkey AS VARCHAR)] END FROM supplier),
-firsts AS (SELECT * FROM req QUALIFY row_number() OVER (PARTITION BY name ORDER BY request_pos) = 1)
-SELECT name, array_to_string(CASE WHEN coalesce(len(subreddits), -1) > 0 THEN subreddits
-                                  ELSE ['technology', 'gadgets'] END, '|') AS subreddits,
+              ELSE ['sub' || CAST(s_nationkey AS VARCHAR)] END,
+         CASE WHEN s_suppkey % 4 = 0 THEN []::VARCHAR[] END
+  FROM supplier
+  UNION ALL
+  SELECT n_name, 200000 + n_nationkey, CAST(NULL AS VARCHAR[]), CAST(NULL AS VARCHAR[])
+  FROM nation),
+firsts AS (SELECT * FROM req QUALIFY row_number() OVER (PARTITION BY name ORDER BY request_pos) = 1),
+fresh AS (SELECT * FROM firsts WHERE name NOT IN (SELECT name FROM products)),
+topics AS (SELECT DISTINCT lower(trim(name)) AS topic FROM fresh
+           WHERE coalesce(len(subreddits), -1) <= 0),
+hits AS (
+  SELECT topic, display_name,
+         row_number() OVER (PARTITION BY topic ORDER BY subscribers DESC, search_rank) AS rank
+  FROM comm WHERE coalesce(display_name, '') <> '' AND subscribers > 1000 QUALIFY rank <= 3),
+found AS (
+  SELECT t.topic, coalesce(list(h.display_name ORDER BY h.rank) FILTER (WHERE h.topic IS NOT NULL),
+                           ['technology', 'gadgets']) AS subs
+  FROM topics t LEFT JOIN hits h USING (topic) GROUP BY t.topic)
+SELECT f.name,
+       array_to_string(CASE WHEN coalesce(len(f.subreddits), -1) > 0 THEN f.subreddits
+                            WHEN d.subs IS NOT NULL THEN d.subs
+                            ELSE ['technology', 'gadgets'] END, '|') AS subreddits,
+       array_to_string(coalesce(f.keywords, ['review', 'problem', 'help', 'question']), '|')
+         AS keywords,
        'pending' AS status, 0 AS faq_count
-FROM firsts WHERE name NOT IN (SELECT name FROM products)""")
+FROM fresh f LEFT JOIN found d ON d.topic = lower(trim(f.name))""")
 def q_insert_new_products(spark, d):
     c = A.table(spark, d, "customer").select(
         F.col("c_name").alias("name"), F.col("c_custkey").alias("request_pos"),
-        F.array(F.concat(F.lit("sub"), F.col("c_nationkey").cast("string"))).alias("subreddits"))
+        F.array(F.concat(F.lit("sub"), F.col("c_nationkey").cast("string"))).alias("subreddits"),
+        F.lit(None).cast("array<string>").alias("keywords"))
     s = A.table(spark, d, "supplier").select(
         F.col("s_name").alias("name"), (F.lit(100000) + F.col("s_suppkey")).alias("request_pos"),
         F.when(F.col("s_suppkey") % 3 == 0, F.array().cast("array<string>"))
          .otherwise(F.array(F.concat(F.lit("sub"), F.col("s_nationkey").cast("string"))))
-         .alias("subreddits"))
-    req = (c.unionByName(s)
+         .alias("subreddits"),
+        F.when(F.col("s_suppkey") % 4 == 0, F.array().cast("array<string>")).alias("keywords"))
+    n = A.table(spark, d, "nation").select(
+        F.col("n_name").alias("name"), (F.lit(200000) + F.col("n_nationkey")).alias("request_pos"),
+        F.lit(None).cast("array<string>").alias("subreddits"),
+        F.lit(None).cast("array<string>").alias("keywords"))
+    req = (c.unionByName(s).unionByName(n)
             .withColumn("description", F.lit(None).cast("string"))
-            .withColumn("keywords", F.lit(None).cast("array<string>"))
             .withColumn("category", F.lit(None).cast("string")))
-    new = TB.insert_new_products(A.products(spark, d), req, _ntz(GEN_AT))
-    return new.select("name", T.join_list("subreddits").alias("subreddits"), "status", "faq_count")
+    existing = A.products(spark, d)
+    # communities are discovered for the new names that came without subreddits
+    wanting = (req.join(existing.select("name"), "name", "left_anti")
+                  .where(F.coalesce(F.size("subreddits"), F.lit(-1)) <= 0)
+                  .select(F.col("name").alias("topic")))
+    discovered = I.discover_communities(A.communities(spark, d), wanting)
+    new = TB.insert_new_products(existing, req, _ntz(GEN_AT), discovered=discovered)
+    return new.select("name", T.join_list("subreddits").alias("subreddits"),
+                      T.join_list("keywords").alias("keywords"), "status", "faq_count")
 
 
 @register("update_products", O.with_(O.PRODUCTS) + """
