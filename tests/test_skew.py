@@ -1,0 +1,69 @@
+"""Hot keys: one product / subreddit / record key holding a third of all rows."""
+
+from pyspark.sql import functions as F
+
+from threadmill.operators import ingest as I
+from threadmill.operators import rank, scoring, tables as TB
+
+
+def _skewed(spark, n=30000):
+    # a third of the rows belong to product "hot", the rest spread over 50 others
+    return (spark.range(0, n).repartition(24)
+            .select(F.col("id"),
+                    F.when(F.col("id") % 3 == 0, F.lit("hot"))
+                     .otherwise(F.concat(F.lit("p"), (F.col("id") % 50).cast("string")))
+                     .alias("product"),
+                    ((F.col("id") * 7919) % 1000).cast("long").alias("relevance_score")))
+
+
+def test_top_n_hot_product_fanout_exact(spark):
+    df = _skewed(spark)
+    order = scoring.rank_order()
+    plain = rank.top_n_per_group(df, ["product"], order, 50, rank_col="r")
+    fan = rank.top_n_per_group(df, ["product"], order, 50, rank_col="r", fanout=8)
+    a, b = sorted(map(tuple, plain.collect())), sorted(map(tuple, fan.collect()))
+    assert a == b
+    hot = [t for t in a if t[1] == "hot"]
+    assert len(hot) == 50
+    # the global top 50 of the hot product, checked by brute force
+    rows = sorted(((r.relevance_score, r.id) for r in df.where("product = 'hot'").collect()),
+                  key=lambda x: (-x[0], x[1]))[:50]
+    assert [(t[2], t[0]) for t in sorted(hot, key=lambda t: t[3])] == rows
+
+
+def test_auto_fanout_scales_with_input(spark):
+    small = spark.range(10).coalesce(1)
+    assert rank.auto_fanout(small) is None
+    big = spark.range(0, 1000, numPartitions=400)
+    f = rank.auto_fanout(big)
+    assert f is not None and f >= 2
+
+
+def test_keyword_match_hot_subreddit_no_shuffle_of_records(spark):
+    docs = (spark.range(0, 20000).repartition(16)
+            .select("id", F.lit("prod").alias("product"),
+                    F.when(F.col("id") % 3 == 0, "hot").otherwise(
+                        F.concat(F.lit("s"), (F.col("id") % 7).cast("string"))).alias("subreddit"),
+                    F.when(F.col("id") % 2 == 0, "alpha beta").otherwise("gamma").alias("content"),
+                    F.format_string("t%08d", F.col("id")).alias("created_at")))
+    kw = spark.createDataFrame([("hot", "alpha", 1), ("s1", "gamma", 1)],
+                               "subreddit string, keyword string, keyword_rank int")
+    m = I.keyword_match(docs, kw, per_search=5)
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    assert m.count() == 10
+
+
+def test_latest_wins_with_hot_key(spark):
+    runs = (spark.range(0, 30000).repartition(12)
+            .select(F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id") % 100 + 2)
+                     .cast("long").alias("product_id"),
+                    F.lit("generate").alias("stage"),
+                    F.when(F.col("id") == 29999, "failed").otherwise("ok").alias("outcome"),
+                    F.col("id").alias("ts"), F.col("id").alias("run_id")))
+    prods = spark.createDataFrame([(1, "hot", "pending")], "id long, name string, status string")
+    r = TB.product_status(prods, runs).first()
+    # the latest run of the hot product is id 29997 (ok) -> completed
+    assert r.status == "completed"
+    plan = TB.product_status(prods, runs)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan          # a max_by aggregation, no sort of the hot key
