@@ -84,7 +84,7 @@ def main(argv: list[str] | None = None) -> None:
     s.add_argument("--checkpoints", required=True)
     s.add_argument("--continuous", action="store_true")
     a = ap.parse_args(argv)
-    spark = build_session(app=f"threadmill-{a.cmd}")
+    spark = build_session(app=f"threadmill-{a.cmd}", profile="cluster")
     try:
         if a.cmd == "process":
             print(json.dumps(process(spark, a.landing, a.out, a.product, a.run_id,

@@ -21,10 +21,26 @@ from pyspark.sql import SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
+# Settings for a large cluster reading ~100 TB: big input splits (fewer,
+# fuller tasks), many shuffle partitions that AQE coalesces to ~256 MB each,
+# and skew splitting for partitions far above the median.
+CLUSTER_PROFILE = {
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 1024 * 1024),
+    "spark.sql.adaptive.rebalancePartitionsSmallPartitionFactor": "0.2",
+}
+
+
 def build_session(master: str | None = None, app: str = "threadmill",
                   shuffle_partitions: int | None = None,
-                  extra: dict | None = None) -> SparkSession:
-    """Session with the settings the operators assume (UTC, AQE, no UI)."""
+                  extra: dict | None = None, profile: str | None = None) -> SparkSession:
+    """Session with the settings the operators assume (UTC, AQE, no UI).
+
+    ``profile="cluster"`` adds CLUSTER_PROFILE (used by the spark-submit job).
+    """
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
@@ -36,10 +52,13 @@ def build_session(master: str | None = None, app: str = "threadmill",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
-        # joins never force a broadcast; AQE converts a join to a broadcast
-        # only from the measured size of a finished stage (a proven bound).
+        # Broadcasts come from three places only: file scans whose size
+        # Catalyst knows below this threshold, operators.joins.small_side
+        # after a row count, and AQE from the measured size of a finished stage.
         "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     }
+    if profile == "cluster":
+        conf.update(CLUSTER_PROFILE)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
