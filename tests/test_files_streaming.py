@@ -95,3 +95,12 @@ def test_small_side_is_broadcast(spark):
     plan2 = big.join(small_side(small, max_rows=5), "k")._jdf.queryExecution().executedPlan() \
                .toString()
     assert "Broadcast" not in plan2 or "SortMergeJoin" in plan2 or "AdaptiveSparkPlan" in plan2
+
+
+def test_raw_scan_reads_array_files(spark, scratch):
+    root = os.path.join(scratch, "arrays")
+    recs = A.social(spark, SF)
+    FS.write_batch_files(recs, root, flush_size=50)
+    got = FS.raw_scan(spark, root, multi_line=True, glob="*.txt")
+    assert sorted(r.id for r in got.select("id").collect()) == \
+           sorted(r.id for r in recs.select("id").collect())

@@ -78,3 +78,13 @@ def test_status_counts_zero_filled(spark):
     r = TB.status_counts(prods, docs).first()
     assert (r.total_products, r.total_faq_documents, r.pending, r.scraping, r.other,
             r.in_progress) == (2, 0, 0, 1, 1, 1)
+
+
+def test_form_requests_keywords(spark):
+    forms = spark.createDataFrame([("p", "", " a , ,b\t,", ""), ("q", "d", None, "c")],
+                                  "name string, description string, keywords_text string, "
+                                  "category string")
+    got = {r.name: r for r in TB.form_requests(forms).collect()}
+    assert got["p"].keywords == ["a", "", "b", ""]
+    assert got["p"].description is None and got["p"].category is None
+    assert got["q"].keywords is None and got["q"].category == "c"

@@ -115,3 +115,8 @@ def extract_questions(c, word_boundary: bool = False) -> Column:
 def join_list(c, sep: str = "|") -> Column:
     """Render an array<string> as one text value (for reports and oracles)."""
     return F.array_join(_col(c), sep)
+
+
+def keyword_list(c) -> Column:
+    """Comma-separated text -> list of trimmed entries (empty entries kept)."""
+    return F.transform(F.split(_col(c), ","), lambda k: F.regexp_replace(k, r"^\s+|\s+$", ""))

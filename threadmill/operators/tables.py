@@ -119,6 +119,22 @@ def insert_new_products(products: DataFrame, requests: DataFrame, created_at: Co
         F.lit(0).alias("faq_count"), F.lit("pending").alias("status"))
 
 
+def form_requests(forms: DataFrame) -> DataFrame:
+    """Product form rows (name, description, keywords_text, category, ...) ->
+    insert requests: keywords split on commas and trimmed (empty entries
+    kept), empty description and category become NULL, subreddits are left to
+    discovery.  Other columns pass through."""
+    from ..functions.text import keyword_list
+    form_cols = ("description", "keywords_text", "category")
+    rest = [c for c in forms.columns if c not in form_cols]
+    return forms.select(
+        *rest,
+        F.nullif(F.col("description"), F.lit("")).alias("description"),
+        F.when(F.col("keywords_text").isNotNull(), keyword_list("keywords_text")).alias("keywords"),
+        F.nullif(F.col("category"), F.lit("")).alias("category"),
+        F.lit(None).cast("array<string>").alias("subreddits"))
+
+
 UPDATABLE = ("name", "description", "subreddits", "keywords", "category")
 
 

@@ -854,3 +854,35 @@ def q_tfidf_terms(spark, d):
 def q_topic_clusters(spark, d):
     members = TP.topic_members(scoring.process(A.social(spark, d)))
     return TP.topic_clusters(members)
+
+
+# ---------------------------------------------------------------------------
+# product form input
+# ---------------------------------------------------------------------------
+
+WS_STRIP = "'^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$'"
+
+
+@register("keyword_list", f"""
+WITH forms AS (
+  SELECT p_partkey AS id, p_name AS name,
+         p_name || ' , ' || lower(p_type) || ',' || p_brand || ', ' AS keywords_text,
+         CASE WHEN p_size % 2 = 0 THEN '' ELSE p_type END AS category
+  FROM part)
+SELECT id, name,
+       array_to_string(list_transform(string_split(keywords_text, ','),
+                       lambda k: regexp_replace(k, {WS_STRIP}, '', 'g')), '|') AS keywords,
+       CAST(len(string_split(keywords_text, ',')) AS INTEGER) AS n_keywords,
+       nullif(category, '') AS category
+FROM forms""")
+def q_keyword_list(spark, d):
+    p = A.table(spark, d, "part")
+    forms = p.select(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("name"),
+        F.lit(None).cast("string").alias("description"),
+        F.concat(F.col("p_name"), F.lit(" , "), F.lower("p_type"), F.lit(","), F.col("p_brand"),
+                 F.lit(", ")).alias("keywords_text"),
+        F.when(F.col("p_size") % 2 == 0, F.lit("")).otherwise(F.col("p_type")).alias("category"))
+    req = TB.form_requests(forms)
+    return req.select("id", "name", T.join_list("keywords").alias("keywords"),
+                      F.size("keywords").alias("n_keywords"), "category")

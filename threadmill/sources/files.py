@@ -49,18 +49,24 @@ def product_folders(spark: SparkSession, root: str) -> list[str]:
 
 
 def raw_scan(spark: SparkSession, root: str, schema: StructType = RAW_WITH_ID_SCHEMA,
-             slugs: list[str] | None = None) -> DataFrame:
+             slugs: list[str] | None = None, multi_line: bool = False,
+             glob: str | None = None) -> DataFrame:
     """Landing rows with the folder-variant rule of the reference.
 
     A product is stored under ``slug`` or, when its name had a trailing
     space, under ``slug_``.  Per product the exact folder wins when it
     exists; otherwise the underscore folder is used.  The choice is made on
     the folder listing, so the read is a pure partition filter (no join, no
-    shuffle).  ``slugs`` restricts the scan to given products.
+    shuffle).  ``slugs`` restricts the scan to given products.  ``multi_line``
+    reads files that each hold one JSON array or object (the batch-file
+    layout) instead of JSON lines; ``glob`` filters file names.
     """
     folders = set(product_folders(spark, root))
     losing = sorted(f for f in folders if f.endswith("_") and f[:-1] in folders)
-    df = spark.read.schema(_landing_schema(schema)).json(root)
+    reader = spark.read.schema(_landing_schema(schema)).option("multiLine", multi_line)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    df = reader.json(root)
     if losing:
         df = df.where(~F.col("product_slug").isin(*losing))
     if slugs:
