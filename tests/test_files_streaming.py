@@ -40,7 +40,7 @@ def test_stream_restart_adds_nothing(spark, scratch):
     inbox, out, ck = (os.path.join(scratch, x) for x in ("inbox", "landing", "ck"))
     ST.stage_messages(A.queue_messages(spark, SF), inbox, n_files=3)
     for _ in range(2):                       # second run resumes from the checkpoint
-        q = ST.start_landing(ST.file_queue_source(spark, inbox), out, ck)
+        q = ST.start_landing(ST.file_queue_source(spark, inbox, files_per_batch=1), out, ck)
         ST.run_to_end(q)
     landed = spark.read.schema(FS._landing_schema(FS.RAW_WITH_ID_SCHEMA)).json(out)
     expected = Q.good_records(Q.decode(A.queue_messages(spark, SF)))

@@ -60,7 +60,7 @@ def process(spark: SparkSession, landing: str, out: str, product: str | None = N
 def land(spark: SparkSession, inbox: str, landing: str, quarantine: str, checkpoints: str,
          continuous: bool = False, kafka: str | None = None) -> None:
     msgs = (ST.kafka_source(spark, kafka) if kafka
-            else ST.file_queue_source(spark, inbox, files_per_batch=1))
+            else ST.file_queue_source(spark, inbox))
     q1 = ST.start_landing(msgs, landing, f"{checkpoints}/landing", available_now=not continuous)
     q2 = ST.start_quarantine(msgs, quarantine, f"{checkpoints}/quarantine",
                              available_now=not continuous)

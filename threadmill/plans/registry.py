@@ -768,7 +768,7 @@ def q_latest_read(spark, d):
 
 def _run_streams(spark, d, clean: bool = False) -> str:
     base = scratch_path(spark, "stream")
-    ST.stage_messages(A.queue_messages(spark, d), base + "/inbox", n_files=4)
+    ST.stage_messages(A.queue_messages(spark, d), base + "/inbox", n_files=8)
     msgs = ST.file_queue_source(spark, base + "/inbox")
     ST.run_to_end(ST.start_landing(msgs, base + "/landing", base + "/ck_landing"),
                   ST.start_quarantine(msgs, base + "/quarantine", base + "/ck_quarantine"))

@@ -47,7 +47,7 @@ def kafka_source(spark: SparkSession, servers: str, topic: str = TOPIC,
                  .select(F.col("key").cast("string"), F.col("value").cast("string")))
 
 
-def file_queue_source(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
+def file_queue_source(spark: SparkSession, path: str, files_per_batch: int = 8) -> DataFrame:
     """Queue stand-in: text files, one message JSON per line (``value``)."""
     return (spark.readStream.format("text")
                  .option("maxFilesPerTrigger", files_per_batch)
