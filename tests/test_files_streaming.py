@@ -104,3 +104,17 @@ def test_raw_scan_reads_array_files(spark, scratch):
     got = FS.raw_scan(spark, root, multi_line=True, glob="*.txt")
     assert sorted(r.id for r in got.select("id").collect()) == \
            sorted(r.id for r in recs.select("id").collect())
+
+
+def test_processing_time_trigger_then_stop_and_resume(spark, scratch):
+    """Continuous mode (30 s trigger): all available data is processed, the
+    query is stopped, and a restart on the same checkpoint adds nothing."""
+    inbox, out, ck = (os.path.join(scratch, x) for x in ("inbox", "landing", "ck"))
+    ST.stage_messages(A.queue_messages(spark, SF), inbox, n_files=2)
+    q = ST.start_landing(ST.file_queue_source(spark, inbox), out, ck, available_now=False)
+    q.processAllAvailable()
+    q.stop()
+    schema = FS._landing_schema(FS.RAW_WITH_ID_SCHEMA)
+    n1 = spark.read.schema(schema).json(out).count()
+    ST.run_to_end(ST.start_landing(ST.file_queue_source(spark, inbox), out, ck))
+    assert spark.read.schema(schema).json(out).count() == n1 > 0
