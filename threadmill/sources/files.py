@@ -98,27 +98,36 @@ def write_batch_files(records: DataFrame, root: str, flush_size: int = 50,
 
 
 def first_n_files(spark: SparkSession, root: str, n: int = 20, glob: str = "*.txt",
-                  schema: StructType = RAW_WITH_ID_SCHEMA) -> DataFrame:
+                  schema: StructType = RAW_WITH_ID_SCHEMA,
+                  slugs: list[str] | None = None) -> DataFrame:
     """Records of the first ``n`` files (by name) of every product folder.
 
-    Each file is a JSON array or object (``multiLine``).  A file that does not
-    parse is skipped (it still takes its place among the first ``n``).  Files
-    are ranked on the small (product, file) table, not on the records.
+    The files are chosen from the file listing (metadata the file index
+    already holds), so only the chosen files are read - not every file of
+    the table.  Each file is a JSON array or object (``multiLine``); a file
+    that does not parse is skipped but still takes its place among the
+    first ``n``.  ``slugs`` restricts the choice to given products.
     """
+    import re
+    listing = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+                    .format("text").load(root).inputFiles())
+    by_dir: dict[str, list[str]] = {}
+    for path in listing:
+        m = re.match(r"^(.*/product_slug=([^/]*))/", path)
+        if m and (not slugs or m.group(2) in slugs):
+            by_dir.setdefault(m.group(1), []).append(path)
+    chosen = [p for d in sorted(by_dir) for p in sorted(by_dir[d])[:n]]
     full = StructType(schema.fields + [StructField(CORRUPT, StringType())])
+    out_schema = StructType(schema.fields + [StructField("product_slug", StringType())])
+    if not chosen:
+        return spark.createDataFrame([], out_schema)
     df = (spark.read.schema(full).option("multiLine", True)
                .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-               .option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-               .json(root)
-               .withColumn("file", F.col("_metadata.file_path"))
-               .withColumn("product_dir", F.regexp_extract("file", r"^(.*/product_slug=[^/]*)/", 1)))
-    files = df.select("product_dir", "file").distinct()
-    from ..operators.rank import top_n_per_group
-    keep = top_n_per_group(files, ["product_dir"], [F.col("file").asc()], n)
-    good = df.where(F.col(CORRUPT).isNull())
-    return (good.join(keep, ["product_dir", "file"], "left_semi")
-                .withColumn("product_slug", F.regexp_extract("product_dir", "product_slug=([^/]*)$", 1))
-                .drop(CORRUPT, "file", "product_dir"))
+               .json(chosen))
+    return (df.where(F.col(CORRUPT).isNull())
+              .withColumn("product_slug",
+                          F.regexp_extract(F.col("_metadata.file_path"), "product_slug=([^/]*)/", 1))
+              .drop(CORRUPT))
 
 
 def write_snapshot(ready: DataFrame, run_dir: str) -> None:
