@@ -279,14 +279,16 @@ def _entries(spark, d):
     return R.parse_responses(_responses(spark, d))
 
 
-def _documents(spark, d, at: str = "2024-06-01 00:00:00", flip: bool = False):
+def _documents(spark, d, at: str = "2024-06-01 00:00:00", flip: bool = False,
+               ranked=None, responses=None):
     """Contexts -> responses -> entries -> chosen provider -> documents.
 
-    One ranked-context DataFrame feeds every branch, so the scan and the
-    cleaning run once (the shared exchange is reused by the planner).
+    One ranked-context DataFrame feeds every branch, cut once with a
+    checkpoint so the scan and the cleaning run once; callers producing
+    several document versions pass the same ``ranked`` and ``responses``.
     """
-    ranked = materialize(_ranked(spark, d))
-    responses = _responses(spark, d, ranked)
+    ranked = ranked if ranked is not None else materialize(_ranked(spark, d))
+    responses = responses if responses is not None else _responses(spark, d, ranked)
     if flip:   # a second run that prefers the other provider
         responses = responses.withColumn("priority", 3 - F.col("priority"))
     entries = materialize(R.parse_responses(responses))     # used by two branches
@@ -680,8 +682,10 @@ WHERE product NOT IN (SELECT product FROM docs2)""")
 
 @register("faq_upsert", UPSERT_SQL)
 def q_faq_upsert(spark, d):
-    existing = _docs_at(spark, d, GEN_AT)
-    incoming = _docs_at(spark, d, REGEN_AT, flip=True)
+    ranked = materialize(_ranked(spark, d))
+    responses = _responses(spark, d, ranked)
+    existing = _documents(spark, d, GEN_AT, ranked=ranked, responses=responses)
+    incoming = _documents(spark, d, REGEN_AT, flip=True, ranked=ranked, responses=responses)
     once = TB.faq_upsert(existing, incoming)
     twice = TB.faq_upsert(once, incoming)      # same run applied again: no change
     return twice.select("product", "model_used",
