@@ -52,6 +52,8 @@ def build_session(master: str | None = None, app: str = "threadmill",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # checkpoint files of intermediates are removed once unreferenced
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # Broadcasts come from three places only: file scans whose size
         # Catalyst knows below this threshold, operators.joins.small_side
         # after a row count, and AQE from the measured size of a finished stage.
