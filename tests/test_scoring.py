@@ -47,11 +47,11 @@ def test_fanout_top_n_equals_plain(spark):
     assert len(a) == 75
 
 
-def test_pipeline_summary_counts(spark):
+def test_run_summary_counts(spark):
     long = "how does this thing work with the other one"
     df = _raw(spark, [(1, "p", "post", long, 0, "u"), (2, "p", "comment", "tiny", 9, "u"),
                       (3, "p", "comment", "nothing to ask about in this text", 0, "u")])
-    r = scoring.pipeline_summary(df, cap=500).first()
+    r = scoring.run_summary(df, cap=500).first()
     assert (r.total_records, r.cleaned_records, r.question_records, r.processed_records) == \
            (3, 2, 1, 1)
 

@@ -90,7 +90,7 @@ def faq_ready_single(scored: DataFrame, cap: int = FAQ_READY_CAP) -> DataFrame:
     return top_n(model_ready(scored), rank_order(), cap)
 
 
-def pipeline_summary(raw: DataFrame, cap: int = FAQ_READY_CAP) -> DataFrame:
+def run_summary(raw: DataFrame, cap: int = FAQ_READY_CAP) -> DataFrame:
     """Per product: total, cleaned, with-question and model-ready row counts.
 
     The cleaned text is computed once per row (one-element explode), the

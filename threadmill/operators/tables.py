@@ -27,8 +27,8 @@ RUN_STATUS = {
     "process:ok": "processed", "process:running": "processing",
     "process:failed": "processing_failed",
     "generate:ok": "completed", "generate:running": "generating", "generate:failed": "error",
-    "pipeline:ok": "pipeline_completed", "pipeline:running": "processing",
-    "pipeline:failed": "error",
+    "full_run:ok": "pipeline_completed", "full_run:running": "processing",
+    "full_run:failed": "error",
 }
 # ---------------------------------------------------------------------------
 

@@ -1,6 +1,6 @@
 """Topics: tokens, TF-IDF term weights and k-means clusters (MLlib).
 
-``topic_pipeline`` is the reference's tokenizer -> stop words -> hashed
+``topic_stages`` is the reference's tokenizer -> stop words -> hashed
 term frequencies (1000 buckets) -> IDF -> k-means (k=10, seed 42) chain as
 one MLlib Pipeline; ``topic_members`` runs the same stages with only the
 hashed vectors persisted between the fitting passes.  Instead of collecting every member's text, questions and
@@ -74,7 +74,7 @@ def tfidf_terms(tokenized: DataFrame, terms_col: str = "filtered") -> DataFrame:
                   .withColumn("idf", F.log((F.lit(n) + 1.0) / (F.col("doc_freq") + 1.0))))
 
 
-def topic_pipeline(k: int = NUM_CLUSTERS, seed: int = SEED,
+def topic_stages(k: int = NUM_CLUSTERS, seed: int = SEED,
                    num_features: int = NUM_FEATURES, text_col: str = "content_cleaned") -> Pipeline:
     return Pipeline(stages=[
         Tokenizer(inputCol=text_col, outputCol="words"),

@@ -407,7 +407,7 @@ qrec AS (
 RUNS = """
 runs AS (
   SELECT o_custkey AS product_id,
-         (['scrape', 'process', 'generate', 'pipeline', 'process'])[
+         (['scrape', 'process', 'generate', 'full_run', 'process'])[
             CAST(substr(o_orderpriority, 1, 1) AS INTEGER)] AS stage,
          CASE o_orderstatus WHEN 'F' THEN 'ok' WHEN 'O' THEN 'running' WHEN 'P' THEN 'failed' END
            AS outcome,

@@ -126,7 +126,7 @@ def q_faq_ready_single(spark, d):
     return _ready_out(scoring.faq_ready_single(s, cap=500))
 
 
-@register("pipeline_summary", O.with_(O.SOCIAL) + f"""
+@register("run_summary", O.with_(O.SOCIAL) + f"""
 , flags AS (
   SELECT product, length(cc) > 20 AS kept,
          len({O.questions_sql('cc')}) > 0 AS has_q,
@@ -137,8 +137,8 @@ SELECT product, count(*) AS total_records,
        count(*) FILTER (WHERE kept AND has_q) AS question_records,
        least(count(*) FILTER (WHERE kept AND (rel > 1 OR has_q)), 500) AS processed_records
 FROM flags GROUP BY product""")
-def q_pipeline_summary(spark, d):
-    return scoring.pipeline_summary(A.social(spark, d))
+def q_run_summary(spark, d):
+    return scoring.run_summary(A.social(spark, d))
 
 
 # ---------------------------------------------------------------------------
@@ -656,8 +656,8 @@ mapped AS (
            WHEN 'process:failed' THEN 'processing_failed'
            WHEN 'generate:ok' THEN 'completed' WHEN 'generate:running' THEN 'generating'
            WHEN 'generate:failed' THEN 'error'
-           WHEN 'pipeline:ok' THEN 'pipeline_completed' WHEN 'pipeline:running' THEN 'processing'
-           WHEN 'pipeline:failed' THEN 'error' END AS run_status
+           WHEN 'full_run:ok' THEN 'pipeline_completed' WHEN 'full_run:running' THEN 'processing'
+           WHEN 'full_run:failed' THEN 'error' END AS run_status
   FROM latest)
 SELECT p.id, coalesce(m.run_status, p.status) AS status,
        strftime(m.ts, '%Y-%m-%d %H:%M:%S') AS last_run_at

@@ -322,7 +322,7 @@ def social_products(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get(statuses, (n % len(PRODUCT_STATUSES)).cast("int")).alias("status"))
 
 
-RUN_STAGES = ("scrape", "process", "generate", "pipeline", "process")
+RUN_STAGES = ("scrape", "process", "generate", "full_run", "process")
 RUN_OUTCOMES = {"F": "ok", "O": "running", "P": "failed"}
 
 
