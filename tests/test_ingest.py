@@ -69,3 +69,15 @@ def test_dedup_keeps_latest(spark):
     got = sorted(tuple(r) for r in I.dedup_raw(df, F.col("id"), ["keyword_rank", "keyword"])
                  .collect())
     assert got == [(1, "k2", 3), (2, "k1", 2)]
+
+
+def test_query_escape_matches_quote_plus(spark):
+    import random
+    from urllib.parse import quote_plus
+    rnd = random.Random(3)
+    alphabet = "abcXYZ019 -_.~*!'()&=+/?#%\"<>é漢\t"
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 20))) for _ in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.e for r in df.select("i", I.query_escape(F.col("t")).alias("e")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == quote_plus(t, safe=""), t
