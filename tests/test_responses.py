@@ -86,3 +86,18 @@ def test_item_text_cut_order(spark):
 def test_fill_template():
     from pyspark.sql import functions as F  # noqa: F401
     assert "{product}" in P.LARGE_TEMPLATE and "{content}" in P.SMALL_TEMPLATE
+
+
+def test_qa_lines_random_responses(spark):
+    import random
+    rnd = random.Random(11)
+    kinds = ["Q: what is it?", "Question: how: now", "Q:", "Q:   ", "A: yes", "Answer: fine",
+             "A:", "  A: padded  ", "plain words", "", "   ", "more: text", "\tQ: tabbed"]
+    texts = ["\n".join(rnd.choice(kinds) for _ in range(rnd.randint(0, 12))) for _ in range(300)]
+    rows = [(f"p{i}", "small", 2, t) for i, t in enumerate(texts)]
+    out = {}
+    for r in R.parse_qa_lines(_resp(spark, rows)).collect():
+        out.setdefault(r.product, []).append((r.entry_pos, r.question, r.answer))
+    for i, t in enumerate(texts):
+        got = [(q, a) for _, q, a in sorted(out.get(f"p{i}", []))]
+        assert got == brute.qa_lines(t), repr(t)
