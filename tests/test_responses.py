@@ -101,3 +101,11 @@ def test_qa_lines_random_responses(spark):
     for i, t in enumerate(texts):
         got = [(q, a) for _, q, a in sorted(out.get(f"p{i}", []))]
         assert got == brute.qa_lines(t), repr(t)
+
+
+def test_non_object_array_is_unusable_without_fallback(spark):
+    rows = [("a", "small", 2, '["x", "y"]\nQ: q?\nA: a'),          # valid array, not objects
+            ("b", "small", 2, '[{"question": ]\nQ: q?\nA: a'),     # invalid JSON -> lines
+            ("c", "small", 2, "[null]\nQ: q?\nA: a")]
+    got = sorted((r.product, r.method) for r in R.parse_responses(_resp(spark, rows)).collect())
+    assert got == [("b", "lines")]

@@ -38,11 +38,17 @@ def json_array_text(c: Column) -> Column:
     return F.regexp_extract(c, JSON_ARRAY_PATTERN, 0)
 
 
+def json_array(c: Column) -> Column:
+    """array<string> of raw element texts; NULL when the located span is not
+    a valid JSON array (or there is no span)."""
+    return F.from_json(F.nullif(json_array_text(c), F.lit("")), "array<string>", JSON_OPTIONS)
+
+
 def json_elements(c: Column) -> Column:
-    """array<string> of raw element texts; NULL when not a valid JSON array
-    or when any element is not an object (such a response is unusable)."""
-    arr = F.from_json(F.nullif(json_array_text(c), F.lit("")), "array<string>", JSON_OPTIONS)
-    ok = F.forall(arr, lambda e: e.startswith("{"))
+    """The elements when every one is a JSON object, else NULL (a valid array
+    holding anything else makes the response unusable - no fallback)."""
+    arr = json_array(c)
+    ok = F.coalesce(F.forall(arr, lambda e: e.isNotNull() & e.startswith("{")), F.lit(False))
     return F.when(ok, arr)
 
 
@@ -122,12 +128,14 @@ def parse_responses(responses: DataFrame, providers=PROVIDERS) -> DataFrame:
     """All entries: JSON where usable; line format for providers that allow it.
 
     A provider with ``line_fallback`` uses the line parser exactly when the
-    response has no usable JSON array.
+    response has no valid JSON array; a valid array with a non-object element
+    yields nothing (the response is unusable).
     """
     fallback_names = [p.name for p in providers if p.line_fallback]
     json_entries = parse_json_entries(responses, providers)
+    # line parsing only when there is no valid JSON array at all
     unusable = (responses.where(F.col("provider").isin(fallback_names))
-                         .where(json_elements(F.col("response")).isNull()))
+                         .where(json_array(F.col("response")).isNull()))
     return json_entries.unionByName(parse_qa_lines(unusable))
 
 

@@ -286,6 +286,7 @@ loc AS (SELECT *, TRY_CAST(nullif(regexp_extract(response, '(?s)\\[.*\\]', 0), '
         FROM resp),
 usable AS (
   SELECT product, provider, priority, response,
+         coalesce(json_type(arr) = 'ARRAY', false) AS is_array,
          CASE WHEN json_type(arr) = 'ARRAY'
                AND coalesce(list_bool_and(list_transform(json_extract(arr, '$[*]'),
                                                          lambda e: json_type(e) = 'OBJECT')), true)
@@ -307,7 +308,7 @@ jentries AS (
          'json' AS method
   FROM jexp),
 need AS (SELECT product, provider, priority, response FROM usable
-         WHERE provider = 'small' AND elems IS NULL),
+         WHERE provider = 'small' AND NOT is_array),
 {qa_lines_sql('need', 'lentries')}
 entries AS (SELECT * FROM jentries UNION ALL SELECT * FROM lentries)"""
 
