@@ -67,3 +67,20 @@ def test_latest_wins_with_hot_key(spark):
     assert r.status == "completed"
     plan = TB.product_status(prods, runs)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan          # a max_by aggregation, no sort of the hot key
+
+
+def test_hot_post_comment_pages_bounded(spark, scratch):
+    from threadmill.sources import adapters as A
+    # one conversation holds 250 of 262 comment turns
+    rows = [(1, t, "user", f"hot {t}") for t in range(0, 251)]
+    rows += [(c, t, "user", f"c{c} {t}") for c in range(2, 5) for t in range(0, 5)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string") \
+         .write.parquet(f"{scratch}/conversations.parquet")
+    pages = A.comment_listings(spark, scratch)
+    sizes = {(r.post_id, r.page): r.n for r in
+             pages.select("post_id", "page", F.size("listing.data.children").alias("n")).collect()}
+    assert sizes[("p1", 0)] == sizes[("p1", 1)] == A.COMMENT_PAGE and sizes[("p1", 2)] == 50
+    assert max(sizes.values()) <= A.COMMENT_PAGE
+    kids = pages.select(F.inline("listing.data.children")).select("data.id")
+    assert sorted(r.id for r in kids.collect()) == sorted(
+        f"c{c}_{t}" for c, t, _, _ in rows if t > 0)

@@ -64,6 +64,7 @@ def social(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 LISTING_PAGE = 25   # posts per search page (the reference asks for 25)
+COMMENT_PAGE = 100  # children per comment listing page (bounds every collected array)
 
 
 def thread_posts_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,8 +116,10 @@ def comment_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comment pages per post: later turns as ``t1`` children.
 
     Every (conv_id + turn) % 11 == 0 child is a ``more`` stub, % 13 == 0 is
-    ``[deleted]`` and % 17 == 0 is ``[removed]``.
-    Columns: post_id, subreddit, listing (COMMENT_LISTING_SCHEMA shape).
+    ``[deleted]`` and % 17 == 0 is ``[removed]``.  A post's comments come in
+    pages of COMMENT_PAGE children, so a post holding a large share of all
+    comments still yields only bounded arrays (and many rows to spread).
+    Columns: post_id, page, subreddit, listing (COMMENT_LISTING_SCHEMA shape).
     """
     c = table(spark, sf_dir, "conversations").where(F.col("turn") > 0)
     key = F.col("conv_id") + F.col("turn")
@@ -135,9 +138,11 @@ def comment_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     child = F.struct(F.when(key % 11 == 0, F.lit("more")).otherwise(F.lit("t1")).alias("kind"),
                      data.alias("data"))
-    return (c.groupBy("conv_id")
+    page = F.floor((F.col("turn") - 1) / COMMENT_PAGE).alias("page")
+    return (c.groupBy("conv_id", page)
              .agg(F.sort_array(F.collect_list(F.struct(F.col("turn"), child.alias("c")))).alias("items"))
              .select(F.concat(F.lit("p"), F.col("conv_id").cast("string")).alias("post_id"),
+                     "page",
                      F.concat(F.lit("sub"), (F.col("conv_id") % 4).cast("string")).alias("subreddit"),
                      F.struct(F.struct(F.transform("items", lambda x: x["c"]).alias("children"))
                               .alias("data")).alias("listing")))
