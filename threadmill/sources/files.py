@@ -131,17 +131,23 @@ def first_n_files(spark: SparkSession, root: str, n: int = 20, glob: str = "*.tx
 
 
 def write_snapshot(ready: DataFrame, run_dir: str) -> None:
-    """Parquet snapshot of model-ready rows, one folder per product."""
+    """Parquet snapshot of model-ready rows, one folder per product.
+
+    The rebalance shuffle packs each product into few files of the advisory
+    size (without it every task writes one file per product it holds); AQE
+    splits a hot product over several writers."""
     (ready.withColumn("product_slug", product_slug("product"))
+          .hint("rebalance", "product_slug")
           .write.mode("overwrite").partitionBy("product_slug").parquet(run_dir))
 
 
 def write_latest_json(ready: DataFrame, path: str) -> None:
     """The "latest" JSON copy.  Partitioned like the snapshot instead of the
     reference's single ``coalesce(1)`` file, which would funnel the whole
-    table through one task; every task writes its own files, so a hot
-    product is spread over all writers."""
+    table through one task; rebalanced by product like the snapshot, so a
+    hot product is spread over several writers and a small one is one file."""
     (ready.withColumn("product_slug", product_slug("product"))
+          .hint("rebalance", "product_slug")
           .write.mode("overwrite").partitionBy("product_slug").json(path))
 
 
