@@ -27,6 +27,26 @@ def test_clean_matches_brute_force(spark):
         assert got[i][1] == got[i][0]
 
 
+def test_clean_fused_equals_stepwise_random_unicode(spark):
+    """Random texts over ASCII, Java and non-Java whitespace, accents,
+    combining marks, symbols and URLs: fused pass == three steps == brute force."""
+    rnd = random.Random(11)
+    alphabet = (list("abcXYZ019?.!,;:'-_/") + [" ", "\t", "\n", "\x0b", "\f", "\r",
+                "\u00a0", "\u2028", "\x1c", "\u3000", "é", "ß", "İ", "\u0307", "K",
+                "ø", "Ω", "中", "😀", "\\", "$", "["])
+    pieces = ["http://x.y/z?q=1", "www.a.b", "HTTPS://Q", " www.", "http"]
+    texts = []
+    for _ in range(1500):
+        parts = [rnd.choice(pieces) if rnd.random() < 0.08 else rnd.choice(alphabet)
+                 for _ in range(rnd.randint(0, 60))]
+        texts.append("".join(parts))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    got = {r.id: (r.c, r.s) for r in df.select(
+        "id", T.clean_text("t").alias("c"), T.clean_text_stepwise("t").alias("s")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i][0] == got[i][1] == brute.clean(t), repr(t)
+
+
 def test_keep_cleaned_threshold(spark):
     df = spark.createDataFrame([("a" * 20,), ("a" * 21,), (None,)], "t string")
     kept = df.where(T.keep_cleaned(T.clean_text("t"))).collect()
