@@ -109,3 +109,30 @@ def test_non_object_array_is_unusable_without_fallback(spark):
             ("c", "small", 2, "[null]\nQ: q?\nA: a")]
     got = sorted((r.product, r.method) for r in R.parse_responses(_resp(spark, rows)).collect())
     assert got == [("b", "lines")]
+
+
+def test_inference_stores_nonreproducible_answers(spark):
+    import uuid
+
+    import pandas as pd
+
+    from threadmill.operators import inference as INF
+
+    def random_model(pdf):
+        return pd.DataFrame({"product": pdf["product"], "provider": pdf["provider"],
+                             "priority": pdf["priority"].astype("int32"),
+                             "response": [uuid.uuid4().hex for _ in range(len(pdf))]})
+
+    prompts = (spark.range(0, 200, numPartitions=4)
+               .selectExpr("concat('p', CAST(id AS STRING)) AS product", "'large' AS provider",
+                           "CAST(1 AS INT) AS priority", "'prompt' AS prompt"))
+    stored = INF.batch_inference(prompts, random_model)
+    first = sorted(map(tuple, stored.collect()))
+    assert len(first) == 200
+    assert first == sorted(map(tuple, stored.collect()))       # read twice, same answers
+    lazy = INF.batch_inference(prompts, random_model, store=False)
+    assert sorted(map(tuple, lazy.collect())) != sorted(map(tuple, lazy.collect()))
+    # the echo stand-in: one response per prompt, deterministic
+    echo = INF.batch_inference(prompts, INF.echo_model).collect()
+    assert {r.response for r in echo} == {"Q: What do users ask about p%d?\nA: 6 characters of "
+                                          "context were reviewed." % i for i in range(200)}

@@ -6,6 +6,11 @@ pandas.DataFrame(product, provider, priority, response)``.  Spark ships
 prompts to executors in Arrow batches, so the model runs next to the data and
 in parallel over partitions; repartitioning by (product, provider) spreads
 the calls evenly.
+
+Model output is not reproducible, so by default the responses are stored
+once with a reliable checkpoint (``spark.checkpoint.dir``): a lost executor
+or a second consumer of the table then reads the stored answers instead of
+calling the model again and possibly getting different ones.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ RESPONSE_DDL = "product string, provider string, priority int, response string"
 
 
 def batch_inference(prompts: DataFrame, model_fn: Callable[[pd.DataFrame], pd.DataFrame],
-                    partitions: int | None = None) -> DataFrame:
+                    partitions: int | None = None, store: bool = True) -> DataFrame:
     src = prompts.select("product", "provider", "priority", "prompt")
     if partitions:
         src = src.repartition(partitions, "product", "provider")
@@ -29,7 +34,11 @@ def batch_inference(prompts: DataFrame, model_fn: Callable[[pd.DataFrame], pd.Da
             out = model_fn(pdf)
             yield out[["product", "provider", "priority", "response"]]
 
-    return src.mapInPandas(run, RESPONSE_DDL)
+    out = src.mapInPandas(run, RESPONSE_DDL)
+    if store:
+        from ..session import materialize
+        out = materialize(out)
+    return out
 
 
 def echo_model(pdf: pd.DataFrame) -> pd.DataFrame:
