@@ -118,3 +118,18 @@ def test_processing_time_trigger_then_stop_and_resume(spark, scratch):
     n1 = spark.read.schema(schema).json(out).count()
     ST.run_to_end(ST.start_landing(ST.file_queue_source(spark, inbox), out, ck))
     assert spark.read.schema(schema).json(out).count() == n1 > 0
+
+
+def test_land_job_splits_and_reruns_exactly_once(spark, scratch):
+    from threadmill.plans import jobs
+    inbox, landing, bad, ck = (os.path.join(scratch, x)
+                               for x in ("inbox", "landing", "quarantine", "ck"))
+    msgs = A.queue_messages(spark, SF)
+    ST.stage_messages(msgs, inbox, n_files=3)
+    for _ in range(2):                       # the rerun resumes: nothing twice
+        jobs.land(spark, inbox, landing, bad, ck)
+    landed = spark.read.schema(FS._landing_schema(FS.RAW_WITH_ID_SCHEMA)).json(landing)
+    d = Q.decode(msgs)
+    assert landed.count() == Q.good_records(d).count()
+    assert landed.select("id").distinct().count() == landed.count()
+    assert spark.read.json(bad).count() == Q.quarantine(d).count() > 0

@@ -4,8 +4,11 @@
         landing table -> clean, extract, score -> top rows per product ->
         Parquet snapshot + latest JSON copy; prints a JSON run summary.
     land --inbox DIR --landing DIR --quarantine DIR --checkpoints DIR [--continuous]
+         [--kafka SERVERS --max-offsets N]
         queue messages (text files, or Kafka with --kafka SERVERS) -> landing
-        table and quarantine, exactly once via checkpoints.
+        table and quarantine, exactly once via checkpoints.  A micro-batch
+        takes at most N offsets (default CLUSTER_MAX_OFFSETS; the reference's
+        50-message flush would make every batch's fixed cost dominate).
 
 All products are processed in one plan (the reference runs one process per
 product).  Counts come from ``DataFrame.observe`` on the write itself, so the
@@ -57,9 +60,13 @@ def process(spark: SparkSession, landing: str, out: str, product: str | None = N
     return {"product": product or "*", **seen.get, **kept.get, "output_path": run_dir}
 
 
+CLUSTER_MAX_OFFSETS = 5_000_000
+
+
 def land(spark: SparkSession, inbox: str, landing: str, quarantine: str, checkpoints: str,
-         continuous: bool = False, kafka: str | None = None) -> None:
-    msgs = (ST.kafka_source(spark, kafka) if kafka
+         continuous: bool = False, kafka: str | None = None,
+         max_offsets: int = CLUSTER_MAX_OFFSETS) -> None:
+    msgs = (ST.kafka_source(spark, kafka, max_offsets=max_offsets) if kafka
             else ST.file_queue_source(spark, inbox))
     q1 = ST.start_landing(msgs, landing, f"{checkpoints}/landing", available_now=not continuous)
     q2 = ST.start_quarantine(msgs, quarantine, f"{checkpoints}/quarantine",
@@ -83,6 +90,7 @@ def main(argv: list[str] | None = None) -> None:
     s.add_argument("--quarantine", required=True)
     s.add_argument("--checkpoints", required=True)
     s.add_argument("--continuous", action="store_true")
+    s.add_argument("--max-offsets", type=int, default=CLUSTER_MAX_OFFSETS)
     a = ap.parse_args(argv)
     spark = build_session(app=f"threadmill-{a.cmd}", profile="cluster")
     try:
@@ -90,7 +98,8 @@ def main(argv: list[str] | None = None) -> None:
             print(json.dumps(process(spark, a.landing, a.out, a.product, a.run_id,
                                      fanout=a.fanout), indent=2))
         else:
-            land(spark, a.inbox, a.landing, a.quarantine, a.checkpoints, a.continuous, a.kafka)
+            land(spark, a.inbox, a.landing, a.quarantine, a.checkpoints, a.continuous, a.kafka,
+                 a.max_offsets)
     finally:
         spark.stop()
 
