@@ -152,15 +152,26 @@ def frequent_words(docs: DataFrame, group_col: str = "subreddit", text_col: str
 def keyword_match(docs: DataFrame, keywords: DataFrame, per_search: int = SEARCH_PAGE) -> DataFrame:
     """Search emulation: records of a product in a subreddit containing a keyword.
 
-    ``keywords`` = (subreddit, keyword, keyword_rank).  The join is an equi-join
-    on subreddit (each record meets only its own subreddit's few keywords) with
-    a ``contains`` filter; newest ``per_search`` per (product, subreddit, keyword).
-    The keyword table is broadcast after a size check, so the records are
-    never shuffled for the join (a hot subreddit stays spread over tasks).
+    ``keywords`` = (subreddit, keyword, keyword_rank).  The keywords of each
+    subreddit are gathered into one row, so the join on subreddit gives every
+    record exactly one partner row; the keywords its lower-cased text
+    contains are then exploded - only real matches become rows, never
+    (record, keyword) candidate pairs.  The keyword table is broadcast after
+    a size check, so the records are never shuffled for the join (a hot
+    subreddit stays spread over tasks); above the bound the one-row-per-key
+    side lets AQE split a hot subreddit.  Newest ``per_search`` per
+    (product, subreddit, keyword).
     """
-    kw = small_side(keywords.select("subreddit", "keyword", "keyword_rank"))
+    per_sub = (keywords.select("subreddit", "keyword", "keyword_rank").distinct()
+                       .groupBy("subreddit")
+                       .agg(F.collect_list(F.struct("keyword", "keyword_rank")).alias("__tm_kws")))
+    kw = small_side(per_sub)
+    text = F.lower(F.col("content"))
+    hit = F.filter("__tm_kws", lambda k: F.col("__tm_text").contains(k["keyword"]))
     m = (docs.join(kw, "subreddit")
-             .where(F.lower(F.col("content")).contains(F.col("keyword"))))
+             .withColumn("__tm_text", text)
+             .withColumn("__tm_hit", F.explode(hit))
+             .select(*docs.columns, "__tm_hit.keyword", "__tm_hit.keyword_rank"))
     return top_n_per_group(m, ["product", "subreddit", "keyword"],
                            [F.col("created_at").desc(), F.col("id").asc()], per_search,
                            rank_col="search_rank")
