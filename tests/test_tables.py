@@ -88,3 +88,21 @@ def test_form_requests_keywords(spark):
     assert got["p"].keywords == ["a", "", "b", ""]
     assert got["p"].description is None and got["p"].category is None
     assert got["q"].keywords is None and got["q"].category == "c"
+
+
+def test_update_products_latest_change_wins(spark):
+    prods = spark.createDataFrame(
+        [(1, "a", "d1", ["s"], ["k"], "c", "pending"), (2, "b", "d2", ["s"], ["k"], "c", "done")],
+        "id long, name string, description string, subreddits array<string>, "
+        "keywords array<string>, category string, status string")
+    ch = spark.createDataFrame(
+        [(1, "a1", "x", ["t"], [], "c1", 1), (1, "a2", "y", ["u"], ["z"], "c2", 3),
+         (1, "a0", "w", [], [], "c0", 2)],
+        "id long, name string, description string, subreddits array<string>, "
+        "keywords array<string>, category string, seq int")
+    out = {r.id: r for r in TB.update_products(prods, ch, order_col="seq").collect()}
+    assert len(out) == 2
+    assert (out[1].name, out[1].description, out[1].subreddits, out[1].keywords,
+            out[1].category, out[1].status) == ("a2", "y", ["u"], ["z"], "c2", "pending")
+    assert out[2].name == "b" and out[2].description == "d2"
+    assert TB.update_products(prods, ch).count() == 2          # no order: still one row each

@@ -138,10 +138,20 @@ def form_requests(forms: DataFrame) -> DataFrame:
 UPDATABLE = ("name", "description", "subreddits", "keywords", "category")
 
 
-def update_products(products: DataFrame, changes: DataFrame) -> DataFrame:
-    """Overwrite the five editable fields of products named in ``changes``."""
-    ch = changes.select(F.col("id"), F.lit(True).alias("__hit"),
-                        *[F.col(c).alias(f"__new_{c}") for c in UPDATABLE])
+def update_products(products: DataFrame, changes: DataFrame,
+                    order_col: str | None = None) -> DataFrame:
+    """Overwrite the five editable fields of products named in ``changes``.
+
+    Several changes of one product collapse to one first (``max_by``, partial
+    per task): the greatest ``order_col`` wins, as with edits applied in
+    sequence; without it the pick is still deterministic.  So the join never
+    multiplies a product row.
+    """
+    fields = F.struct(*[F.col(c) for c in UPDATABLE])
+    order = F.struct(F.col(order_col), fields) if order_col else fields
+    ch = (changes.groupBy("id").agg(F.max_by(fields, order).alias("__c"))
+                 .select(F.col("id"), F.lit(True).alias("__hit"),
+                         *[F.col(f"__c.{c}").alias(f"__new_{c}") for c in UPDATABLE]))
     j = products.join(ch, "id", "left")
     for c in UPDATABLE:
         j = j.withColumn(c, F.when(F.col("__hit"), F.col(f"__new_{c}")).otherwise(F.col(c)))
