@@ -84,3 +84,19 @@ def test_hot_post_comment_pages_bounded(spark, scratch):
     kids = pages.select(F.inline("listing.data.children")).select("data.id")
     assert sorted(r.id for r in kids.collect()) == sorted(
         f"c{c}_{t}" for c, t, _, _ in rows if t > 0)
+
+
+def test_keyword_match_long_keyword_lists_exact(spark):
+    # 2500 keywords in one subreddit: three list rows; result equals brute force
+    kws = [("hot", f"w{i:04d}", i % 3 + 1) for i in range(2500)] + [("cold", "w0001", 1)]
+    kw = spark.createDataFrame(kws, "subreddit string, keyword string, keyword_rank int")
+    docs_rows = [(i, "prod", "hot" if i % 2 else "cold",
+                  f"Text W{i * 7 % 2600:04d} and w{i * 13 % 2600:04d}", f"t{i:05d}")
+                 for i in range(400)]
+    docs = spark.createDataFrame(docs_rows, "id long, product string, subreddit string, "
+                                 "content string, created_at string")
+    got = sorted((r.id, r.keyword) for r in I.keyword_match(docs, kw, per_search=1000).collect())
+    want = sorted((i, k) for i, _, s, c, _ in docs_rows for s2, k, _ in kws
+                  if s2 == s and k in c.lower())
+    assert got == want
+    assert len(want) > 300

@@ -7,11 +7,12 @@ joins replace requests, and windows replace "first N of the response".
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.adapters import ISO_FORMAT
-from .joins import small_side
+from ..session import materialize
+from .joins import broadcast_if
 from .rank import top_n_per_group
 
 # --- fixed values -----------------------------------------------------------
@@ -26,6 +27,7 @@ COMMENTS_PER_POST = 20    # comments fetched per post
 MIN_COMMENTS = 5          # comments are fetched only above this count
 MIN_SUBSCRIBERS = 1000    # communities at or below are ignored
 TOP_COMMUNITIES = 3
+KEYWORDS_PER_ROW = 1024   # keywords per gathered list row in the keyword match
 # ---------------------------------------------------------------------------
 
 
@@ -153,19 +155,24 @@ def keyword_match(docs: DataFrame, keywords: DataFrame, per_search: int = SEARCH
     """Search emulation: records of a product in a subreddit containing a keyword.
 
     ``keywords`` = (subreddit, keyword, keyword_rank).  The keywords of each
-    subreddit are gathered into one row, so the join on subreddit gives every
-    record exactly one partner row; the keywords its lower-cased text
-    contains are then exploded - only real matches become rows, never
-    (record, keyword) candidate pairs.  The keyword table is broadcast after
-    a size check, so the records are never shuffled for the join (a hot
-    subreddit stays spread over tasks); above the bound the one-row-per-key
-    side lets AQE split a hot subreddit.  Newest ``per_search`` per
-    (product, subreddit, keyword).
+    subreddit are gathered into list rows of at most KEYWORDS_PER_ROW, so the
+    join on subreddit gives a record one partner row per list (one for any
+    usual subreddit); the keywords its lower-cased text contains are then
+    exploded - only real matches become rows, never (record, keyword)
+    candidate pairs.  The lists are broadcast when the keyword count is
+    within the bound, so the records are never shuffled for the join (a hot
+    subreddit stays spread over tasks); above it the join shuffles and AQE
+    splits a hot subreddit.  Newest ``per_search`` per (product, subreddit,
+    keyword).
     """
-    per_sub = (keywords.select("subreddit", "keyword", "keyword_rank").distinct()
-                       .groupBy("subreddit")
-                       .agg(F.collect_list(F.struct("keyword", "keyword_rank")).alias("__tm_kws")))
-    kw = small_side(per_sub)
+    kws = materialize(keywords.select("subreddit", "keyword", "keyword_rank").distinct())
+    n_keywords = kws.count()                     # the size that is broadcast
+    nth = F.row_number().over(Window.partitionBy("subreddit").orderBy("keyword", "keyword_rank"))
+    lists = (kws.withColumn("__tm_list", F.floor((nth - 1) / KEYWORDS_PER_ROW))
+                .groupBy("subreddit", "__tm_list")
+                .agg(F.collect_list(F.struct("keyword", "keyword_rank")).alias("__tm_kws"))
+                .drop("__tm_list"))
+    kw = broadcast_if(lists, n_keywords)
     text = F.lower(F.col("content"))
     hit = F.filter("__tm_kws", lambda k: F.col("__tm_text").contains(k["keyword"]))
     m = (docs.join(kw, "subreddit")

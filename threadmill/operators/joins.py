@@ -18,7 +18,12 @@ from ..session import materialize
 MAX_BROADCAST_ROWS = 2_000_000
 
 
+def broadcast_if(df: DataFrame, n_rows: int, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``df`` broadcast-hinted when the measured ``n_rows`` is within the bound."""
+    return F.broadcast(df) if n_rows <= max_rows else df
+
+
 def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """The side ready for joining: broadcast-hinted when proven small."""
     stored = materialize(df)
-    return F.broadcast(stored) if stored.count() <= max_rows else stored
+    return broadcast_if(stored, stored.count(), max_rows)
