@@ -117,17 +117,15 @@ def first_n_files(spark: SparkSession, root: str, n: int = 20, glob: str = "*.tx
         if m and (not slugs or m.group(2) in slugs):
             by_dir.setdefault(m.group(1), []).append(path)
     chosen = [p for d in sorted(by_dir) for p in sorted(by_dir[d])[:n]]
-    full = StructType(schema.fields + [StructField(CORRUPT, StringType())])
     out_schema = StructType(schema.fields + [StructField("product_slug", StringType())])
     if not chosen:
         return spark.createDataFrame([], out_schema)
-    df = (spark.read.schema(full).option("multiLine", True)
-               .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-               .json(chosen))
-    return (df.where(F.col(CORRUPT).isNull())
-              .withColumn("product_slug",
-                          F.regexp_extract(F.col("_metadata.file_path"), "product_slug=([^/]*)/", 1))
-              .drop(CORRUPT))
+    # multiLine parses each file as one record, so a file that does not parse
+    # is one malformed record and DROPMALFORMED skips exactly that file
+    df = (spark.read.schema(schema).option("multiLine", True)
+               .option("mode", "DROPMALFORMED").json(chosen))
+    return df.withColumn("product_slug",
+                         F.regexp_extract(F.col("_metadata.file_path"), "product_slug=([^/]*)/", 1))
 
 
 def write_snapshot(ready: DataFrame, run_dir: str) -> None:
