@@ -63,6 +63,20 @@ def test_discover_communities_edges(spark):
                    ("phones", 1, "c"), ("phones", 2, "d"), ("phones", 3, "e")]
 
 
+def test_discover_communities_only_first_search_results(spark):
+    # twelve results: the 11th and 12th by search rank are never returned by the search,
+    # and an empty name still takes one of the ten places
+    rows = [("t", f"s{i}", 2000 + i, i) for i in range(1, 11)]
+    rows[3] = ("t", "", 99999, 4)
+    rows += [("t", "late1", 90000, 11), ("t", "late2", 80000, 12)]
+    comm = spark.createDataFrame(rows, "topic string, display_name string, subscribers long, "
+                                 "search_rank long")
+    got = sorted((r.rank, r.display_name) for r in
+                 I.discover_communities(comm, spark.createDataFrame([("t",)], "topic string"))
+                 .collect())
+    assert got == [(1, "s10"), (2, "s9"), (3, "s8")]
+
+
 def test_dedup_keeps_latest(spark):
     df = spark.createDataFrame([(1, "k1", 1), (1, "k2", 3), (2, "k1", 2)],
                                "id long, keyword string, keyword_rank int")

@@ -26,6 +26,7 @@ SEARCH_PAGE = 25          # newest posts per (subreddit, keyword) search
 COMMENTS_PER_POST = 20    # comments fetched per post
 MIN_COMMENTS = 5          # comments are fetched only above this count
 MIN_SUBSCRIBERS = 1000    # communities at or below are ignored
+SEARCH_RESULTS = 10       # community search results returned per topic
 TOP_COMMUNITIES = 3
 KEYWORDS_PER_ROW = 1024   # keywords per gathered list row in the keyword match
 # ---------------------------------------------------------------------------
@@ -197,15 +198,20 @@ def dedup_raw(records: DataFrame, key: Column, order: list[str]) -> DataFrame:
 
 def discover_communities(communities: DataFrame, topics: DataFrame,
                          top: int = TOP_COMMUNITIES,
-                         min_subscribers: int = MIN_SUBSCRIBERS) -> DataFrame:
+                         min_subscribers: int = MIN_SUBSCRIBERS,
+                         search_results: int = SEARCH_RESULTS) -> DataFrame:
     """Top communities per topic by subscribers (ties keep search rank).
 
-    Topics without any community above the threshold get the defaults.
+    ``communities`` are search results (topic, display_name, subscribers,
+    search_rank); a search returns only the first ``search_results`` by
+    rank, and only those are filtered and ranked.  Topics without any
+    community above the threshold get the defaults.
     """
     norm = F.lower(F.trim(F.col("topic")))
-    c = (communities.withColumn("topic", norm)
-         .where((F.coalesce(F.col("display_name"), F.lit("")) != "")
-                & (F.col("subscribers") > min_subscribers)))
+    returned = top_n_per_group(communities.withColumn("topic", norm), ["topic"],
+                               [F.col("search_rank").asc()], search_results)
+    c = returned.where((F.coalesce(F.col("display_name"), F.lit("")) != "")
+                       & (F.col("subscribers") > min_subscribers))
     hits = (top_n_per_group(c, ["topic"],
                             [F.col("subscribers").desc(), F.col("search_rank").asc()],
                             top, rank_col="rank")

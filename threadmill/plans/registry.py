@@ -235,7 +235,8 @@ def q_dedup_raw(spark, d):
   SELECT topic, CAST(row_number() OVER (PARTITION BY topic ORDER BY subscribers DESC, search_rank)
                      AS INTEGER) AS rank,
          display_name, subscribers, false AS is_default
-  FROM comm WHERE coalesce(display_name, '') <> '' AND subscribers > 1000 QUALIFY rank <= 3),
+  FROM (SELECT * FROM comm QUALIFY row_number() OVER (PARTITION BY topic ORDER BY search_rank) <= 10)
+  WHERE coalesce(display_name, '') <> '' AND subscribers > 1000 QUALIFY rank <= 3),
 t AS (SELECT DISTINCT lower(trim(n_name)) AS topic FROM nation)
 SELECT * FROM hits
 UNION ALL
@@ -564,7 +565,8 @@ topics AS (SELECT DISTINCT lower(trim(name)) AS topic FROM fresh
 hits AS (
   SELECT topic, display_name,
          row_number() OVER (PARTITION BY topic ORDER BY subscribers DESC, search_rank) AS rank
-  FROM comm WHERE coalesce(display_name, '') <> '' AND subscribers > 1000 QUALIFY rank <= 3),
+  FROM (SELECT * FROM comm QUALIFY row_number() OVER (PARTITION BY topic ORDER BY search_rank) <= 10)
+  WHERE coalesce(display_name, '') <> '' AND subscribers > 1000 QUALIFY rank <= 3),
 found AS (
   SELECT t.topic, coalesce(list(h.display_name ORDER BY h.rank) FILTER (WHERE h.topic IS NOT NULL),
                            ['technology', 'gadgets']) AS subs
