@@ -100,3 +100,11 @@ def test_keyword_match_long_keyword_lists_exact(spark):
                   if s2 == s and k in c.lower())
     assert got == want
     assert len(want) > 300
+
+
+def test_ranked_context_fanout_exact(spark):
+    from threadmill.operators import prompts as P
+    df = _skewed(spark).withColumn("data_type", F.lit("post"))
+    plain = sorted(map(tuple, P.ranked_context(df, 30).collect()))
+    fan = sorted(map(tuple, P.ranked_context(df, 30, fanout=6).collect()))
+    assert plain == fan and len([t for t in plain if t[1] == "hot"]) == 30

@@ -100,9 +100,12 @@ def item_text(p: Provider, content="content", questions="extracted_questions") -
     return F.concat(F.substring(text, 1, p.item_chars), tail)
 
 
-def ranked_context(ready: DataFrame, cap: int = CONTEXT_CAP) -> DataFrame:
-    """The ``cap`` most relevant model-ready rows per product, with ``rank``."""
-    return top_n_per_group(ready, ["product"], rank_order(), cap, rank_col="rank")
+def ranked_context(ready: DataFrame, cap: int = CONTEXT_CAP, fanout: int | None = None) -> DataFrame:
+    """The ``cap`` most relevant model-ready rows per product, with ``rank``.
+
+    ``fanout`` adds the exact two-level cut of ``rank.top_n_per_group`` for
+    a product holding a large share of all rows."""
+    return top_n_per_group(ready, ["product"], rank_order(), cap, rank_col="rank", fanout=fanout)
 
 
 def ordered_join(key: str, rank: str, text: Column, sep: str) -> Column:
