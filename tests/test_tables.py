@@ -106,3 +106,7 @@ def test_update_products_latest_change_wins(spark):
             out[1].category, out[1].status) == ("a2", "y", ["u"], ["z"], "c2", "pending")
     assert out[2].name == "b" and out[2].description == "d2"
     assert TB.update_products(prods, ch).count() == 2          # no order: still one row each
+    # a change without keywords takes the request default
+    ch2 = ch.where("seq = 1").withColumn("keywords", F.lit(None).cast("array<string>"))
+    r = [r for r in TB.update_products(prods, ch2).collect() if r.id == 1][0]
+    assert r.keywords == list(TB.DEFAULT_PRODUCT_KEYWORDS) and r.name == "a1"

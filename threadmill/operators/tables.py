@@ -142,11 +142,15 @@ def update_products(products: DataFrame, changes: DataFrame,
                     order_col: str | None = None) -> DataFrame:
     """Overwrite the five editable fields of products named in ``changes``.
 
+    A change is a full product request: all five fields are set, and a
+    change without keywords takes the request default (as on insert).
     Several changes of one product collapse to one first (``max_by``, partial
     per task): the greatest ``order_col`` wins, as with edits applied in
     sequence; without it the pick is still deterministic.  So the join never
     multiplies a product row.
     """
+    changes = changes.withColumn(
+        "keywords", F.coalesce(F.col("keywords"), _lit_array(DEFAULT_PRODUCT_KEYWORDS)))
     fields = F.struct(*[F.col(c) for c in UPDATABLE])
     order = F.struct(F.col(order_col), fields) if order_col else fields
     ch = (changes.groupBy("id").agg(F.max_by(fields, order).alias("__c"))
