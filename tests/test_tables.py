@@ -62,6 +62,19 @@ def test_product_status_latest_run(spark):
     assert got == {1: "error", 2: "pending"}
 
 
+def test_product_status_transitions(spark):
+    prods = _products(spark, [(1, "a", "pending"), (2, "b", "completed"), (3, "c", "pending"),
+                              (4, "d", "pending")])
+    runs = spark.createDataFrame(
+        [(1, "full_run", "failed", 1, 1), (2, "scrape", "failed", 2, 2),
+         (3, "process", "timeout", 3, 3), (4, "full_run", "running", 4, 4)],
+        "product_id long, stage string, outcome string, ts int, run_id long")
+    got = {r.id: r.status for r in TB.product_status(prods, runs).collect()}
+    # a failed scrape trigger leaves the status as it was
+    assert got == {1: "pipeline_error", 2: "completed", 3: "processing_timeout",
+                   4: "pipeline_scraping"}
+
+
 def test_validate_and_page(spark):
     req = spark.createDataFrame([("",), ("x",), ("y" * 200,), ("z" * 201,), (None,)], "name string")
     got = [(r.valid, r.reason) for r in TB.validate_products(req).collect()]

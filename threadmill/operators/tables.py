@@ -22,13 +22,15 @@ PAGE_LIMIT_MIN, PAGE_LIMIT_MAX = 1, 100
 # keywords of a product created without any
 DEFAULT_PRODUCT_KEYWORDS = ("review", "problem", "help", "question")
 # status after the latest run of a stage, by (stage, outcome)
+# Status set by a run's (stage:outcome).  A failed scrape trigger is only
+# logged, so it has no entry and the product keeps its status.
 RUN_STATUS = {
-    "scrape:ok": "scraping", "scrape:running": "scraping", "scrape:failed": "processing_failed",
+    "scrape:ok": "scraping", "scrape:running": "scraping",
     "process:ok": "processed", "process:running": "processing",
-    "process:failed": "processing_failed",
+    "process:failed": "processing_failed", "process:timeout": "processing_timeout",
     "generate:ok": "completed", "generate:running": "generating", "generate:failed": "error",
-    "full_run:ok": "pipeline_completed", "full_run:running": "processing",
-    "full_run:failed": "error",
+    "full_run:ok": "pipeline_completed", "full_run:running": "pipeline_scraping",
+    "full_run:failed": "pipeline_error",
 }
 # ---------------------------------------------------------------------------
 

@@ -653,13 +653,14 @@ mapped AS (
   SELECT product_id, ts,
          CASE stage || ':' || outcome
            WHEN 'scrape:ok' THEN 'scraping' WHEN 'scrape:running' THEN 'scraping'
-           WHEN 'scrape:failed' THEN 'processing_failed'
            WHEN 'process:ok' THEN 'processed' WHEN 'process:running' THEN 'processing'
            WHEN 'process:failed' THEN 'processing_failed'
+           WHEN 'process:timeout' THEN 'processing_timeout'
            WHEN 'generate:ok' THEN 'completed' WHEN 'generate:running' THEN 'generating'
            WHEN 'generate:failed' THEN 'error'
-           WHEN 'full_run:ok' THEN 'pipeline_completed' WHEN 'full_run:running' THEN 'processing'
-           WHEN 'full_run:failed' THEN 'error' END AS run_status
+           WHEN 'full_run:ok' THEN 'pipeline_completed'
+           WHEN 'full_run:running' THEN 'pipeline_scraping'
+           WHEN 'full_run:failed' THEN 'pipeline_error' END AS run_status
   FROM latest)
 SELECT p.id, coalesce(m.run_status, p.status) AS status,
        strftime(m.ts, '%Y-%m-%d %H:%M:%S') AS last_run_at
