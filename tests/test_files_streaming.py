@@ -22,6 +22,12 @@ def test_first_n_files_skips_corrupt_file(spark, scratch):
     assert FS.first_n_files(spark, root, n=1).count() == len(rows)
     two = FS.first_n_files(spark, root, n=2)
     assert two.count() == len(two.collect()) == len(rows) + 100
+    # restricted to products: only their folders are listed and read
+    some = FS.first_n_files(spark, root, n=2, slugs=["src1", "src3", "absent"]).collect()
+    assert {r.product_slug for r in some} == {"src1", "src3"}
+    assert sorted(r.id for r in some) == sorted(
+        r.id for r in two.collect() if r.product_slug in ("src1", "src3"))
+    assert FS.first_n_files(spark, root, slugs=["absent"]).count() == 0
 
 
 def test_raw_scan_folder_variants(spark, scratch):

@@ -109,8 +109,14 @@ def first_n_files(spark: SparkSession, root: str, n: int = 20, glob: str = "*.tx
     first ``n``.  ``slugs`` restricts the choice to given products.
     """
     import re
+    roots = [root]
+    if slugs:
+        # list only the requested product folders (metadata), not the whole table
+        present = set(product_folders(spark, root))
+        base = root.rstrip("/")
+        roots = [f"{base}/source=*/product_slug={s}" for s in sorted(set(slugs) & present)]
     listing = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-                    .format("text").load(root).inputFiles())
+                    .format("text").load(roots).inputFiles()) if roots else []
     by_dir: dict[str, list[str]] = {}
     for path in listing:
         m = re.match(r"^(.*/product_slug=([^/]*))/", path)
