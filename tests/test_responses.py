@@ -34,6 +34,14 @@ def test_json_edges(spark):
     assert (f.category, f.confidence, f.keywords) == ("Setup", 0.9, ["k1", "k2"])
 
 
+def test_json_boolean_and_spaced_confidence(spark):
+    rows = [("g", "large", 1, '[{"question": "q", "answer": "a", "confidence": true},'
+                              ' {"question": "q", "answer": "b", "confidence": false},'
+                              ' {"question": "q", "answer": "c", "confidence": " 0.5 "}]')]
+    got = sorted((r.answer, r.confidence) for r in R.parse_json_entries(_resp(spark, rows)).collect())
+    assert got == [("a", 1.0), ("b", 0.0), ("c", 0.5)]
+
+
 QA_CASES = [
     "A: before any\nQ: first?\nA: one\nQ: second?\nAnswer: two\nmore text",
     "Q: x?\nA: one\nA: two",                      # later A replaces earlier

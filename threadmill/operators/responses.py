@@ -55,8 +55,9 @@ def json_elements(c: Column) -> Column:
 def parse_json_entries(responses: DataFrame, providers=PROVIDERS) -> DataFrame:
     """Entries of responses holding a valid JSON array (one row per entry).
 
-    Missing fields take defaults; confidence is read as text and cast, with
-    the provider's default when absent or not a number.
+    Missing fields take defaults; confidence is read as text and cast, a
+    JSON boolean counts as 1.0 / 0.0 (as a number conversion of it does), and
+    the provider's default applies when absent or not a number.
     """
     default_conf = F.lit(None).cast("double")
     for p in providers:
@@ -72,8 +73,10 @@ def parse_json_entries(responses: DataFrame, providers=PROVIDERS) -> DataFrame:
         F.coalesce(F.col("f.question"), F.lit("")).alias("question"),
         F.coalesce(F.col("f.answer"), F.lit("")).alias("answer"),
         F.coalesce(F.col("f.category"), F.lit(DEFAULT_CATEGORY)).alias("category"),
-        F.coalesce(F.expr("try_cast(f.confidence AS DOUBLE)"), F.col("default_conf"))
-         .alias("confidence"),
+        F.coalesce(F.expr("try_cast(f.confidence AS DOUBLE)"),
+                   F.when(F.col("f.confidence") == "true", F.lit(1.0))
+                    .when(F.col("f.confidence") == "false", F.lit(0.0)),
+                   F.col("default_conf")).alias("confidence"),
         F.coalesce(F.col("f.keywords"), F.array().cast("array<string>")).alias("keywords"),
         F.lit("json").alias("method"))
 

@@ -302,6 +302,8 @@ jentries AS (
          coalesce(json_extract_string(e, '$.answer'), '') AS answer,
          coalesce(json_extract_string(e, '$.category'), 'General') AS category,
          coalesce(TRY_CAST(json_extract_string(e, '$.confidence') AS DOUBLE),
+                  CASE json_extract_string(e, '$.confidence') WHEN 'true' THEN 1.0
+                                                            WHEN 'false' THEN 0.0 END,
                   CASE WHEN provider = 'large' THEN 0.8 WHEN provider = 'small' THEN 0.7 END)
            AS confidence,
          coalesce(array_to_string(json_extract_string(e, '$.keywords[*]'), '|'), '') AS keywords,
