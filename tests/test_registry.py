@@ -42,3 +42,16 @@ def test_topic_clusters_cover_input(spark):
     summary = topics.topic_clusters(members).collect()
     assert sum(r.post_count for r in summary) == scored.count()
     assert len(summary) <= topics.NUM_CLUSTERS
+
+
+def test_topic_members_equal_reference_pipeline(spark):
+    """The persisted-vector path assigns the same clusters as fitting the
+    plain tokenizer -> stop words -> TF -> IDF -> k-means Pipeline."""
+    from threadmill.operators import scoring, topics
+    from threadmill.sources import adapters as A
+    scored = scoring.process(A.social(spark, SF))
+    members = {r.id: r.cluster for r in topics.topic_members(scored).collect()}
+    model = topics.topic_stages().fit(scored)
+    plain = {r.id: r.cluster for r in model.transform(scored).select("id", "cluster").collect()}
+    assert members == plain
+    assert len(set(plain.values())) > 1
