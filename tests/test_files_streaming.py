@@ -143,3 +143,23 @@ def test_land_job_splits_and_reruns_exactly_once(spark, scratch):
     assert landed.count() == Q.good_records(d).count()
     assert landed.select("id").distinct().count() == landed.count()
     assert spark.read.json(bad).count() == Q.quarantine(d).count() > 0
+
+
+def test_generate_job_versions_upsert(spark, scratch):
+    from threadmill.plans import jobs
+    landing, out = os.path.join(scratch, "landing"), os.path.join(scratch, "out")
+    FS.write_landing(A.social(spark, SF), landing)
+    snap = jobs.process(spark, landing, out, run_id="r1", cap=5)["output_path"]
+    model = jobs.load_model("threadmill.operators.inference:echo_model")
+    first = jobs.generate(spark, snap, out, model, run_id="g1")
+    products = spark.read.parquet(snap).select("product").distinct().count()
+    assert first["documents"] == products > 0 and first["entries"] == products
+    second = jobs.generate(spark, snap, out, model, run_id="g2")
+    docs = spark.read.parquet(second["output_path"])
+    assert second["documents"] == products == docs.select("product").distinct().count()
+    assert [os.path.basename(v) for v in jobs._versions(spark, os.path.join(out, "faqs"))] == \
+        ["version=g1", "version=g2"]
+    # the stand-in answers in Q:/A: lines, which only the small provider may parse,
+    # so the first usable provider is the small one
+    row = docs.first()
+    assert row.model_used == "small" and row.faqs[0].question.startswith("What do users ask")

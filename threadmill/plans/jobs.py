@@ -3,6 +3,11 @@
     process --landing DIR --out DIR [--product NAME] [--run-id ID]
         landing table -> clean, extract, score -> top rows per product ->
         Parquet snapshot + latest JSON copy; prints a JSON run summary.
+    generate --processed DIR --out DIR --model MODULE:FUNCTION [--run-id ID]
+        processed snapshot -> best 200 rows per product -> prompts -> the
+        caller's model (Arrow batches, answers stored once) -> entries ->
+        first usable provider -> documents, upserted over the previous
+        version of ``OUT/faqs``; prints a JSON summary.
     land --inbox DIR --landing DIR --quarantine DIR --checkpoints DIR [--continuous]
          [--kafka SERVERS --max-offsets N]
         queue messages (text files, or Kafka with --kafka SERVERS) -> landing
@@ -30,7 +35,11 @@ if __package__ in (None, ""):
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
 from threadmill.functions.text import product_slug  # noqa: E402
+from threadmill.operators import inference as INF  # noqa: E402
+from threadmill.operators import prompts as P  # noqa: E402
+from threadmill.operators import responses as R  # noqa: E402
 from threadmill.operators import scoring  # noqa: E402
+from threadmill.operators import tables as TB  # noqa: E402
 from threadmill.session import build_session  # noqa: E402
 from threadmill.sources import files as FS  # noqa: E402
 from threadmill.streaming import landing as ST  # noqa: E402
@@ -60,6 +69,46 @@ def process(spark: SparkSession, landing: str, out: str, product: str | None = N
     return {"product": product or "*", **seen.get, **kept.get, "output_path": run_dir}
 
 
+def _versions(spark: SparkSession, root: str) -> list[str]:
+    """Version folders (``version=<run id>``) of a table, oldest first (metadata only)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/version=*")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(st.getPath().toString() for st in (found or []))
+
+
+def load_model(spec: str):
+    """``module:function`` -> the model function for ``batch_inference``."""
+    import importlib
+    module, _, name = spec.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
+def generate(spark: SparkSession, processed: str, out: str, model_fn, run_id: str | None = None,
+             cap: int = P.CONTEXT_CAP, fanout: int | None = None) -> dict:
+    """One generation run over every product of a processed snapshot."""
+    from threadmill.operators.rank import auto_fanout
+    from threadmill.session import materialize
+    run_id = run_id or datetime.now(timezone.utc).strftime("%Y%m%d_%H%M%S")
+    ready = spark.read.parquet(processed).drop("product_slug")
+    fanout = fanout if fanout is not None else auto_fanout(ready)
+    ranked = materialize(P.ranked_context(ready, cap, fanout=fanout))    # read by three branches
+    responses = INF.batch_inference(P.prompts(ranked), model_fn)         # stored once
+    entries = materialize(R.parse_responses(responses))
+    chosen = R.provider_fallback(entries, responses)
+    counts = ranked.groupBy("product").agg(F.count(F.lit(1)).alias("source_count"))
+    docs = R.faq_documents(entries, chosen, P.context_sources(ranked), counts)
+    root = f"{out.rstrip('/')}/faqs"
+    previous = _versions(spark, root)
+    merged = TB.faq_upsert(spark.read.parquet(previous[-1]), docs) if previous else docs
+    seen = Observation("documents")
+    merged = merged.observe(seen, F.count(F.lit(1)).alias("documents"),
+                            F.sum(F.size("faqs")).alias("entries"))
+    target = f"{root}/version={run_id}"
+    merged.write.mode("overwrite").parquet(target)
+    return {"run_id": run_id, **seen.get, "output_path": target}
+
+
 CLUSTER_MAX_OFFSETS = 5_000_000
 
 
@@ -83,6 +132,12 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--product")
     p.add_argument("--run-id")
     p.add_argument("--fanout", type=int)
+    g = sub.add_parser("generate")
+    g.add_argument("--processed", required=True)
+    g.add_argument("--out", required=True)
+    g.add_argument("--model", required=True)
+    g.add_argument("--run-id")
+    g.add_argument("--fanout", type=int)
     s = sub.add_parser("land")
     s.add_argument("--inbox")
     s.add_argument("--kafka")
@@ -97,6 +152,9 @@ def main(argv: list[str] | None = None) -> None:
         if a.cmd == "process":
             print(json.dumps(process(spark, a.landing, a.out, a.product, a.run_id,
                                      fanout=a.fanout), indent=2))
+        elif a.cmd == "generate":
+            print(json.dumps(generate(spark, a.processed, a.out, load_model(a.model), a.run_id,
+                                      fanout=a.fanout), indent=2))
         else:
             land(spark, a.inbox, a.landing, a.quarantine, a.checkpoints, a.continuous, a.kafka,
                  a.max_offsets)
@@ -107,4 +165,4 @@ def main(argv: list[str] | None = None) -> None:
 if __name__ == "__main__":
     main()
 
-__all__ = ["process", "land", "main", "product_slug"]
+__all__ = ["process", "generate", "land", "main", "product_slug"]
