@@ -108,3 +108,44 @@ def test_ranked_context_fanout_exact(spark):
     plain = sorted(map(tuple, P.ranked_context(df, 30).collect()))
     fan = sorted(map(tuple, P.ranked_context(df, 30, fanout=6).collect()))
     assert plain == fan and len([t for t in plain if t[1] == "hot"]) == 30
+
+
+def test_hot_post_comment_join_is_split_by_aqe(spark):
+    """Above the broadcast bound the post -> comments join is a sort-merge
+    join; a post holding a third of all comments is split by AQE."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        data = F.struct(F.concat(F.lit("c"), F.col("id").cast("string")).alias("id"),
+                        F.concat(F.lit("text "), F.col("id").cast("string")).alias("body"),
+                        F.lit("u").alias("author"), F.lit(1).alias("score"),
+                        F.lit(1.7e9).alias("created_utc"), F.lit("t3_x").alias("parent_id"))
+        child = F.struct(F.lit("t1").alias("kind"), data.alias("data"))
+        kids = (spark.range(0, 30000, numPartitions=8)
+                .withColumn("post_id", F.when(F.col("id") % 3 == 0, F.lit("hot"))
+                            .otherwise(F.concat(F.lit("p"), (F.col("id") % 500).cast("string"))))
+                .withColumn("page", F.floor(F.col("id") / 100))
+                .groupBy("post_id", "page").agg(F.collect_list(child).alias("children"))
+                .select("post_id", F.struct(F.struct("children").alias("data")).alias("listing")))
+        posts = (spark.range(0, 500)
+                 .select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("post_id"))
+                 .unionByName(spark.createDataFrame([("hot",)], "post_id string"))
+                 .select("post_id", F.lit("prod").alias("product"), F.lit("u").alias("url"),
+                         F.lit("s").alias("subreddit")))
+        out = I.normalize_comments(kids, posts)
+        rows = out.collect()
+        assert len(rows) == 30000 and sum(r.post_id == "hot" for r in rows) == 10000
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin(skew=true)" in plan
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
