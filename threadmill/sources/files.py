@@ -30,8 +30,12 @@ def _landing_schema(schema: StructType) -> StructType:
 
 
 def write_landing(records: DataFrame, root: str, mode: str = "append") -> None:
-    """Append records to the landing table (one folder per source/product)."""
+    """Append records to the landing table (one folder per source/product).
+
+    Rebalanced on the folder keys like the snapshot: few files per folder,
+    a hot product split by AQE over several writers."""
     (records.withColumn("product_slug", product_slug("product"))
+            .hint("rebalance", "source", "product_slug")
             .write.mode(mode).partitionBy("source", "product_slug").json(root))
 
 
