@@ -143,6 +143,15 @@ def test_hot_post_comment_join_is_split_by_aqe(spark):
         assert len(rows) == 30000 and sum(r.post_id == "hot" for r in rows) == 10000
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin(skew=true)" in plan
+        # comments of busy posts, best 20 each: the partial top-N runs before any
+        # shuffle, so the hot post sends at most 20 rows per map task
+        busy = posts.withColumn("metadata", F.create_map(F.lit("num_comments"), F.lit("60")))
+        best = I.post_comments(busy, out.repartition(8))
+        got = best.collect()
+        assert len(got) == 501 * 20 and sum(r.post_id == "hot" for r in got) == 20
+        bplan = best._jdf.queryExecution().executedPlan().toString()
+        first_limit = bplan.rfind("WindowGroupLimit")          # deepest = first executed
+        assert "Partial" in bplan[first_limit:bplan.find("\n", first_limit)]
     finally:
         for k, v in old.items():
             if v is None:

@@ -96,13 +96,19 @@ def normalize_comments(comment_listings: DataFrame, posts: DataFrame,
 
 def post_comments(posts: DataFrame, comments: DataFrame, min_comments: int = MIN_COMMENTS,
                   per_post: int = COMMENTS_PER_POST) -> DataFrame:
-    """Comments of posts with more than ``min_comments``, best ``per_post`` each."""
+    """Comments of posts with more than ``min_comments``, best ``per_post`` each.
+
+    The semi join keeps or drops whole posts, so ranking first gives the same
+    rows - and lets the partial top-N run in every map task before anything
+    is shuffled: a post holding a third of all comments sends at most
+    ``per_post`` rows per task instead of all its comments into one join task.
+    """
     busy = (posts.where(F.col("metadata")["num_comments"].cast("int") > min_comments)
                  .select("post_id"))
-    joined = comments.join(busy, "post_id", "left_semi")
-    return top_n_per_group(joined, ["post_id"],
+    best = top_n_per_group(comments, ["post_id"],
                            [F.col("score").desc_nulls_last(), F.col("comment_id").asc()],
                            per_post, rank_col="comment_rank")
+    return best.join(busy, "post_id", "left_semi")
 
 
 def _list_or_default(c: str, default: tuple[str, ...]) -> Column:
