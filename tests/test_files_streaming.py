@@ -150,7 +150,7 @@ def test_generate_job_versions_upsert(spark, scratch):
     landing, out = os.path.join(scratch, "landing"), os.path.join(scratch, "out")
     FS.write_landing(A.social(spark, SF), landing)
     snap = jobs.process(spark, landing, out, run_id="r1", cap=5)["output_path"]
-    model = jobs.load_model("threadmill.operators.inference:echo_model")
+    model = jobs.load_model("threadmill.operators.inference:echo_model")()
     first = jobs.generate(spark, snap, out, model, run_id="g1")
     products = spark.read.parquet(snap).select("product").distinct().count()
     assert first["documents"] == products > 0 and first["entries"] == products

@@ -141,6 +141,6 @@ def test_inference_stores_nonreproducible_answers(spark):
     lazy = INF.batch_inference(prompts, random_model, store=False)
     assert sorted(map(tuple, lazy.collect())) != sorted(map(tuple, lazy.collect()))
     # the echo stand-in: one response per prompt, deterministic
-    echo = INF.batch_inference(prompts, INF.echo_model).collect()
+    echo = INF.batch_inference(prompts, INF.echo_model()).collect()
     assert {r.response for r in echo} == {"Q: What do users ask about p%d?\nA: 6 characters of "
                                           "context were reviewed." % i for i in range(200)}

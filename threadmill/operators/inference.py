@@ -26,8 +26,10 @@ RESPONSE_DDL = "product string, provider string, priority int, response string"
 def batch_inference(prompts: DataFrame, model_fn: Callable[[pd.DataFrame], pd.DataFrame],
                     partitions: int | None = None, store: bool = True) -> DataFrame:
     src = prompts.select("product", "provider", "priority", "prompt")
-    if partitions:
-        src = src.repartition(partitions, "product", "provider")
+    # an explicit count: AQE would coalesce the few prompt rows into one task,
+    # and with them every model call
+    partitions = partitions or int(prompts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    src = src.repartition(partitions, "product", "provider")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -41,9 +43,15 @@ def batch_inference(prompts: DataFrame, model_fn: Callable[[pd.DataFrame], pd.Da
     return out
 
 
-def echo_model(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Deterministic stand-in model for tests: one Q/A about the prompt."""
-    resp = ("Q: What do users ask about " + pdf["product"] + "?\nA: "
-            + pdf["prompt"].str.len().astype(str) + " characters of context were reviewed.")
-    return pd.DataFrame({"product": pdf["product"], "provider": pdf["provider"],
-                         "priority": pdf["priority"].astype("int32"), "response": resp})
+def echo_model() -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Deterministic stand-in model for tests: one Q/A about the prompt.
+
+    The function is made here, so it is shipped to the Python workers by
+    value and they need not be able to import this package.
+    """
+    def echo(pdf):
+        resp = ("Q: What do users ask about " + pdf["product"] + "?\nA: "
+                + pdf["prompt"].str.len().astype(str) + " characters of context were reviewed.")
+        return pdf.assign(response=resp, priority=pdf["priority"].astype("int32"))
+
+    return echo

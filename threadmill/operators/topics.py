@@ -11,11 +11,6 @@ cluster summary holds counts and averages and ``topic_members`` holds the
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
-from functools import lru_cache
-
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, HashingTF, StopWordsRemover, Tokenizer
@@ -26,32 +21,29 @@ from pyspark.sql import functions as F
 NUM_FEATURES = 1000
 NUM_CLUSTERS = 10
 SEED = 42
+#: Spark's default English stop words (what StopWordsRemover uses when none are given).
+ENGLISH_STOP_WORDS = tuple("""
+i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she
+her hers herself it its itself they them their theirs themselves what which who whom this that
+these those am is are was were be been being have has had having do does did doing a an the and
+but if or because as until while of at by for with about against between into through during
+before after above below to from up down in out on off over under again further then once here
+there when where why how all any both each few more most other some such no nor not only own
+same so than too very s t can will just don should now i'll you'll he'll she'll we'll they'll
+i'd you'd he'd she'd we'd they'd i'm you're he's she's it's we're they're i've we've you've
+they've isn't aren't wasn't weren't haven't hasn't hadn't don't doesn't didn't won't wouldn't
+shan't shouldn't mustn't can't couldn't cannot could here's how's let's ought that's there's
+what's when's where's who's why's would
+""".split())
 # ---------------------------------------------------------------------------
 
 
-@lru_cache(maxsize=1)
-def english_stop_words() -> tuple[str, ...]:
-    """Spark's default English stop-word list, read from the MLlib jar.
-
-    The same list ``StopWordsRemover`` uses by default; reading it from the
-    jar lets SQL oracles inline it without a running session.
-    """
-    import pyspark
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    for jar in jars:
-        with zipfile.ZipFile(jar) as z:
-            name = "org/apache/spark/ml/feature/stopwords/english.txt"
-            if name in z.namelist():
-                words = z.read(name).decode("utf-8").split("\n")
-                return tuple(w for w in words if w)
-    raise FileNotFoundError("English stop-word list not found in the MLlib jar")
-
-
 def tokens(df: DataFrame, text_col: str = "content_cleaned") -> DataFrame:
     """Add ``words`` (lower-case, split on whitespace) and ``filtered``
     (default English stop words removed, duplicates kept)."""
     tok = Tokenizer(inputCol=text_col, outputCol="words")
-    rem = StopWordsRemover(inputCol="words", outputCol="filtered")
+    rem = StopWordsRemover(inputCol="words", outputCol="filtered",
+                           stopWords=list(ENGLISH_STOP_WORDS))
     return rem.transform(tok.transform(df))
 
 

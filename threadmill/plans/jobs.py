@@ -78,10 +78,18 @@ def _versions(spark: SparkSession, root: str) -> list[str]:
 
 
 def load_model(spec: str):
-    """``module:function`` -> the model function for ``batch_inference``."""
+    """``module:function`` -> the model function for ``batch_inference``.
+
+    The module is pickled by value, so the Python workers of a cluster need
+    not have it on their path.
+    """
     import importlib
-    module, _, name = spec.partition(":")
-    return getattr(importlib.import_module(module), name)
+
+    from pyspark import cloudpickle
+    name, _, function = spec.partition(":")
+    module = importlib.import_module(name)
+    cloudpickle.register_pickle_by_value(module)
+    return getattr(module, function)
 
 
 def generate(spark: SparkSession, processed: str, out: str, model_fn, run_id: str | None = None,

@@ -369,7 +369,7 @@ SELECT product, provider, priority,
 FROM prompts""")
 def q_batch_inference(spark, d):
     pr = P.prompts(_ranked(spark, d), max_items={"large": LARGE_ITEMS, "small": SMALL_ITEMS})
-    return INF.batch_inference(pr, INF.echo_model)
+    return INF.batch_inference(pr, INF.echo_model())
 
 
 ENTRY_COLS = ["product", "provider", "priority", "entry_pos", "question", "answer", "category",
@@ -829,7 +829,7 @@ def q_stream_clean(spark, d):
 
 from ..operators import topics as TP  # noqa: E402
 
-STOP_SQL = "[" + ", ".join(O.q(w) for w in TP.english_stop_words()) + "]"
+STOP_SQL = "[" + ", ".join(O.q(w) for w in TP.ENGLISH_STOP_WORDS) + "]"
 TOKENS_SQL = O.with_(O.SOCIAL, O.CLEANED) + f"""
 , tk AS (SELECT id, string_split(lower(content_cleaned), ' ') AS words FROM cleaned),
 tf AS (SELECT id, words, list_filter(words, lambda w: NOT list_contains({STOP_SQL}, w)) AS filtered
