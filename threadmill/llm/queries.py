@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
-from .base import WORD_PATTERN, table
+from . import bpe, mixing, packing, sharding
+from .base import WORD_PATTERN, shared_path, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -21,6 +21,21 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+#: The public tokenizer of the encoding queries, and the end id of op4.
+TOKENIZER = "word_bpe_49k.json"
+END_ID = 2
+
+
+# --- 4: packed token files ---------------------------------------------------
+
+@register("op4_packed_token_files")
+def op4_packed_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, length and checksum, read back from the packed files just written."""
+    path = shared_path(spark, "packed-tokens")
+    packing.write(table(spark, sf_dir, "documents"), path, TOKENIZER, END_ID)
+    return packing.read_checksums(spark, path).withColumnRenamed("key", "doc_id")
+
+
 # --- 6: sharding -------------------------------------------------------------
 
 N_SHARDS = 16
@@ -101,3 +116,16 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(docs, mix_domain(), **MIX)
     return mixed.select("doc_id", "epoch", F.col(mixing.DOMAIN).alias("domain"), F.col(mixing.LANG).alias("lang"),
                         F.col(mixing.SOURCE).alias("source"), mixing.n_words(F.col("text")).alias("n_tokens"))
+
+
+# --- 9: BPE ------------------------------------------------------------------
+
+@register("op9_backtracking_bpe")
+def op9_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids, and of the text decoded from them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = bpe.decode(bpe.encode(docs, TOKENIZER).drop("text"), TOKENIZER)
+    ids = F.concat_ws(" ", F.col("token_ids").cast("array<string>"))
+    return both.select("doc_id", F.size("token_ids").cast("bigint").alias("n_tokens"),
+                       F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
