@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, packing, sharding
+from . import bpe, mixing, packing, quality, sharding
 from .base import WORD_PATTERN, shared_path, table
 
 QUERIES: dict = {}
@@ -21,6 +21,31 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+# --- 3: quality --------------------------------------------------------------
+
+#: A document with a score below is taken as bad.
+QUALITY_CUT = 0.3
+
+
+def held_out(key: str = "doc_id"):
+    """Rows whose labels are never learned from."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.train(docs, labels.where(~held_out()))
+
+
+@register("op3_compression_quality")
+def op3_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability of being good."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality_model(spark, sf_dir))
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
+
+
 #: The public tokenizer of the encoding queries, and the end id of op4.
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
