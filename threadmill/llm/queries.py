@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, packing, quality, sharding
+from . import ann, bpe, metric_join, mixing, packing, quality, sharding
 from .base import WORD_PATTERN, shared_path, table
 
 QUERIES: dict = {}
@@ -21,6 +21,14 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+# --- 2: nearest vectors ------------------------------------------------------
+
+@register("op2_onebit_neighbours")
+def op2_onebit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors of every vector whose id is divisible by 50."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5)
+
+
 # --- 3: quality --------------------------------------------------------------
 
 #: A document with a score below is taken as bad.
@@ -81,6 +89,14 @@ def op6_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.col("slot").cast("bigint").alias("slot"), "grown_shard")
 
 
+# --- 7: near vectors ---------------------------------------------------------
+
+@register("op7_pivot_range_join")
+def op7_pivot_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links at cosine 0.9 and its component."""
+    return metric_join.near_links(table(spark, sf_dir, "embeddings"), 0.9)
+
+
 # --- 8: mixing ---------------------------------------------------------------
 
 MIX = {"weights": {("crawl",): 1.0, ("curated",): 3.0, ("*", "en"): 2.0},
