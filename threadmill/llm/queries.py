@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, metric_join, mixing, packing, quality, sharding
+from . import ann, bpe, metric_join, mixing, packing, pii, quality, sharding
 from .base import WORD_PATTERN, shared_path, table
 
 QUERIES: dict = {}
@@ -69,6 +69,25 @@ def op4_packed_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.read_checksums(spark, path).withColumnRenamed("key", "doc_id")
 
 
+# --- 5: personal data --------------------------------------------------------
+
+def _listed(spans: str):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def _of_kind(kind: str):
+    return lambda span: span["kind"] == kind
+
+
+@register("op5_crf_personal_data")
+def op5_crf_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data: counts by kind, digest of the rule spans, all spans."""
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(F.filter("spans", _of_kind(kind))).cast("bigint").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(_listed("base").cast("binary"), 256).alias("base_sha256"),
+                        _listed("spans").alias("spans"))
+
+
 # --- 6: sharding -------------------------------------------------------------
 
 N_SHARDS = 16
