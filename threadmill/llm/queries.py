@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, metric_join, mixing, packing, pii, quality, sharding
+from . import ann, bpe, jaccard, metric_join, mixing, packing, pii, quality, sharding
 from .base import WORD_PATTERN, shared_path, table
 
 QUERIES: dict = {}
@@ -189,3 +189,11 @@ def op9_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("token_ids").cast("bigint").alias("n_tokens"),
                        F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+# --- 10: near-duplicate documents --------------------------------------------
+
+@register("op10_ngram_jaccard_join")
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of 5-word shingles and its component at a similarity of 0.8."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), 80, 5)
