@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, jaccard, metric_join, mixing, packing, pii, quality, sharding
+from . import ann, bpe, jaccard, lm, metric_join, mixing, packing, pii, quality, sharding
 from .base import WORD_PATTERN, shared_path, table
 
 QUERIES: dict = {}
@@ -21,6 +21,36 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+# --- 1: language-model scores ------------------------------------------------
+
+OP1_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                  'abcdefghijklmnopqrstuvwxyz'), '{WORD_PATTERN}') AS w FROM documents),
+p AS (SELECT doc_id, w[i - 2] AS w0, w[i - 1] AS w1, w[i] AS w2, i
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+q AS (SELECT doc_id, i, count(*) OVER (PARTITION BY w2) AS c1,
+             CASE WHEN i >= 2 THEN count(*) FILTER (i >= 2) OVER (PARTITION BY w1, w2) ELSE 0 END AS c2,
+             CASE WHEN i >= 3 THEN count(*) FILTER (i >= 3) OVER (PARTITION BY w0, w1, w2) ELSE 0 END AS c3,
+             count(*) OVER () AS total FROM p),
+r AS (SELECT *, lag(c1) OVER b AS before1, lag(c2) OVER b AS before2 FROM q
+      WINDOW b AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT doc_id, count(*) AS n, sum(CASE WHEN c3 >= 2 THEN ln(c3 / before2)
+             WHEN c2 >= 2 THEN ln(c2 / before1) + least(i - 2, 1) * ln(0.4)
+             ELSE ln(c1 / total) + least(i - 1, 2) * ln(0.4) END) AS score FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_words, round(coalesce(score, 0), 4) AS log_score,
+       round(score / n, 6) AS mean_log_score
+FROM d LEFT JOIN s USING (doc_id)
+"""
+
+
+@register("op1_stupid_backoff", OP1_SQL)
+def op1_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's trigram score under the counts of all documents."""
+    scored = lm.score(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"),
+                         F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 # --- 2: nearest vectors ------------------------------------------------------
 
 @register("op2_onebit_neighbours")
