@@ -39,7 +39,9 @@ from . import wordbpe
 from .base import per_worker
 
 #: Entries of a worker's pair-compatibility table before it is emptied.
-MAX_PAIRS = 1_000_000
+MAX_PAIRS = 200_000
+#: Rows that are encoded or decoded at a time; a batch holds far more.
+SLICE_ROWS = 256
 #: Added to a character's code to make the letter that ends a word.
 END = 0xE000
 
@@ -84,7 +86,7 @@ class BacktrackingBpe:
         self.automaton.make_automaton()
         self.right_chain: dict[int, list] = {}
         self.left_chain: dict[int, list] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     def chain(self, token: int, side: int) -> list[tuple[int, int, float]]:
         """(sub-token at that edge, rank of its own merge, rank of the merge that uses it up)."""
@@ -103,11 +105,12 @@ class BacktrackingBpe:
         return kept[token]
 
     def compatible(self, first: int, second: int) -> bool:
-        known = self.pairs.get((first, second))
+        pair = first << 32 | second
+        known = self.pairs.get(pair)
         if known is None:
             if len(self.pairs) >= MAX_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[first, second] = self._compatible(first, second)
+            known = self.pairs[pair] = self._compatible(first, second)
         return known
 
     def _compatible(self, first: int, second: int) -> bool:
@@ -205,9 +208,11 @@ def _with_column(df: DataFrame, name: str, kind: T.DataType, source: str, make)
     schema = T.StructType([df.schema[c] for c in out] + [T.StructField(name, kind, False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = make(batch.column(kept.index(source)))
-            yield pa.RecordBatch.from_arrays([batch.column(kept.index(c)) for c in out] + [made], [*out, name])
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(start, SLICE_ROWS)
+                made = make(batch.column(kept.index(source)))
+                yield pa.RecordBatch.from_arrays([batch.column(kept.index(c)) for c in out] + [made], [*out, name])
 
     return df.select(*kept).mapInArrow(run, schema)
 
@@ -231,7 +236,7 @@ def decode(df: DataFrame, tokenizer: str, ids_col: str = "token_ids", text_col:
     def make(lists):
         flat = lists.flatten().to_numpy(zero_copy_only=False)
         sizes = np.array([len(x) if x is not None else 0 for x in lists], np.int64) if lists.null_count else \
-            np.diff(lists.offsets.to_numpy())
+            np.diff(lists.offsets.to_numpy())  # a slice's offsets do not start at 0, its flattened values do
         offsets = np.concatenate([[0], np.cumsum(sizes)])
         data, bounds = _table(tokenizer).gather(flat, offsets)
         data = data.tobytes()

@@ -23,8 +23,8 @@ import unicodedata
 import numpy as np
 
 #: Entries of a worker's tables; a full table is emptied and filled anew.
-MAX_CHUNKS = 600_000
-MAX_PIECES = 300_000
+MAX_CHUNKS = 300_000
+MAX_PIECES = 200_000
 
 
 def resolve(tokenizer: str) -> str:
