@@ -1,0 +1,119 @@
+import random
+import re
+
+import numpy as np
+import pytest
+from texts import SCHEMA, docs, empty, rows
+
+from threadmill.llm import jaccard, words
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def shingles(text, n=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    if len(w) < n:
+        return frozenset([tuple(w)]) if w else frozenset()
+    return frozenset(tuple(w[i:i + n]) for i in range(len(w) - n + 1))
+
+
+def brute(data, percent=80, n=5):
+    sets = [(r[0], shingles(r[1], n)) for r in data if r[0] is not None]
+    head = {i: i for i, _ in sets}
+
+    def find(x):
+        while head[x] != x:
+            x = head[x]
+        return x
+
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[k + 1:]:
+            both = len(a & b)
+            if a and b and 100 * both >= percent * (len(a) + len(b) - both):
+                x, y = find(i), find(j)
+                head[max(x, y)] = min(x, y)
+    return {i: find(i) for i, _ in sets}
+
+
+def family(seed, n=170, sizes=(1, 60)):
+    """Texts at every distance from each other: copies with a few changed, dropped or added words."""
+    rng = random.Random(seed)
+    out = []
+    while len(out) < n:
+        base = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(*sizes))]
+        for _ in range(rng.randrange(1, 6)):
+            near = list(base)
+            for _ in range(rng.randrange(0, 1 + len(base) // 12)):
+                at, what = rng.randrange(len(near)), rng.randrange(3)
+                near[at:at + (what > 0)] = ["new%d" % rng.randrange(9)] if what < 2 else []
+                near = near or ["w"]
+            out.append(" ".join(near) + ("" if rng.random() < 0.8 else " " + " ".join(base[:9])))
+    return [(i, t, *[None] * 8) for i, t in enumerate(out)]
+
+
+@pytest.mark.parametrize("seed,sizes,percent,n", [
+    (1, (1, 30), 80, 5), (2, (5, 16), 80, 5), (3, (40, 260), 80, 5), (4, (1, 12), 60, 1), (5, (20, 60), 90, 2)])
+def test_matches_brute_force(spark, seed, sizes, percent, n):
+    data = family(seed, sizes=sizes)
+    out = {r.doc_id: r for r in jaccard.near_duplicates(docs(spark, data), percent, n).collect()}
+    want = brute(data, percent, n)
+    assert {i: r.component_id for i, r in out.items()} == want
+    assert all(out[r[0]].n_shingles == len(shingles(r[1], n)) for r in data)
+    assert len(set(want.values())) < len(want)
+
+
+def test_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FLUSH", 500)      # several runs in one task
+    data = rows() + [(None, rows()[30][1], *[None] * 8), (3, "another text with the id of a short one", *[None] * 8)]
+    got = jaccard.near_duplicates(docs(spark, data)).collect()
+    assert len(got) == len(data)
+    want = brute(data)
+    assert all(r.component_id == want.get(r.doc_id) for r in got)
+    assert jaccard.near_duplicates(empty(spark)).count() == 0
+
+
+def test_large_group_of_near_copies_gives_few_candidates(spark):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(100)]
+    data = []
+    for i in range(300):
+        near = list(base)
+        near[rng.randrange(100)] = f"n{rng.randrange(5)}"
+        data.append((i, " ".join(near), *[None] * 8))
+    assert {r.component_id for r in jaccard.near_duplicates(docs(spark, data)).collect()} == {0}
+
+
+@pytest.mark.parametrize("deletion", [False, True])
+def test_similar_sets_always_share_an_index_hash(monkeypatch, deletion):
+    monkeypatch.setattr(jaccard, "allocation", lambda low, high, percent, plain=jaccard.allocation: (
+        max(1, plain(low, high, percent)[0] // (2 if deletion else 1)), deletion))
+    rng = np.random.default_rng(7)
+    for percent in (60, 80, 90):
+        table = jaccard.bands(400, percent)
+        for _ in range(1500):
+            n = int(rng.integers(1, 120))
+            x = rng.integers(0, 2 ** 63, n, dtype=np.uint64) * np.uint64(2)
+            drop = int(rng.integers(0, 1 + n * (100 - percent) // 100))
+            y = np.concatenate([x[drop:], rng.integers(0, 2 ** 63, int(rng.integers(0, 1 + n // 5)), dtype=np.uint64)])
+            x, y = np.unique(x), np.unique(y)
+            both = len(np.intersect1d(x, y))
+            if len(y) and 100 * both >= percent * (len(x) + len(y) - both):
+                a, b = (jaccard.index_hashes(s, percent, table) for s in (x, y))
+                assert len(np.intersect1d(a, b)), (percent, len(x), len(y), both)
+
+
+def test_bitmaps_never_exceed_the_difference():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        x = np.unique(rng.integers(0, 2 ** 63, int(rng.integers(1, 900)), dtype=np.uint64))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) < 0.7], x[:1] + np.uint64(1)]))
+        bits = int.from_bytes(jaccard.parity(x), "little") ^ int.from_bytes(jaccard.parity(y), "little")
+        assert bits.bit_count() <= len(np.setxor1d(x, y))
+
+
+def test_word_hashes_follow_words_only():
+    texts = ["Ada  bé\tcot", "ada bé cot ", "ADA\x0bbé\r\ncot", "", " ", "ada", "adabé cot", "x" * 100_000]
+    h, at = words.word_hashes([t.encode() for t in texts], {})
+    parts = [tuple(h[a:b]) for a, b in zip(at[:-1], at[1:])]
+    assert parts[0] == parts[1] == parts[2] and parts[3] == parts[4] == () and parts[5] == parts[0][:1]
+    assert len(set(h.tolist())) == 5 and len(parts[7]) == 1

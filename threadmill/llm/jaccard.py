@@ -346,5 +346,6 @@ def near_duplicates(df: DataFrame, percent: int = 80, n: int = 5, id_col: str =
     end = stored(components(links.unionByName(more).unionByName(ties)))
     of_class = stored(classes.join(end.withColumnRenamed("node", "id"), "id", "left")
                       .select("digest", F.coalesce("component", "id").alias("component_id")))
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return (rows.join(of_class, "digest", "left")
-            .select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id")))
+            .select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id")))
