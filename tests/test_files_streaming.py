@@ -1,5 +1,8 @@
 import os
 
+import pytest
+from pyspark.sql import functions as F
+
 from threadmill.sources import adapters as A
 from threadmill.sources import files as FS
 from threadmill.sources import queue as Q
@@ -46,6 +49,101 @@ def test_raw_scan_folder_variants(spark, scratch):
     assert {r.product_slug.rstrip("_") for r in only} <= {"src1"}
 
 
+def _landed(spark, scratch, rows):
+    root = os.path.join(scratch, "landing")
+    df = spark.createDataFrame(rows, "id long, source string, product string, content string")
+    FS.write_landing(df, root)
+    return root
+
+
+def test_raw_scan_decides_per_source_and_by_data(spark, scratch):
+    rows = [(i, "reddit", "src3", "a") for i in range(5)] + [(10 + i, "other", "src3 ", "b") for i in range(7)]
+    rows += [(30 + i, "other", "src4 ", "c") for i in range(3)]
+    root = _landed(spark, scratch, rows)
+    # an exact folder that holds only a marker does not hide the filled one
+    empty = os.path.join(root, "source=other", "product_slug=src4")
+    os.makedirs(empty)
+    open(os.path.join(empty, "_SUCCESS"), "w").close()
+    ids = lambda **k: sorted(r.id for r in FS.raw_scan(spark, root, **k).collect())
+    assert ids() == sorted(r[0] for r in rows)
+    assert ids(source="reddit") == list(range(5))
+    assert ids(source="other", slugs=["src3"]) == list(range(10, 17))
+    assert ids(slugs=["src4"]) == [30, 31, 32]
+
+
+def test_first_n_files_variants_and_json_names(spark, scratch):
+    root = os.path.join(scratch, "batches")
+    for slug, names in (("a", ["2.json", "1.json", "3.json"]), ("b_", ["1.json"]), ("c", ["1.json"]), ("c_", ["1.json"])):
+        folder = os.path.join(root, "source=reddit", f"product_slug={slug}")
+        os.makedirs(folder)
+        for n in names:
+            with open(os.path.join(folder, n), "w") as f:
+                f.write('[{"id": %d, "content": "%s"}]' % (int(n[0]), slug))
+    got = sorted((r.product_slug, r.id) for r in FS.first_n_files(spark, root, n=2).collect())
+    assert got == [("a", 1), ("a", 2), ("b_", 1), ("c", 1)]
+    assert [r.id for r in FS.first_n_files(spark, root, slugs=["b"]).collect()] == [1]
+    assert FS.first_n_files(spark, root, source="forum").count() == 0
+
+
+def test_latest_copy_keeps_other_products_and_raises_other_errors(spark, scratch):
+    from threadmill.plans import jobs
+    landing, out = os.path.join(scratch, "landing"), os.path.join(scratch, "out")
+    FS.write_landing(A.social(spark, SF), landing)
+    jobs.process(spark, landing, out, run_id="r1")
+    latest = os.path.join(out, "processed", "latest.json")
+    before = FS.read_latest(spark, latest).groupBy("product_slug").count().collect()
+    jobs.process(spark, landing, out, product="src3", run_id="r2", cap=1)
+    after = {r.product_slug: r["count"] for r in FS.read_latest(spark, latest).groupBy("product_slug").count().collect()}
+    assert after == {r.product_slug: r["count"] for r in before} | {"src3": 1}
+    assert FS.read_latest(spark, os.path.join(scratch, "nothing")).count() == 0
+    with pytest.raises(Exception):
+        FS.read_latest(spark, "nosuchfs://host/latest.json").count()
+
+
+def test_versions_are_committed_ones_in_order(spark, scratch):
+    from threadmill.plans import jobs
+    landing, out = os.path.join(scratch, "landing"), os.path.join(scratch, "out")
+    FS.write_landing(A.social(spark, SF), landing)
+    snap = jobs.process(spark, landing, out, run_id="r1", cap=3)["output_path"]
+    model = jobs.load_model("threadmill.operators.inference:echo_model")()
+    os.makedirs(os.path.join(out, "faqs", "version=r99", "_temporary"))
+    for run in ("r9", "r10"):
+        jobs.generate(spark, snap, out, model, run_id=run)
+        os.utime(os.path.join(out, "faqs", f"version={run}", "_SUCCESS"), (100, 100 if run == "r9" else 200))
+    assert [v.rsplit("=")[-1] for v in jobs._versions(spark, os.path.join(out, "faqs"))] == ["r9", "r10"]
+    with pytest.raises(ValueError):
+        jobs.generate(spark, snap, out, model, run_id="r9")
+
+
+def test_cluster_needs_a_shared_checkpoint_folder():
+    from threadmill import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError):
+        session.checkpoint_root(Session())
+
+
+def test_stream_landing_writes_one_file_per_folder_and_batch(spark, scratch):
+    inbox, out = os.path.join(scratch, "inbox"), os.path.join(scratch, "landing")
+    ST.stage_messages(A.queue_messages(spark, SF).repartition(6), inbox)
+    ST.run_to_end(ST.start_landing(ST.file_queue_source(spark, inbox, files_per_batch=100), out,
+                                   os.path.join(scratch, "ck")))
+    files = FS.data_files(spark, out, glob="*.json").groupBy("source", "product_slug").count().collect()
+    assert files and all(r["count"] == 1 for r in files)
+
+
 def test_stream_restart_adds_nothing(spark, scratch):
     inbox, out, ck = (os.path.join(scratch, x) for x in ("inbox", "landing", "ck"))
     ST.stage_messages(A.queue_messages(spark, SF), inbox, n_files=3)
@@ -102,9 +200,17 @@ def test_small_side_is_broadcast(spark):
     small = spark.range(0, 10).withColumnRenamed("id", "k")
     plan = big.join(small_side(small), "k")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan
-    plan2 = big.join(small_side(small, max_rows=5), "k")._jdf.queryExecution().executedPlan() \
-               .toString()
-    assert "Broadcast" not in plan2 or "SortMergeJoin" in plan2 or "AdaptiveSparkPlan" in plan2
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan2 = big.join(small_side(small, max_bytes=50), "k")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "Broadcast" not in plan2 and "SortMergeJoin" in plan2
+    # the bound is on bytes: few rows with long text are not small
+    from threadmill.operators.joins import measured_bytes
+    long = spark.range(3).select(F.repeat(F.lit("x"), 100_000).alias("t"))
+    assert measured_bytes(long) >= 300_000
 
 
 def test_raw_scan_reads_array_files(spark, scratch):

@@ -31,12 +31,28 @@ def test_top_n_hot_product_fanout_exact(spark):
     assert [(t[2], t[0]) for t in sorted(hot, key=lambda t: t[3])] == rows
 
 
-def test_auto_fanout_scales_with_input(spark):
-    small = spark.range(10).coalesce(1)
-    assert rank.auto_fanout(small) is None
-    big = spark.range(0, 1000, numPartitions=400)
-    f = rank.auto_fanout(big)
-    assert f is not None and f >= 2
+def test_hot_product_is_split_by_default(spark):
+    """No task of the last stage gets more than n rows of each first-level bucket."""
+    raw = (_skewed(spark).withColumn("score", F.col("relevance_score")).withColumn("data_type", F.lit("post"))
+           .withColumn("url", F.lit("u")).withColumn("content", F.lit("a text that is long enough to be kept")))
+    scored = scoring.process(raw)
+    n = 5
+    one_level = scoring.faq_ready(scored, cap=n, fanout=None)
+    ready = scoring.faq_ready(scored, cap=n)
+    assert sorted(map(tuple, ready.collect())) == sorted(map(tuple, one_level.collect()))
+    plan = ready._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("row_number()") > one_level._jdf.queryExecution().executedPlan().toString().count("row_number()")
+    bucket = F.spark_partition_id() % rank.FANOUT
+    first = (scored.withColumn("b", bucket).where("product = 'hot'").groupBy("b").count().count())
+    assert first <= rank.FANOUT
+
+
+def test_prompts_are_spread_before_the_model_call(spark):
+    from threadmill.operators import inference as INF
+    prompts = spark.createDataFrame([(f"p{i}", "large", 1, "text") for i in range(40)],
+                                    "product string, provider string, priority int, prompt string").coalesce(1)
+    out = INF.batch_inference(prompts, INF.echo_model(), store=False)
+    assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 1
 
 
 def test_keyword_match_hot_subreddit_no_shuffle_of_records(spark):
@@ -46,8 +62,8 @@ def test_keyword_match_hot_subreddit_no_shuffle_of_records(spark):
                         F.concat(F.lit("s"), (F.col("id") % 7).cast("string"))).alias("subreddit"),
                     F.when(F.col("id") % 2 == 0, "alpha beta").otherwise("gamma").alias("content"),
                     F.format_string("t%08d", F.col("id")).alias("created_at")))
-    kw = spark.createDataFrame([("hot", "alpha", 1), ("s1", "gamma", 1)],
-                               "subreddit string, keyword string, keyword_rank int")
+    kw = spark.createDataFrame([("Alpha", "hot", "beta"), ("gamma", "s1", "gamma"), ("missing", "hot", "alpha")],
+                               "product string, subreddit string, keyword string")
     m = I.keyword_match(docs, kw, per_search=5)
     plan = m._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan
@@ -66,7 +82,8 @@ def test_latest_wins_with_hot_key(spark):
     # the latest run of the hot product is id 29997 (ok) -> completed
     assert r.status == "completed"
     plan = TB.product_status(prods, runs)._jdf.queryExecution().executedPlan().toString()
-    assert "Window" not in plan          # a max_by aggregation, no sort of the hot key
+    limit = plan.rfind("WindowGroupLimit")      # the deepest runs before the shuffle
+    assert "Partial" in plan[limit:plan.find("\n", limit)] and "SortAggregate" not in plan
 
 
 def test_hot_post_comment_pages_bounded(spark, scratch):
@@ -88,16 +105,16 @@ def test_hot_post_comment_pages_bounded(spark, scratch):
 
 def test_keyword_match_long_keyword_lists_exact(spark):
     # 2500 keywords in one subreddit: three list rows; result equals brute force
-    kws = [("hot", f"w{i:04d}", i % 3 + 1) for i in range(2500)] + [("cold", "w0001", 1)]
-    kw = spark.createDataFrame(kws, "subreddit string, keyword string, keyword_rank int")
+    kws = [("Text", "hot", f"w{i:04d}") for i in range(2500)] + [("and", "cold", "W0001")]
+    kw = spark.createDataFrame(kws, "product string, subreddit string, keyword string")
     docs_rows = [(i, "prod", "hot" if i % 2 else "cold",
                   f"Text W{i * 7 % 2600:04d} and w{i * 13 % 2600:04d}", f"t{i:05d}")
                  for i in range(400)]
     docs = spark.createDataFrame(docs_rows, "id long, product string, subreddit string, "
                                  "content string, created_at string")
     got = sorted((r.id, r.keyword) for r in I.keyword_match(docs, kw, per_search=1000).collect())
-    want = sorted((i, k) for i, _, s, c, _ in docs_rows for s2, k, _ in kws
-                  if s2 == s and k in c.lower())
+    want = sorted((i, k) for i, _, s, c, _ in docs_rows for p, s2, k in kws
+                  if s2 == s and k.lower() in c.lower() and p.lower() in c.lower())
     assert got == want
     assert len(want) > 300
 

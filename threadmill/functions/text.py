@@ -1,8 +1,8 @@
 """Column expressions for text: slug, cleaning, sentences, question extraction.
 
-All of these are native Catalyst expressions (regexp_replace, split and the
-higher-order functions transform/filter), so they stay inside whole-stage
-codegen; no Python runs per row.
+All of these are native Catalyst expressions; no Python runs per row.  The
+higher-order functions (transform, filter) are evaluated by the JVM outside of
+the generated code of their stage.
 """
 
 from __future__ import annotations
@@ -13,10 +13,6 @@ from pyspark.sql import functions as F
 # --- fixed values (must equal the reference's behaviour) -------------------
 # URL removal pattern, applied after lower-casing.
 URL_PATTERN = r"http\S+|www\.\S+"
-# Everything outside letters, digits, whitespace and ? . ! becomes a space.
-STRIP_PATTERN = r"[^a-zA-Z0-9\s\?\.\!]"
-# Runs of whitespace collapse to one space.
-SPACE_PATTERN = r"\s+"
 # A cleaned text must be longer than this to be kept.
 MIN_CLEAN_LENGTH = 20
 # A sentence counts as a question if it ends with "?" or starts with one of
@@ -50,8 +46,8 @@ def product_slug(c, strip: bool = False) -> Column:
     return F.lower(F.regexp_replace(c, " ", "_"))
 
 
-# Every character outside the allowed set becomes whitespace (STRIP_PATTERN)
-# and every whitespace run then becomes one space (SPACE_PATTERN).  Both
+# Every character outside the allowed set becomes whitespace (first step)
+# and every whitespace run then becomes one space (second step).  Both
 # together turn each maximal run of characters outside [a-zA-Z0-9?.!] into
 # exactly one space, which one pass over the text does with far fewer
 # replacements.  ``\p{Alnum}`` is Java regex's ASCII class [a-zA-Z0-9]
@@ -63,9 +59,9 @@ FUSED_STRIP_PATTERN = r"[^\p{Alnum}?.!]+"
 def clean_text(c) -> Column:
     """lower -> drop URLs -> non-allowed runs to one space -> trim.
 
-    Same result as applying URL_PATTERN, STRIP_PATTERN and SPACE_PATTERN in
-    turn (see FUSED_STRIP_PATTERN; checked against the three-step form in
-    tests and by the SQL oracle).
+    Same result as dropping URLs, spacing out the other characters and joining
+    white space in turn (see FUSED_STRIP_PATTERN; checked against that
+    three-step form in tests and by the SQL oracle).
     """
     c = F.lower(_col(c))
     c = F.regexp_replace(c, URL_PATTERN, "")
@@ -73,15 +69,6 @@ def clean_text(c) -> Column:
     return F.trim(c)
 
 
-def clean_text_stepwise(c) -> Column:
-    """The three-step form of :func:`clean_text` (reference order)."""
-    c = F.lower(_col(c))
-    c = F.regexp_replace(c, URL_PATTERN, "")
-    c = F.regexp_replace(c, STRIP_PATTERN, " ")
-    c = F.regexp_replace(c, SPACE_PATTERN, " ")
-    return F.trim(c)
-
-
 def keep_cleaned(c) -> Column:
     """Predicate: cleaned text is long enough (NULL text is dropped)."""
     return F.length(_col(c)) > MIN_CLEAN_LENGTH

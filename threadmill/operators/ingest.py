@@ -7,13 +7,13 @@ joins replace requests, and windows replace "first N of the response".
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.adapters import ISO_FORMAT
 from ..session import materialize
-from .joins import broadcast_if
-from .rank import top_n_per_group
+from .joins import small_side
+from .rank import FANOUT, top_n_per_group
 
 # --- fixed values -----------------------------------------------------------
 PERMALINK_HOST = "https://reddit.com"
@@ -28,7 +28,7 @@ MIN_COMMENTS = 5          # comments are fetched only above this count
 MIN_SUBSCRIBERS = 1000    # communities at or below are ignored
 SEARCH_RESULTS = 10       # community search results returned per topic
 TOP_COMMUNITIES = 3
-KEYWORDS_PER_ROW = 1024   # keywords per gathered list row in the keyword match
+SEARCHES_PER_ROW = 1024   # searches per gathered list row in the keyword match
 # ---------------------------------------------------------------------------
 
 
@@ -107,7 +107,7 @@ def post_comments(posts: DataFrame, comments: DataFrame, min_comments: int = MIN
                  .select("post_id"))
     best = top_n_per_group(comments, ["post_id"],
                            [F.col("score").desc_nulls_last(), F.col("comment_id").asc()],
-                           per_post, rank_col="comment_rank")
+                           per_post, rank_col="comment_rank", fanout=FANOUT)
     return best.join(busy, "post_id", "left_semi")
 
 
@@ -145,61 +145,51 @@ def search_grid(products: DataFrame) -> DataFrame:
     return g.withColumn("search_query", q).withColumn("query_escaped", query_escape(q))
 
 
-def frequent_words(docs: DataFrame, group_col: str = "subreddit", text_col: str = "content",
-                   k: int = 3, min_len: int = 4, max_len: int = 8) -> DataFrame:
-    """The ``k`` most frequent words (ASCII letters, length in range) per group.
+def keyword_match(docs: DataFrame, tasks: DataFrame, per_search: int = SEARCH_PAGE) -> DataFrame:
+    """The searches of a task grid: what every ("product" AND keyword) finds in its subreddit.
 
-    explode -> groupBy(group, word).count (map-side combine) -> top-k window.
-    """
-    words = (docs.select(group_col, F.explode(F.split(F.lower(text_col), "[^a-z]+")).alias("word"))
-                 .where(F.length("word").between(min_len, max_len)))
-    counts = words.groupBy(group_col, "word").agg(F.count(F.lit(1)).alias("n"))
-    return top_n_per_group(counts, [group_col], [F.col("n").desc(), F.col("word").asc()], k,
-                           rank_col="keyword_rank").withColumnRenamed("word", "keyword")
-
-
-def keyword_match(docs: DataFrame, keywords: DataFrame, per_search: int = SEARCH_PAGE) -> DataFrame:
-    """Search emulation: records of a product in a subreddit containing a keyword.
-
-    ``keywords`` = (subreddit, keyword, keyword_rank).  The keywords of each
-    subreddit are gathered into list rows of at most KEYWORDS_PER_ROW, so the
-    join on subreddit gives a record one partner row per list (one for any
-    usual subreddit); the keywords its lower-cased text contains are then
-    exploded - only real matches become rows, never (record, keyword)
-    candidate pairs.  The lists are broadcast when the keyword count is
-    within the bound, so the records are never shuffled for the join (a hot
-    subreddit stays spread over tasks); above it the join shuffles and AQE
-    splits a hot subreddit.  Newest ``per_search`` per (product, subreddit,
-    keyword).
+    ``tasks`` = (product, subreddit, keyword), as ``search_grid`` gives them.  A
+    record is found when its text contains the product's name and the keyword,
+    whatever their case; the newest ``per_search`` of each task are kept.
+    Returns (product, subreddit, keyword, id, created_at, search_rank), product
+    being the one searched for; other columns join back on ``id``.
+
+    The searches of each subreddit are gathered into lists of about
+    SEARCHES_PER_ROW, so the join on subreddit gives a record one partner row
+    per list; only real matches are exploded, never (record, task) candidate
+    pairs.  The lists are broadcast within a byte bound, so the records are
+    not shuffled for the join (a hot subreddit stays spread over tasks); above
+    it the join shuffles and AQE splits a hot subreddit.
     """
-    kws = materialize(keywords.select("subreddit", "keyword", "keyword_rank").distinct())
-    n_keywords = kws.count()                     # the size that is broadcast
-    nth = F.row_number().over(Window.partitionBy("subreddit").orderBy("keyword", "keyword_rank"))
-    lists = (kws.withColumn("__tm_list", F.floor((nth - 1) / KEYWORDS_PER_ROW))
-                .groupBy("subreddit", "__tm_list")
-                .agg(F.collect_list(F.struct("keyword", "keyword_rank")).alias("__tm_kws"))
-                .drop("__tm_list"))
-    kw = broadcast_if(lists, n_keywords)
-    text = F.lower(F.col("content"))
-    hit = F.filter("__tm_kws", lambda k: F.col("__tm_text").contains(k["keyword"]))
-    m = (docs.join(kw, "subreddit")
-             .withColumn("__tm_text", text)
-             .withColumn("__tm_hit", F.explode(hit))
-             .select(*docs.columns, "__tm_hit.keyword", "__tm_hit.keyword_rank"))
-    return top_n_per_group(m, ["product", "subreddit", "keyword"],
+    wanted = materialize(tasks.select("product", "subreddit", "keyword").distinct())
+    n_lists = max(1, -(-wanted.count() // SEARCHES_PER_ROW))
+    part = F.pmod(F.xxhash64("product", "keyword"), F.lit(n_lists))
+    lists = small_side(wanted.groupBy("subreddit", part.alias("__tm_list"))
+                       .agg(F.collect_list(F.struct("product", "keyword")).alias("__tm_tasks"))
+                       .drop("__tm_list"))
+    text = F.col("__tm_text")
+    hit = F.filter("__tm_tasks", lambda t: text.contains(F.lower(t["product"]))
+                   & text.contains(F.lower(t["keyword"])))
+    found = (docs.select("id", "subreddit", "created_at", F.lower("content").alias("__tm_text"))
+                 .join(lists, "subreddit")
+                 .select("id", "subreddit", "created_at", F.explode(hit).alias("__tm_hit"))
+                 .select("__tm_hit.product", "subreddit", "__tm_hit.keyword", "id", "created_at"))
+    return top_n_per_group(found, ["product", "subreddit", "keyword"],
                            [F.col("created_at").desc(), F.col("id").asc()], per_search,
-                           rank_col="search_rank")
+                           rank_col="search_rank", fanout=FANOUT)
 
 
 def dedup_raw(records: DataFrame, key: Column, order: list[str]) -> DataFrame:
     """One record per key: the one with the greatest ``order`` tuple.
 
-    ``max_by`` is a hash aggregate with map-side partial combine, so a key
-    repeated across many tasks collapses before the shuffle.
+    A grouped top-1: the partial limit keeps one row per key and task before
+    the shuffle.  Records with equal ``order`` are told apart by their other
+    columns (maps as text).
     """
-    rec = F.struct(*[F.col(c) for c in records.columns])
-    best = F.max_by(rec, F.struct(*[F.col(c) for c in order]))
-    return (records.groupBy(key.alias("__tm_key")).agg(best.alias("r")).select("r.*"))
+    rest = [F.to_json(c).desc() if kind.startswith("map") else F.col(c).desc()
+            for c, kind in records.dtypes if c not in order]
+    return top_n_per_group(records.withColumn("__tm_key", key), ["__tm_key"],
+                           [F.col(c).desc() for c in order] + rest, 1).drop("__tm_key")
 
 
 def discover_communities(communities: DataFrame, topics: DataFrame,

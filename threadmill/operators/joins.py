@@ -1,11 +1,11 @@
 """Join helpers: broadcast only behind a measured size bound.
 
 A side that is small by construction (a keyword list, a product list) is
-stored once with a reliable checkpoint and counted; it is broadcast only
-when its row count is within ``max_rows``, otherwise it is joined with a
-normal shuffle join (where AQE's skew-join splitting applies).  Broadcasting
-it up front keeps the large side from being shuffled at all - a hot key on
-the large side then never concentrates in one task.
+stored once with a reliable checkpoint and measured: its rows are counted and
+their bytes summed.  It is broadcast only within ``max_bytes``, otherwise it is
+joined with a normal shuffle join (where AQE's skew-join splitting applies).
+Broadcasting it up front keeps the large side from being shuffled at all - a
+hot key on the large side then never concentrates in one task.
 """
 
 from __future__ import annotations
@@ -16,14 +16,24 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 MAX_BROADCAST_ROWS = 2_000_000
+MAX_BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def broadcast_if(df: DataFrame, n_rows: int, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``df`` broadcast-hinted when the measured ``n_rows`` is within the bound."""
+    """``df`` broadcast-hinted when the measured ``n_rows`` is within the bound.
+
+    Only for rows of a fixed width (ids, numbers); see ``small_side`` for text.
+    """
     return F.broadcast(df) if n_rows <= max_rows else df
 
 
-def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """The side ready for joining: broadcast-hinted when proven small."""
+def measured_bytes(df: DataFrame) -> int:
+    """Rows as JSON text plus 16 bytes each: an upper estimate of the rows in memory."""
+    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    return df.agg(F.sum(F.octet_length(text) + 16)).first()[0] or 0
+
+
+def small_side(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """The side ready for joining: stored, and broadcast-hinted when proven small."""
     stored = materialize(df)
-    return broadcast_if(stored, stored.count(), max_rows)
+    return F.broadcast(stored) if measured_bytes(stored) <= max_bytes else stored

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rank import top_n_per_group
+from .rank import FANOUT, top_n_per_group
 from .scoring import rank_order
 
 
@@ -100,7 +100,7 @@ def item_text(p: Provider, content="content", questions="extracted_questions") -
     return F.concat(F.substring(text, 1, p.item_chars), tail)
 
 
-def ranked_context(ready: DataFrame, cap: int = CONTEXT_CAP, fanout: int | None = None) -> DataFrame:
+def ranked_context(ready: DataFrame, cap: int = CONTEXT_CAP, fanout: int | None = FANOUT) -> DataFrame:
     """The ``cap`` most relevant model-ready rows per product, with ``rank``.
 
     ``fanout`` adds the exact two-level cut of ``rank.top_n_per_group`` for

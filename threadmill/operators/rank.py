@@ -17,6 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Buckets of the first level wherever a group may hold a large share of all rows.
+FANOUT = 16
+
 
 def top_n_per_group(df: DataFrame, group_cols: list[str], order_cols: list[Column],
                     n: int, rank_col: str | None = None,
@@ -44,17 +47,3 @@ def top_n_per_group(df: DataFrame, group_cols: list[str], order_cols: list[Colum
 def top_n(df: DataFrame, order_cols: list[Column], n: int) -> DataFrame:
     """Global ordered top-N (TakeOrderedAndProject: per-task top-N, then merge)."""
     return df.orderBy(*order_cols).limit(n)
-
-
-def auto_fanout(df: DataFrame, per_core: int = 4, limit: int = 256) -> int | None:
-    """A first-level fan-out for ``top_n_per_group`` sized to the input.
-
-    None (one level) while the input has at most ``per_core`` partitions per
-    core; beyond that, enough buckets that each first-level reducer of a hot
-    group gets about ``per_core x cores`` map outputs.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    parts = df.rdd.getNumPartitions()
-    if parts <= per_core * cores:
-        return None
-    return min(limit, max(2, parts // (per_core * cores)))

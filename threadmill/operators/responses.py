@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .prompts import PROVIDERS, Provider
+from .prompts import PROVIDERS
 
 # --- fixed values -----------------------------------------------------------
 DEFAULT_CATEGORY = "General"
@@ -55,6 +55,8 @@ def json_elements(c: Column) -> Column:
 def parse_json_entries(responses: DataFrame, providers=PROVIDERS) -> DataFrame:
     """Entries of responses holding a valid JSON array (one row per entry).
 
+    A field of another type is read as it is written: a question that is an
+    object becomes its JSON text, keywords that are not a list become empty.
     Missing fields take defaults; confidence is read as text and cast, a
     JSON boolean counts as 1.0 / 0.0 (as a number conversion of it does), and
     the provider's default applies when absent or not a number.
@@ -211,10 +213,3 @@ def faq_list(documents: DataFrame) -> DataFrame:
     """Document list with the column subset (no entries)."""
     return documents.select("product", "generated_at", "model_used", "source_count",
                             F.size("faqs").alias("faq_count"))
-
-
-def provider_by_name(name: str) -> Provider:
-    for p in PROVIDERS:
-        if p.name == name:
-            return p
-    raise KeyError(name)

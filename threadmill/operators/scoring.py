@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .rank import top_n, top_n_per_group
+from .rank import FANOUT, top_n, top_n_per_group
 
 # --- fixed values -----------------------------------------------------------
 # Rows kept per product for generation, and the relevance weight of a post.
@@ -78,16 +78,23 @@ def rank_order():
     return [F.col("relevance_score").desc_nulls_last(), F.col("id").asc()]
 
 
-def faq_ready(scored: DataFrame, cap: int = FAQ_READY_CAP, fanout: int | None = None,
-              rank_col: str | None = None) -> DataFrame:
-    """Top ``cap`` model-ready rows of every product (ties broken by id)."""
-    return top_n_per_group(model_ready(scored), ["product"], rank_order(), cap,
-                           rank_col=rank_col, fanout=fanout)
+def faq_ready(scored: DataFrame, cap: int = FAQ_READY_CAP, fanout: int | None = FANOUT,
+              rank_col: str | None = None, word_boundary: bool = False) -> DataFrame:
+    """Top ``cap`` model-ready rows of every product (ties broken by id).
+
+    The question list is not carried through the ranking: rows are filtered
+    (questions are looked for only where the relevance alone does not decide),
+    ranked, and the survivors' questions extracted again from their text.
+    """
+    kept = model_ready(scored).drop("extracted_questions")
+    best = top_n_per_group(kept, ["product"], rank_order(), cap, rank_col=rank_col, fanout=fanout)
+    return (best.withColumn("extracted_questions", T.extract_questions("content", word_boundary))
+                .select(*FAQ_READY_COLUMNS, *([rank_col] if rank_col else [])))
 
 
-def faq_ready_single(scored: DataFrame, cap: int = FAQ_READY_CAP) -> DataFrame:
-    """The reference's one-product form: ordered global top ``cap``."""
-    return top_n(model_ready(scored), rank_order(), cap)
+def faq_ready_single(scored: DataFrame, product: str, cap: int = FAQ_READY_CAP) -> DataFrame:
+    """One product's rows: the product first, then its ordered top ``cap``."""
+    return top_n(model_ready(scored.where(F.col("product") == product)), rank_order(), cap)
 
 
 def run_summary(raw: DataFrame, cap: int = FAQ_READY_CAP) -> DataFrame:

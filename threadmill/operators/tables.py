@@ -3,7 +3,7 @@
 The reference mutates a document store one record at a time.  Here every
 change is a set operation producing the new table version: anti-joins for
 inserts and deletes, a left join for updates, and "latest version wins"
-aggregations (``max_by``, map-side combined) for upserts and status changes.
+top-1 cuts (one row per key and task before the shuffle) for upserts and status changes.
 No MERGE-capable table format is assumed; callers write the returned version.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ingest import DEFAULT_COMMUNITIES
+from .rank import top_n_per_group
 
 # --- fixed values -----------------------------------------------------------
 REPORTED_STATUSES = ("pending", "scraping", "processing", "generating", "completed", "error")
@@ -95,12 +96,11 @@ def insert_new_products(products: DataFrame, requests: DataFrame, created_at: Co
     keywords take the default list (an explicit empty list stays empty).  A
     request without subreddits takes its discovered communities
     (``discovered`` = topic, rank, display_name, joined on the normalised
-    name), else the default communities.  Counters and times start empty.
+    name), else the default communities; a request whose ``auto_discover`` is
+    false takes the defaults without looking (a missing column or null: true).
+    Counters and times start empty.
     """
-    first = (requests.groupBy("name")
-                     .agg(F.min_by(F.struct(*[c for c in requests.columns if c != "name"]),
-                                   F.col(order_col)).alias("r"))
-                     .select("name", "r.*"))
+    first = top_n_per_group(requests, ["name"], [F.col(order_col).asc()], 1)
     new = first.join(products.select("name"), "name", "left_anti")
     found = F.lit(None).cast("array<string>")
     if discovered is not None:
@@ -109,6 +109,8 @@ def insert_new_products(products: DataFrame, requests: DataFrame, created_at: Co
                  .select("topic", F.transform("d", lambda x: x["display_name"]).alias("found")))
         new = new.join(lists, F.lower(F.trim(new["name"])) == lists["topic"], "left").drop("topic")
         found = F.col("found")
+        if "auto_discover" in requests.columns:
+            found = F.when(F.coalesce(F.col("auto_discover"), F.lit(True)), found)
     subs = (F.when(F.coalesce(F.size("subreddits"), F.lit(-1)) > 0, F.col("subreddits"))
              .when(found.isNotNull(), found)
              .otherwise(_lit_array(DEFAULT_COMMUNITIES)))
@@ -146,18 +148,17 @@ def update_products(products: DataFrame, changes: DataFrame,
 
     A change is a full product request: all five fields are set, and a
     change without keywords takes the request default (as on insert).
-    Several changes of one product collapse to one first (``max_by``, partial
-    per task): the greatest ``order_col`` wins, as with edits applied in
-    sequence; without it the pick is still deterministic.  So the join never
+    Several changes of one product collapse to one first (a grouped top-1,
+    partial per task): the greatest ``order_col`` wins, as with edits applied
+    in sequence; without it the pick is still deterministic.  So the join never
     multiplies a product row.
     """
     changes = changes.withColumn(
         "keywords", F.coalesce(F.col("keywords"), _lit_array(DEFAULT_PRODUCT_KEYWORDS)))
-    fields = F.struct(*[F.col(c) for c in UPDATABLE])
-    order = F.struct(F.col(order_col), fields) if order_col else fields
-    ch = (changes.groupBy("id").agg(F.max_by(fields, order).alias("__c"))
-                 .select(F.col("id"), F.lit(True).alias("__hit"),
-                         *[F.col(f"__c.{c}").alias(f"__new_{c}") for c in UPDATABLE]))
+    order = [F.col(c).desc() for c in ([order_col] if order_col else []) + list(UPDATABLE)]
+    ch = (top_n_per_group(changes, ["id"], order, 1)
+          .select(F.col("id"), F.lit(True).alias("__hit"),
+                  *[F.col(c).alias(f"__new_{c}") for c in UPDATABLE]))
     j = products.join(ch, "id", "left")
     for c in UPDATABLE:
         j = j.withColumn(c, F.when(F.col("__hit"), F.col(f"__new_{c}")).otherwise(F.col(c)))
@@ -177,17 +178,15 @@ def product_status(products: DataFrame, runs: DataFrame) -> DataFrame:
     """Status from the latest run of each product (stage + outcome mapping).
 
     ``runs`` = (product_id, stage, outcome, ts, run_id).  The latest run is a
-    ``max_by`` aggregate (partial combine per task, so a product with very
-    many runs is reduced before the shuffle).  Products without runs, or whose
-    latest run maps to nothing, keep their status.
+    grouped top-1 whose partial limit leaves one row per product and task
+    before the shuffle.  Products without runs, or whose latest run maps to
+    nothing, keep their status.
     """
     mapping = F.create_map(*[F.lit(x) for kv in RUN_STATUS.items() for x in kv])
-    latest = (runs.groupBy("product_id")
-                  .agg(F.max_by(F.struct("stage", "outcome", "ts"),
-                                F.struct("ts", "run_id")).alias("r"))
-                  .select(F.col("product_id").alias("id"),
-                          mapping[F.concat_ws(":", "r.stage", "r.outcome")].alias("run_status"),
-                          F.col("r.ts").alias("last_run_at")))
+    latest = (top_n_per_group(runs, ["product_id"], [F.col("ts").desc(), F.col("run_id").desc()], 1)
+              .select(F.col("product_id").alias("id"),
+                      mapping[F.concat_ws(":", "stage", "outcome")].alias("run_status"),
+                      F.col("ts").alias("last_run_at")))
     return (products.join(latest, "id", "left")
                     .withColumn("status", F.coalesce("run_status", "status"))
                     .drop("run_status"))
@@ -200,7 +199,5 @@ def faq_upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     same row because the whole document is the tie-breaker).
     """
     both = existing.unionByName(incoming)
-    doc = F.struct(*[F.col(c) for c in both.columns])
-    return (both.groupBy("product")
-                .agg(F.max_by(doc, F.struct("updated_at", "model_used")).alias("d"))
-                .select("d.*"))
+    order = ["updated_at"] + [c for c in both.columns if c not in ("product", "updated_at")]
+    return top_n_per_group(both, ["product"], [F.col(c).desc() for c in order], 1)

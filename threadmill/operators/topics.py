@@ -1,9 +1,8 @@
 """Topics: tokens, TF-IDF term weights and k-means clusters (MLlib).
 
-``topic_stages`` is the reference's tokenizer -> stop words -> hashed
-term frequencies (1000 buckets) -> IDF -> k-means (k=10, seed 42) chain as
-one MLlib Pipeline; ``topic_members`` runs the same stages with only the
-hashed vectors persisted between the fitting passes.  Instead of collecting every member's text, questions and
+``topic_members`` runs tokenizer -> stop words -> hashed term frequencies
+(1000 buckets) -> IDF -> k-means (k=10, seed 42) with only the weighted
+vectors persisted for the passes of k-means.  Instead of collecting every member's text, questions and
 URL into per-cluster lists (one list per cluster grows with the data), the
 cluster summary holds counts and averages and ``topic_members`` holds the
 (id, cluster) assignment, which joins back to any column.
@@ -11,7 +10,6 @@ cluster summary holds counts and averages and ``topic_members`` holds the
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, HashingTF, StopWordsRemover, Tokenizer
 from pyspark.sql import DataFrame
@@ -66,23 +64,13 @@ def tfidf_terms(tokenized: DataFrame, terms_col: str = "filtered") -> DataFrame:
                   .withColumn("idf", F.log((F.lit(n) + 1.0) / (F.col("doc_freq") + 1.0))))
 
 
-def topic_stages(k: int = NUM_CLUSTERS, seed: int = SEED,
-                   num_features: int = NUM_FEATURES, text_col: str = "content_cleaned") -> Pipeline:
-    return Pipeline(stages=[
-        Tokenizer(inputCol=text_col, outputCol="words"),
-        StopWordsRemover(inputCol="words", outputCol="filtered"),
-        HashingTF(inputCol="filtered", outputCol="raw_features", numFeatures=num_features),
-        IDF(inputCol="raw_features", outputCol="features"),
-        KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster"),
-    ])
-
-
 def topic_members(scored: DataFrame, k: int = NUM_CLUSTERS, seed: int = SEED,
                   num_features: int = NUM_FEATURES) -> DataFrame:
     """(id, product, cluster, score, n_questions) for every scored row.
 
-    Text is tokenized and hashed once; only the compact sparse term vectors
-    are persisted for the passes of IDF and k-means (never the text).  The
+    Text is tokenized and hashed for the IDF pass and once more for the
+    weighted vectors; only these compact sparse vectors are persisted for the
+    passes of k-means (never the text).  The
     assignments are cut from that lineage with a reliable checkpoint and the
     vectors are released.  Raises when there are fewer than two rows
     (k-means cannot run) rather than silently returning another schema.
@@ -94,17 +82,20 @@ def topic_members(scored: DataFrame, k: int = NUM_CLUSTERS, seed: int = SEED,
                                F.size("extracted_questions").alias("n_questions")))
     tf = (HashingTF(inputCol="filtered", outputCol="raw_features", numFeatures=num_features)
           .transform(tok)
-          .select("id", "product", "score", "n_questions", "raw_features")
-          .persist(StorageLevel.MEMORY_AND_DISK))
+          .select("id", "product", "score", "n_questions", "raw_features"))
+    weighted = None
     try:
         if tf.limit(2).count() < 2:
             raise ValueError("topic clustering needs at least two rows")
-        weighted = IDF(inputCol="raw_features", outputCol="features").fit(tf).transform(tf)
+        # the weighted vectors are what k-means passes over again and again
+        weighted = (IDF(inputCol="raw_features", outputCol="features").fit(tf).transform(tf)
+                    .drop("raw_features").persist(StorageLevel.MEMORY_AND_DISK))
         model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(weighted)
         members = materialize(model.transform(weighted)
                               .select("id", "product", "cluster", "score", "n_questions"))
     finally:
-        tf.unpersist()
+        if weighted is not None:
+            weighted.unpersist()
     return members
 
 

@@ -47,17 +47,14 @@ from threadmill.streaming import landing as ST  # noqa: E402
 
 def process(spark: SparkSession, landing: str, out: str, product: str | None = None,
             run_id: str | None = None, cap: int = scoring.FAQ_READY_CAP,
-            fanout: int | None = None) -> dict:
-    """One processing run; returns the run summary."""
+            source: str | None = None) -> dict:
+    """One processing run over all sources or one; returns the run summary."""
     run_id = run_id or datetime.now(timezone.utc).strftime("%Y%m%d_%H%M%S")
     slugs = [product.replace(" ", "_").lower()] if product else None
-    raw = FS.raw_scan(spark, landing, slugs=slugs)
+    raw = FS.raw_scan(spark, landing, slugs=slugs, source=source)
     seen = Observation("raw")
     raw = raw.observe(seen, F.count(F.lit(1)).alias("total_records"))
-    from threadmill.operators.rank import auto_fanout
-    scored = scoring.process(raw)
-    fanout = fanout if fanout is not None else auto_fanout(raw)
-    ready = scoring.faq_ready(scored, cap=cap, fanout=fanout, rank_col="rank")
+    ready = scoring.faq_ready(scoring.process(raw), cap=cap, rank_col="rank")
     kept = Observation("ready")
     ready = ready.observe(kept, F.count(F.lit(1)).alias("processed_records"),
                           F.count_if(F.col("rank") == 1).alias("products"))
@@ -66,15 +63,18 @@ def process(spark: SparkSession, landing: str, out: str, product: str | None = N
     # the latest copy is written from the snapshot just stored, not recomputed
     latest = f"{out.rstrip('/')}/processed/latest.json"
     FS.write_latest_json(spark.read.parquet(run_dir).drop("product_slug"), latest)
-    return {"product": product or "*", **seen.get, **kept.get, "output_path": run_dir}
+    return {"product": product or "*", "source": source or "*", **seen.get, **kept.get, "output_path": run_dir}
 
 
 def _versions(spark: SparkSession, root: str) -> list[str]:
-    """Version folders (``version=<run id>``) of a table, oldest first (metadata only)."""
+    """Committed version folders (``version=<run id>``) of a table, in the order of their commits.
+
+    A folder without ``_SUCCESS`` is the rest of a run that failed; it does not count."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/version=*")
+    path = jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/version=*/_SUCCESS")
     found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
-    return sorted(st.getPath().toString() for st in (found or []))
+    marks = sorted((st.getModificationTime(), st.getPath().getParent().toString()) for st in (found or []))
+    return [folder for _, folder in marks]
 
 
 def load_model(spec: str):
@@ -93,21 +93,24 @@ def load_model(spec: str):
 
 
 def generate(spark: SparkSession, processed: str, out: str, model_fn, run_id: str | None = None,
-             cap: int = P.CONTEXT_CAP, fanout: int | None = None) -> dict:
-    """One generation run over every product of a processed snapshot."""
-    from threadmill.operators.rank import auto_fanout
+             cap: int = P.CONTEXT_CAP) -> dict:
+    """One generation run over every product of a processed snapshot.
+
+    A run id that is already committed is refused: its version may be the one
+    that this run reads."""
     from threadmill.session import materialize
     run_id = run_id or datetime.now(timezone.utc).strftime("%Y%m%d_%H%M%S")
+    root = f"{out.rstrip('/')}/faqs"
+    previous = _versions(spark, root)
+    if any(v.rsplit("=", 1)[1] == run_id for v in previous):
+        raise ValueError(f"version {run_id} exists already")
     ready = spark.read.parquet(processed).drop("product_slug")
-    fanout = fanout if fanout is not None else auto_fanout(ready)
-    ranked = materialize(P.ranked_context(ready, cap, fanout=fanout))    # read by three branches
+    ranked = materialize(P.ranked_context(ready, cap))                   # read by three branches
     responses = INF.batch_inference(P.prompts(ranked), model_fn)         # stored once
     entries = materialize(R.parse_responses(responses))
     chosen = R.provider_fallback(entries, responses)
     counts = ranked.groupBy("product").agg(F.count(F.lit(1)).alias("source_count"))
     docs = R.faq_documents(entries, chosen, P.context_sources(ranked), counts)
-    root = f"{out.rstrip('/')}/faqs"
-    previous = _versions(spark, root)
     merged = TB.faq_upsert(spark.read.parquet(previous[-1]), docs) if previous else docs
     seen = Observation("documents")
     merged = merged.observe(seen, F.count(F.lit(1)).alias("documents"),
@@ -139,13 +142,12 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--out", required=True)
     p.add_argument("--product")
     p.add_argument("--run-id")
-    p.add_argument("--fanout", type=int)
+    p.add_argument("--source")
     g = sub.add_parser("generate")
     g.add_argument("--processed", required=True)
     g.add_argument("--out", required=True)
     g.add_argument("--model", required=True)
     g.add_argument("--run-id")
-    g.add_argument("--fanout", type=int)
     s = sub.add_parser("land")
     s.add_argument("--inbox")
     s.add_argument("--kafka")
@@ -159,10 +161,10 @@ def main(argv: list[str] | None = None) -> None:
     try:
         if a.cmd == "process":
             print(json.dumps(process(spark, a.landing, a.out, a.product, a.run_id,
-                                     fanout=a.fanout), indent=2))
+                                     source=a.source), indent=2))
         elif a.cmd == "generate":
-            print(json.dumps(generate(spark, a.processed, a.out, load_model(a.model), a.run_id,
-                                      fanout=a.fanout), indent=2))
+            print(json.dumps(generate(spark, a.processed, a.out, load_model(a.model), a.run_id),
+                             indent=2))
         else:
             land(spark, a.inbox, a.landing, a.quarantine, a.checkpoints, a.continuous, a.kafka,
                  a.max_offsets)

@@ -43,7 +43,7 @@ social AS (
   SELECT doc_id AS id, 'reddit' AS source, source AS product,
          CASE WHEN doc_id % 3 = 0 THEN 'post' ELSE 'comment' END AS data_type,
          text AS content,
-         CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, 60) END AS title,
+         CASE WHEN doc_id % 3 = 0 THEN text END AS title,
          'u' || CAST(doc_id % 97 AS VARCHAR) AS author,
          CAST(doc_id * 37 % 101 - 10 AS INTEGER) AS score,
          'https://example.org/' || source || '/' || CAST(doc_id AS VARCHAR) AS url,
@@ -100,7 +100,7 @@ tposts AS (
          'prod' || CAST(c.conv_id % 5 AS VARCHAR) AS product,
          'kw' || CAST(c.conv_id % 3 AS VARCHAR) AS keyword,
          'p' || CAST(c.conv_id AS VARCHAR) AS id,
-         CASE WHEN c.conv_id % 10 = 7 THEN '' ELSE substr(c.text, 1, 60) END AS title,
+         CASE WHEN c.conv_id % 10 = 7 THEN '' ELSE c.text END AS title,
          CASE WHEN c.conv_id % 5 = 2 THEN '' ELSE c.text END AS selftext,
          'a' || CAST(c.conv_id % 31 AS VARCHAR) AS author,
          'sub' || CAST(c.conv_id % 4 AS VARCHAR) AS subreddit,
@@ -166,25 +166,32 @@ comm AS (
          CAST(trunc(s_acctbal) AS BIGINT) AS subscribers, s_suppkey AS search_rank
   FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
 
-KEYWORDS = """
+TASKS = """
 words AS (
-  SELECT subreddit, w AS word FROM (
-    SELECT subreddit, unnest(string_split_regex(lower(content), '[^a-z]+')) AS w FROM social)
-  WHERE length(w) BETWEEN 4 AND 8),
-kwords AS (
-  SELECT subreddit, word AS keyword, CAST(row_number() OVER (PARTITION BY subreddit
-         ORDER BY count(*) DESC, word) AS INTEGER) AS keyword_rank
-  FROM words GROUP BY subreddit, word QUALIFY keyword_rank <= 3)"""
+  SELECT product, word, count(*) AS n FROM (
+    SELECT product, unnest(string_split_regex(lower(content), '[ \\t\\n\\x0B\\f\\r]+')) AS word FROM social)
+  WHERE word <> '' GROUP BY ALL),
+places AS (SELECT *, row_number() OVER (PARTITION BY product ORDER BY n DESC, word) AS place,
+                  coalesce(TRY_CAST(regexp_extract(product, '([0-9]+)$', 1) AS INTEGER), 0) + 1 AS first
+           FROM words),
+searched AS (SELECT product AS src, max(word) FILTER (place = first) AS name,
+                    list(word ORDER BY place) FILTER (place IN (first + 1, first + 2)) AS kws
+             FROM places GROUP BY product),
+tasks AS (SELECT DISTINCT name AS product, subreddit, keyword FROM (
+            SELECT name, src, unnest(coalesce(kws, ['review', 'problem', 'issue', 'help', 'question',
+                                                     'experience', 'opinion'])) AS keyword FROM searched) k
+          JOIN (SELECT DISTINCT product AS src, subreddit FROM social) USING (src)
+          WHERE name IS NOT NULL)"""
 
 
 def matches(per_search: int) -> str:
     return f"""
 matches AS (
-  SELECT s.id, s.product, s.subreddit, k.keyword, k.keyword_rank, s.created_at,
-         CAST(row_number() OVER (PARTITION BY s.product, s.subreddit, k.keyword
+  SELECT s.id, t.product, s.subreddit, t.keyword, s.created_at,
+         CAST(row_number() OVER (PARTITION BY t.product, s.subreddit, t.keyword
                                  ORDER BY s.created_at DESC, s.id) AS INTEGER) AS search_rank
-  FROM social s JOIN kwords k USING (subreddit)
-  WHERE contains(lower(s.content), k.keyword)
+  FROM social s JOIN tasks t USING (subreddit)
+  WHERE contains(lower(s.content), t.keyword) AND contains(lower(s.content), t.product)
   QUALIFY search_rank <= {per_search})"""
 
 
@@ -237,35 +244,32 @@ def template_sql(template: str, product: str, content: str) -> str:
 
 
 RESPONSES = """
-top3 AS (
-  SELECT *, row_number() OVER (PARTITION BY product
-                               ORDER BY relevance_score DESC NULLS LAST, id) AS rank
-  FROM ready QUALIFY rank <= 3),
 rparts AS (
-  SELECT product, rank,
-         coalesce(extracted_questions[1], substr(content, 1, 40) || '?') AS qt,
-         substr(content, 1, 80) AS atx,
-         (['Features', 'Setup', 'Performance'])[rank] AS cat,
-         (['0.9', '0.85', '0.8'])[rank] AS conf,
+  SELECT product, rank, (rank - 1) % 3 AS turn,
+         CASE WHEN len(extracted_questions) > 0 THEN array_to_string(extracted_questions, ' ')
+              ELSE content || '?' END AS qt,
+         content AS atx,
+         (['Features', 'Setup', 'Performance'])[(rank - 1) % 3 + 1] AS cat,
+         (['0.9', '0.85', '0.8'])[(rank - 1) % 3 + 1] AS conf,
          data_type AS kw1, product AS kw2
-  FROM top3),
+  FROM ctx200),
 rforms AS (
   SELECT product,
     'Sure! Here are the FAQs:' || chr(10) || '[' || string_agg('{"question": "' || qt
       || '", "answer": "' || atx || '", "category": "' || cat || '", "confidence": ' || conf
       || ', "keywords": ["' || kw1 || '", "' || kw2 || '"]}', ', ' ORDER BY rank)
       || ']' || chr(10) || 'Hope this helps.' AS f0,
-    '[' || string_agg(CASE WHEN rank = 1 THEN '{"question": "' || qt || '", "answer": "' || atx
+    '[' || string_agg(CASE WHEN turn = 0 THEN '{"question": "' || qt || '", "answer": "' || atx
                              || '", "confidence": "0.75"}'
-                           WHEN rank = 2 THEN '{"answer": "' || atx || '", "confidence": null}'
+                           WHEN turn = 1 THEN '{"answer": "' || atx || '", "confidence": null}'
                            ELSE '{"question": "' || qt || '", "answer": "' || atx
                              || '", "category": "Setup", "confidence": "high", "keywords": []}'
                       END, ', ' ORDER BY rank) || ']' AS f1,
     max(CASE WHEN rank = 1 THEN 'Here you go: [{"question": "' || qt || '", "answer": ]' END) AS f2,
     'A: stray answer before any question' || chr(10) ||
-      string_agg(CASE WHEN rank = 1 THEN 'Q: ' || qt || chr(10) || 'A: ' || atx || chr(10)
+      string_agg(CASE WHEN turn = 0 THEN 'Q: ' || qt || chr(10) || 'A: ' || atx || chr(10)
                                          || 'see also ' || kw1
-                      WHEN rank = 2 THEN 'Question: ' || qt || chr(10) || 'Answer: ' || atx
+                      WHEN turn = 1 THEN 'Question: ' || qt || chr(10) || 'Answer: ' || atx
                       ELSE 'Q: ' || qt || chr(10) || 'note first' || chr(10) || 'A: ' || atx END,
                  chr(10) || chr(10) ORDER BY rank) AS f3,
     coalesce(TRY_CAST(regexp_extract(product, '([0-9]+)$', 1) AS INTEGER), 0) AS n

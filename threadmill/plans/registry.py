@@ -21,10 +21,10 @@ from ..session import materialize
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-# Per-product caps used in the registered queries.  At sf0.01 a product has
-# about 46 model-ready rows, so the production caps (500/200/100/50) never cut;
-# these smaller values make the oracle check the cut itself.
-READY_CAP = 20
+# Every capped operator is registered with its default cap.  At sf0.01 a product
+# has about 46 model-ready rows, so a second entry (``..._cut``) with this
+# smaller cap lets the oracle check the cut itself.
+READY_CUT = 20
 
 
 def register(name: str, oracle: str | None = None):
@@ -112,18 +112,32 @@ def _ready_out(df: DataFrame, *extra: str) -> DataFrame:
                      "relevance_score", "data_type", "source_url", "engagement_score", *extra)
 
 
-@register("faq_ready", O.BASE[:-1] + "," + O.ranked_ready(READY_CAP) + f"""
-SELECT {READY_OUT}, CAST(rank AS INTEGER) AS rank FROM ranked""")
+def _faq_ready_sql(cap: int) -> str:
+    return O.BASE[:-1] + "," + O.ranked_ready(cap) + f"""
+SELECT {READY_OUT}, CAST(rank AS INTEGER) AS rank FROM ranked"""
+
+
+@register("faq_ready", _faq_ready_sql(scoring.FAQ_READY_CAP))
 def q_faq_ready(spark, d):
     s = scoring.process(A.social(spark, d))
-    return _ready_out(scoring.faq_ready(s, cap=READY_CAP, rank_col="rank"), "rank")
+    return _ready_out(scoring.faq_ready(s, rank_col="rank"), "rank")
+
+
+@register("faq_ready_cut", _faq_ready_sql(READY_CUT))
+def q_faq_ready_cut(spark, d):
+    s = scoring.process(A.social(spark, d))
+    return _ready_out(scoring.faq_ready(s, cap=READY_CUT, rank_col="rank"), "rank")
+
+
+LOOKUP_PRODUCT = "src3"
 
 
 @register("faq_ready_single", O.BASE + f"""
-SELECT {READY_OUT} FROM ready ORDER BY relevance_score DESC NULLS LAST, id LIMIT 500""")
+SELECT {READY_OUT} FROM ready WHERE product = '{LOOKUP_PRODUCT}'
+ORDER BY relevance_score DESC NULLS LAST, id LIMIT 500""")
 def q_faq_ready_single(spark, d):
     s = scoring.process(A.social(spark, d))
-    return _ready_out(scoring.faq_ready_single(s, cap=500))
+    return _ready_out(scoring.faq_ready_single(s, LOOKUP_PRODUCT))
 
 
 @register("run_summary", O.with_(O.SOCIAL) + f"""
@@ -176,17 +190,31 @@ def q_normalize_comments(spark, d):
                     F.col("metadata")["parent_id"].alias("parent_id"))
 
 
-@register("post_comments", O.with_(O.THREAD_POSTS, O.NPOSTS, O.THREAD_COMMENTS, O.NCOMMENTS) + """
+def _post_comments_sql(least: int, per_post: int) -> str:
+    return O.with_(O.THREAD_POSTS, O.NPOSTS, O.THREAD_COMMENTS, O.NCOMMENTS) + f"""
 SELECT post_id, comment_id, score,
        CAST(row_number() OVER (PARTITION BY post_id ORDER BY score DESC NULLS LAST, comment_id)
             AS INTEGER) AS comment_rank
-FROM ncomments WHERE post_id IN (SELECT post_id FROM nposts WHERE CAST(num_comments AS INTEGER) > 2)
-QUALIFY comment_rank <= 3""")
-def q_post_comments(spark, d):
-    pc = I.post_comments(_posts(spark, d), _comments(spark, d), min_comments=2, per_post=3)
+FROM ncomments WHERE post_id IN (SELECT post_id FROM nposts WHERE CAST(num_comments AS INTEGER) > {least})
+QUALIFY comment_rank <= {per_post}"""
+
+
+def _post_comments(spark, d, **caps):
+    posts = materialize(_posts(spark, d))      # two branches read the posts
+    pc = I.post_comments(posts, I.normalize_comments(A.comment_listings(spark, d), posts), **caps)
     return pc.select("post_id", "comment_id", "score", "comment_rank")
 
 
+@register("post_comments", _post_comments_sql(I.MIN_COMMENTS, I.COMMENTS_PER_POST))
+def q_post_comments(spark, d):
+    return _post_comments(spark, d)
+
+
+@register("post_comments_cut", _post_comments_sql(2, 3))
+def q_post_comments_cut(spark, d):
+    return _post_comments(spark, d, min_comments=2, per_post=3)
+
+
 @register("search_grid", O.with_(O.PRODUCTS) + """
 , g AS (
   SELECT id AS product_id, name AS product,
@@ -209,25 +237,48 @@ def q_search_grid(spark, d):
                     "search_query", "query_escaped")
 
 
-def _keyword_matches(spark, d, per_search):
-    s = A.social(spark, d)
-    kw = I.frequent_words(s, "subreddit", "content", k=3)
-    return I.keyword_match(s, kw, per_search=per_search)
+def _keyword_match(spark, d, **caps):
+    tasks = I.search_grid(A.searched_products(spark, d))
+    m = I.keyword_match(A.social(spark, d), tasks, **caps)
+    return m.select("product", "subreddit", "keyword", "id", "created_at", "search_rank")
 
 
-@register("keyword_match", O.with_(O.SOCIAL, O.KEYWORDS, O.matches(5)) + """
-SELECT product, subreddit, keyword, id, created_at, search_rank FROM matches""")
+def _keyword_match_sql(cap: int) -> str:
+    return O.with_(O.SOCIAL, O.TASKS, O.matches(cap)) + """
+SELECT product, subreddit, keyword, id, created_at, search_rank FROM matches"""
+
+
+@register("keyword_match", _keyword_match_sql(I.SEARCH_PAGE))
 def q_keyword_match(spark, d):
-    m = _keyword_matches(spark, d, 5)
-    return m.select("product", "subreddit", "keyword", "id", "created_at", "search_rank")
+    return _keyword_match(spark, d)
 
 
-@register("dedup_raw", O.with_(O.SOCIAL, O.KEYWORDS, O.matches(25)) + """
-SELECT id, product, keyword, keyword_rank FROM matches
-QUALIFY row_number() OVER (PARTITION BY id ORDER BY keyword_rank DESC, keyword DESC) = 1""")
+@register("keyword_match_cut", _keyword_match_sql(5))
+def q_keyword_match_cut(spark, d):
+    return _keyword_match(spark, d, per_search=5)
+
+
+@register("dedup_raw", O.with_(O.THREAD_POSTS, O.NPOSTS, O.THREAD_COMMENTS, O.NCOMMENTS) + """
+, recs AS (SELECT post_id, CAST(NULL AS VARCHAR) AS comment_id, product, content, created_at FROM nposts
+           UNION ALL SELECT post_id, comment_id, product, content, created_at FROM ncomments),
+scraped AS (SELECT *, created_at AS scraped_at FROM recs
+            UNION ALL SELECT post_id, comment_id, product, content || ' (edited)', created_at,
+                             '2031' || substr(created_at, 5) FROM recs WHERE product <> 'prod1')
+SELECT post_id, comment_id, product, content, scraped_at FROM scraped
+QUALIFY row_number() OVER (PARTITION BY coalesce(comment_id, post_id) ORDER BY scraped_at DESC) = 1""")
 def q_dedup_raw(spark, d):
-    m = _keyword_matches(spark, d, 25).select("id", "product", "keyword", "keyword_rank")
-    return I.dedup_raw(m, F.col("id"), ["keyword_rank", "keyword"])
+    """Posts and comments as two scrapes found them: the newest copy of each."""
+    posts = materialize(_posts(spark, d))
+    comments = I.normalize_comments(A.comment_listings(spark, d), posts)
+    cols = ["post_id", "comment_id", "product", "content", "created_at"]
+    recs = (posts.withColumn("comment_id", F.lit(None).cast("string")).select(*cols)
+                 .unionByName(comments.select(*cols)))
+    again = (recs.where("product <> 'prod1'")
+                 .withColumn("content", F.concat("content", F.lit(" (edited)")))
+                 .withColumn("scraped_at", F.concat(F.lit("2031"), F.substring("created_at", 5, 99))))
+    scraped = recs.withColumn("scraped_at", F.col("created_at")).unionByName(again)
+    return I.dedup_raw(scraped, F.coalesce("comment_id", "post_id"), ["scraped_at"]) \
+            .select("post_id", "comment_id", "product", "content", "scraped_at")
 
 
 @register("discover_communities", O.with_(O.COMMUNITIES) + """
@@ -255,18 +306,13 @@ from ..operators import inference as INF  # noqa: E402
 from ..operators import prompts as P  # noqa: E402
 from ..operators import responses as R  # noqa: E402
 
-CONTEXT_CAP = 10      # registered cut for context_top200
-LARGE_ITEMS, SMALL_ITEMS = 10, 5
+CONTEXT_CUT = 10
+CUT_ITEMS = {"large": 10, "small": 5}
 SEARCH_TERM = "what"
-LOOKUP_PRODUCT = "src3"
-
-
-def _ready(spark, d):
-    return scoring.model_ready(scoring.process(A.social(spark, d)))
 
 
 def _ranked(spark, d, cap=P.CONTEXT_CAP):
-    return P.ranked_context(_ready(spark, d), cap)
+    return scoring.faq_ready(scoring.process(A.social(spark, d)), cap=cap, rank_col="rank")
 
 
 def _responses(spark, d, ranked=None):
@@ -299,16 +345,24 @@ def _documents(spark, d, at: str = "2024-06-01 00:00:00", flip: bool = False,
                            generated_at=F.lit(at).cast("timestamp_ntz"))
 
 
-@register("context_top200", O.BASE[:-1] + "," + O.ctx(CONTEXT_CAP) + """
+@register("context_top200", O.BASE[:-1] + "," + O.ctx(P.CONTEXT_CAP) + """
 SELECT product, rank, id, relevance_score FROM ctx""")
 def q_context_top200(spark, d):
-    return _ranked(spark, d, CONTEXT_CAP).select("product", "rank", "id", "relevance_score")
+    ready = scoring.model_ready(scoring.process(A.social(spark, d)))
+    return P.ranked_context(ready).select("product", "rank", "id", "relevance_score")
+
+
+@register("context_cut", O.BASE[:-1] + "," + O.ctx(CONTEXT_CUT) + """
+SELECT product, rank, id, relevance_score FROM ctx""")
+def q_context_cut(spark, d):
+    ready = scoring.model_ready(scoring.process(A.social(spark, d)))
+    return P.ranked_context(ready, CONTEXT_CUT).select("product", "rank", "id", "relevance_score")
 
 
 @register("context_with_fallback", O.BASE[:-1] + "," + O.ctx(500, "r500") + """,
 traw AS (
   SELECT conv_id * 1000 + turn AS id, 'prod' || CAST(conv_id % 5 AS VARCHAR) AS product,
-         text AS content, CASE WHEN turn = 0 THEN substr(text, 1, 60) END AS title,
+         text AS content, CASE WHEN turn = 0 THEN text END AS title,
          CAST((conv_id * 31 + turn * 7) % 40 - 5 AS INTEGER) AS score,
          'https://example.org/t/' || CAST(conv_id AS VARCHAR) AS url
   FROM conversations),
@@ -330,29 +384,38 @@ def q_context_with_fallback(spark, d):
 
 
 @register("prompt_context_large", O.BASE[:-1] + "," + O.ctx(200) + "\n"
-          + O.context_agg(O.item_large(), LARGE_ITEMS))
+          + O.context_agg(O.item_large(), P.LARGE.max_items))
 def q_prompt_context_large(spark, d):
-    return P.prompt_context(_ranked(spark, d), P.LARGE, LARGE_ITEMS)
+    return P.prompt_context(_ranked(spark, d), P.LARGE)
 
 
 @register("prompt_context_small", O.BASE[:-1] + "," + O.ctx(200) + "\n"
-          + O.context_agg(O.item_small(), SMALL_ITEMS))
+          + O.context_agg(O.item_small(), P.SMALL.max_items))
 def q_prompt_context_small(spark, d):
-    return P.prompt_context(_ranked(spark, d), P.SMALL, SMALL_ITEMS)
+    return P.prompt_context(_ranked(spark, d), P.SMALL)
+
+
+def _prompts_sql(large: int, small: int) -> str:
+    return (O.BASE[:-1] + "," + O.ctx(200)
+            + ",\npl AS (" + O.context_agg(O.item_large(), large) + ")"
+            + ",\nps AS (" + O.context_agg(O.item_small(), small) + ")"
+            + ",\nprompts AS (SELECT product, 'large' AS provider, 1 AS priority, n_items, "
+            + O.template_sql(P.LARGE_TEMPLATE, "product", "context") + " AS prompt FROM pl"
+            + "\nUNION ALL SELECT product, 'small', 2, n_items, "
+            + O.template_sql(P.SMALL_TEMPLATE, "product", "context") + " FROM ps)\n")
 
 
-PROMPTS_SQL = (O.BASE[:-1] + "," + O.ctx(200)
-               + ",\npl AS (" + O.context_agg(O.item_large(), LARGE_ITEMS) + ")"
-               + ",\nps AS (" + O.context_agg(O.item_small(), SMALL_ITEMS) + ")"
-               + ",\nprompts AS (SELECT product, 'large' AS provider, 1 AS priority, n_items, "
-               + O.template_sql(P.LARGE_TEMPLATE, "product", "context") + " AS prompt FROM pl"
-               + "\nUNION ALL SELECT product, 'small', 2, n_items, "
-               + O.template_sql(P.SMALL_TEMPLATE, "product", "context") + " FROM ps)\n")
+PROMPTS_SQL = _prompts_sql(P.LARGE.max_items, P.SMALL.max_items)
 
 
 @register("prompts", PROMPTS_SQL + "SELECT * FROM prompts")
 def q_prompts(spark, d):
-    return P.prompts(_ranked(spark, d), max_items={"large": LARGE_ITEMS, "small": SMALL_ITEMS})
+    return P.prompts(_ranked(spark, d))
+
+
+@register("prompts_cut", _prompts_sql(CUT_ITEMS["large"], CUT_ITEMS["small"]) + "SELECT * FROM prompts")
+def q_prompts_cut(spark, d):
+    return P.prompts(_ranked(spark, d), max_items=CUT_ITEMS)
 
 
 @register("context_sources", O.BASE[:-1] + "," + O.ctx(200) + "," + O.sources_sql() + """
@@ -368,14 +431,14 @@ SELECT product, provider, priority,
        || CAST(length(prompt) AS VARCHAR) || ' characters of context were reviewed.' AS response
 FROM prompts""")
 def q_batch_inference(spark, d):
-    pr = P.prompts(_ranked(spark, d), max_items={"large": LARGE_ITEMS, "small": SMALL_ITEMS})
+    pr = P.prompts(_ranked(spark, d))
     return INF.batch_inference(pr, INF.echo_model())
 
 
 ENTRY_COLS = ["product", "provider", "priority", "entry_pos", "question", "answer", "category",
               "confidence"]
 
-RESP_BASE = O.BASE[:-1] + "," + O.RESPONSES + ","
+RESP_BASE = O.BASE[:-1] + "," + O.ctx(200, "ctx200") + "," + O.RESPONSES + ","
 
 
 @register("parse_responses", RESP_BASE + O.parse_sql() + """
@@ -395,8 +458,8 @@ def q_parse_qa_lines(spark, d):
 @register("provider_fallback", RESP_BASE + O.parse_sql() + "," + O.CHOSEN + """
 SELECT * FROM chosen""")
 def q_provider_fallback(spark, d):
-    e = _entries(spark, d)
-    return R.provider_fallback(e, _responses(spark, d))
+    responses = _responses(spark, d)
+    return R.provider_fallback(R.parse_responses(responses), responses)
 
 
 DOCS_SQL = (RESP_BASE + O.parse_sql() + "," + O.CHOSEN + "," + O.ctx(200) + "," + O.sources_sql()
@@ -480,12 +543,16 @@ def _docs_at(spark, d, at: str, flip: bool = False):
 
 
 @register("queue_encode", O.with_(O.SOCIAL, O.QUEUE_RECORDS) + """
-SELECT product AS key, id, source, product, data_type, score, url, title, content FROM qrec""")
+SELECT product AS key, id, source, product, data_type, score, url, title, content,
+       CAST(id AS VARCHAR) AS json_id, content AS json_content, product AS json_product FROM qrec""")
 def q_queue_encode(spark, d):
+    """The record read back from each message, and fields looked up in its JSON text itself."""
     m = QU.decode(QU.encode(A.queue_records(spark, d)))
     return m.select("key", *[F.col(f"r.{c}").alias(c) for c in
                              ("id", "source", "product", "data_type", "score", "url", "title",
-                              "content")])
+                              "content")],
+                    *[F.get_json_object("value", f"$.{c}").alias(f"json_{c}")
+                      for c in ("id", "content", "product")])
 
 
 @register("queue_decode", O.with_(O.SOCIAL, O.QUEUE_RECORDS) + """
@@ -547,16 +614,18 @@ def q_product_page(spark, d):
 @register("insert_new_products", O.with_(O.PRODUCTS, O.COMMUNITIES) + """
 , req AS (
   SELECT c_name AS name, c_custkey AS request_pos,
-         ['sub' || CAST(c_nationkey AS VARCHAR)] AS subreddits, CAST(NULL AS VARCHAR[]) AS keywords
+         ['sub' || CAST(c_nationkey AS VARCHAR)] AS subreddits, CAST(NULL AS VARCHAR[]) AS keywords,
+         true AS auto_discover
   FROM customer
   UNION ALL
   SELECT s_name, 100000 + s_suppkey,
          CASE WHEN s_suppkey % 3 = 0 THEN []::VARCHAR[]
               ELSE ['sub' || CAST(s_nationkey AS VARCHAR)] END,
-         CASE WHEN s_suppkey % 4 = 0 THEN []::VARCHAR[] END
+         CASE WHEN s_suppkey % 4 = 0 THEN []::VARCHAR[] END, NULL
   FROM supplier
   UNION ALL
-  SELECT n_name, 200000 + n_nationkey, CAST(NULL AS VARCHAR[]), CAST(NULL AS VARCHAR[])
+  SELECT n_name, 200000 + n_nationkey, CAST(NULL AS VARCHAR[]), CAST(NULL AS VARCHAR[]),
+         n_nationkey % 2 = 0
   FROM nation),
 firsts AS (SELECT * FROM req QUALIFY row_number() OVER (PARTITION BY name ORDER BY request_pos) = 1),
 fresh AS (SELECT * FROM firsts WHERE name NOT IN (SELECT name FROM products)),
@@ -573,7 +642,7 @@ found AS (
   FROM topics t LEFT JOIN hits h USING (topic) GROUP BY t.topic)
 SELECT f.name,
        array_to_string(CASE WHEN coalesce(len(f.subreddits), -1) > 0 THEN f.subreddits
-                            WHEN d.subs IS NOT NULL THEN d.subs
+                            WHEN d.subs IS NOT NULL AND coalesce(f.auto_discover, true) THEN d.subs
                             ELSE ['technology', 'gadgets'] END, '|') AS subreddits,
        array_to_string(coalesce(f.keywords, ['review', 'problem', 'help', 'question']), '|')
          AS keywords,
@@ -583,24 +652,27 @@ def q_insert_new_products(spark, d):
     c = A.table(spark, d, "customer").select(
         F.col("c_name").alias("name"), F.col("c_custkey").alias("request_pos"),
         F.array(F.concat(F.lit("sub"), F.col("c_nationkey").cast("string"))).alias("subreddits"),
-        F.lit(None).cast("array<string>").alias("keywords"))
+        F.lit(None).cast("array<string>").alias("keywords"), F.lit(True).alias("auto_discover"))
     s = A.table(spark, d, "supplier").select(
         F.col("s_name").alias("name"), (F.lit(100000) + F.col("s_suppkey")).alias("request_pos"),
         F.when(F.col("s_suppkey") % 3 == 0, F.array().cast("array<string>"))
          .otherwise(F.array(F.concat(F.lit("sub"), F.col("s_nationkey").cast("string"))))
          .alias("subreddits"),
-        F.when(F.col("s_suppkey") % 4 == 0, F.array().cast("array<string>")).alias("keywords"))
+        F.when(F.col("s_suppkey") % 4 == 0, F.array().cast("array<string>")).alias("keywords"),
+        F.lit(None).cast("boolean").alias("auto_discover"))
     n = A.table(spark, d, "nation").select(
         F.col("n_name").alias("name"), (F.lit(200000) + F.col("n_nationkey")).alias("request_pos"),
         F.lit(None).cast("array<string>").alias("subreddits"),
-        F.lit(None).cast("array<string>").alias("keywords"))
+        F.lit(None).cast("array<string>").alias("keywords"),
+        (F.col("n_nationkey") % 2 == 0).alias("auto_discover"))
     req = (c.unionByName(s).unionByName(n)
             .withColumn("description", F.lit(None).cast("string"))
             .withColumn("category", F.lit(None).cast("string")))
     existing = A.products(spark, d)
     # communities are discovered for the new names that came without subreddits
     wanting = (req.join(existing.select("name"), "name", "left_anti")
-                  .where(F.coalesce(F.size("subreddits"), F.lit(-1)) <= 0)
+                  .where((F.coalesce(F.size("subreddits"), F.lit(-1)) <= 0)
+                         & F.coalesce("auto_discover", F.lit(True)))
                   .select(F.col("name").alias("topic")))
     discovered = I.discover_communities(A.communities(spark, d), wanting)
     new = TB.insert_new_products(existing, req, _ntz(GEN_AT), discovered=discovered)
@@ -720,62 +792,91 @@ from ..streaming import landing as ST  # noqa: E402
 SLUG_SQL = "lower(replace(product, ' ', '_'))"
 
 
-@register("raw_scan", O.with_(O.SOCIAL) + f"""
+RAW_ROWS = O.with_(O.SOCIAL) + f"""
 , rows AS (
-  SELECT id, CASE WHEN coalesce(TRY_CAST(regexp_extract(product, '([0-9]+)$', 1) AS INTEGER), 0)
-                       % 5 = 4 OR id % 7 = 0 THEN product || ' ' ELSE product END AS product,
-         content FROM social),
+  SELECT id, CASE WHEN id % 2 = 0 THEN 'forum' ELSE 'reddit' END AS source,
+         CASE WHEN n % 5 = 4 OR (id % 7 = 0 AND id % 2 = 1) THEN product || ' ' ELSE product END AS product,
+         content
+  FROM (SELECT *, coalesce(TRY_CAST(regexp_extract(product, '([0-9]+)$', 1) AS INTEGER), 0) AS n FROM social)),
 slugged AS (SELECT *, {SLUG_SQL} AS product_slug,
                    regexp_replace({SLUG_SQL}, '_$', '') AS base FROM rows),
-pick AS (SELECT base, min(CASE WHEN product_slug = base THEN 0 ELSE 1 END) AS v
-         FROM slugged GROUP BY base)
-SELECT id, product, product_slug, content FROM slugged JOIN pick USING (base)
-WHERE CASE WHEN product_slug = base THEN 0 ELSE 1 END = v""")
-def q_raw_scan(spark, d):
-    s = A.social(spark, d)
-    n = A.product_number("product")
-    rows = s.withColumn("product", F.when((n % 5 == 4) | (F.col("id") % 7 == 0),
-                                          F.concat("product", F.lit(" ")))
-                                    .otherwise(F.col("product")))
+pick AS (SELECT source, base, min(CASE WHEN product_slug = base THEN 0 ELSE 1 END) AS v
+         FROM slugged GROUP BY source, base)
+SELECT id, source, product, product_slug, content FROM slugged JOIN pick USING (source, base)
+WHERE CASE WHEN product_slug = base THEN 0 ELSE 1 END = v"""
+
+
+def _raw_landing(spark, d) -> str:
+    """Two sources; trailing spaces on some products of one and on all rows of others."""
+    n, odd = A.product_number("product"), F.col("id") % 2 == 1
+    rows = (A.social(spark, d)
+            .withColumn("source", F.when(odd, "reddit").otherwise("forum"))
+            .withColumn("product", F.when((n % 5 == 4) | ((F.col("id") % 7 == 0) & odd),
+                                          F.concat("product", F.lit(" "))).otherwise(F.col("product"))))
     root = scratch_path(spark, "landing")
     FS.write_landing(rows, root)
-    return FS.raw_scan(spark, root).select("id", "product", "product_slug", "content")
+    return root
+
+
+@register("raw_scan", RAW_ROWS)
+def q_raw_scan(spark, d):
+    return FS.raw_scan(spark, _raw_landing(spark, d)).select("id", "source", "product", "product_slug", "content")
+
+
+@register("raw_scan_source", RAW_ROWS + f" AND source = 'forum' AND base = '{LOOKUP_PRODUCT}'")
+def q_raw_scan_source(spark, d):
+    """One product of one source."""
+    scan = FS.raw_scan(spark, _raw_landing(spark, d), source="forum", slugs=[LOOKUP_PRODUCT])
+    return scan.select("id", "source", "product", "product_slug", "content")
 
 
-@register("first_n_files", O.with_(O.SOCIAL) + f"""
+def _first_files_sql(n: int) -> str:
+    return O.with_(O.SOCIAL) + f"""
 , b AS (SELECT *, {SLUG_SQL} AS product_slug, floor(id / 100) AS flush FROM social),
 f AS (SELECT product_slug, flush,
              dense_rank() OVER (PARTITION BY product_slug ORDER BY flush) AS fr
       FROM (SELECT DISTINCT product_slug, flush FROM b))
 SELECT b.id, b.product, b.product_slug, b.content FROM b JOIN f USING (product_slug, flush)
-WHERE fr <= 2""")
-def q_first_n_files(spark, d):
+WHERE fr <= {n}"""
+
+
+def _first_files(spark, d, **caps):
     root = scratch_path(spark, "batches")
     FS.write_batch_files(A.social(spark, d), root, flush_size=100)
-    return FS.first_n_files(spark, root, n=2).select("id", "product", "product_slug", "content")
+    return FS.first_n_files(spark, root, **caps).select("id", "product", "product_slug", "content")
+
+
+@register("first_n_files", _first_files_sql(20))
+def q_first_n_files(spark, d):
+    return _first_files(spark, d)
 
 
-@register("snapshot_roundtrip", O.BASE[:-1] + "," + O.ranked_ready(READY_CAP) + f"""
+@register("first_n_files_cut", _first_files_sql(2))
+def q_first_n_files_cut(spark, d):
+    return _first_files(spark, d, n=2)
+
+
+@register("snapshot_roundtrip", O.BASE[:-1] + "," + O.ranked_ready(scoring.FAQ_READY_CAP) + f"""
 SELECT {READY_OUT}, CAST(rank AS INTEGER) AS rank, {SLUG_SQL} AS product_slug FROM ranked""")
 def q_snapshot_roundtrip(spark, d):
     s = scoring.process(A.social(spark, d))
     run_dir = scratch_path(spark, "processed") + "/20240601_000000"
-    FS.write_snapshot(scoring.faq_ready(s, cap=READY_CAP, rank_col="rank"), run_dir)
+    FS.write_snapshot(scoring.faq_ready(s, rank_col="rank"), run_dir)
     return _ready_out(FS.read_snapshot(spark, run_dir), "rank", "product_slug")
 
 
-@register("latest_read", O.BASE[:-1] + "," + O.ranked_ready(READY_CAP) + f"""
+@register("latest_read", O.BASE[:-1] + "," + O.ranked_ready(scoring.FAQ_READY_CAP) + f"""
 SELECT {READY_OUT}, {SLUG_SQL} AS product_slug FROM ranked""")
 def q_latest_read(spark, d):
     s = scoring.process(A.social(spark, d))
     path = scratch_path(spark, "processed") + "/latest.json"
-    FS.write_latest_json(scoring.faq_ready(s, cap=READY_CAP), path)
+    FS.write_latest_json(scoring.faq_ready(s), path)
     return _ready_out(FS.read_latest(spark, path), "product_slug")
 
 
 def _run_streams(spark, d, clean: bool = False) -> str:
     base = scratch_path(spark, "stream")
-    ST.stage_messages(A.queue_messages(spark, d), base + "/inbox", n_files=8)
+    ST.stage_messages(A.queue_messages(spark, d), base + "/inbox")
     msgs = ST.file_queue_source(spark, base + "/inbox")
     ST.run_to_end(ST.start_landing(msgs, base + "/landing", base + "/ck_landing"),
                   ST.start_quarantine(msgs, base + "/quarantine", base + "/ck_quarantine"))
@@ -863,6 +964,25 @@ def q_topic_clusters(spark, d):
     return TP.topic_clusters(members)
 
 
+@register("topic_members")
+def q_topic_members(spark, d):
+    """Each cluster's members with their text, questions and URL, one row per member."""
+    scored = scoring.process(A.social(spark, d))
+    members = TP.topic_members(scored).select("id", "cluster")
+    return members.join(scored.select("id", F.col("content_cleaned").alias("content"),
+                                      T.join_list("extracted_questions").alias("questions"), "url", "score"), "id")
+
+
+@register("topic_totals", O.BASE + """
+SELECT count(*) AS members, CAST(sum(score) AS BIGINT) AS total_score,
+       CAST(sum(len(extracted_questions)) AS BIGINT) AS questions FROM scored""")
+def q_topic_totals(spark, d):
+    """What the clusters add up to: every cleaned row once."""
+    m = TP.topic_members(scoring.process(A.social(spark, d)))
+    return m.agg(F.count(F.lit(1)).alias("members"), F.sum("score").cast("long").alias("total_score"),
+                 F.sum("n_questions").cast("long").alias("questions"))
+
+
 # ---------------------------------------------------------------------------
 # product form input
 # ---------------------------------------------------------------------------

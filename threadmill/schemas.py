@@ -129,17 +129,3 @@ PRODUCT_SCHEMA = StructType([
     StructField("faq_count", IntegerType()),
     StructField("status", S),
 ])
-
-QUEUE_SCHEMA = StructType([
-    StructField("key", S),
-    StructField("value", S),
-])
-
-RESPONSE_SCHEMA = StructType([
-    StructField("product", S),
-    StructField("provider", S),
-    StructField("priority", IntegerType()),
-    StructField("response", S),
-])
-
-HAS_QUESTION_TYPE = BooleanType()

@@ -3,9 +3,9 @@
 Cluster rules followed here:
 * scratch output (landing tables, snapshots, stream checkpoints) goes under the
   folder named by ``spark.checkpoint.dir`` - on a cluster that is a shared
-  filesystem; a machine-local temporary folder is only used when the setting
-  is absent (local tests), and then it is written back into the session so
-  every later call agrees;
+  filesystem, and without the setting an error is raised; a machine-local
+  temporary folder is only used by a local master without the setting, and then
+  it is written back into the session so every later call agrees;
 * lineage is cut with ``DataFrame.checkpoint()`` (reliable, on that folder),
   never ``localCheckpoint``.
 """
@@ -13,6 +13,7 @@ Cluster rules followed here:
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -81,6 +82,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="threadmill-ckpt-")
         spark.conf.set(CHECKPOINT_KEY, root)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -96,20 +99,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/threadmill/{name}/{uuid.uuid4().hex}"
 
 
-def balanced(df, key: str | None = None):
-    """Spread an under-partitioned scan over the cluster before CPU-heavy work.
-
-    A large input has far more splits than cores and is returned unchanged
-    (no shuffle).  Only when the scan yields fewer partitions than the
-    default parallelism (e.g. one big single-row-group file) are rows hashed
-    on ``key`` into that many partitions.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target, key) if key else df.repartition(target)
-
-
 def materialize(df):
     """Cut lineage of a small, multiply-used intermediate with a reliable
     checkpoint in the shared checkpoint folder (survives executor loss;

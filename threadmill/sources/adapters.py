@@ -36,9 +36,7 @@ def social(spark: SparkSession, sf_dir: str) -> DataFrame:
     One record per document: product = source, subreddit = lang, every third
     document is a post (with a title), the rest comments.
     """
-    from ..session import balanced
-    d = balanced(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"),
-                 "doc_id")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     is_post = F.col("doc_id") % 3 == 0
     created = F.lit(EPOCH_2024) + F.col("doc_id") * 60
     return d.select(
@@ -47,7 +45,7 @@ def social(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("source").alias("product"),
         F.when(is_post, "post").otherwise("comment").alias("data_type"),
         F.col("text").alias("content"),
-        F.when(is_post, F.substring("text", 1, 60)).alias("title"),
+        F.when(is_post, F.col("text")).alias("title"),
         F.concat(F.lit("u"), (F.col("doc_id") % 97).cast("string")).alias("author"),
         (F.col("doc_id") * 37 % 101 - 10).cast("int").alias("score"),
         F.concat(F.lit("https://example.org/"), F.col("source"), F.lit("/"),
@@ -83,7 +81,7 @@ def thread_posts_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(cid / LISTING_PAGE).alias("page"),
         F.struct(
             pid.alias("id"),
-            F.when(cid % 10 == 7, F.lit("")).otherwise(F.substring("text", 1, 60)).alias("title"),
+            F.when(cid % 10 == 7, F.lit("")).otherwise(F.col("text")).alias("title"),
             F.when(cid % 5 == 2, F.lit("")).otherwise(F.col("text")).alias("selftext"),
             F.concat(F.lit("a"), (cid % 31).cast("string")).alias("author"),
             sub.alias("subreddit"),
@@ -212,34 +210,36 @@ def product_number(c: str = "product") -> F.Column:
 def model_responses(ranked: DataFrame) -> DataFrame:
     """Two responses per product (providers ``large`` and ``small``).
 
-    Built from the product's three best rows.  Form by product number: 0 a
-    JSON array with text around it, 1 JSON with missing / quoted / non-number
-    fields, 2 broken JSON, 3 "Q:/A:" lines.  ``large`` uses form n % 4;
-    ``small`` uses (n + 1) % 4, except n % 8 == 6 where it is also broken.
+    Built from all ranked rows of the product, one entry per row: the question
+    is the row's questions (or its text), the answer its whole text.  Form by
+    product number: 0 a JSON array with text around it, 1 JSON with missing /
+    quoted / non-number fields, 2 broken JSON, 3 "Q:/A:" lines.  ``large``
+    uses form n % 4; ``small`` uses (n + 1) % 4, except n % 8 == 6 where it is
+    also broken.
     """
-    r = ranked.where(F.col("rank") <= 3)
-    q = F.coalesce(F.get(F.col("extracted_questions"), 0),
-                   F.concat(F.substring("content", 1, 40), F.lit("?")))
-    a = F.substring("content", 1, 80)
-    cat = F.get(F.array(*[F.lit(x) for x in RESPONSE_CATEGORIES]), F.col("rank") - 1)
-    conf = F.get(F.array(*[F.lit(x) for x in RESPONSE_CONFIDENCES]), F.col("rank") - 1)
+    r = ranked
+    turn = (F.col("rank") - 1) % 3
+    q = F.when(F.size("extracted_questions") > 0, F.array_join("extracted_questions", " ")) \
+         .otherwise(F.concat("content", F.lit("?")))
+    a = F.col("content")
+    cat = F.get(F.array(*[F.lit(x) for x in RESPONSE_CATEGORIES]), turn)
+    conf = F.get(F.array(*[F.lit(x) for x in RESPONSE_CONFIDENCES]), turn)
     kw1, kw2 = F.col("data_type"), F.col("product")
-    entry_a = F.concat(F.lit('{"question": "'), q, F.lit('", "answer": "'), a,
-                       F.lit('", "category": "'), cat, F.lit('", "confidence": '), conf,
-                       F.lit(', "keywords": ["'), kw1, F.lit('", "'), kw2, F.lit('"]}'))
-    entry_b = (F.when(F.col("rank") == 1,
-                      F.concat(F.lit('{"question": "'), q, F.lit('", "answer": "'), a,
-                               F.lit('", "confidence": "0.75"}')))
-                .when(F.col("rank") == 2,
-                      F.concat(F.lit('{"answer": "'), a, F.lit('", "confidence": null}')))
-                .otherwise(F.concat(F.lit('{"question": "'), q, F.lit('", "answer": "'), a,
-                                    F.lit('", "category": "Setup", "confidence": "high", '
-                                          '"keywords": []}'))))
+    entry_a = F.to_json(F.struct(
+        q.alias("question"), a.alias("answer"), cat.alias("category"),
+        conf.cast("double").alias("confidence"), F.array(kw1, kw2).alias("keywords")))
+    entry_b = (F.when(turn == 0, F.to_json(F.struct(q.alias("question"), a.alias("answer"),
+                                                    F.lit("0.75").alias("confidence"))))
+                .when(turn == 1, F.to_json(F.struct(a.alias("answer"), F.lit(None).cast("string").alias("confidence")),
+                                           {"ignoreNullFields": "false"}))
+                .otherwise(F.to_json(F.struct(
+                    q.alias("question"), a.alias("answer"), F.lit("Setup").alias("category"),
+                    F.lit("high").alias("confidence"), F.array().cast("array<string>").alias("keywords")))))
     broken = F.when(F.col("rank") == 1,
                     F.concat(F.lit('Here you go: [{"question": "'), q, F.lit('", "answer": ]')))
-    lines_d = (F.when(F.col("rank") == 1,
+    lines_d = (F.when(turn == 0,
                       F.concat(F.lit("Q: "), q, F.lit("\nA: "), a, F.lit("\nsee also "), kw1))
-                .when(F.col("rank") == 2,
+                .when(turn == 1,
                       F.concat(F.lit("Question: "), q, F.lit("\nAnswer: "), a))
                 .otherwise(F.concat(F.lit("Q: "), q, F.lit("\nnote first\nA: "), a)))
     from ..operators.prompts import ordered_join
@@ -263,6 +263,31 @@ def model_responses(ranked: DataFrame) -> DataFrame:
     return large.unionByName(small)
 
 
+def searched_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products to search for (id, name, subreddits, keywords): one per document source.
+
+    Its name is the word at place n + 1 among the source's words by count (n
+    the source's number), its keywords are the next two, and its subreddits
+    the languages of the source's documents.
+    """
+    from ..operators.rank import top_n_per_group
+    s = social(spark, sf_dir).select("product", "subreddit", "content")
+    words = (s.select("product", F.explode(F.split(F.lower("content"), r"\s+")).alias("word"))
+              .where("word <> ''").groupBy("product", "word").agg(F.count(F.lit(1)).alias("n")))
+    first = product_number() + 1
+    top = (top_n_per_group(words.withColumn("first", first), ["product"],
+                           [F.col("n").desc(), F.col("word").asc()], 40, rank_col="rank")
+           .where(F.col("rank").between(F.col("first"), F.col("first") + 2)))
+    named = (top.groupBy("product", "first")
+             .agg(F.max(F.when(F.col("rank") == F.col("first"), F.col("word"))).alias("name"),
+                  F.array_sort(F.collect_list(F.when(F.col("rank") > F.col("first"),
+                                                     F.struct("rank", "word")))).alias("kws")))
+    subs = s.groupBy("product").agg(F.array_sort(F.collect_set("subreddit")).alias("subreddits"))
+    return named.join(subs, "product").select(
+        (F.col("first") - 1).cast("long").alias("id"), "name", "subreddits",
+        F.transform("kws", lambda k: k["word"]).alias("keywords"))
+
+
 def thread_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation turn as a flat raw record (turn 0 a post).
 
@@ -277,7 +302,7 @@ def thread_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("prod"), (cid % 5).cast("string")).alias("product"),
         F.when(turn == 0, "post").otherwise("comment").alias("data_type"),
         F.col("text").alias("content"),
-        F.when(turn == 0, F.substring("text", 1, 60)).alias("title"),
+        F.when(turn == 0, F.col("text")).alias("title"),
         F.col("role").alias("author"),
         ((cid * 31 + turn * 7) % 40 - 5).cast("int").alias("score"),
         F.concat(F.lit("https://example.org/t/"), cid.cast("string")).alias("url"),

@@ -7,20 +7,22 @@ Layouts (all below a folder on shared storage):
 * snapshots: Parquet partitioned by product_slug under a run folder, plus a
   "latest" JSON copy.
 
-Reads always pass an explicit schema (no inference pass), and product
-selection is a partition filter, so only the wanted folders are listed.
+Reads always pass an explicit schema (no inference pass), and the selection
+of a source or product is a partition filter, so only its folders are read.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import product_slug
+from ..operators.joins import small_side
+from ..operators.rank import top_n_per_group
 from ..schemas import FAQ_READY_SCHEMA, RAW_WITH_ID_SCHEMA
 
-CORRUPT = "_corrupt_record"
 PARTITIONS = [StructField("source", StringType()), StructField("product_slug", StringType())]
 
 
@@ -39,44 +41,52 @@ def write_landing(records: DataFrame, root: str, mode: str = "append") -> None:
             .write.mode(mode).partitionBy("source", "product_slug").json(root))
 
 
-def product_folders(spark: SparkSession, root: str) -> list[str]:
-    """Names of the product_slug folders of a landing table (metadata only:
-    lists two directory levels, never the data files)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/source=*/product_slug=*")
-    found = path.getFileSystem(conf).globStatus(path)
-    names = set()
-    for st in (found or []):
-        names.add(st.getPath().getName().split("=", 1)[1])
-    return sorted(names)
+def data_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+    """(source, product_slug, path, name) of the non-empty data files of a landing table.
+
+    The listing is Spark's own (hidden files such as ``_SUCCESS`` are left out)
+    and stays a DataFrame; no file content is read.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    folder = r"/source=([^/]*)/product_slug=([^/]*)/"
+    return (reader.load(root).where("length > 0")
+            .select(F.regexp_extract("path", folder, 1).alias("source"),
+                    F.regexp_extract("path", folder, 2).alias("product_slug"), "path",
+                    F.regexp_extract("path", r"/product_slug=[^/]*/(.*)$", 1).alias("name")))
+
+
+def _losing_folders(files: DataFrame) -> DataFrame:
+    """(source, product_slug) of ``slug_`` folders whose exact folder in the same source holds data."""
+    folders = files.select("source", "product_slug").distinct()
+    exact = folders.select("source", F.concat("product_slug", F.lit("_")).alias("product_slug"))
+    return folders.join(exact, ["source", "product_slug"], "left_semi")
+
+
+def _wanted(df: DataFrame, slugs: list[str] | None, source: str | None) -> DataFrame:
+    if slugs:
+        df = df.where(F.col("product_slug").isin(*sorted({v for s in slugs for v in (s, s + "_")})))
+    return df.where(F.col("source") == source) if source else df
 
 
 def raw_scan(spark: SparkSession, root: str, schema: StructType = RAW_WITH_ID_SCHEMA,
              slugs: list[str] | None = None, multi_line: bool = False,
-             glob: str | None = None) -> DataFrame:
+             glob: str | None = None, source: str | None = None) -> DataFrame:
     """Landing rows with the folder-variant rule of the reference.
 
     A product is stored under ``slug`` or, when its name had a trailing
-    space, under ``slug_``.  Per product the exact folder wins when it
-    exists; otherwise the underscore folder is used.  The choice is made on
-    the folder listing, so the read is a pure partition filter (no join, no
-    shuffle).  ``slugs`` restricts the scan to given products.  ``multi_line``
-    reads files that each hold one JSON array or object (the batch-file
-    layout) instead of JSON lines; ``glob`` filters file names.
+    space, under ``slug_``.  Per source and product the exact folder wins when
+    it holds data; otherwise the underscore folder is used.  ``source`` and
+    ``slugs`` are partition filters: only their folders are read.
+    ``multi_line`` reads files that each hold one JSON array or object (the
+    batch-file layout) instead of JSON lines; ``glob`` filters file names.
     """
-    folders = set(product_folders(spark, root))
-    losing = sorted(f for f in folders if f.endswith("_") and f[:-1] in folders)
+    losing = small_side(_losing_folders(_wanted(data_files(spark, root, glob), slugs, source)))
     reader = spark.read.schema(_landing_schema(schema)).option("multiLine", multi_line)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    df = reader.json(root)
-    if losing:
-        df = df.where(~F.col("product_slug").isin(*losing))
-    if slugs:
-        wanted = set(slugs) | {s + "_" for s in slugs}
-        df = df.where(F.col("product_slug").isin(*sorted(wanted)))
-    return df
+    return _wanted(reader.json(root), slugs, source).join(losing, ["source", "product_slug"], "left_anti")
 
 
 def write_batch_files(records: DataFrame, root: str, flush_size: int = 50,
@@ -101,35 +111,24 @@ def write_batch_files(records: DataFrame, root: str, flush_size: int = 50,
             .write.mode("append").partitionBy("source", "product_slug", "flush").text(root))
 
 
-def first_n_files(spark: SparkSession, root: str, n: int = 20, glob: str = "*.txt",
-                  schema: StructType = RAW_WITH_ID_SCHEMA,
-                  slugs: list[str] | None = None) -> DataFrame:
-    """Records of the first ``n`` files (by name) of every product folder.
+def first_n_files(spark: SparkSession, root: str, n: int = 20, glob: str = "*.{json,txt}",
+                  schema: StructType = RAW_WITH_ID_SCHEMA, slugs: list[str] | None = None,
+                  source: str | None = None) -> DataFrame:
+    """Records of the first ``n`` files (by name) of every product folder of every source.
 
-    The files are chosen from the file listing (metadata the file index
-    already holds), so only the chosen files are read - not every file of
-    the table.  Each file is a JSON array or object (``multiLine``); a file
-    that does not parse is skipped but still takes its place among the
-    first ``n``.  ``slugs`` restricts the choice to given products.
+    The folder variants follow the rule of ``raw_scan``.  Files are ranked on
+    the executors; only the paths of the chosen ones (``n`` per folder) reach
+    the driver, and only these files are read.  Each file is a JSON array or
+    object (``multiLine``); a file that does not parse is skipped but still
+    takes its place among the first ``n``.
     """
-    import re
-    roots = [root]
-    if slugs:
-        # list only the requested product folders (metadata), not the whole table
-        present = set(product_folders(spark, root))
-        base = root.rstrip("/")
-        roots = [f"{base}/source=*/product_slug={s}" for s in sorted(set(slugs) & present)]
-    listing = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-                    .format("text").load(roots).inputFiles()) if roots else []
-    by_dir: dict[str, list[str]] = {}
-    for path in listing:
-        m = re.match(r"^(.*/product_slug=([^/]*))/", path)
-        if m and (not slugs or m.group(2) in slugs):
-            by_dir.setdefault(m.group(1), []).append(path)
-    chosen = [p for d in sorted(by_dir) for p in sorted(by_dir[d])[:n]]
-    out_schema = StructType(schema.fields + [StructField("product_slug", StringType())])
+    files = _wanted(data_files(spark, root, glob), slugs, source)
+    files = files.join(small_side(_losing_folders(files)), ["source", "product_slug"], "left_anti")
+    best = top_n_per_group(files, ["source", "product_slug"], [F.col("name").asc()], n)
+    chosen = [r.path for r in best.select("path").collect()]
+    fields = [f for f in schema.fields if f.name != "product_slug"]
     if not chosen:
-        return spark.createDataFrame([], out_schema)
+        return spark.createDataFrame([], StructType(fields + [StructField("product_slug", StringType())]))
     # multiLine parses each file as one record, so a file that does not parse
     # is one malformed record and DROPMALFORMED skips exactly that file
     df = (spark.read.schema(schema).option("multiLine", True)
@@ -153,10 +152,13 @@ def write_latest_json(ready: DataFrame, path: str) -> None:
     """The "latest" JSON copy.  Partitioned like the snapshot instead of the
     reference's single ``coalesce(1)`` file, which would funnel the whole
     table through one task; rebalanced by product like the snapshot, so a
-    hot product is spread over several writers and a small one is one file."""
+    hot product is spread over several writers and a small one is one file.
+    Only the products in ``ready`` are replaced: a run for one product leaves
+    the others' latest copy as it is."""
     (ready.withColumn("product_slug", product_slug("product"))
           .hint("rebalance", "product_slug")
-          .write.mode("overwrite").partitionBy("product_slug").json(path))
+          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+          .partitionBy("product_slug").json(path))
 
 
 def read_snapshot(spark: SparkSession, run_dir: str, product: str | None = None) -> DataFrame:
@@ -167,11 +169,15 @@ def read_snapshot(spark: SparkSession, run_dir: str, product: str | None = None)
 
 
 def read_latest(spark: SparkSession, path: str, product: str | None = None) -> DataFrame:
-    """Latest model-ready rows (explicit schema); empty when nothing was written."""
+    """Latest model-ready rows (explicit schema); empty when the folder does not exist.
+
+    Any other failure (an unknown file system, no permission) is raised."""
     schema = StructType(FAQ_READY_SCHEMA.fields + [StructField("product_slug", StringType())])
     try:
         df = spark.read.schema(schema).json(path)
-    except Exception:  # noqa: BLE001 - a missing folder means "no rows yet"
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
     if product is not None:
         df = df.where(F.col("product_slug") == product.replace(" ", "_").lower())

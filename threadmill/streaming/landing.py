@@ -54,9 +54,11 @@ def file_queue_source(spark: SparkSession, path: str, files_per_batch: int = 8)
                  .load(path))
 
 
-def stage_messages(messages: DataFrame, path: str, n_files: int = 4) -> None:
-    """Write queue messages as text files for the file source."""
-    messages.select("value").repartition(n_files).write.mode("append").text(path)
+def stage_messages(messages: DataFrame, path: str, n_files: int | None = None) -> None:
+    """Write queue messages as text files for the file source, as many as the
+    messages have partitions, or ``n_files``."""
+    messages = messages.select("value")
+    (messages.repartition(n_files) if n_files else messages).write.mode("append").text(path)
 
 
 def _trigger(writer, available_now: bool):
@@ -67,8 +69,13 @@ def _trigger(writer, available_now: bool):
 
 def start_landing(messages: DataFrame, landing_dir: str, checkpoint_dir: str,
                   available_now: bool = True) -> StreamingQuery:
-    """Decoded records -> landing table partitioned by (source, product_slug)."""
-    good = Q.good_records(Q.decode(messages)).withColumn("product_slug", product_slug("product"))
+    """Decoded records -> landing table partitioned by (source, product_slug).
+
+    Each micro-batch is dealt by folder, so it adds one file to each folder
+    it has rows for, instead of one for every task and folder; a folder's share
+    of a task is bounded by the micro-batch."""
+    good = (Q.good_records(Q.decode(messages)).withColumn("product_slug", product_slug("product"))
+             .repartition("source", "product_slug"))
     w = (good.writeStream.format("json").outputMode("append")
              .partitionBy("source", "product_slug")
              .option("checkpointLocation", checkpoint_dir))
