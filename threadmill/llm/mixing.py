@@ -30,13 +30,11 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.joins import broadcast_if
+from ..operators.joins import MAX_BROADCAST_BYTES, broadcast_if, measured_bytes
 from .base import WORD_PATTERN, stored
 
 #: Leading hex digits of the order hash that make a bin.
 BIN_DIGITS = 3
-#: A plan of at most so many leaves (bounded rows of a few hundred bytes) is broadcast.
-MAX_BROADCAST_LEAVES = 50_000
 
 DOMAIN, LANG, SOURCE = "__domain", "__lang", "__source"
 LEVELS = (DOMAIN, LANG, SOURCE)
@@ -115,9 +113,8 @@ def plan(docs: DataFrame, domain: Column, weights: Mapping[tuple, float], budget
     leaves = stored(leaf_budgets(supply, weights, budget_share, max_epochs)
                     .withColumn("epochs", passes)
                     .withColumn("rest", F.col("share") - F.col("epochs") * F.col("supply")))
-    n_leaves = leaves.count()
-    open_leaves = broadcast_if(leaves.where("rest > 0").select(*LEVELS, "epochs", "rest"), n_leaves,
-                               MAX_BROADCAST_LEAVES)
+    size = measured_bytes(leaves)  # one row per leaf, broadcast only while they are small together
+    open_leaves = broadcast_if(leaves.where("rest > 0").select(*LEVELS, "epochs", "rest"), size, MAX_BROADCAST_BYTES)
     hashed = (slim.join(open_leaves, list(LEVELS))
               .withColumn("__h", order_hash(seed, F.col("epochs") + 1, F.col("__key")))
               .withColumn("__bin", F.substring("__h", 1, BIN_DIGITS)))
@@ -128,7 +125,7 @@ def plan(docs: DataFrame, domain: Column, weights: Mapping[tuple, float], budget
     whole = (bins.where("__sum <= rest").groupBy(*LEVELS).agg(F.max("__last").alias("__cut1")))
     edge = (bins.where("__sum > rest and __sum - __n <= rest")
             .select(*LEVELS, "__bin", (F.col("rest") - F.col("__sum") + F.col("__n")).alias("__left")))
-    edge = broadcast_if(edge, n_leaves, MAX_BROADCAST_LEAVES)
+    edge = broadcast_if(edge, size, MAX_BROADCAST_BYTES)
     inside = Window.partitionBy(*LEVELS).orderBy("__h")
     part = (hashed.drop("rest").join(edge, [*LEVELS, "__bin"])
             .groupBy(*LEVELS, "__h", "__left").agg(F.sum("__tokens").alias("__n"))
@@ -157,7 +154,7 @@ def mix(docs: DataFrame, domain: Column, weights: Mapping[tuple, float], budget_
     columns = [c for c in docs.columns if c != epoch_col]
     leaves = stored(plan(docs, domain, weights, budget_share, max_epochs, seed, key_col, text_col,
                          lang_col, source_col))
-    leaves = broadcast_if(leaves.select(*LEVELS, "epochs", "cut"), leaves.count(), MAX_BROADCAST_LEAVES)
+    leaves = broadcast_if(leaves.select(*LEVELS, "epochs", "cut"), measured_bytes(leaves), MAX_BROADCAST_BYTES)
     path = _path(domain, lang_col, source_col)
     rows = docs.select(*columns, *path).join(leaves, list(LEVELS))
     extra = F.when((F.col("cut") != "") & (order_hash(seed, F.col("epochs") + 1, F.col(key_col)) <= F.col("cut")), 1)
