@@ -111,6 +111,13 @@ def test_bitmaps_never_exceed_the_difference():
         assert bits.bit_count() <= len(np.setxor1d(x, y))
 
 
+def test_wide_bitmaps_fold_to_the_smaller_size():
+    rng = np.random.default_rng(9)
+    s = np.unique(rng.integers(0, 2 ** 63, 3000, dtype=np.uint64))
+    wide = np.frombuffer(jaccard.parity(s, 8192), np.uint64)
+    assert np.bitwise_xor.reduce(wide.reshape(-1, 8), axis=0).tobytes() == jaccard.parity(s, 512)
+
+
 def test_word_hashes_follow_words_only():
     texts = ["Ada  bé\tcot", "ada bé cot ", "ADA\x0bbé\r\ncot", "", " ", "ada", "adabé cot", "x" * 100_000]
     h, at = words.word_hashes([t.encode() for t in texts], {})

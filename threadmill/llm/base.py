@@ -5,7 +5,9 @@ from __future__ import annotations
 import gc
 import sys
 import uuid
+from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import checkpoint_root
@@ -30,6 +32,21 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 256):
+    """Actions inside hand ``rows`` rows at a time to Python, for rows that are large.
+
+    The session's setting is put back afterwards.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of phases that nothing refers to any more.
 
@@ -50,3 +67,45 @@ def per_worker(name: str, make):
     if name not in kept:
         kept[name] = make()
     return kept[name]
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of equal length in one compressed value.
+
+    Each column's bytes are laid out plane by plane (all first bytes, all second
+    bytes, ...), so small numbers and runs cost next to nothing.
+    """
+    import zstandard
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
+    """The columns of a packed value, of the given kinds."""
+    import zstandard
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    n, out, at = len(raw) // sum(sizes), [], 0
+    for k, size in zip(kinds, sizes):
+        out.append(np.ascontiguousarray(raw[at:at + n * size].reshape(size, n).T).view(k).ravel())
+        at += n * size
+    return out
+
+
+def stored_compact(df: DataFrame) -> DataFrame:
+    """Like ``stored``, for many rows: kept as compressed Arrow batches."""
+    import pyarrow as pa
+
+    def pack(batches):
+        for batch in batches:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["data"])
+
+    def unpack(batches):
+        for batch in batches:
+            for data in batch.column(0):
+                yield from pa.ipc.open_stream(data.as_buffer())
+
+    return stored(df.mapInArrow(pack, "data binary")).mapInArrow(unpack, df.schema)

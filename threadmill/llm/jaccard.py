@@ -28,14 +28,17 @@ that run out of segments.
 Equal sets are gathered into classes first, by a grouped minimum.  Indexed
 hashes travel packed, dealt by hash to buckets of bounded size; inside one
 map task a hash that several classes share is sent once.  Only shared hashes
-become rows.  Candidates are taken in two rounds: first each class with the
-smallest one under the same hash (a star, so a large group of near copies
-gives as many candidates as members), verified on the whole sets and joined
-into components; then, for hashes whose classes are not all in one component,
-the pairs across components.  Between the two, a parity bitmap drops pairs:
+become rows.  Candidates are pairs under one hash whose sizes and parity
+bitmaps (a small one, then one that grows with the set) leave a link possible:
 the number of bits in which two bitmaps differ is at most the number of
-differing elements.  Every link between different components is thus found,
-and links inside a component cannot change it.
+differing elements.  They are verified on the whole
+sets, in two steps.  In the first, every class is paired with the smallest one
+under each of its hashes (a star, so a large group of near copies gives few
+candidates), and in each of STAR_ROUNDS rounds a class is held against the
+nearest star that it is not yet connected to.  In the second, for hashes whose
+classes are not all in one component, all pairs across components are
+verified.  Every link between different components is thus found, and links
+inside a component cannot change it.
 
 Defined results: null or empty texts, and texts of white space, have no
 shingles and are linked with nothing; a text with fewer words than a shingle
@@ -56,17 +59,19 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import broadcast_if
 from . import words as W
-from .base import per_worker, release, stored
+from .base import packed, per_worker, release, small_batches, stored, unpacked
 from .components import components
 
 BAND_RATIO = 1.5
 #: Cost of a chance candidate in indexed hashes, and the chance that an element is shared with some unrelated text.
 CANDIDATE_COST, SHARED = 4.0, 0.3
 #: Hashes in memory before a map task sends them, and hashes of one bucket.
-FLUSH, BUCKET = 1_000_000, 1_000_000
+FLUSH, BUCKET = 500_000, 1_000_000
 #: 64-bit words of the parity bitmap.
 MAP_WORDS = 8
-#: At most so many ids (8 bytes each) are broadcast.
+#: Rounds in which each document is held against its nearest star.
+STAR_ROUNDS = 2
+#: At most so many ids, or pairs of ids (8 bytes each id), are broadcast.
 MAX_BROADCAST_IDS = 1_000_000
 
 
@@ -143,9 +148,8 @@ def index_hashes(s: np.ndarray, percent: int, table: list) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def parity(s: np.ndarray) -> bytes:
-    """A bitmap in which every element turns one bit over."""
-    bits = 64 * MAP_WORDS
+def parity(s: np.ndarray, bits: int = 64 * MAP_WORDS) -> bytes:
+    """A bitmap of ``bits`` (a power of two) in which every element turns one bit over."""
     return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(
         np.uint8).tobytes()
 
@@ -153,32 +157,37 @@ def parity(s: np.ndarray) -> bytes:
 def _sets(batch: pa.RecordBatch, n: int):
     """(id, sorted shingles) of each row of a batch of ids and texts."""
     kept = per_worker("word tables", dict)
-    ids = batch.column(0).to_pylist()
-    for start, texts in W.batches(batch.column(1).to_pylist()):
-        for i, s in enumerate(W.shingle_sets(texts, n, kept)):
-            yield ids[start + i], s
+    for at in range(0, batch.num_rows, 512):
+        part = batch.slice(at, 512)
+        ids = part.column(0).to_pylist()
+        for start, texts in W.batches(part.column(1).to_pylist()):
+            for i, s in enumerate(W.shingle_sets(texts, n, kept)):
+                yield ids[start + i], s
 
 
 def shingled(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row: id, n_shingles, digest of the set (null if empty), parity bitmap as ``array<long>``."""
+    """Per row: id, n_shingles, digest of the set (null if empty), parity bitmaps: a small one as ``array<long>``
+    and one whose size follows the set's."""
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
         for batch in batches_:
-            ids, sizes, digests, maps = [], [], [], []
+            ids, sizes, digests, maps, wide = [], [], [], [], []
             for i, s in _sets(batch, n):
                 ids.append(i)
                 sizes.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 maps.append(parity(s))
+                wide.append(parity(s, max(64 * MAP_WORDS, 1 << (2 * len(s)).bit_length())))
             flat = np.frombuffer(b"".join(maps), "<i8")
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
-                 pa.FixedSizeListArray.from_arrays(pa.array(flat, pa.int64()), MAP_WORDS).cast(pa.list_(pa.int64()))],
-                ["id", "n_shingles", "digest", "map"])
+                 pa.FixedSizeListArray.from_arrays(pa.array(flat, pa.int64()), MAP_WORDS).cast(pa.list_(pa.int64())),
+                 pa.array(wide, pa.binary())],
+                ["id", "n_shingles", "digest", "map", "wide"])
 
     slim = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, "id long, n_shingles long, digest binary, map array<long>")
+    return slim.mapInArrow(run, "id long, n_shingles long, digest binary, map array<long>, wide binary")
 
 
 def _shared_hashes(docs: DataFrame, n: int, percent: int, buckets: int, table: list) -> DataFrame:
@@ -186,7 +195,7 @@ def _shared_hashes(docs: DataFrame, n: int, percent: int, buckets: int, table: l
     shift = 64 - (buckets.bit_length() - 1)
 
     def index(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "hash", "id", "hashes", "ids", "several"]
+        names = ["bucket", "known", "data"]
 
         def flushed(hashes, ids):
             h = np.concatenate(hashes)
@@ -197,21 +206,24 @@ def _shared_hashes(docs: DataFrame, n: int, percent: int, buckets: int, table: l
             copies = np.diff(first, append=len(h))
             rest = np.ones(len(h), bool)
             rest[first] = False
-            # the classes of a hash after its first one need not travel: the hash is known to be shared
-            k = int(rest.sum())
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(k, pa.int32()), pa.array(h[rest].view(np.int64)), pa.array(d[rest]),
-                 pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], names)
+            # the classes of a hash after its first one: the hash is known to be shared,
+            # so they go to any bucket, evenly
+            hr, dr = h[rest], d[rest]
+            spread = W.mix(dr.view(np.uint64) ^ hr) & np.uint64(buckets - 1)
+            order = np.argsort(spread, kind="stable")
+            hr, dr = hr[order], dr[order]
+            edges = np.searchsorted(spread[order], np.arange(buckets + 1, dtype=np.uint64))
+            rows = [(b, True, packed(hr[edges[b]:edges[b + 1]], dr[edges[b]:edges[b + 1]]))
+                    for b in range(buckets) if edges[b] < edges[b + 1]]
             h, d, many = h[first], d[first], copies > 1
             edges = np.searchsorted(h >> np.uint64(shift), np.arange(buckets + 1, dtype=np.uint64))
-            full = [b for b in range(buckets) if edges[b] < edges[b + 1]]
-            parts = [slice(edges[b], edges[b + 1]) for b in full]
-            k = len(full)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(full, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
-                 pa.array([h[p].tobytes() for p in parts], pa.binary()),
-                 pa.array([d[p].tobytes() for p in parts], pa.binary()),
-                 pa.array([many[p].tobytes() for p in parts], pa.binary())], names)
+            for b in range(buckets):
+                p = slice(edges[b], edges[b + 1])
+                if p.start < p.stop:
+                    rows.append((b, False, packed(h[p], d[p], many[p])))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()),
+                                              pa.array([r[1] for r in rows], pa.bool_()),
+                                              pa.array([r[2] for r in rows], pa.binary())], names)
 
         hashes, ids, held = [], [], 0
         for batch in batches_:
@@ -227,20 +239,21 @@ def _shared_hashes(docs: DataFrame, n: int, percent: int, buckets: int, table: l
             yield from flushed(hashes, ids)
 
     def merge(f: pd.DataFrame) -> pd.DataFrame:
-        h = np.frombuffer(b"".join(f["hashes"]), "<u8")
-        d = np.frombuffer(b"".join(f["ids"]), "<i8")
-        many = np.frombuffer(b"".join(f["several"]), bool)
-        order = np.argsort(h, kind="stable")
-        h, d, many = h[order], d[order], many[order]
-        first = np.flatnonzero(np.diff(h, prepend=h[:1] ^ np.uint64(1)))
-        copies = np.diff(first, append=len(h))
-        shared = np.repeat((copies > 1) | np.logical_or.reduceat(many, first), copies)
-        return pd.DataFrame({"hash": h[shared].view(np.int64), "id": d[shared]})
-
-    out = stored(docs.mapInArrow(
-        index, "bucket int, hash long, id long, hashes binary, ids binary, several binary"))
-    merged = out.where("bucket is not null").groupBy("bucket").applyInPandas(merge, "hash long, id long")
-    return merged.unionByName(out.where("bucket is null").select("hash", "id")).distinct()
+        known = [unpacked(x, "<u8", "<i8") for x in f.loc[f["known"], "data"]]
+        parts = [unpacked(x, "<u8", "<i8", "?") for x in f.loc[~f["known"], "data"]]
+        out = [pd.DataFrame({"hash": h.view(np.int64), "id": d}) for h, d in known]
+        if parts:
+            h, d, many = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(h, kind="stable")
+            h, d, many = h[order], d[order], many[order]
+            first = np.flatnonzero(np.diff(h, prepend=h[:1] ^ np.uint64(1)))
+            copies = np.diff(first, append=len(h))
+            shared = np.repeat((copies > 1) | np.logical_or.reduceat(many, first), copies)
+            out.append(pd.DataFrame({"hash": h[shared].view(np.int64), "id": d[shared]}))
+        return pd.concat(out)
+
+    return (docs.mapInArrow(index, "bucket int, known boolean, data binary").groupBy("bucket")
+            .applyInPandas(merge, "hash long, id long").distinct())
 
 
 def _differ(a: str, b: str) -> Column:
@@ -251,17 +264,72 @@ def _differ(a: str, b: str) -> Column:
 
 
 def _possible(percent: int) -> Column:
-    """Sizes na, nb and bitmaps ma, mb leave room for a link."""
+    """Sizes na, nb and the bitmaps' distance ``apart`` leave room for a link."""
     sizes = ((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent))
     most = F.floor((100 - percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
-    return sizes & (_differ("ma", "mb") <= most)
+    return sizes & (F.col("apart") <= most)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough; ``sets`` (id, set as binary) is stored."""
+def _candidates(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps leave possible, with the distance of their bitmaps."""
+    sized = classes.select("id", "n_shingles", "map")
+    left = sized.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("map").alias("ma"))
+    right = sized.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("map").alias("mb"))
+    return stored(pairs.join(left, "a").join(right, "b").withColumn("apart", _differ("ma", "mb"))
+                  .where(_possible(percent)).select("a", "b", "apart"))
 
-    def run(batches_):
-        for batch in batches_:
+
+def _narrowed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the wide bitmaps leave possible.
+
+    Bitmaps of two sizes are compared at the smaller one: a bitmap's halves
+    laid over each other are the bitmap of half the size.
+    """
+    sized = classes.select("id", "n_shingles", "wide")
+    left = sized.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("wide").alias("wa"))
+    right = sized.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("wide").alias("wb"))
+
+    def run(batches):
+        for batch in batches:
+            a, b, na, nb = (batch.column(k).to_pylist() for k in range(4))
+            keep = []
+            for k, (x, y) in enumerate(zip(batch.column(4), batch.column(5))):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                size = min(len(x), len(y))
+                x, y = (np.bitwise_xor.reduce(v.reshape(-1, size), axis=0) for v in (x, y))
+                keep.append(int(np.bitwise_count(x ^ y).sum()) <= differing(na[k], nb[k], percent))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([v for v, k in zip(c, keep) if k], pa.int64()) for c in (a, b)], ["a", "b"])
+
+    return (pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "na", "nb", "wa", "wb")
+            .mapInArrow(run, "a long, b long"))
+
+
+def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of documents whose sets are similar enough.
+
+    Only the texts of ``a`` and ``b`` are read; the sets of the ``b`` go to
+    those of the ``a``, each of which stands for many ``b``.  Rows that share an
+    id are one document, linked if any of them is.
+    """
+    pairs = stored(_narrowed(pairs, classes, percent).distinct().select("a", F.col("b").alias("id")))
+    heads = stored(pairs.select(F.col("a").alias("id")).distinct())
+
+    def of_b(batches):
+        for batch in batches:
+            a = batch.column(2).to_pylist()
+            rows = list(_sets(batch, n))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array([i for i, _ in rows], pa.int64()),
+                                              pa.array([s.tobytes() for _, s in rows], pa.binary())], ["a", "b", "y"])
+
+    def of_a(batches):
+        for batch in batches:
+            rows = list(_sets(batch, n))
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()),
+                                              pa.array([s.tobytes() for _, s in rows], pa.binary())], ["a", "x"])
+
+    def similar(batches):
+        for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
@@ -274,30 +342,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([v for v, k in zip(c, keep) if k], pa.int64()) for c in (a, b)], ["a", "b"])
 
-    first = sets.select(F.col("id").alias("a"), F.col("set").alias("x"))
-    second = sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    with_x = pairs.join(first, "a")
-    return with_x.join(second, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
+    members = (docs.join(broadcast_if(pairs, pairs.count(), MAX_BROADCAST_IDS), "id").select("id", "text", "a")
+               .mapInArrow(of_b, "a long, b long, y binary"))
+    first = (docs.join(broadcast_if(heads, heads.count(), MAX_BROADCAST_IDS), "id", "left_semi")
+             .mapInArrow(of_a, "a long, x binary"))
+    with small_batches(docs.sparkSession):
+        links = stored(members.join(first, "a").select("a", "b", "x", "y").mapInArrow(similar, "a long, b long"))
+    release(docs.sparkSession)
+    return links
 
-def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The linked ones of the candidate pairs (a, b)."""
-    sized = classes.select("id", "n_shingles", "map")
-    left = sized.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("map").alias("ma"))
-    right = sized.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("map").alias("mb"))
-    pairs = stored(pairs.join(left, "a").join(right, "b").where(_possible(percent)).select("a", "b"))
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    wanted = docs.join(broadcast_if(ids, ids.count(), MAX_BROADCAST_IDS), "id", "left_semi")
-
-    def run(batches_):
-        for batch in batches_:
-            rows = list(_sets(batch, n))
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()),
-                                              pa.array([s.tobytes() for _, s in rows], pa.binary())], ["id", "set"])
 
-    # the copies of a text, and rows that share an id, have one set here
-    sets = stored(wanted.mapInArrow(run, "id long, set binary").groupBy("id").agg(F.min("set").alias("set")))
-    return stored(_verified(pairs, sets, percent))
+def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose ends are in different components; ``ca`` is that of a."""
+    for end, name in (("a", "ca"), ("b", "cb")):
+        named = found.select(F.col("node").alias(end), F.col("component").alias(name))
+        pairs = pairs.join(named, end, "left").withColumn(name, F.coalesce(name, end))
+    return pairs.where("ca != cb").drop("cb")
 
 
 def near_duplicates(df: DataFrame, percent: int = 80, n: int = 5, id_col: str = "doc_id",
@@ -309,8 +369,8 @@ def near_duplicates(df: DataFrame, percent: int = 80, n: int = 5, id_col: str =
     rows = stored(shingled(df, n, id_col, text_col))
     usable = rows.where("digest is not null and id is not null")
     classes = stored(usable.groupBy("digest", "n_shingles").agg(F.min("id").alias("id"))
-                     .join(usable.select("digest", "id", "map"), ["digest", "id"])
-                     .groupBy("digest", "n_shingles", "id").agg(F.min("map").alias("map")))
+                     .join(usable.select("digest", "id", "map", "wide"), ["digest", "id"])
+                     .dropDuplicates(["digest", "id"]))
     total, largest = (v or 0 for v in classes.agg(F.sum("n_shingles"), F.max("n_shingles")).first())
     buckets = 1 << max(5, (int(total * 0.6) // BUCKET).bit_length())
     # copies need not be indexed: rows whose id is not their class's smallest
@@ -322,9 +382,17 @@ def near_duplicates(df: DataFrame, percent: int = 80, n: int = 5, id_col: str =
     shared = stored(_shared_hashes(firsts, n, percent, buckets, bands(largest, percent)))
     release(spark)
     least = stored(shared.groupBy("hash").agg(F.min("id").alias("a")))
-    stars = shared.join(least, "hash").where("a != id").select("a", F.col("id").alias("b")).distinct()
-    links = _links(stars, classes, firsts, n, percent)
-    found = stored(components(links))
+    stars = _candidates(shared.join(least, "hash").where("a != id").select("a", F.col("id").alias("b")).distinct(),
+                        classes, percent)
+    links = None
+    for _ in range(STAR_ROUNDS):
+        # each document with the nearest star it is not yet connected to
+        best = stored(stars.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("s")).select("s.a", "b"))
+        new = _links(best, classes, firsts, n, percent)
+        links = new if links is None else stored(links.unionByName(new))
+        found = stored(components(links))
+        stars = stored(_across(stars.join(best, ["a", "b"], "left_anti"), found).drop("ca"))
+        release(spark)
     # hashes whose classes are still in several components: all pairs across them
     named = stored(shared.join(found.withColumnRenamed("node", "id"), "id", "left")
                    .withColumn("component", F.coalesce("component", "id")))
@@ -335,15 +403,15 @@ def near_duplicates(df: DataFrame, percent: int = 80, n: int = 5, id_col: str =
                      F.col("map").alias("ma"))
     b = sized.select("hash", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"),
                      F.col("map").alias("mb"))
-    across = (a.join(b, "hash").where((F.col("ca") < F.col("cb")) & _possible(percent))
-              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-              .join(stars, ["a", "b"], "left_anti"))
-    more = _links(across, classes, firsts, n, percent)
+    here = (F.col("ca") < F.col("cb")) & _possible(percent)
+    across = stored(a.join(b, "hash").withColumn("apart", _differ("ma", "mb")).where(here)
+                    .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    links = stored(links.unionByName(_links(across, classes, firsts, n, percent)))
     # rows that share an id but not their text tie their classes together
     twice = usable.select("id", "digest").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     ties = (usable.join(twice, "id", "left_semi").select("id", "digest").distinct()
             .join(classes.select("digest", F.col("id").alias("b")), "digest").select(F.col("id").alias("a"), "b"))
-    end = stored(components(links.unionByName(more).unionByName(ties)))
+    end = stored(components(links.unionByName(ties)))
     of_class = stored(classes.join(end.withColumnRenamed("node", "id"), "id", "left")
                       .select("digest", F.coalesce("component", "id").alias("component_id")))
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
