@@ -34,7 +34,7 @@ def brute(data, order, least):
     return {i: v for i, v in out.items() if i is not None}
 
 
-@pytest.mark.parametrize("order,least,frequent,flush", [(3, 2, 50_000, 10 ** 6), (2, 1, 30, 300), (4, 3, 3, 2000)])
+@pytest.mark.parametrize("order,least,frequent,flush", [(3, 2, 10 ** 6, 10 ** 6), (2, 1, 30, 300), (4, 3, 3, 2000)])
 def test_matches_brute_force(spark, monkeypatch, order, least, frequent, flush):
     monkeypatch.setattr(lm, "MAX_FREQUENT", frequent)
     monkeypatch.setattr(lm._runs, "__defaults__", (flush,))

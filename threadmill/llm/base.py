@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import sys
+import time
 import uuid
 from contextlib import contextmanager
 
@@ -51,10 +52,27 @@ def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of phases that nothing refers to any more.
 
     Spark's cleaner follows the garbage collections of the driver; a phase
-    whose result is stored no longer needs its shuffle files.
+    whose result is stored no longer needs its shuffle files.  The last query
+    is still referred to until another one has run, and the files of what one
+    collection finds go a moment later.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    spark.range(1).count()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
+def trim() -> None:
+    """Give memory that this Python worker no longer uses back to the system: idle workers stay alive."""
+    import ctypes
+
+    import pyarrow as pa
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not every C library has it
+        pass
 
 
 def per_worker(name: str, make):

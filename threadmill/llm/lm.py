@@ -16,8 +16,8 @@ n-gram gains, partitioned by hash, with the documents' n-grams, dealt by the
 same hash, summed per document.
 
 Words are coded: one that makes at least 1 / MAX_FREQUENT of all words - by
-arithmetic there are at most MAX_FREQUENT of these, so they and their counts
-are sent to every task - by its rank, any other by its hash.  N-grams are
+arithmetic there are at most MAX_FREQUENT of these, 24 bytes each, so they and
+their counts are sent to every task - by its rank, any other by its hash.  N-grams are
 counted per run of about FLUSH words before they travel, as sorted and packed
 columns, and dealt by the hash of their first two words, so that an n-gram
 meets the count of its context; a word or a word pair that the corpus is full
@@ -44,34 +44,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .base import per_worker, release, stored
+from .base import packed, per_worker, release, small_batches, stored, stored_compact, trim, unpacked
 
 ALPHA = 0.4
 ORDER = 3
 MIN_COUNT = 2
 #: A word with at least this share of all words is coded by its rank.
-MAX_FREQUENT = 50_000
+MAX_FREQUENT = 1_000_000
 #: Words in memory before a map task sends its n-grams, and words of one bucket.
-FLUSH, BUCKET = 1_000_000, 2_000_000
+FLUSH, BUCKET = 500_000, 1_000_000
 RARE = np.uint64(1 << 63)
 
 
-def packed(*columns: np.ndarray) -> bytes:
-    import zstandard
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(c.tobytes() for c in columns))
-
-
-def unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
-    import zstandard
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    n = len(raw) // sum(np.dtype(k).itemsize for k in kinds)
-    out, at = [], 0
-    for k in kinds:
-        out.append(np.frombuffer(raw, k, n, at))
-        at += n * np.dtype(k).itemsize
-    return out
-
-
 class Frequent:
     """The frequent words' hashes (sorted), ranks and log counts, and the log of the number of all words."""
 
@@ -80,15 +64,33 @@ class Frequent:
         ranks = np.empty(len(hashes), np.uint64)
         ranks[rank] = np.arange(len(hashes), dtype=np.uint64)
         order = np.argsort(hashes)
-        self.hashes, self.ranks = hashes[order], ranks[order]
+        self.hashes, self.ranks, self.by_rank = hashes[order], ranks[order], hashes[rank]
+        # the hashes of equal leading bits stand together; where each such run starts
+        bits = max(1, (4 * len(hashes)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.starts = np.searchsorted(self.hashes >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
         self.log_count = np.log(counts[rank].astype(np.float64))
         self.log_total = math.log(max(1, total))
 
     def codes(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.hashes):
-            return h | RARE
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.ranks[at], h | RARE)
+        out = h | RARE
+        slot = (h >> self.shift).astype(np.int64)
+        at, end = self.starts[slot], self.starts[slot + 1]
+        left = np.flatnonzero(at < end)
+        at, end = at[left], end[left]
+        while len(left):
+            hit = self.hashes[at] == h[left]
+            out[left[hit]] = self.ranks[at[hit]]
+            more = ~hit & (at + 1 < end)
+            left, at, end = left[more], at[more] + 1, end[more]
+        return out
+
+    def names(self, codes: np.ndarray) -> np.ndarray:
+        """What stands for a word whether it is frequent or not: its hash with the top bit set."""
+        out = codes.copy()
+        known = codes < RARE
+        out[known] = self.by_rank[codes[known].astype(np.int64)] | RARE
+        return out
 
     def logs(self, codes: np.ndarray) -> np.ndarray:
         """Log counts of frequent words, NaN for others."""
@@ -109,9 +111,10 @@ def _runs(batches: Iterator[pa.RecordBatch], flush: int = FLUSH):
     """(ids, word hashes, word offsets) of about ``flush`` words at a time."""
     kept = per_worker("word tables", dict)
     ids, hashes, sizes, held = [], [], [], 0
-    for batch in batches:
-        own = batch.column(0).to_pylist()
-        for start, texts in W.batches(batch.column(1).to_pylist()):
+    parts = (batch.slice(at, 512) for batch in batches for at in range(0, batch.num_rows, 512))
+    for part in parts:
+        own = part.column(0).to_pylist()
+        for start, texts in W.batches(part.column(1).to_pylist()):
             h, at = W.word_hashes(texts, kept)
             ids += own[start:start + len(texts)]
             hashes.append(h)
@@ -122,6 +125,8 @@ def _runs(batches: Iterator[pa.RecordBatch], flush: int = FLUSH):
                 ids, hashes, sizes, held = [], [], [], 0
     if ids:
         yield ids, np.concatenate(hashes), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    del ids, hashes, sizes
+    trim()
 
 
 def _dealt(order_by: np.ndarray, buckets: int):
@@ -148,8 +153,9 @@ def _word_counts(docs: DataFrame, buckets: int) -> DataFrame:
         parts = [unpacked(x, "<u8", "<i8") for x in f["data"]]
         h, c = (np.concatenate(x) for x in zip(*parts))
         u, inverse = np.unique(h, return_inverse=True)
-        total = np.zeros(len(u), np.int64)
-        np.add.at(total, inverse, c)
+        total = np.bincount(inverse, c, len(u)).astype(np.int64)
+        del parts, h, c, inverse
+        trim()
         return pd.DataFrame({"bucket": [f["bucket"].iloc[0]], "data": [packed(u, total)], "n": [int(total.sum())]})
 
     return (docs.mapInArrow(count, "bucket int, data binary").groupBy("bucket")
@@ -180,69 +186,92 @@ def _gram_columns(codes: np.ndarray, at: np.ndarray, n: int) -> tuple[list[np.nd
     return [codes[k:k + m][inside] for k in range(n)], doc[:m][inside]
 
 
-def _kept_grams(docs: DataFrame, frequent: Frequent, order: int, min_count: int, buckets: int) -> DataFrame:
-    """Kept n-grams of orders 2 and up: n, the words' codes w0.., log count, log count of the context, log counts
-    of the first and the last word (null where the word is rare)."""
+def _gram_counts(docs: DataFrame, frequent: Frequent, n: int, buckets: int) -> DataFrame:
+    """The ``n``-grams of each run with their counts, packed, by bucket of their first two words."""
 
     def count(batches):
         for _, h, at in _runs(batches):
-            codes = frequent.codes(h)
-            for n in range(2, order + 1):
-                columns, _ = _gram_columns(codes, at, n)
-                if not len(columns[0]):
-                    continue
-                lead = gram_hash(columns[:2])
-                full = lead if n == 2 else gram_hash([lead, *columns[2:]])
-                sort = np.lexsort((full, lead)) if n > 2 else np.argsort(full)
-                lead, full = lead[sort], full[sort]
-                first = np.flatnonzero(np.diff(full, prepend=full[:1] ^ np.uint64(1)))
-                times = np.diff(first, append=len(full)).astype("<u4")
-                lead, columns = lead[first], [c[sort[first]] for c in columns]
-                parts = []
-                for b, p in _dealt(lead, buckets):
-                    inner = np.lexsort([c[p] for c in columns[::-1]])
-                    parts.append((b, n, packed(*[c[p][inner] for c in columns], times[p][inner])))
-                yield _rows(parts, ["bucket", "n", "data"], [pa.int32(), pa.int32(), pa.binary()])
+            columns, _ = _gram_columns(frequent.codes(h), at, n)
+            if not len(columns[0]):
+                continue
+            # one sort key: the bucket of the first two words, then the whole n-gram
+            bits = np.uint64(buckets.bit_length() - 1)
+            lead = gram_hash(columns[:2]) >> (np.uint64(64) - bits)
+            key = lead << (np.uint64(64) - bits) | gram_hash(columns) >> bits
+            sort = np.argsort(key)
+            key = key[sort]
+            first = np.flatnonzero(np.diff(key, prepend=key[:1] ^ np.uint64(1)))
+            times = np.diff(first, append=len(key)).astype("<u4")
+            key, columns = key[first], [c[sort[first]] for c in columns]
+            parts = []
+            for b, p in _dealt(key, buckets):
+                inner = np.argsort(columns[0][p], kind="stable")
+                parts.append((b, packed(*[c[p][inner] for c in columns], times[p][inner])))
+            yield _rows(parts, ["bucket", "data"], [pa.int32(), pa.binary()])
+
+    return docs.mapInArrow(count, "bucket int, data binary")
+
+
+def _kept(counted: DataFrame, shorter: DataFrame | None, frequent: Frequent, n: int, min_count: int) -> DataFrame:
+    """Per bucket, packed: the codes, log counts, log counts of the contexts and of the last words of kept n-grams.
+
+    ``shorter``: the same for the contexts, dealt by the same first two words
+    (for 2 words the context is the first word).  Unknown logs are NaN.
+    """
 
     def merge(f: pd.DataFrame) -> pd.DataFrame:
-        out, above = [], None
-        for n in range(2, order + 1):
-            parts = [unpacked(x, *["<u8"] * n, "<u4") for x in f.loc[f["n"] == n, "data"]]
-            if not parts:
-                break
-            columns = [np.concatenate([p[k] for p in parts]) for k in range(n)]
-            times = np.concatenate([p[n] for p in parts]).astype(np.int64)
-            full = gram_hash(columns)
-            sort = np.argsort(full)
-            full = full[sort]
-            first = np.flatnonzero(np.diff(full, prepend=full[:1] ^ np.uint64(1)))
-            total = np.add.reduceat(times[sort], first)
-            keep = total >= min_count
-            at = sort[first[keep]]
-            columns, total, full = [c[at] for c in columns], total[keep], full[first[keep]]
-            if above is None:
-                context = frequent.logs(columns[0])
-            else:
-                lead = gram_hash(columns[:-1])
-                where = np.minimum(np.searchsorted(above[0], lead), max(0, len(above[0]) - 1))
-                context = above[1][where] if len(lead) else np.zeros(0)
-            logs = np.log(total.astype(np.float64))
-            above = (full, logs)
-            wide = columns + [np.zeros(len(total), np.uint64)] * (order - n)
-            out.append(pd.DataFrame({"n": np.int32(n)} | {f"w{k}": c.view(np.int64) for k, c in enumerate(wide)} | {
-                "log_count": logs, "log_context": context, "log_last": frequent.logs(columns[-1])}))
-        return pd.concat(out) if out else pd.DataFrame(
-            {c: [] for c in ["n", *[f"w{k}" for k in range(order)], "log_count", "log_context", "log_last"]})
-
-    schema = "n int, " + ", ".join(f"w{k} long" for k in range(order)) + \
-        ", log_count double, log_context double, log_last double"
-    kept = (docs.mapInArrow(count, "bucket int, n int, data binary").groupBy("bucket").applyInPandas(merge, schema))
-    for c in ("log_context", "log_last"):
-        kept = kept.withColumn(c, F.when(~F.isnan(c), F.col(c)))
-    return kept
-
-
-def _gains(kept: DataFrame, counts: DataFrame, frequent: Frequent, order: int) -> list[DataFrame]:
+        parts = [unpacked(x, *["<u8"] * n, "<u4") for x in f.loc[f["side"] == 0, "data"]]
+        if not parts:
+            return pd.DataFrame({"bucket": [], "data": []}).astype({"bucket": "int32"})
+        columns = [np.concatenate([p[k] for p in parts]) for k in range(n)]
+        times = np.concatenate([p[n] for p in parts]).astype(np.int64)
+        full = gram_hash(columns)
+        sort = np.argsort(full)
+        full = full[sort]
+        first = np.flatnonzero(np.diff(full, prepend=full[:1] ^ np.uint64(1)))
+        total = np.add.reduceat(times[sort], first)
+        keep = total >= min_count
+        at = sort[first[keep]]
+        columns, total = [c[at] for c in columns], total[keep]
+        if n == 2:
+            context = frequent.logs(columns[0])
+        else:
+            known = [unpacked(x, *["<u8"] * (n - 1), "<f8", "<f8", "<f8") for x in f.loc[f["side"] == 1, "data"]]
+            above = gram_hash([np.concatenate([k[i] for k in known]) for i in range(n - 1)]) if known else full[:0]
+            logs = np.concatenate([k[n - 1] for k in known]) if known else np.zeros(0)
+            order = np.argsort(above)
+            where = order[np.searchsorted(above[order], gram_hash(columns[:-1]))] if len(total) else order[:0]
+            context = logs[where]
+        # rows in the order of their first word: its column is made of runs
+        by = np.argsort(columns[0], kind="stable")
+        del parts, times, full, sort, first
+        trim()
+        logs = [np.log(total.astype(np.float64)), context, frequent.logs(columns[-1])]
+        return pd.DataFrame({"bucket": [np.int32(f["bucket"].iloc[0])],
+                             "data": [packed(*[c[by] for c in columns + logs])]})
+
+    sides = counted.select("bucket", F.lit(0).alias("side"), "data")
+    if shorter is not None:
+        sides = sides.unionByName(shorter.select("bucket", F.lit(1).alias("side"), "data"))
+    return stored(sides.groupBy("bucket").applyInPandas(merge, "bucket int, data binary"))
+
+
+def _kept_rows(kept: DataFrame, n: int) -> DataFrame:
+    """Kept n-grams as rows: w0.., log_count, log_context, log_last (null where not known)."""
+    names = [f"w{k}" for k in range(n)]
+
+    def run(batches):
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                columns = unpacked(data, *["<i8"] * n, "<f8", "<f8", "<f8")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, from_pandas=True) for c in columns], [*names, "log_count", "log_context", "log_last"])
+
+    schema = ", ".join(f"{c} long" for c in names) + ", log_count double, log_context double, log_last double"
+    return kept.select("data").mapInArrow(run, schema)
+
+
+def _gains(kept: list[DataFrame], counts: DataFrame, frequent: Frequent, order: int) -> list[DataFrame]:
     """Per order from 2: (w0.., gain) of every kept n-gram."""
 
     def rare(frames):
@@ -254,12 +283,13 @@ def _gains(kept: DataFrame, counts: DataFrame, frequent: Frequent, order: int) -
                 yield pd.DataFrame({"code": codes[keep].view(np.int64), "log": np.log(c[keep].astype(np.float64))})
 
     words = counts.select("data").mapInPandas(rare, "code long, log double")
-    pairs = kept.where("n = 2")
+    pairs = _kept_rows(kept[0], 2)
     for word, log in (("w0", "log_context"), ("w1", "log_last")):
         known = pairs.where(F.col(log).isNotNull())
         looked = (pairs.where(F.col(log).isNull()).join(words.withColumnRenamed("code", word), word)
                   .withColumn(log, F.col("log")).drop("log"))
-        pairs = stored(known.unionByName(looked))
+        pairs = known.unionByName(looked)
+    pairs = stored_compact(pairs.select("w0", "w1", "log_count", "log_context", "log_last"))
     step = math.log(ALPHA)
     out = [pairs.select("w0", "w1", (F.col("log_count") - F.col("log_context") - F.lit(step)
                                      - F.col("log_last") + F.lit(frequent.log_total)).alias("gain"))]
@@ -268,7 +298,7 @@ def _gains(kept: DataFrame, counts: DataFrame, frequent: Frequent, order: int) -
         names = [f"w{k}" for k in range(n)]
         suffix = shorter.select(*[F.col(f"w{k}").alias(f"w{k + 1}") for k in range(n - 1)],
                                 (F.col("log_count") - F.col("log_context")).alias("ratio"))
-        shorter = kept.where(F.col("n") == n)
+        shorter = _kept_rows(kept[n - 2], n)
         out.append(shorter.join(suffix, names[1:]).select(
             *names, (F.col("log_count") - F.col("log_context") - F.lit(step) - F.col("ratio")).alias("gain")))
     return out
@@ -297,7 +327,10 @@ def _sums(grams: DataFrame, gains: DataFrame, buckets: int) -> DataFrame:
             values.append(np.bincount(inverse, gain[at[hit]], len(u)))
         if not ids:
             return pd.DataFrame({"id": [], "gain": []})
-        return pd.DataFrame({"id": np.concatenate(ids), "gain": np.concatenate(values)})
+        out = pd.DataFrame({"id": np.concatenate(ids), "gain": np.concatenate(values)})
+        del known, h, gain, ids, values, sort
+        trim()
+        return out
 
     sides = (grams.select("bucket", F.lit(0).alias("side"), "data")
              .unionByName(gains.select("bucket", F.lit(1).alias("side"), "data")))
@@ -310,9 +343,9 @@ def _asked(docs: DataFrame, frequent: Frequent, n: int, buckets: int) -> DataFra
 
     def run(batches):
         for ids, h, at in _runs(batches):
-            columns, doc = _gram_columns(frequent.codes(h), at, n)
+            columns, doc = _gram_columns(h | RARE, at, n)
             if n == 1:
-                rare = columns[0] >= RARE
+                rare = frequent.codes(h) >= RARE
                 # words are dealt by their own hash, as their counts are
                 key, doc = h[rare], doc[rare]
             else:
@@ -329,13 +362,13 @@ def _asked(docs: DataFrame, frequent: Frequent, n: int, buckets: int) -> DataFra
     return docs.mapInArrow(run, "bucket int, data binary")
 
 
-def _table(gains: DataFrame, n: int, buckets: int) -> DataFrame:
+def _table(gains: DataFrame, frequent: Frequent, n: int, buckets: int) -> DataFrame:
     """Gains by bucket of the n-gram's hash, packed."""
     shift = 64 - (buckets.bit_length() - 1)
 
     def pack(batches):
         for batch in batches:
-            columns = [batch.column(k).to_numpy().view(np.uint64) for k in range(n)]
+            columns = [frequent.names(batch.column(k).to_numpy().view(np.uint64)) for k in range(n)]
             key = gram_hash(columns)
             sort = np.argsort(key)
             key, gain = key[sort], batch.column(n).to_numpy()[sort]
@@ -383,19 +416,25 @@ def score(df: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, id_col:
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = 1 << max(5, (size // 5 // BUCKET).bit_length())
-    counts = stored(_word_counts(docs, buckets))
-    frequent = _frequent(counts)
-    release(spark)
-    kept = stored(_kept_grams(docs, frequent, order, min_count, buckets))
-    release(spark)
-    gains = [stored(_table(g, n, buckets)) for n, g in enumerate(_gains(kept, counts, frequent, order), 2)]
-    del kept
-    release(spark)
-    parts = []
-    for n in range(1, order + 1):
-        known = _word_table(counts) if n == 1 else gains[n - 2]
-        parts.append(_sums(_asked(docs, frequent, n, buckets), known, buckets))
+    # texts are handed to Python in small batches: what a batch takes, it takes in the JVM as well
+    with small_batches(spark, 1000):
+        counts = stored(_word_counts(docs, buckets))
+        frequent = _frequent(counts)
+        release(spark)
+        kept: list[DataFrame] = []
+        for n in range(2, order + 1):
+            counted = _gram_counts(docs, frequent, n, buckets)
+            kept.append(_kept(counted, kept[-1] if kept else None, frequent, n, min_count))
+            del counted
+            release(spark)
+        gains = [stored(_table(g, frequent, n, buckets)) for n, g in enumerate(_gains(kept, counts, frequent, order), 2)]
+        del kept
         release(spark)
+        parts = []
+        for n in range(1, order + 1):
+            known = _word_table(counts) if n == 1 else gains[n - 2]
+            parts.append(_sums(_asked(docs, frequent, n, buckets), known, buckets))
+            release(spark)
     total = _bases(docs, frequent, order).where("id is not null")
     for p in parts:
         total = total.unionByName(p.select("id", F.lit(0).cast("bigint").alias("n_words"), F.col("gain").alias("base")))
