@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_registered():
     names = E.queries()
-    assert [sum(bool(re.match(rf"op{n}_", q)) for q in names) for n in range(1, 11)] == [1] * 10
+    assert [sum(bool(re.match(rf"op{n}_", q)) for q in names) for n in range(1, 14)] == [1] * 13
     assert "pipeline" in names and set(E.oracle_sql()) <= set(names)
 
 

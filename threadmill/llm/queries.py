@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, jaccard, lm, metric_join, mixing, packing, pii, quality, sharding
+from . import ann, bestfit, bpe, jaccard, lm, metric_join, mixing, negatives, packing, pii, quality, ranked, sharding
 from .base import WORD_PATTERN, shared_path, table
 
 QUERIES: dict = {}
@@ -227,3 +227,74 @@ def op9_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's number of 5-word shingles and its component at a similarity of 0.8."""
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), 80, 5)
+
+
+# --- 11: best-fit packing ----------------------------------------------------
+
+#: The tokenizer of the packed sequences, and the id after every document.
+PACK_TOKENIZER, PACK_END_ID = "byte_bpe_50k.json", 0
+
+
+@register("op11_best_fit_packing")
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 2048 tokens."""
+    packed = bestfit.pack(table(spark, sf_dir, "documents"), PACK_TOKENIZER, PACK_END_ID)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+# --- 12: ranked search -------------------------------------------------------
+
+TERM_PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP12_SQL = f"""
+WITH split AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''),
+                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM_PATTERN}') AS w FROM documents),
+d AS (SELECT * FROM split WHERE len(w) > 0),
+total AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d),
+tf AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(w) AS term FROM d) GROUP BY ALL),
+df AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS weight
+       FROM tf, total GROUP BY term, n_docs),
+norm AS (SELECT row, doc_id, 100 - 75 + ((75 * len(w) * n_docs) // n_terms) AS m FROM d, total),
+asked AS (SELECT item_id, term, count(*) AS times FROM (
+            SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                     'abcdefghijklmnopqrstuvwxyz'), '{TERM_PATTERN}')) AS term FROM benchmark) GROUP BY ALL),
+scored AS (SELECT item_id, doc_id, row, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+           FROM asked JOIN tf USING (term) JOIN df USING (term) JOIN norm USING (row) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
+@register("op12_best_position_search", OP12_SQL)
+def op12_best_position_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents of all for every benchmark item."""
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
+# --- 13: hard negatives ------------------------------------------------------
+
+OP13_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+           FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+                 list_dot_product(a.v::DOUBLE[], b.v::DOUBLE[])::BIGINT AS score
+          FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id,
+       row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN pairs USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
+
+@register("op13_packed_tree_negatives", OP13_SQL)
+def op13_packed_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 3 hardest negatives for each of the 5 positives of every anchor (ids divisible by 50)."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, label)
