@@ -73,7 +73,7 @@ def test_width():
 def test_files_hold_all_ids_in_key_order(spark, library, scratch, monkeypatch):
     monkeypatch.setattr(packing, "BLOCK_IDS", 50)
     path = scratch + "/tokens"
-    df = docs(spark).unionByName(docs(spark, [(None, "no id", *[None] * 8), (7, "again", *[None] * 8)]))
+    df = docs(spark).unionByName(docs(spark, [(None, "no id", *[None] * 10), (7, "again", *[None] * 10)]))
     packing.write(df, path, NAME, 2, file_text_bytes=20_000)
     data = sorted([(r.doc_id is not None, r.doc_id or 0, r.text or "") for r in df.collect()])
     got = sorted(packing.read(spark, path).collect(), key=lambda r: r.start)
@@ -105,3 +105,16 @@ def test_cut_file_is_refused():
     data = packing.block([1], [struct.pack("<3I", 1, 2, 3)], 16)
     with pytest.raises(ValueError):
         list(packing.blocks(data[:-1]))
+
+
+def test_a_long_chunk_is_encoded_and_not_kept():
+    from tokenizers import Tokenizer
+    import public_tokenizers
+    text = "ab1" * 200_000 + " x " + "q" * 100_000
+    pieces = wordbpe.Pieces("word_bpe_49k.json")
+    encoder = wordbpe.Encoder(pieces, bpe.BacktrackingBpe(pieces.spec).encode)
+    ids = np.frombuffer(encoder.encode(text), "<u4").tolist()
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert ids == library.encode(text, add_special_tokens=False).ids
+    assert max(map(len, encoder.chunks)) <= wordbpe.MAX_KEPT_CHARS
+    assert max(map(len, encoder.chunks.piece_ids)) <= wordbpe.MAX_KEPT_CHARS

@@ -75,13 +75,31 @@ def trim() -> None:
         pass
 
 
-def per_worker(name: str, make):
-    """A value made once per Python worker and kept between its tasks.
+def _kept() -> dict:
+    return sys.__dict__.setdefault("_threadmill_kept", {})
+
+
+def forget(but: str | None = None) -> None:
+    """Drop what this Python worker keeps for other operators than ``but``: idle workers are used again."""
+    kept = _kept()
+    others = [g for g in kept if g != but]
+    for g in others:
+        del kept[g]
+    if others:
+        gc.collect()
+        trim()
+
+
+def per_worker(name: str, make, group: str | None = None):
+    """A value made once per Python worker and kept between its tasks, until another operator's tasks come.
 
     Functions are pickled by value, so their module's globals live for one
-    task only; ``sys`` is the worker's own.
+    task only; ``sys`` is the worker's own.  ``group`` names the operator whose
+    values stay together.
     """
-    kept = sys.__dict__.setdefault("_threadmill_kept", {})
+    group = group or name
+    forget(group)
+    kept = _kept().setdefault(group, {})
     if name not in kept:
         kept[name] = make()
     return kept[name]

@@ -190,7 +190,7 @@ def _encoder(tokenizer: str) -> wordbpe.Encoder:
     def make():
         pieces = wordbpe.Pieces(tokenizer)
         return wordbpe.Encoder(pieces, BacktrackingBpe(pieces.spec).encode)
-    return per_worker(f"bpe {tokenizer}", make)
+    return per_worker(f"bpe {tokenizer}", make, "bpe")
 
 
 def _table(tokenizer: str) -> OffsetTable:
@@ -198,7 +198,7 @@ def _table(tokenizer: str) -> OffsetTable:
         import json
         with open(wordbpe.resolve(tokenizer), encoding="utf-8") as f:
             return OffsetTable([s + b" " for s in token_strings(json.load(f))])
-    return per_worker(f"decode {tokenizer}", make)
+    return per_worker(f"decode {tokenizer}", make, "bpe")
 
 
 def _with_column(df: DataFrame, name: str, kind: T.DataType, source: str, make) -> DataFrame:

@@ -25,6 +25,8 @@ import numpy as np
 #: Entries of a worker's tables; a full table is emptied and filled anew.
 MAX_CHUNKS = 300_000
 MAX_PIECES = 200_000
+#: Longer chunks and pieces are encoded each time and not kept, so the tables are bounded in bytes too.
+MAX_KEPT_CHARS = 64
 
 
 def resolve(tokenizer: str) -> str:
@@ -88,9 +90,11 @@ class _Chunks(dict):
         self.pieces, self.piece_ids = pieces, piece_ids
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= MAX_CHUNKS:
-            self.clear()
-        out = self[chunk] = b"".join([self.piece_ids[p] for p in self.pieces.pattern.findall(chunk)])
+        out = b"".join([self.piece_ids[p] for p in self.pieces.pattern.findall(chunk)])
+        if len(chunk) <= MAX_KEPT_CHARS:
+            if len(self) >= MAX_CHUNKS:
+                self.clear()
+            self[chunk] = out
         return out
 
 
@@ -101,10 +105,12 @@ class _PieceIds(dict):
         self.pieces, self.encode_shown = pieces, encode_shown
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MAX_PIECES:
-            self.clear()
         ids = self.encode_shown(self.pieces.show(piece))
-        out = self[piece] = np.asarray(ids, "<u4").tobytes()
+        out = np.asarray(ids, "<u4").tobytes()
+        if len(piece) <= MAX_KEPT_CHARS:
+            if len(self) >= MAX_PIECES:
+                self.clear()
+            self[piece] = out
         return out
 
 
