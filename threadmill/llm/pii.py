@@ -13,7 +13,9 @@ not added.
 
 A span must hold a digit or '@', so only the surroundings of chunks with such
 characters are decoded: chunks without them, beyond one neighbour on each
-side, are outside by definition.
+side, are outside by definition.  A long region is decoded in pieces of PIECE
+tokens, each with OVERLAP tokens more on either side whose labels do not
+count, and pieces are decoded in batches, so memory is bounded for any text.
 
 Defined results: a null text is the empty text and has no spans; repeated
 rows get equal spans; long texts are read whole, and all patterns run in
@@ -24,6 +26,7 @@ named like an output column is replaced.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import per_worker
+from .base import forget
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -85,6 +88,8 @@ the number 31415926535 has 11 digits
 LABELS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
 #: Neighbours whose shapes a token's score looks at.
 REACH = (-2, -1, 0, 1, 2)
+#: Tokens of a piece of a long region, of its surroundings on each side, and of a batch of pieces.
+PIECE, OVERLAP, BATCH_TOKENS = 4096, 32, 200_000
 
 TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\s]")
 CHUNK = re.compile(r"\S+")
@@ -127,7 +132,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     out = [(a, 0, b) for a, b in emails(text)]
     if HOT.search(text):
         out += [(m.start(), 1, m.end()) for m in IP.finditer(text)
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+                if all(len(p) <= 3 and int(p or 0) <= 255 for p in (q.lstrip("0") for q in m.group().split(".")))]
         for m in CARD.finditer(text):
             digits = m.group().replace(" ", "").replace("-", "")
             if 12 <= len(digits) <= 19 and luhn(digits):
@@ -167,12 +172,24 @@ def shape(token: str, spaced: bool) -> str:
     return " " + s if spaced else s
 
 
-def tokens(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
-    out, last = [], -1
+def tokens(text: str, start: int, end: int) -> Iterator[tuple[int, int, str]]:
+    last = -1
     for m in TOKEN.finditer(text, start, end):
-        out.append((m.start(), m.end(), shape(m.group(), m.start() != last)))
+        yield m.start(), m.end(), shape(m.group(), m.start() != last)
         last = m.end()
-    return out
+
+
+def pieces(text: str, start: int, end: int) -> Iterator[tuple[list, int, int]]:
+    """(tokens, first, last) of a region's pieces: the labels of tokens[first:last] count."""
+    held, first = [], 0
+    for token in tokens(text, start, end):
+        held.append(token)
+        if len(held) == first + PIECE + OVERLAP:
+            yield held, first, first + PIECE
+            held = held[first + PIECE - OVERLAP:]
+            first = OVERLAP
+    if len(held) > first:
+        yield held, first, len(held)
 
 
 class Field:
@@ -199,7 +216,7 @@ class Field:
         out: list = [None] * len(sequences)
         order = sorted(range(len(sequences)), key=lambda i: len(sequences[i]))
         while order:
-            rows = min(len(order), max(1, 200_000 // max(1, len(sequences[order[-1]]))))
+            rows = min(len(order), max(1, BATCH_TOKENS // max(1, len(sequences[order[-1]]))))
             part, order = order[-rows:], order[:-rows]
             grid, sizes = self.inputs([sequences[i] for i in part])
             score = self.scores(grid)
@@ -234,7 +251,7 @@ def labelled(lines: list[str]) -> tuple[list[list[str]], list[np.ndarray]]:
             text += m.group(2)
             at = m.end()
         text += line[at:]
-        found = tokens(text, 0, len(text))
+        found = list(tokens(text, 0, len(text)))
         gold = np.zeros(len(found), int)
         for a, b, kind in marks:
             inside = [i for i, (s, e, _) in enumerate(found) if s >= a and e <= b]
@@ -310,29 +327,47 @@ def plausible(kind: int, text: str) -> bool:
 def all_spans(texts: list[str], field: Field) -> list[tuple[list, list]]:
     """Per text: base spans, and base and added spans; each (start, kind number, end), in order."""
     base = [base_spans(t) if t else [] for t in texts]
-    where, found, shapes = [], [], []
+    more: list = [[] for _ in texts]
+    waiting: list = []
+
+    def decode() -> None:
+        labels = field.viterbi([[s for _, _, s in toks] for _, _, toks, _, _ in waiting])
+        for (i, spans, toks, first, last), found in zip(waiting, labels):
+            for k in (np.flatnonzero(found[first:last]) + first).tolist():
+                a, b, label = toks[k][0], toks[k][1], int(found[k])
+                # what an inside label goes on with ends where the token before this one does
+                if label % 2 == 1:
+                    spans.append([a, label // 2, b, label + 1, k - first])
+                elif spans and spans[-1][3] == label and spans[-1][4] == k - first - 1:
+                    spans[-1][2], spans[-1][4] = b, k - first
+            if spans:
+                spans[-1][4] -= last - first  # counted from the next piece's first token
+        waiting.clear()
+
+    regions_of: list = []
+    held = 0
     for i, t in enumerate(texts):
         if t and HOT.search(t):
             for a, b in regions(t):
-                toks = tokens(t, a, b)
-                if toks:
-                    where.append(i)
-                    found.append(toks)
-                    shapes.append([s for _, _, s in toks])
-    more: list = [[] for _ in texts]
-    for i, toks, labels in zip(where, found, field.viterbi(shapes) if shapes else []):
-        k = 0
-        while k < len(toks):
-            if labels[k] % 2 == 1:
-                kind, j = int(labels[k]) // 2, k + 1
-                while j < len(toks) and labels[j] == labels[k] + 1:
-                    j += 1
-                a, b = toks[k][0], toks[j - 1][1]
-                if plausible(kind, texts[i][a:b]) and not any(s < b and a < e for s, _, e in base[i]):
+                spans: list = []
+                regions_of.append((i, spans))
+                for toks, first, last in pieces(t, a, b):
+                    waiting.append((i, spans, toks, first, last))
+                    held += len(toks)
+                    if held >= BATCH_TOKENS:
+                        decode()
+                        held = 0
+    if waiting:
+        decode()
+    for i, spans in regions_of:
+        if spans:
+            starts = [s for s, _, _ in base[i]]
+            upto = np.maximum.accumulate([e for _, _, e in base[i]]).tolist()
+            for a, kind, b, _, _ in spans:
+                before = bisect_left(starts, b)
+                touches = before and upto[before - 1] > a
+                if not touches and plausible(kind, texts[i][a:b]):
                     more[i].append((a, kind, b))
-                k = j
-            else:
-                k += 1
     return [(b, sorted(b + m)) for b, m in zip(base, more)]
 
 
@@ -344,6 +379,7 @@ def find(df: DataFrame, text_col: str = "text", spans_col: str = "spans", base_c
 
     @F.pandas_udf(f"struct<base:{kind},spans:{kind}>")
     def spans(texts: pd.Series) -> pd.DataFrame:
+        forget()
         shown = lambda found: [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in found]
         pairs = all_spans([t or "" for t in texts], field)
         return pd.DataFrame({"base": [shown(b) for b, _ in pairs], "spans": [shown(s) for _, s in pairs]})
@@ -367,6 +403,7 @@ def mask(df: DataFrame, text_col: str = "text", lines: list[str] | None = None)
 
     @F.pandas_udf("string")
     def masked(texts: pd.Series) -> pd.Series:
+        forget()
         values = texts.tolist()
         found = all_spans([t or "" for t in values], field)
         return pd.Series([hidden(t, s) if s else t for t, (_, s) in zip(values, found)], dtype=object)
