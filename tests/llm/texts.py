@@ -10,7 +10,8 @@ SCHEMA = T.StructType([
     # names that operators use for their own outputs
     T.StructField("score", T.StringType()), T.StructField("shard", T.StringType()),
     T.StructField("spans", T.StringType()), T.StructField("epoch", T.StringType()),
-    T.StructField("token_ids", T.StringType()), T.StructField("component_id", T.StringType())])
+    T.StructField("token_ids", T.StringType()), T.StructField("component_id", T.StringType()),
+    T.StructField("cut", T.StringType()), T.StructField("epochs", T.StringType())])
 
 WORDS = "ada be cot dun egg fig gnu hat ink jam kit log map net oak pea que rug sun tin".split()
 
@@ -32,11 +33,12 @@ def rows(seed=3, n=60):
         texts.append(" ".join(rng.choice(WORDS) for _ in range(rng.randrange(1, 60))))
     texts += [texts[-1]] * 8
     return [(i, t, rng.choice(["en", "de", None]), rng.choice(["src0", "src0", "src1", None]),
-             "s", "h", "p", "e", "t", "c") for i, t in enumerate(texts)]
+             "s", "h", "p", "e", "t", "c", "u", "v") for i, t in enumerate(texts)]
 
 
 def docs(spark, data=None):
-    return spark.createDataFrame(rows() if data is None else data, SCHEMA)
+    wide = [(*r, *[None] * (len(SCHEMA) - len(r))) for r in (rows() if data is None else data)]
+    return spark.createDataFrame(wide, SCHEMA)
 
 
 def empty(spark):

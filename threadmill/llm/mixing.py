@@ -154,11 +154,14 @@ def mix(docs: DataFrame, domain: Column, weights: Mapping[tuple, float], budget_
     columns = [c for c in docs.columns if c != epoch_col]
     leaves = stored(plan(docs, domain, weights, budget_share, max_epochs, seed, key_col, text_col,
                          lang_col, source_col))
-    leaves = broadcast_if(leaves.select(*LEVELS, "epochs", "cut"), measured_bytes(leaves), MAX_BROADCAST_BYTES)
+    # names of its own: the input may have columns named like the plan's
+    slim = leaves.select(*LEVELS, F.col("epochs").alias("__epochs"), F.col("cut").alias("__cut"))
+    leaves = broadcast_if(slim, measured_bytes(leaves), MAX_BROADCAST_BYTES)
     path = _path(domain, lang_col, source_col)
     rows = docs.select(*columns, *path).join(leaves, list(LEVELS))
-    extra = F.when((F.col("cut") != "") & (order_hash(seed, F.col("epochs") + 1, F.col(key_col)) <= F.col("cut")), 1)
-    last = F.col("epochs") + F.coalesce(extra, F.lit(0))
+    inside = order_hash(seed, F.col("__epochs") + 1, F.col(key_col)) <= F.col("__cut")
+    extra = F.when((F.col("__cut") != "") & inside, 1)
+    last = F.col("__epochs") + F.coalesce(extra, F.lit(0))
     return (rows.withColumn("__upto", last).where("__upto > 0")
             .withColumn(epoch_col, F.explode(F.sequence(F.lit(1), F.col("__upto").cast("int"))))
             .select(*columns, *LEVELS, epoch_col))
