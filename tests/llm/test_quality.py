@@ -13,7 +13,7 @@ def labelled(spark, n=400):
         good = i % 3 > 0
         words = [rng.choice(WORDS) + rng.choice(["", "s", "ing", ","]) for _ in range(rng.randrange(20, 90))]
         text = " ".join(words) if good else "!! ".join(w.upper() for w in words)
-        data.append((i, text, *[None] * 8))
+        data.append((i, text, *[None] * 10))
         marks.append((i, int(good)))
     return spark.createDataFrame(data, SCHEMA), spark.createDataFrame(marks, "doc_id long, quality int")
 
@@ -60,3 +60,38 @@ def test_fit_is_bounded_and_deterministic(spark):
     df, labels = labelled(spark, 300)
     a = quality.train(df, labels, per_class=20)
     assert a == quality.train(df.repartition(7), labels.repartition(3), per_class=20) and a.weights
+
+
+def test_scores_equal_a_plain_recomputation(spark):
+    """Sizes, terms and the logistic curve, text by text, from the fitted model's numbers."""
+    import math
+
+    import zstandard
+    df, labels = labelled(spark)
+    model = quality.train(df, labels.where("doc_id % 5 != 0"))
+    plain = {}
+    for r in df.collect():
+        data = r.text.encode()
+        sizes = []
+        for d in (model.good, model.bad):
+            c = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False,
+                                         write_dict_id=False, write_checksum=False)
+            sizes.append(len(c.compress(data)))
+        g, b = sizes
+        n = len(data)
+        diff, share, length = (b - g) / n, math.log(g / n), math.log(n)
+        x = [diff, diff * share, diff * length, diff ** 2, b / n, share, length, share ** 2, share * length, length ** 2]
+        m = model.weights[0] + sum(w * (v - a) / s for w, v, a, s in zip(model.weights[1:], x, model.mean, model.scale))
+        plain[r.doc_id] = 1 / (1 + math.exp(-max(-35, min(35, m))))
+    for r in quality.score(df, model).collect():
+        assert abs(r.score - plain[r.doc_id]) < 1e-6
+
+
+def test_sample_is_bounded_in_bytes(spark, monkeypatch):
+    df, labels = labelled(spark, 90)
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 2000)
+    taken = []
+    monkeypatch.setattr(quality, "fit", lambda good, bad, share: taken.append((good, bad)))
+    quality.train(df, labels)
+    for texts in taken[0]:
+        assert 0 < sum(len(t.encode()) for t in texts) <= 2000

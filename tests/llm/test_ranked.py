@@ -52,7 +52,7 @@ def test_awkward_rows(spark, k):
     data = [r[:2] for r in rows()] + [(3, "one two three"), (None, "ada be cot"), (500, "ada " * 3)]
     items = [(1, "ada be cot dun egg"), (2, None), (3, ""), (4, "ONE one two zebra"), (5, "unknown words only"),
              (None, "kit log"), (7, rows()[7][1]), (8, "日本語 Ünïcode"), (9, rows()[12][1])]
-    frame = docs(spark, [(i, t, None, None, "", "", "", "", "", "") for i, t in data])
+    frame = docs(spark, [(i, t, None, None, *[""] * 8) for i, t in data])
     assert found(spark, frame, items, k) == brute(data, items, k)
     # the same by several passes
     assert found(spark, frame, items, k, query_bytes=40_000) == brute(data, items, k)

@@ -13,7 +13,7 @@ of good rows among all training labels.
 
 Fitting uses a bounded sample on the driver: at most ``per_class`` whole texts
 of each class, those with the smallest hashes of their id, none above
-``max_text_bytes``.  Scoring is one pass over all rows without a shuffle.
+``max_text_bytes``, and of these the first that make SAMPLE_BYTES.  Scoring is one pass over all rows without a shuffle.
 
 Defined results: a null or empty text is scored as the empty text; labels that
 are null, or that contradict each other for one id, are not used; repeated
@@ -33,10 +33,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import forget
+
 DICT_BYTES = 112_640
 LEVEL = 3
 PER_CLASS = 3000
 MAX_TEXT_BYTES = 65_536
+#: Bytes of text of each class that reach the driver.
+SAMPLE_BYTES = 48 << 20
 #: Texts of a class from which dictionaries are trained; below, they are the texts themselves.
 MIN_TRAINED = 50
 
@@ -160,10 +164,18 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", key_co
     sample = (docs.select(F.col(key_col).alias("__key"), F.col(text_col).alias("__text"))
               .where(F.octet_length("__text") <= max_text_bytes)
               .join(F.broadcast(ids), "__key"))  # at most 2 * per_class ids
+    # lengths first, then the texts of the first SAMPLE_BYTES of each class
+    y_of = {r["__key"]: r["__y"] for r in agreed.join(F.broadcast(ids), "__key").collect()}
+    size_of = {r["__key"]: r["n"] for r in sample.groupBy("__key").agg(F.sum(F.octet_length("__text")).alias("n")).collect()}
+    held, within = {0: 0, 1: 0}, []
+    for k in chosen:
+        held[y_of[k]] += size_of.get(k, 0)
+        if k in size_of and held[y_of[k]] <= SAMPLE_BYTES:
+            within.append(k)
+    sample = sample.join(F.broadcast(spark.createDataFrame([(k,) for k in within], ids.schema)), "__key", "left_semi")
     texts: dict = {}
     for r in sample.collect():
         texts[r["__key"]] = min(r["__text"], texts.get(r["__key"], r["__text"]))
-    y_of = {r["__key"]: r["__y"] for r in agreed.join(F.broadcast(ids), "__key").collect()}
     found = {0: [], 1: []}
     for k in chosen:
         if k in texts:
@@ -176,6 +188,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text", score_col: str =
 
     @F.pandas_udf("double")
     def good(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget()
         pair = compressors(model) if model.weights else None
         for texts in batches:
             yield pd.Series(score_texts(texts.tolist(), model, pair))
