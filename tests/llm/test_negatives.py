@@ -87,20 +87,32 @@ def test_label_expression(spark):
 def test_str_packing_and_boxes():
     rng = np.random.default_rng(3)
     x = np.floor(rng.standard_normal((1000, 2)) * 50)
-    tree = N.Tree(np.arange(1000), x, leaf=10, fan=4)
-    assert sorted(tree.ids.tolist()) == list(range(1000)) and len(tree.low[0]) == 100 and len(tree.low[-1]) == 1
+    labels = np.arange(1000) % 5 // 4  # 800 rows of label 0, 200 of label 1
+    forest = N.Forest(np.arange(1000), x, labels, leaf=10, fan=4)
+    assert sorted(forest.ids.tolist()) == list(range(1000)) and len(forest.roots) == 2
+    assert sum(level == 0 for level in forest.level) == 100
     anchors = np.floor(rng.standard_normal((20, 2)) * 50)
-    smallest, largest = tree.bounds(anchors)
-    scores = anchors @ tree.x.T
-    for level, size in enumerate([10, 40, 160, 640, 2560]):
-        for box in range(len(tree.low[level])):
-            inside = scores[:, box * size:(box + 1) * size]
-            assert (smallest[level][:, box] <= inside.min(1)).all() and (largest[level][:, box] >= inside.max(1)).all()
+    smallest, largest = forest.bounds(anchors)
+    scores = anchors @ forest.x.T
+
+    def rows(box):
+        if forest.level[box] == 0:
+            return list(range(forest.first[box], forest.last[box]))
+        return [r for child in range(forest.first[box], forest.last[box]) for r in rows(child)]
+
+    for box in range(len(forest.level)):
+        inside = scores[:, rows(box)]
+        assert (smallest[:, box] <= inside.min(1)).all() and (largest[:, box] >= inside.max(1)).all()
+        assert forest.least[box] == forest.ids[rows(box)].min()
+    for label, root in forest.roots.items():
+        assert {int(labels[i]) for i in forest.ids[rows(root)]} == {label}
     # in the plane the tiles are small: searches open few leaves
     opened = []
     for i, a in enumerate(anchors):
-        kept = {}
-        best = N.search([(tree, smallest, largest)], i, a, -1, N.Best(3), kept)
-        assert best == sorted(((int(s), int(k)) for s, k in zip(scores[i], tree.ids)), key=lambda r: (-r[0], r[1]))[:3]
-        opened.append(len(kept))
-    assert np.mean(opened) < 20
+        spans = [(-np.inf, np.inf), (100, 2000), (-300, 50)]
+        windows = N.Windows(3, spans)
+        opened.append(N.search(forest, list(forest.roots.values()), smallest[i], largest[i], a, -1, windows))
+        for (low, high), best in zip(spans, windows.rows):
+            want = [(int(s), int(k)) for s, k in zip(scores[i], forest.ids) if low <= s <= high]
+            assert best == sorted(want, key=lambda r: (-r[0], r[1]))[:3]
+    assert np.mean(opened) < 40

@@ -18,7 +18,7 @@ with the best possible row first, and never opens a box
 
 Two rounds over the blocks: the first finds every anchor's positives - in the
 trees of its own label - and the second, in the trees of all other labels, the
-best rows of each positive's score window.  Anchors are a stated query set;
+best rows of the score windows of all its positives at once.  Anchors are a stated query set;
 each block of them meets each block of rows once a round, and a grouped top k
 joins what the blocks found.
 
@@ -45,13 +45,12 @@ from ..operators.rank import FANOUT, top_n_per_group
 from .base import stored, trim
 
 #: Rows of a leaf, boxes of a box, and what floats are multiplied by.
-LEAF, FAN, SCALE = 128, 16, 256
+LEAF, FAN, SCALE = 256, 16, 256
 #: Rows of a block at least and at most, and anchors of an anchor block.
-MIN_ROWS, MAX_ROWS, MAX_ANCHORS = 4096, 65_536, 1024
+MIN_ROWS, MAX_ROWS, MAX_ANCHORS = 8192, 65_536, 1024
 POSITIVES, NEGATIVES = 5, 3
 #: A negative's score lies between these percentages of its positive's.
 LOW, HIGH = 50, 95
-NONE = np.iinfo(np.int64).min
 
 
 def str_order(x: np.ndarray, leaf: int = LEAF) -> np.ndarray:
@@ -74,125 +73,131 @@ def str_order(x: np.ndarray, leaf: int = LEAF) -> np.ndarray:
     return out
 
 
-class Tree:
-    """A packed R-tree over rows of one label; level 0 are the leaves."""
-
-    def __init__(self, ids: np.ndarray, x: np.ndarray, leaf: int = LEAF, fan: int = FAN):
-        order = str_order(x, leaf)
-        self.ids, self.x, self.leaf, self.fan = ids[order], x[order], leaf, fan
-        edges = np.arange(0, len(x), leaf)
-        self.low, self.high, self.least = [], [], []
-        low, high = np.minimum.reduceat(self.x, edges), np.maximum.reduceat(self.x, edges)
-        least = np.minimum.reduceat(self.ids, edges)
-        while True:
-            self.low.append(low)
-            self.high.append(high)
-            self.least.append(least)
-            if len(low) == 1:
-                break
-            edges = np.arange(0, len(low), fan)
-            low, high = np.minimum.reduceat(low, edges), np.maximum.reduceat(high, edges)
-            least = np.minimum.reduceat(least, edges)
-
-    def bounds(self, anchors: np.ndarray) -> tuple[list, list]:
-        """Per level: (anchors x boxes) smallest and largest possible scores."""
+class Forest:
+    """One packed R-tree per label, their boxes in flat arrays: a box's children, and a leaf's rows, are a range."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, labels: np.ndarray, leaf: int = LEAF, fan: int = FAN):
+        rows, low, high, least, first, last, level = [], [], [], [], [], [], []
+        self.roots: dict[int, int] = {}
+        n_rows = n_boxes = 0
+        for label in np.unique(labels).tolist():
+            at = np.flatnonzero(labels == label)
+            at = at[str_order(x[at], leaf)]
+            rows.append(at)
+            here = x[at], x[at], ids[at]
+            start, size, height = n_rows, leaf, 0
+            while True:
+                edges = np.arange(0, len(here[0]), size)
+                first.append(start + edges)
+                last.append(start + np.append(edges[1:], len(here[0])))
+                level.append(np.full(len(edges), height))
+                here = (np.minimum.reduceat(here[0], edges), np.maximum.reduceat(here[1], edges),
+                        np.minimum.reduceat(here[2], edges))
+                for flat, column in zip((low, high, least), here):
+                    flat.append(column)
+                start, n_boxes = n_boxes, n_boxes + len(edges)
+                size, height = fan, height + 1
+                if len(edges) == 1:
+                    break
+            n_rows += len(at)
+            self.roots[label] = n_boxes - 1
+        order = np.concatenate(rows)
+        self.ids, self.x = ids[order], x[order]
+        self.low, self.high = np.concatenate(low), np.concatenate(high)
+        self.least, self.level = np.concatenate(least).tolist(), np.concatenate(level).tolist()
+        self.first, self.last = np.concatenate(first).tolist(), np.concatenate(last).tolist()
+
+    def bounds(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(anchors x boxes) smallest and largest possible scores."""
         up, down = np.maximum(anchors, 0), np.minimum(anchors, 0)
-        return ([up @ lo.T + down @ hi.T for lo, hi in zip(self.low, self.high)],
-                [up @ hi.T + down @ lo.T for lo, hi in zip(self.low, self.high)])
+        return up @ self.low.T + down @ self.high.T, up @ self.high.T + down @ self.low.T
 
 
-class Best:
-    """The best k (score, id) of a window, best first; higher scores, then smaller ids, are better."""
+class Windows:
+    """The best k (score, id) of some score windows; higher scores, then smaller ids, are better."""
 
-    def __init__(self, k: int, low: int | None = None, high: int | None = None):
-        self.k, self.low, self.high = k, low, high
-        self.rows: list[tuple[int, int]] = []
+    def __init__(self, k: int, spans: list[tuple[float, float]]):
+        self.k, self.spans = k, spans
+        self.low, self.high = (np.array(c, float) for c in zip(*spans))
+        self.top = max(high for _, high in spans)
+        #: per window the worst (score, id) among its k, once there are k
+        self.worst = [(-np.inf, np.inf)] * len(spans)
+        self.rows: list[list[tuple[int, int]]] = [[] for _ in spans]
 
-    def closed(self, smallest: float, largest: float, least_id: int) -> bool:
-        """Nothing with scores between these bounds, and ids from ``least_id`` on, can be wanted."""
-        if self.low is not None and largest < self.low or self.high is not None and smallest > self.high:
-            return True
-        if len(self.rows) < self.k:
-            return False
-        if self.high is not None and largest > self.high:
-            largest = self.high
-        score, own = self.rows[-1]
-        return largest < score or largest == score and least_id > own
+    def wants(self, smallest: float, largest: float, least: int) -> bool:
+        """Some window can still take a row with a score between the bounds and an id from ``least`` on."""
+        for (low, high), (score, own) in zip(self.spans, self.worst):
+            if largest >= low and smallest <= high:
+                reach = largest if largest < high else high
+                if reach > score or reach == score and least <= own:
+                    return True
+        return False
 
     def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        keep = np.ones(len(ids), bool)
-        if self.low is not None:
-            keep &= scores >= self.low
-        if self.high is not None:
-            keep &= scores <= self.high
-        if len(self.rows) == self.k:
-            keep &= scores >= self.rows[-1][0]
-        if keep.any():
-            ids, scores = ids[keep], scores[keep]
-            top = np.lexsort((ids, -scores))[:self.k]
-            new = self.rows + [(int(scores[t]), int(ids[t])) for t in top]
-            self.rows = sorted(new, key=lambda r: (-r[0], r[1]))[:self.k]
-
-
-def search(trees: list[tuple[Tree, list, list]], row: int, anchor: np.ndarray, own_id: int, best: Best,
-           kept: dict) -> list[tuple[int, int]]:
-    """Best-first over the boxes of ``trees`` (tree, smallest, largest) for the anchor in row ``row`` of the bounds.
-
-    ``kept`` holds an anchor's leaf scores between its windows.
-    """
+        floor = np.maximum(self.low, [score for score, _ in self.worst])
+        keep = (scores >= floor[:, None]) & (scores <= self.high[:, None])
+        for w in np.flatnonzero(keep.any(axis=1)).tolist():
+            new, own = scores[keep[w]], ids[keep[w]]
+            if len(new) > self.k:
+                top = np.lexsort((own, -new))[:self.k]
+                new, own = new[top], own[top]
+            rows = self.rows[w] + list(zip(map(int, new.tolist()), own.tolist()))
+            self.rows[w] = rows = sorted(rows, key=lambda r: (-r[0], r[1]))[:self.k]
+            if len(rows) == self.k:
+                self.worst[w] = rows[-1]
+
+
+def search(forest: Forest, roots: list[int], smallest: np.ndarray, largest: np.ndarray, anchor: np.ndarray,
+           own_id: int, windows: Windows) -> int:
+    """Best-first over the trees of ``roots``, given the anchor's bounds of all boxes; returns the leaves opened."""
+    smallest, largest, least = smallest.tolist(), largest.tolist(), forest.least
     queue: list = []
 
-    def push(number: int, level: int, box: int) -> None:
-        tree, smallest, largest = trees[number]
-        most, least = largest[level][row, box], int(tree.least[level][box])
-        if not best.closed(smallest[level][row, box], most, least):
-            reach = most if best.high is None else min(most, best.high)
-            heapq.heappush(queue, (-reach, least, number, level, box))
+    def push(box: int) -> None:
+        if windows.wants(smallest[box], largest[box], least[box]):
+            heapq.heappush(queue, (-min(largest[box], windows.top), least[box], box))
 
-    for number, (tree, _, _) in enumerate(trees):
-        push(number, len(tree.low) - 1, 0)
+    for root in roots:
+        push(root)
+    opened = 0
     while queue:
-        _, least, number, level, box = heapq.heappop(queue)
-        tree, smallest, largest = trees[number]
-        if best.closed(smallest[level][row, box], largest[level][row, box], least):
-            break  # what is left in the queue is no better
-        if level:
-            for child in range(box * tree.fan, min((box + 1) * tree.fan, len(tree.low[level - 1]))):
-                push(number, level - 1, child)
+        box = heapq.heappop(queue)[2]
+        # what its windows have found since it was queued may close it
+        if not windows.wants(smallest[box], largest[box], least[box]):
+            continue
+        if forest.level[box]:
+            for child in range(forest.first[box], forest.last[box]):
+                push(child)
         else:
-            rows = slice(box * tree.leaf, (box + 1) * tree.leaf)
-            if (number, box) not in kept:
-                scores = tree.x[rows] @ anchor
-                scores[tree.ids[rows] == own_id] = np.nan  # never wanted: no comparison holds
-                kept[number, box] = scores
-            scores = kept[number, box]
-            here = ~np.isnan(scores)
-            best.add(tree.ids[rows][here], scores[here].astype(np.int64))
-    return best.rows
+            rows = slice(forest.first[box], forest.last[box])
+            ids, scores = forest.ids[rows], forest.x[rows] @ anchor
+            opened += 1
+            if least[box] <= own_id:
+                scores[ids == own_id] = np.nan  # never wanted: no comparison holds
+            windows.add(ids, scores)
+    return opened
 
 
 def _matrix(column) -> np.ndarray:
     return np.array([np.asarray(v, np.float64) for v in column], np.float64)
 
 
-def _trees(rows: pd.DataFrame, anchors: np.ndarray) -> dict[int, tuple[Tree, list, list]]:
-    """Per label: its tree, and the bounds of its boxes for all ``anchors``."""
-    out = {}
-    x, ids = _matrix(rows["vec"]), rows["id"].to_numpy(np.int64)
-    for label, at in rows.reset_index(drop=True).groupby("label").indices.items():
-        tree = Tree(ids[at], x[at])
-        out[int(label)] = (tree, *tree.bounds(anchors))
-    return out
+def _forest(rows: pd.DataFrame, anchors: np.ndarray) -> tuple[Forest, np.ndarray, np.ndarray]:
+    """The trees of a block, and the bounds of their boxes for all ``anchors``."""
+    forest = Forest(rows["id"].to_numpy(np.int64), _matrix(rows["vec"]), rows["label"].to_numpy(np.int64))
+    return forest, *forest.bounds(anchors)
 
 
 def positives_block(rows: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
     """(anchor_id, id, score): the ``k`` best rows of each anchor's label in this block."""
     anchors = _matrix(asked["vec"])
-    trees = _trees(rows, anchors)
+    forest, smallest, largest = _forest(rows, anchors)
     found = []
     for i, (own, label) in enumerate(zip(asked["id"].tolist(), asked["label"].tolist())):
-        if label in trees:
-            found += [(own, r, s) for s, r in search([trees[label]], i, anchors[i], own, Best(k), {})]
+        if label in forest.roots:
+            best = Windows(k, [(-np.inf, np.inf)])
+            search(forest, [forest.roots[label]], smallest[i], largest[i], anchors[i], own, best)
+            found += [(own, r, score) for score, r in best.rows[0]]
     return pd.DataFrame(found, columns=["anchor_id", "id", "score"]).astype("int64")
 
 
@@ -202,18 +207,16 @@ def negatives_block(rows: pd.DataFrame, asked: pd.DataFrame, k: int, low: int, h
     ``asked`` has the anchors' positives as arrays ``positive_ids`` and ``positive_scores``.
     """
     anchors = _matrix(asked["vec"])
-    trees = _trees(rows, anchors)
+    forest, smallest, largest = _forest(rows, anchors)
     found = []
     for i, (own, label, ids, scores) in enumerate(zip(asked["id"].tolist(), asked["label"].tolist(),
                                                       asked["positive_ids"], asked["positive_scores"])):
-        others = [t for other, t in sorted(trees.items()) if other != label]
-        kept: dict = {}
-        for positive, score in zip(ids, scores):
-            positive, score = int(positive), int(score)
-            window = Best(k, -(-low * score // 100), high * score // 100)
-            if window.low <= window.high:
-                found += [(own, positive, score, r, s)
-                          for s, r in search(others, i, anchors[i], own, window, kept)]
+        pairs = [(int(p), int(s)) for p, s in zip(ids, scores)]
+        windows = Windows(k, [(-(-low * s // 100), high * s // 100) for _, s in pairs])
+        roots = [box for other, box in forest.roots.items() if other != label]
+        search(forest, roots, smallest[i], largest[i], anchors[i], own, windows)
+        for (positive, score), best in zip(pairs, windows.rows):
+            found += [(own, positive, score, r, s) for s, r in best]
     return pd.DataFrame(found, columns=["anchor_id", "positive_id", "positive_score", "id", "score"]).astype("int64")
 
 
