@@ -42,7 +42,7 @@ def test_fanout_top_n_equals_plain(spark):
     df = df.repartition(16)
     order = [F.col("v").desc(), F.col("id").asc()]
     a = rank.top_n_per_group(df, ["g"], order, 25, rank_col="r").collect()
-    b = rank.top_n_per_group(df, ["g"], order, 25, rank_col="r", fanout=4).collect()
+    b = rank.top_n_per_group(df, ["g"], order, 25, rank_col="r", tasks=1000).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
     assert len(a) == 75
 

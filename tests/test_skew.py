@@ -20,7 +20,7 @@ def test_top_n_hot_product_fanout_exact(spark):
     df = _skewed(spark)
     order = scoring.rank_order()
     plain = rank.top_n_per_group(df, ["product"], order, 50, rank_col="r")
-    fan = rank.top_n_per_group(df, ["product"], order, 50, rank_col="r", fanout=8)
+    fan = rank.top_n_per_group(df, ["product"], order, 50, rank_col="r", tasks=10_000)
     a, b = sorted(map(tuple, plain.collect())), sorted(map(tuple, fan.collect()))
     assert a == b
     hot = [t for t in a if t[1] == "hot"]
@@ -31,20 +31,47 @@ def test_top_n_hot_product_fanout_exact(spark):
     assert [(t[2], t[0]) for t in sorted(hot, key=lambda t: t[3])] == rows
 
 
-def test_hot_product_is_split_by_default(spark):
-    """No task of the last stage gets more than n rows of each first-level bucket."""
-    raw = (_skewed(spark).withColumn("score", F.col("relevance_score")).withColumn("data_type", F.lit("post"))
-           .withColumn("url", F.lit("u")).withColumn("content", F.lit("a text that is long enough to be kept")))
-    scored = scoring.process(raw)
+def test_levels_bound_every_reducer():
+    for tasks in (1, 64, 65, 4096, 4097, 10_000, 400_000, 10 ** 7):
+        runs = tasks
+        for _ in range(rank.levels(tasks)):
+            # a reducer of this level takes the best rows of at most RADIX tasks or runs
+            runs = -(-runs // rank.RADIX)
+        assert runs <= rank.RADIX
+    assert [rank.levels(t) for t in (8, 64, 65, 10_000, 400_000)] == [0, 0, 1, 2, 3]
+
+
+def test_hot_product_never_fills_a_task(spark, monkeypatch):
+    """A hot product over 600 small partitions: no task of any level reads more than n x RADIX rows."""
+    monkeypatch.setattr(rank, "RADIX", 8)
     n = 5
-    one_level = scoring.faq_ready(scored, cap=n, fanout=None)
-    ready = scoring.faq_ready(scored, cap=n)
-    assert sorted(map(tuple, ready.collect())) == sorted(map(tuple, one_level.collect()))
-    plan = ready._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("row_number()") > one_level._jdf.queryExecution().executedPlan().toString().count("row_number()")
-    bucket = F.spark_partition_id() % rank.FANOUT
-    first = (scored.withColumn("b", bucket).where("product = 'hot'").groupBy("b").count().count())
-    assert first <= rank.FANOUT
+    df = spark.range(0, 30000, 1, 600).select(
+        "id", F.lit("hot").alias("product"), ((F.col("id") * 7919) % 1000).alias("relevance_score"))
+    assert rank.map_tasks(df.repartition(600)) >= 8
+    order = scoring.rank_order()
+    best = rank.top_n_per_group(df, ["product"], order, n, rank_col="r", tasks=600)
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("row_number()") >= 2 * (rank.levels(600) + 1) and rank.levels(600) == 3
+    want = sorted(((r.relevance_score, r.id) for r in df.collect()), key=lambda x: (-x[0], x[1]))[:n]
+    assert [(r.relevance_score, r.id) for r in best.orderBy("r").collect()] == want
+    # the rows that reach the reducers of each level, by hand
+    held = df.withColumn("run", F.spark_partition_id())
+    from pyspark.sql import Window
+    for level in range(rank.levels(600) + 1):
+        inside = Window.partitionBy("product", "run").orderBy(*order)
+        held = held.withColumn("k", F.row_number().over(inside)).where(F.col("k") <= n)  # the partial cut of a task
+        held = held.withColumn("run", F.floor(F.col("run") / rank.RADIX))
+        assert held.groupBy("run").count().agg(F.max("count")).first()[0] <= n * rank.RADIX
+
+
+def test_map_tasks_follow_splits_and_stored_tables(spark):
+    from threadmill.session import materialize
+    from threadmill.sources import adapters as A
+    docs = A.table(spark, "/root/testdata/sf0.001", "documents")
+    few = rank.map_tasks(docs)
+    assert few == spark.sparkContext.defaultParallelism
+    assert rank.map_tasks(materialize(spark.range(0, 900, 1, 300))) == 300
+    assert rank.levels(few) == 0
 
 
 def test_prompts_are_spread_before_the_model_call(spark):
@@ -61,7 +88,7 @@ def test_keyword_match_hot_subreddit_no_shuffle_of_records(spark):
                     F.when(F.col("id") % 3 == 0, "hot").otherwise(
                         F.concat(F.lit("s"), (F.col("id") % 7).cast("string"))).alias("subreddit"),
                     F.when(F.col("id") % 2 == 0, "alpha beta").otherwise("gamma").alias("content"),
-                    F.format_string("t%08d", F.col("id")).alias("created_at")))
+                    F.lit("post").alias("data_type"), F.format_string("t%08d", F.col("id")).alias("created_at")))
     kw = spark.createDataFrame([("Alpha", "hot", "beta"), ("gamma", "s1", "gamma"), ("missing", "hot", "alpha")],
                                "product string, subreddit string, keyword string")
     m = I.keyword_match(docs, kw, per_search=5)
@@ -103,27 +130,61 @@ def test_hot_post_comment_pages_bounded(spark, scratch):
         f"c{c}_{t}" for c, t, _, _ in rows if t > 0)
 
 
-def test_keyword_match_long_keyword_lists_exact(spark):
-    # 2500 keywords in one subreddit: three list rows; result equals brute force
-    kws = [("Text", "hot", f"w{i:04d}") for i in range(2500)] + [("and", "cold", "W0001")]
-    kw = spark.createDataFrame(kws, "product string, subreddit string, keyword string")
-    docs_rows = [(i, "prod", "hot" if i % 2 else "cold",
-                  f"Text W{i * 7 % 2600:04d} and w{i * 13 % 2600:04d}", f"t{i:05d}")
-                 for i in range(400)]
-    docs = spark.createDataFrame(docs_rows, "id long, product string, subreddit string, "
-                                 "content string, created_at string")
-    got = sorted((r.id, r.keyword) for r in I.keyword_match(docs, kw, per_search=1000).collect())
-    want = sorted((i, k) for i, _, s, c, _ in docs_rows for p, s2, k in kws
-                  if s2 == s and k.lower() in c.lower() and p.lower() in c.lower())
+POSTS = "id long, data_type string, subreddit string, content string, created_at string"
+SEARCHES = "product string, subreddit string, keyword string"
+
+
+def test_keyword_match_many_searches_exact(spark):
+    kws = [("Text", "hot", f"w{i:04d}") for i in range(2500)] + [
+        ("and", "cold", "W0001"), ("te", "hot", "w"), ("ex", "cold", "W1"), ("T", "cold", "d "), ("Größe", "hot", "text")]
+    docs_rows = [(i, "comment" if i % 5 == 4 else "post", "hot" if i % 2 else "cold",
+                  f"Text W{i * 7 % 2600:04d} and w{i * 13 % 2600:04d}" + " GRÖSSE größe 😀x" * (i % 3), f"t{i:05d}")
+                 for i in range(400)] + [(900, "post", "hot", None, "t"), (901, "post", "hot", "", "t"), (902, "post", None, "Text", "t")]
+    docs = spark.createDataFrame(docs_rows, POSTS)
+    got = sorted((r.id, r.product, r.keyword) for r in
+                 I.keyword_match(docs, spark.createDataFrame(kws, SEARCHES), per_search=1000).collect())
+    want = sorted((i, p, k) for i, t, s, c, _ in docs_rows for p, s2, k in kws
+                  if t == "post" and c is not None and s2 == s and k.lower() in c.lower() and p.lower() in c.lower())
     assert got == want
     assert len(want) > 300
 
 
+def test_keyword_match_by_hand(spark):
+    docs = spark.createDataFrame([
+        (1, "post", "a", "My new Phone has a battery problem", "2024-01-01"),
+        (2, "comment", "a", "phone battery", "2024-01-05"),                      # a comment is never found
+        (3, "post", "b", "phone battery", "2024-01-02"),                         # another subreddit
+        (4, "post", "a", "PHONE: BATTERY!", "2024-01-03"),
+        (5, "post", "a", "phone without the word", "2024-01-04"),
+        (6, "post", "a", "batteryphone", "2024-01-02")], POSTS)
+    tasks = spark.createDataFrame([("phone", "a", "battery"), ("tv", "a", "on"), ("phone", "c", "battery")], SEARCHES)
+    rows = [(r.product, r.keyword, r.id, r.search_rank) for r in I.keyword_match(docs, tasks, per_search=2).collect()]
+    assert sorted(rows) == [("phone", "battery", 4, 1), ("phone", "battery", 6, 2)]
+
+
+def test_a_post_meets_few_of_many_searches(spark):
+    """20,000 searches in one subreddit: a post is tested against those that share its rare trigrams only."""
+    n = 20_000
+    tasks = spark.range(n).select(F.lit("phone").alias("product"), F.lit("hot").alias("subreddit"),
+                                  F.concat(F.lit("w"), F.lpad(F.conv(F.col("id").cast("string"), 10, 36), 4, "0"),
+                                           F.lit("z")).alias("keyword"))
+    docs = spark.range(60).select(
+        "id", F.lit("post").alias("data_type"), F.lit("hot").alias("subreddit"),
+        F.concat(F.lit("phone about w"), F.lpad(F.conv((F.col("id") * 331).cast("string"), 10, 36), 4, "0"),
+                 F.lit("z")).alias("content"), F.format_string("t%03d", "id").alias("created_at"))
+    pairs = I.candidates(docs, tasks)
+    tested = {r.id: r["count"] for r in pairs.groupBy("id").count().collect()}
+    assert max(tested.values()) < n / 20
+    found = I.keyword_match(docs, tasks)
+    assert sorted((r.id, r.keyword.lower()) for r in found.collect()) == sorted(
+        (r.id, r.content.split()[-1].lower()) for r in docs.collect() for _ in [0])
+
+
 def test_ranked_context_fanout_exact(spark):
     from threadmill.operators import prompts as P
     df = _skewed(spark).withColumn("data_type", F.lit("post"))
     plain = sorted(map(tuple, P.ranked_context(df, 30).collect()))
-    fan = sorted(map(tuple, P.ranked_context(df, 30, fanout=6).collect()))
+    fan = sorted(map(tuple, P.ranked_context(df, 30, tasks=400_000).collect()))
     assert plain == fan and len([t for t in plain if t[1] == "hot"]) == 30
 
 

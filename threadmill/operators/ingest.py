@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..sources.adapters import ISO_FORMAT
 from ..session import materialize
 from .joins import small_side
-from .rank import FANOUT, top_n_per_group
+from .rank import top_n_per_group
 
 # --- fixed values -----------------------------------------------------------
 PERMALINK_HOST = "https://reddit.com"
@@ -28,7 +28,6 @@ MIN_COMMENTS = 5          # comments are fetched only above this count
 MIN_SUBSCRIBERS = 1000    # communities at or below are ignored
 SEARCH_RESULTS = 10       # community search results returned per topic
 TOP_COMMUNITIES = 3
-SEARCHES_PER_ROW = 1024   # searches per gathered list row in the keyword match
 # ---------------------------------------------------------------------------
 
 
@@ -107,7 +106,7 @@ def post_comments(posts: DataFrame, comments: DataFrame, min_comments: int = MIN
                  .select("post_id"))
     best = top_n_per_group(comments, ["post_id"],
                            [F.col("score").desc_nulls_last(), F.col("comment_id").asc()],
-                           per_post, rank_col="comment_rank", fanout=FANOUT)
+                           per_post, rank_col="comment_rank")
     return best.join(busy, "post_id", "left_semi")
 
 
@@ -145,38 +144,72 @@ def search_grid(products: DataFrame) -> DataFrame:
     return g.withColumn("search_query", q).withColumn("query_escaped", query_escape(q))
 
 
+def trigrams(text: Column) -> Column:
+    """The distinct runs of three characters of a text; none for a shorter one.
+
+    One linear pass of the regular expression: a look-ahead matches at every place.
+    """
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?s)(?=(...))"), F.lit(1)))
+
+
+def _keyed(wanted: DataFrame, posts: DataFrame) -> DataFrame:
+    """Searches (subreddit, product, keyword, p, k) with ``key``: of their trigrams the one the fewest posts hold.
+
+    Document frequencies are counted in the search's own subreddit, for the
+    searches' trigrams alone.  A search without any trigram has a null key.
+    """
+    search = ["subreddit", "product", "keyword"]
+    grams = materialize(wanted.select(*search, F.explode(F.array_distinct(F.concat(trigrams(F.col("p")),
+                                                                                   trigrams(F.col("k"))))).alias("key")))
+    asked = small_side(grams.select("subreddit", "key").distinct())
+    df = (posts.select("subreddit", F.explode(trigrams(F.col("__tm_text"))).alias("key"))
+          .join(asked, ["subreddit", "key"]).groupBy("subreddit", "key").agg(F.count(F.lit(1)).alias("df")))
+    rarest = top_n_per_group(grams.join(df, ["subreddit", "key"], "left").withColumn("df", F.coalesce("df", F.lit(0))),
+                             search, [F.col("df").asc(), F.col("key").asc()], 1)
+    return wanted.join(rarest.select(*search, "key"), search, "left")
+
+
+def candidates(docs: DataFrame, tasks: DataFrame) -> DataFrame:
+    """(id, subreddit, created_at, __tm_text, product, keyword, p, k): the posts that hold a search's rarest trigram.
+
+    Every post that a search finds is among them, since it holds all of the
+    search's trigrams.  A post takes part with its distinct trigrams; only
+    those that are some search's key meet it, so a post is held against the
+    searches whose rarest trigram it has, not against all of its subreddit.
+    Searches too short for a trigram meet every post of their subreddit.
+    """
+    posts = docs.where(F.col("data_type") == "post").select("id", "subreddit", "created_at",
+                                                            F.lower("content").alias("__tm_text"))
+    wanted = materialize(tasks.select("subreddit", "product", "keyword").distinct()
+                         .withColumn("p", F.lower("product")).withColumn("k", F.lower("keyword")))
+    keyed = materialize(_keyed(wanted, posts))
+    # broadcast within a byte bound: posts are then not shuffled, and a hot subreddit stays spread over tasks;
+    # above it the joins shuffle and a hot key is split by AQE
+    found = (posts.withColumn("key", F.explode(trigrams(F.col("__tm_text"))))
+             .join(small_side(keyed.where("key is not null")), ["subreddit", "key"]).drop("key"))
+    short = posts.join(small_side(keyed.where("key is null").drop("key")), "subreddit")
+    return found.unionByName(short)
+
+
 def keyword_match(docs: DataFrame, tasks: DataFrame, per_search: int = SEARCH_PAGE) -> DataFrame:
-    """The searches of a task grid: what every ("product" AND keyword) finds in its subreddit.
+    """The searches of a task grid: which posts every ("product" AND keyword) finds in its subreddit.
 
     ``tasks`` = (product, subreddit, keyword), as ``search_grid`` gives them.  A
-    record is found when its text contains the product's name and the keyword,
-    whatever their case; the newest ``per_search`` of each task are kept.
-    Returns (product, subreddit, keyword, id, created_at, search_rank), product
-    being the one searched for; other columns join back on ``id``.
-
-    The searches of each subreddit are gathered into lists of about
-    SEARCHES_PER_ROW, so the join on subreddit gives a record one partner row
-    per list; only real matches are exploded, never (record, task) candidate
-    pairs.  The lists are broadcast within a byte bound, so the records are
-    not shuffled for the join (a hot subreddit stays spread over tasks); above
-    it the join shuffles and AQE splits a hot subreddit.
+    search returns posts only (``data_type``), never comments.  A post is found
+    when its text contains the product's name and the keyword, whatever their
+    case; the newest ``per_search`` of each task are kept.  Returns (product,
+    subreddit, keyword, id, created_at, search_rank), product being the one
+    searched for; other columns join back on ``id``.
+
+    Each search is keyed by its rarest trigram (``candidates``), and only the
+    posts with that trigram are tested for the whole product and keyword.
     """
-    wanted = materialize(tasks.select("product", "subreddit", "keyword").distinct())
-    n_lists = max(1, -(-wanted.count() // SEARCHES_PER_ROW))
-    part = F.pmod(F.xxhash64("product", "keyword"), F.lit(n_lists))
-    lists = small_side(wanted.groupBy("subreddit", part.alias("__tm_list"))
-                       .agg(F.collect_list(F.struct("product", "keyword")).alias("__tm_tasks"))
-                       .drop("__tm_list"))
     text = F.col("__tm_text")
-    hit = F.filter("__tm_tasks", lambda t: text.contains(F.lower(t["product"]))
-                   & text.contains(F.lower(t["keyword"])))
-    found = (docs.select("id", "subreddit", "created_at", F.lower("content").alias("__tm_text"))
-                 .join(lists, "subreddit")
-                 .select("id", "subreddit", "created_at", F.explode(hit).alias("__tm_hit"))
-                 .select("__tm_hit.product", "subreddit", "__tm_hit.keyword", "id", "created_at"))
+    found = (candidates(docs, tasks).where(text.contains(F.col("p")) & text.contains(F.col("k")))
+             .select("product", "subreddit", "keyword", "id", "created_at"))
     return top_n_per_group(found, ["product", "subreddit", "keyword"],
                            [F.col("created_at").desc(), F.col("id").asc()], per_search,
-                           rank_col="search_rank", fanout=FANOUT)
+                           rank_col="search_rank")
 
 
 def dedup_raw(records: DataFrame, key: Column, order: list[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rank import FANOUT, top_n_per_group
+from .rank import top_n_per_group
 from .scoring import rank_order
 
 
@@ -100,12 +100,12 @@ def item_text(p: Provider, content="content", questions="extracted_questions") -
     return F.concat(F.substring(text, 1, p.item_chars), tail)
 
 
-def ranked_context(ready: DataFrame, cap: int = CONTEXT_CAP, fanout: int | None = FANOUT) -> DataFrame:
+def ranked_context(ready: DataFrame, cap: int = CONTEXT_CAP, tasks: int | None = None) -> DataFrame:
     """The ``cap`` most relevant model-ready rows per product, with ``rank``.
 
-    ``fanout`` adds the exact two-level cut of ``rank.top_n_per_group`` for
-    a product holding a large share of all rows."""
-    return top_n_per_group(ready, ["product"], rank_order(), cap, rank_col="rank", fanout=fanout)
+    ``tasks``: see ``rank.top_n_per_group``, whose levels of cuts keep a
+    product that holds a large share of all rows out of any one task."""
+    return top_n_per_group(ready, ["product"], rank_order(), cap, rank_col="rank", tasks=tasks)
 
 
 def ordered_join(key: str, rank: str, text: Column, sep: str) -> Column:

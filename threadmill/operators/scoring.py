@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .rank import FANOUT, top_n, top_n_per_group
+from .rank import top_n, top_n_per_group
 
 # --- fixed values -----------------------------------------------------------
 # Rows kept per product for generation, and the relevance weight of a post.
@@ -78,7 +78,7 @@ def rank_order():
     return [F.col("relevance_score").desc_nulls_last(), F.col("id").asc()]
 
 
-def faq_ready(scored: DataFrame, cap: int = FAQ_READY_CAP, fanout: int | None = FANOUT,
+def faq_ready(scored: DataFrame, cap: int = FAQ_READY_CAP, tasks: int | None = None,
               rank_col: str | None = None, word_boundary: bool = False) -> DataFrame:
     """Top ``cap`` model-ready rows of every product (ties broken by id).
 
@@ -87,7 +87,7 @@ def faq_ready(scored: DataFrame, cap: int = FAQ_READY_CAP, fanout: int | None =
     ranked, and the survivors' questions extracted again from their text.
     """
     kept = model_ready(scored).drop("extracted_questions")
-    best = top_n_per_group(kept, ["product"], rank_order(), cap, rank_col=rank_col, fanout=fanout)
+    best = top_n_per_group(kept, ["product"], rank_order(), cap, rank_col=rank_col, tasks=tasks)
     return (best.withColumn("extracted_questions", T.extract_questions("content", word_boundary))
                 .select(*FAQ_READY_COLUMNS, *([rank_col] if rank_col else [])))
 

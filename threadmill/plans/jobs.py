@@ -5,9 +5,12 @@
         Parquet snapshot + latest JSON copy; prints a JSON run summary.
     generate --processed DIR --out DIR --model MODULE:FUNCTION [--run-id ID]
         processed snapshot -> best 200 rows per product -> prompts -> the
-        caller's model (Arrow batches, answers stored once) -> entries ->
-        first usable provider -> documents, upserted over the previous
-        version of ``OUT/faqs``; prints a JSON summary.
+        caller's model (Arrow batches; the second provider only for products
+        that the first gave no entries; answers kept in ``OUT/responses``, so
+        a rerun asks new prompts only) -> entries -> first usable provider ->
+        documents, upserted into ``OUT/faqs``; prints a JSON summary.  A
+        function ``is_available(provider)`` of the module, if there is one,
+        says whether a provider can be asked.
     land --inbox DIR --landing DIR --quarantine DIR --checkpoints DIR [--continuous]
          [--kafka SERVERS --max-offsets N]
         queue messages (text files, or Kafka with --kafka SERVERS) -> landing
@@ -92,8 +95,14 @@ def load_model(spec: str):
     return getattr(module, function)
 
 
+def load_availability(spec: str):
+    """The ``is_available(provider)`` of the model's module, or None."""
+    import importlib
+    return getattr(importlib.import_module(spec.partition(":")[0]), "is_available", None)
+
+
 def generate(spark: SparkSession, processed: str, out: str, model_fn, run_id: str | None = None,
-             cap: int = P.CONTEXT_CAP) -> dict:
+             cap: int = P.CONTEXT_CAP, is_available=None) -> dict:
     """One generation run over every product of a processed snapshot.
 
     A run id that is already committed is refused: its version may be the one
@@ -106,8 +115,10 @@ def generate(spark: SparkSession, processed: str, out: str, model_fn, run_id: st
         raise ValueError(f"version {run_id} exists already")
     ready = spark.read.parquet(processed).drop("product_slug")
     ranked = materialize(P.ranked_context(ready, cap))                   # read by three branches
-    responses = INF.batch_inference(P.prompts(ranked), model_fn)         # stored once
-    entries = materialize(R.parse_responses(responses))
+    models = [INF.Model(p.name, model_fn, (lambda name=p.name: is_available(name)) if is_available else lambda: True)
+              for p in P.PROVIDERS]
+    responses, entries = INF.staged_inference(P.prompts(ranked), models, R.parse_responses,
+                                              f"{out.rstrip('/')}/responses")
     chosen = R.provider_fallback(entries, responses)
     counts = ranked.groupBy("product").agg(F.count(F.lit(1)).alias("source_count"))
     docs = R.faq_documents(entries, chosen, P.context_sources(ranked), counts)
@@ -163,8 +174,8 @@ def main(argv: list[str] | None = None) -> None:
             print(json.dumps(process(spark, a.landing, a.out, a.product, a.run_id,
                                      source=a.source), indent=2))
         elif a.cmd == "generate":
-            print(json.dumps(generate(spark, a.processed, a.out, load_model(a.model), a.run_id),
-                             indent=2))
+            print(json.dumps(generate(spark, a.processed, a.out, load_model(a.model), a.run_id,
+                                      is_available=load_availability(a.model)), indent=2))
         else:
             land(spark, a.inbox, a.landing, a.quarantine, a.checkpoints, a.continuous, a.kafka,
                  a.max_offsets)

@@ -191,7 +191,8 @@ matches AS (
          CAST(row_number() OVER (PARTITION BY t.product, s.subreddit, t.keyword
                                  ORDER BY s.created_at DESC, s.id) AS INTEGER) AS search_rank
   FROM social s JOIN tasks t USING (subreddit)
-  WHERE contains(lower(s.content), t.keyword) AND contains(lower(s.content), t.product)
+  WHERE s.data_type = 'post'
+    AND contains(lower(s.content), t.keyword) AND contains(lower(s.content), t.product)
   QUALIFY search_rank <= {per_search})"""
 
 

@@ -16,7 +16,7 @@ from ..functions import text as T
 from ..operators import scoring
 from ..sources import adapters as A
 from . import oracle as O
-from ..session import materialize
+from ..session import materialize, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -435,6 +435,33 @@ def q_batch_inference(spark, d):
     return INF.batch_inference(pr, INF.echo_model())
 
 
+@register("staged_inference", PROMPTS_SQL + """
+, answered AS (
+  SELECT *, CASE WHEN provider = 'large' THEN length(prompt) % 2 = 0 ELSE length(prompt) % 3 > 0 END AS usable
+  FROM prompts),
+large AS (SELECT * FROM answered WHERE provider = 'large'),
+asked AS (SELECT * FROM large UNION ALL
+          SELECT * FROM answered WHERE provider = 'small' AND product NOT IN (SELECT product FROM large WHERE usable))
+SELECT product, provider, priority, false AS was_kept, true AS kept_again,
+       CASE WHEN usable THEN 1 ELSE 0 END::BIGINT AS n_entries,
+       CASE WHEN usable AND provider = 'large' THEN 'How about ' || product || '?'
+            WHEN usable THEN 'What of ' || product || '?' END AS question
+FROM asked""")
+def q_staged_inference(spark, d):
+    """Whom each product was asked of in a first run, and whether a second run finds the answer kept."""
+    pr = materialize(P.prompts(_ranked(spark, d)))
+    path = scratch_path(spark, "responses")
+    responses, entries = INF.staged_inference(pr, INF.length_models(), R.parse_responses, path)
+    again, _ = INF.staged_inference(pr, INF.length_models(), R.parse_responses, path)
+    counts = entries.groupBy("product", "provider").agg(F.count(F.lit(1)).alias("n"),
+                                                        F.min("question").alias("question"))
+    keys = ["product", "provider"]
+    return (responses.join(again.select(*keys, F.col("was_kept").alias("kept_again")), keys)
+            .join(counts, keys, "left")
+            .select(*keys, "priority", "was_kept", "kept_again",
+                    F.coalesce("n", F.lit(0)).cast("long").alias("n_entries"), "question"))
+
+
 ENTRY_COLS = ["product", "provider", "priority", "entry_pos", "question", "answer", "category",
               "confidence"]
 
@@ -785,7 +812,6 @@ def q_validate_products(spark, d):
 
 from pyspark.sql.types import StringType, StructField, StructType  # noqa: E402
 
-from ..session import scratch_path  # noqa: E402
 from ..sources import files as FS  # noqa: E402
 from ..streaming import landing as ST  # noqa: E402
 

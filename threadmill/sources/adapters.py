@@ -275,8 +275,10 @@ def searched_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = (s.select("product", F.explode(F.split(F.lower("content"), r"\s+")).alias("word"))
               .where("word <> ''").groupBy("product", "word").agg(F.count(F.lit(1)).alias("n")))
     first = product_number() + 1
+    # the last place that any source's name or keywords stand at
+    last = (s.select("product").distinct().agg(F.max(first)).first()[0] or 1) + 2
     top = (top_n_per_group(words.withColumn("first", first), ["product"],
-                           [F.col("n").desc(), F.col("word").asc()], 40, rank_col="rank")
+                           [F.col("n").desc(), F.col("word").asc()], last, rank_col="rank")
            .where(F.col("rank").between(F.col("first"), F.col("first") + 2)))
     named = (top.groupBy("product", "first")
              .agg(F.max(F.when(F.col("rank") == F.col("first"), F.col("word"))).alias("name"),
