@@ -41,7 +41,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.rank import FANOUT, top_n_per_group
+from ..operators.rank import top_n_per_group
 from .base import stored, trim
 
 #: Rows of a leaf, boxes of a box, and what floats are multiplied by.
@@ -287,14 +287,13 @@ def mine(df: DataFrame, is_anchor: Column, label: Column | None = None, positive
     groups = ["dim", "rb", "ab"]
     near = _dealt(rows, anchors, *blocks).groupBy(*groups).applyInPandas(first, "anchor_id long, id long, score long")
     # at most ``positives`` rows an anchor
-    chosen = stored(top_n_per_group(near, ["anchor_id"], order, positives, rank_col="rank", fanout=FANOUT)
+    chosen = stored(top_n_per_group(near, ["anchor_id"], order, positives, rank_col="rank")
                     .groupBy(F.col("anchor_id").alias("id"))
                     .agg(F.array_sort(F.collect_list(F.struct("rank", F.col("id").alias("p"), "score"))).alias("ps"))
                     .select("id", F.transform("ps", lambda p: p["p"]).alias("positive_ids"),
                             F.transform("ps", lambda p: p["score"]).alias("positive_scores")))
     hard = (_dealt(rows, anchors.join(chosen, "id"), *blocks).groupBy(*groups)
             .applyInPandas(second, "anchor_id long, positive_id long, positive_score long, id long, score long"))
-    best = top_n_per_group(hard, ["anchor_id", "positive_id", "positive_score"], order, negatives, rank_col="rank",
-                           fanout=FANOUT)
+    best = top_n_per_group(hard, ["anchor_id", "positive_id", "positive_score"], order, negatives, rank_col="rank")
     return best.select("anchor_id", "positive_id", "rank", F.col("id").alias("negative_id"), "positive_score",
                        F.col("score").alias("negative_score"))

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.rank import FANOUT, top_n_per_group
+from ..operators.rank import top_n_per_group
 from .base import small_batches, stored, trim
 
 #: Everything but digits, ASCII letters and bytes from 0x80 parts terms; A-Z become a-z.
@@ -269,7 +269,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, id_col: str = "doc_id
         with small_batches(docs.sparkSession, 1000):
             found = _found(slim, chosen, k)
             parts.append(stored(top_n_per_group(found, ["number"], [F.col("score").desc(), F.col("doc").asc()], k,
-                                                rank_col="rank", fanout=FANOUT)))
+                                                rank_col="rank")))
     best = parts[0]
     for more in parts[1:]:
         best = best.unionByName(more)
