@@ -138,8 +138,8 @@ def test_cluster_needs_a_shared_checkpoint_folder():
 def test_stream_landing_writes_one_file_per_folder_and_batch(spark, scratch):
     inbox, out = os.path.join(scratch, "inbox"), os.path.join(scratch, "landing")
     ST.stage_messages(A.queue_messages(spark, SF).repartition(6), inbox)
-    ST.run_to_end(ST.start_landing(ST.file_queue_source(spark, inbox, files_per_batch=100), out,
-                                   os.path.join(scratch, "ck")))
+    ST.run_to_end(ST.start_land(ST.file_queue_source(spark, inbox, files_per_batch=100), out,
+                                os.path.join(scratch, "bad"), os.path.join(scratch, "ck")))
     files = FS.data_files(spark, out, glob="*.json").groupBy("source", "product_slug").count().collect()
     assert files and all(r["count"] == 1 for r in files)
 
@@ -148,7 +148,7 @@ def test_stream_restart_adds_nothing(spark, scratch):
     inbox, out, ck = (os.path.join(scratch, x) for x in ("inbox", "landing", "ck"))
     ST.stage_messages(A.queue_messages(spark, SF), inbox, n_files=3)
     for _ in range(2):                       # second run resumes from the checkpoint
-        q = ST.start_landing(ST.file_queue_source(spark, inbox, files_per_batch=1), out, ck)
+        q = ST.start_land(ST.file_queue_source(spark, inbox, files_per_batch=1), out, out + "-bad", ck)
         ST.run_to_end(q)
     landed = spark.read.schema(FS._landing_schema(FS.RAW_WITH_ID_SCHEMA)).json(out)
     expected = Q.good_records(Q.decode(A.queue_messages(spark, SF)))
@@ -183,8 +183,8 @@ def test_stream_clean_equals_batch(spark, scratch):
     from threadmill.operators import scoring
     inbox, land_dir = os.path.join(scratch, "in"), os.path.join(scratch, "landed")
     ST.stage_messages(A.queue_messages(spark, SF), inbox, n_files=2)
-    ST.run_to_end(ST.start_landing(ST.file_queue_source(spark, inbox), land_dir,
-                                   os.path.join(scratch, "ck1")))
+    ST.run_to_end(ST.start_land(ST.file_queue_source(spark, inbox), land_dir, os.path.join(scratch, "bad"),
+                                os.path.join(scratch, "ck1")))
     out = os.path.join(scratch, "clean")
     ST.run_to_end(ST.start_clean(ST.landing_stream(spark, land_dir), out,
                                  os.path.join(scratch, "ck2")))
@@ -227,12 +227,12 @@ def test_processing_time_trigger_then_stop_and_resume(spark, scratch):
     query is stopped, and a restart on the same checkpoint adds nothing."""
     inbox, out, ck = (os.path.join(scratch, x) for x in ("inbox", "landing", "ck"))
     ST.stage_messages(A.queue_messages(spark, SF), inbox, n_files=2)
-    q = ST.start_landing(ST.file_queue_source(spark, inbox), out, ck, available_now=False)
+    q = ST.start_land(ST.file_queue_source(spark, inbox), out, out + "-bad", ck, available_now=False)
     q.processAllAvailable()
     q.stop()
     schema = FS._landing_schema(FS.RAW_WITH_ID_SCHEMA)
     n1 = spark.read.schema(schema).json(out).count()
-    ST.run_to_end(ST.start_landing(ST.file_queue_source(spark, inbox), out, ck))
+    ST.run_to_end(ST.start_land(ST.file_queue_source(spark, inbox), out, out + "-bad", ck))
     assert spark.read.schema(schema).json(out).count() == n1 > 0
 
 
@@ -269,3 +269,127 @@ def test_generate_job_versions_upsert(spark, scratch):
     # so the first usable provider is the small one
     row = docs.first()
     assert row.model_used == "small" and row.faqs[0].question.startswith("What do users ask")
+
+
+def test_a_scan_lists_and_reads_its_own_folders_only(spark, scratch):
+    root = os.path.join(scratch, "landing")
+    rows = [(i, "reddit" if i % 2 else "other", f"odd {{name}}, {i % 5}" if i % 5 < 2 else f"src{i % 5}", "c") for i in range(50)]
+    FS.write_landing(spark.createDataFrame(rows, "id long, source string, product string, content string"), root)
+    everything = FS.data_files(spark, root).count()
+    for source, slug in (("reddit", "src3"), (None, "src4"), ("other", "odd_{name},_1")):
+        want = sorted(i for i, s, p, _ in rows if source in (None, s) and p.lower().replace(" ", "_") == slug)
+        scan = FS.raw_scan(spark, root, slugs=[slug], source=source)
+        assert want and sorted(r.id for r in scan.collect()) == want
+        listed = FS.data_files(spark, root, slugs=[slug], source=source)
+        assert 0 < listed.count() < everything
+        assert listed.count() == len(scan.inputFiles()) == (1 if source else 2)
+    assert FS.raw_scan(spark, root, slugs=["absent"]).count() == 0
+    assert FS.raw_scan(spark, root, source="absent").columns == FS.raw_scan(spark, root).columns
+
+
+def _land_batch(spark, scratch, inbox, ck):
+    return ST.start_land(ST.file_queue_source(spark, inbox, files_per_batch=1), os.path.join(scratch, "landing"),
+                         os.path.join(scratch, "bad"), ck)
+
+
+def test_a_replayed_batch_overwrites_its_own_folders(spark, scratch):
+    """The last batch is written, its commit is lost (as when the driver dies in between), and it runs again."""
+    inbox, ck = os.path.join(scratch, "inbox"), os.path.join(scratch, "ck")
+    msgs = A.queue_messages(spark, SF)
+    ST.stage_messages(msgs, inbox, n_files=3)
+    ST.run_to_end(_land_batch(spark, scratch, inbox, ck))
+    commits = sorted(int(n) for n in os.listdir(os.path.join(ck, "commits")) if n.isdigit())
+    assert len(commits) >= 3
+    again = os.path.join(scratch, "ck2")
+    import shutil
+    shutil.copytree(ck, again, ignore=lambda folder, names: [
+        n for n in names if folder.endswith("commits") and n.strip(".").startswith(str(commits[-1]))])
+    ST.run_to_end(_land_batch(spark, scratch, inbox, again))
+    landed = FS.raw_scan(spark, os.path.join(scratch, "landing"))
+    d = Q.decode(msgs)
+    assert sorted(r.id for r in landed.select("id").collect()) == sorted(r.id for r in Q.good_records(d).select("id").collect())
+    assert spark.read.json(os.path.join(scratch, "bad")).count() == Q.quarantine(d).count()
+
+
+def test_topn_batches_and_replay(spark, scratch):
+    from threadmill.operators import scoring
+    from threadmill.streaming import topn as TN
+    root = os.path.join(scratch, "best")
+    ready = scoring.model_ready(scoring.process(A.social(spark, SF))).cache()
+    parts = [ready.where(F.col("id") % 3 == k) for k in range(3)]
+    want = sorted(r.id for r in scoring.faq_ready(scoring.process(A.social(spark, SF)), cap=4).collect())
+    got = lambda: sorted(r.id for r in TN.read_topn(spark, root).collect())
+    TN.merge_batch(parts[0], 0, root, cap=4, buckets=5)
+    TN.merge_batch(parts[1], 1, root, cap=4, buckets=5)
+    before = got()
+    TN.merge_batch(parts[1], 1, root, cap=4, buckets=5)          # a replay
+    assert got() == before
+    TN.merge_batch(parts[2].where("false"), 2, root, cap=4, buckets=5)  # nothing new
+    TN.merge_batch(parts[2], 3, root, cap=4, buckets=5)
+    assert got() == want
+    TN.merge_batch(parts[2], 3, root, cap=4, buckets=5)
+    assert got() == want
+    # each bucket keeps its newest folder and the one that a replay merges with
+    assert all(len(n) <= 2 for n in TN._folders(spark, root).values())
+    # a batch touches only the buckets of its products
+    one = ready.where("product = 'src3'")
+    kept = TN._folders(spark, root)
+    TN.merge_batch(one, 4, root, cap=4, buckets=5)
+    assert sum(4 in n for n in TN._folders(spark, root).values()) == 1 < len(kept)
+
+
+def test_flush_by_count_then_rest_then_resume(spark, scratch):
+    from threadmill.streaming import flush as FL
+    inbox, root, ck = (os.path.join(scratch, x) for x in ("inbox", "files", "ck"))
+    msgs = A.queue_messages(spark, SF)
+    half = msgs.where("offset % 2 = 0")
+    sizes = lambda: sorted(r["count"] for r in FS.raw_scan(spark, root, multi_line=True, glob="*.txt")
+                           .groupBy("source", "product_slug", F.input_file_name()).count().collect())
+    ids = lambda: sorted(r.id for r in FS.raw_scan(spark, root, multi_line=True, glob="*.txt").collect())
+    expected = lambda m: sorted(r.id for r in Q.good_records(Q.decode(m)).collect())
+    run = lambda: ST.run_to_end(FL.start_flush(
+        Q.good_records(Q.decode(ST.file_queue_source(spark, inbox))), root, ck, size=7, lanes=2))
+    ST.stage_messages(half, inbox, n_files=2)
+    run()
+    assert set(sizes()) <= {7}
+    FL.flush_rest(spark, root, ck)
+    assert ids() == expected(half) and max(sizes()) <= 7 and min(sizes()) < 7
+    ST.stage_messages(msgs.where("offset % 2 = 1"), inbox, n_files=2)   # started again after the stop
+    run()
+    FL.flush_rest(spark, root, ck)
+    assert ids() == expected(msgs) and max(sizes()) <= 7
+
+
+def test_flush_by_time(spark, scratch):
+    import time
+
+    from threadmill.streaming import flush as FL
+    inbox, root, ck = (os.path.join(scratch, x) for x in ("inbox", "files", "ck"))
+    msgs = A.queue_messages(spark, SF).where("offset < 20")
+    ST.stage_messages(msgs, inbox, n_files=1)
+    q = FL.start_flush(Q.good_records(Q.decode(ST.file_queue_source(spark, inbox))), root, ck, wait_ms=1500, lanes=1,
+                       available_now=False)
+    want = Q.good_records(Q.decode(msgs)).count()
+    found, end = 0, time.time() + 60
+    try:
+        while found < want and time.time() < end:     # fewer than 50 of each: only the timer can flush them
+            time.sleep(1)
+            found = FS.raw_scan(spark, root, multi_line=True, glob="*.txt").count() if os.path.isdir(root) else 0
+    finally:
+        q.stop()
+    assert found == want
+
+
+def test_dedup_state_is_bounded(spark, scratch):
+    inbox = os.path.join(scratch, "in")
+    rows = [(i, f"2024-01-01T{i // 60:02d}:{i % 60:02d}:00Z") for i in range(600)]
+    for k in range(6):          # each file again holds the last minutes of the one before it
+        part = spark.createDataFrame(rows[max(0, 100 * k - 20):100 * (k + 1)], "id long, scraped_at string")
+        part.coalesce(1).write.mode("append").json(inbox)
+    stream = spark.readStream.schema("id long, scraped_at string").option("maxFilesPerTrigger", 1).json(inbox)
+    q = ST.start_dedup(stream, os.path.join(scratch, "out"), os.path.join(scratch, "ck"), "30 minutes")
+    ST.run_to_end(q)
+    out = spark.read.parquet(os.path.join(scratch, "out"))
+    assert sorted(r.id for r in out.collect()) == list(range(600))
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert held and held[-1] < 300      # 30 minutes of records behind the watermark, not all 600

@@ -14,7 +14,7 @@
     land --inbox DIR --landing DIR --quarantine DIR --checkpoints DIR [--continuous]
          [--kafka SERVERS --max-offsets N]
         queue messages (text files, or Kafka with --kafka SERVERS) -> landing
-        table and quarantine, exactly once via checkpoints.  A micro-batch
+        table and quarantine in one query, exactly once by batch folders.  A micro-batch
         takes at most N offsets (default CLUSTER_MAX_OFFSETS; the reference's
         50-message flush would make every batch's fixed cost dominate).
 
@@ -139,10 +139,7 @@ def land(spark: SparkSession, inbox: str, landing: str, quarantine: str, checkpo
          max_offsets: int = CLUSTER_MAX_OFFSETS) -> None:
     msgs = (ST.kafka_source(spark, kafka, max_offsets=max_offsets) if kafka
             else ST.file_queue_source(spark, inbox))
-    q1 = ST.start_landing(msgs, landing, f"{checkpoints}/landing", available_now=not continuous)
-    q2 = ST.start_quarantine(msgs, quarantine, f"{checkpoints}/quarantine",
-                             available_now=not continuous)
-    ST.run_to_end(q1, q2)
+    ST.run_to_end(ST.start_land(msgs, landing, quarantine, f"{checkpoints}/land", available_now=not continuous))
 
 
 def main(argv: list[str] | None = None) -> None:

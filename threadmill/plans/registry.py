@@ -849,10 +849,10 @@ def q_raw_scan(spark, d):
     return FS.raw_scan(spark, _raw_landing(spark, d)).select("id", "source", "product", "product_slug", "content")
 
 
-@register("raw_scan_source", RAW_ROWS + f" AND source = 'forum' AND base = '{LOOKUP_PRODUCT}'")
+@register("raw_scan_source", RAW_ROWS + f" AND source = 'reddit' AND base = '{LOOKUP_PRODUCT}'")
 def q_raw_scan_source(spark, d):
-    """One product of one source."""
-    scan = FS.raw_scan(spark, _raw_landing(spark, d), source="forum", slugs=[LOOKUP_PRODUCT])
+    """One product of one source, which has both folder variants."""
+    scan = FS.raw_scan(spark, _raw_landing(spark, d), source="reddit", slugs=[LOOKUP_PRODUCT])
     return scan.select("id", "source", "product", "product_slug", "content")
 
 
@@ -904,8 +904,7 @@ def _run_streams(spark, d, clean: bool = False) -> str:
     base = scratch_path(spark, "stream")
     ST.stage_messages(A.queue_messages(spark, d), base + "/inbox")
     msgs = ST.file_queue_source(spark, base + "/inbox")
-    ST.run_to_end(ST.start_landing(msgs, base + "/landing", base + "/ck_landing"),
-                  ST.start_quarantine(msgs, base + "/quarantine", base + "/ck_quarantine"))
+    ST.run_to_end(ST.start_land(msgs, base + "/landing", base + "/quarantine", base + "/ck_land"))
     if clean:
         landed = ST.landing_stream(spark, base + "/landing")
         ST.run_to_end(ST.start_clean(landed, base + "/clean", base + "/ck_clean"))
@@ -933,7 +932,7 @@ FROM social WHERE id % 50 = 0""")
 def q_stream_quarantine(spark, d):
     base = _run_streams(spark, d)
     return spark.read.schema(StructType([StructField("value", StringType())])) \
-                .json(base + "/quarantine")
+                .json(base + "/quarantine").select("value")
 
 
 @register("stream_clean", QUEUE_GOOD + f"""
@@ -950,6 +949,63 @@ def q_stream_clean(spark, d):
     return out.select("id", "product", "relevance_score", "content_length", "has_question")
 
 
+from ..streaming import flush as FL  # noqa: E402
+from ..streaming import topn as TN  # noqa: E402
+
+# the good queue records in place of ``social``: the landed records that streams go on from
+LANDED = O.with_(O.SOCIAL.replace("social AS", "social0 AS"), O.QUEUE_RECORDS.replace("FROM social", "FROM social0"), """
+social AS (SELECT * REPLACE (coalesce(source, 'unknown') AS source, coalesce(product, 'unknown') AS product)
+           FROM qrec WHERE id % 50 <> 0)""")
+
+
+@register("stream_topn", LANDED[:-1] + "," + O.CLEANED + "," + O.SCORED + "," + O.READY + ","
+          + O.ranked_ready(scoring.FAQ_READY_CAP) + f"""
+SELECT {READY_OUT} FROM ranked""")
+def q_stream_topn(spark, d):
+    """The best rows of every product after all micro-batches, one file a batch at least."""
+    base = scratch_path(spark, "stream")
+    ST.stage_messages(A.queue_messages(spark, d), base + "/inbox", n_files=4)
+    msgs = ST.file_queue_source(spark, base + "/inbox", files_per_batch=2)
+    ST.run_to_end(TN.start_topn(QU.good_records(QU.decode(msgs)), base + "/best", base + "/ck"))
+    return _ready_out(TN.read_topn(spark, base + "/best"))
+
+
+@register("stream_dedup", LANDED + """
+SELECT id, source, product, data_type, score, content FROM social""")
+def q_stream_dedup(spark, d):
+    """Every record once, of a queue that two scrapes have filled.
+
+    The staged files come in no order of time, so the delay spans all of them.
+    """
+    base = scratch_path(spark, "stream")
+    for _ in range(2):
+        ST.stage_messages(A.queue_messages(spark, d), base + "/inbox")
+    msgs = ST.file_queue_source(spark, base + "/inbox")
+    ST.run_to_end(ST.start_dedup(QU.good_records(QU.decode(msgs)), base + "/once", base + "/ck", "3650 days"))
+    return spark.read.parquet(base + "/once").select("id", "source", "product", "data_type", "score", "content")
+
+
+@register("stream_flush", LANDED + f"""
+, groups AS (SELECT source, {SLUG_SQL} AS product_slug, count(*) AS n_records, sum(id)::BIGINT AS sum_ids
+             FROM social GROUP BY source, product)
+SELECT source, product_slug, n_records, sum_ids, ceil(n_records / 50)::BIGINT AS n_flushes,
+       least(n_records, 50)::BIGINT AS largest FROM groups""")
+def q_stream_flush(spark, d):
+    """Files of at most 50 records of one (source, product), and the rest when the query has ended."""
+    base = scratch_path(spark, "stream")
+    ST.stage_messages(A.queue_messages(spark, d), base + "/inbox", n_files=4)
+    msgs = ST.file_queue_source(spark, base + "/inbox", files_per_batch=2)
+    # with one lane the number of files follows from the counts
+    ST.run_to_end(FL.start_flush(QU.good_records(QU.decode(msgs)), base + "/files", base + "/ck", lanes=1))
+    FL.flush_rest(spark, base + "/files", base + "/ck")
+    rows = FS.raw_scan(spark, base + "/files", multi_line=True, glob="*.txt")
+    files = rows.groupBy("source", "product_slug", F.input_file_name().alias("file")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+    return files.groupBy("source", "product_slug").agg(
+        F.sum("n").alias("n_records"), F.sum("ids").alias("sum_ids"), F.count(F.lit(1)).alias("n_flushes"),
+        F.max("n").alias("largest"))
+
+
 # ---------------------------------------------------------------------------
 # topics
 # ---------------------------------------------------------------------------

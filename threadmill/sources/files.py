@@ -13,17 +13,22 @@ of a source or product is a partition filter, so only its folders are read.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.text import product_slug
 from ..operators.joins import small_side
 from ..operators.rank import top_n_per_group
 from ..schemas import FAQ_READY_SCHEMA, RAW_WITH_ID_SCHEMA
 
-PARTITIONS = [StructField("source", StringType()), StructField("product_slug", StringType())]
+#: Folders of the landing table; ``batch`` is the micro-batch, or BATCH_LOAD for rows written by a batch job.
+PARTITIONS = [StructField("source", StringType()), StructField("product_slug", StringType()),
+              StructField("batch", LongType())]
+BATCH_LOAD = -1
 
 
 def _landing_schema(schema: StructType) -> StructType:
@@ -36,13 +41,41 @@ def write_landing(records: DataFrame, root: str, mode: str = "append") -> None:
 
     Rebalanced on the folder keys like the snapshot: few files per folder,
     a hot product split by AQE over several writers."""
-    (records.withColumn("product_slug", product_slug("product"))
+    (records.withColumn("product_slug", product_slug("product")).withColumn("batch", F.lit(BATCH_LOAD).cast("long"))
             .hint("rebalance", "source", "product_slug")
-            .write.mode(mode).partitionBy("source", "product_slug").json(root))
+            .write.mode(mode).partitionBy("source", "product_slug", "batch").json(root))
+
+
+def folder_glob(spark: SparkSession, root: str, slugs: list[str] | None, source: str | None) -> str:
+    """A path pattern of the wanted folders only: nothing else is listed."""
+    def named(value: str) -> str:
+        escaped = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
+        return re.sub(r"([\\{}\[\]*?,])", r"\\\1", escaped)
+
+    if not slugs and not source:
+        return root
+    path = root.rstrip("/") + "/source=" + (named(source) if source else "*")
+    if slugs:
+        path += "/product_slug={" + ",".join(named(v) for s in sorted(set(slugs)) for v in (s, s + "_")) + "}"
+    return path
+
+
+def _loaded(load, spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """What ``load`` reads from ``path``; no rows where there is no such folder."""
+    try:
+        return load(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+FILE_SCHEMA = StructType([StructField("path", StringType()), StructField("length", LongType())])
 
 
-def data_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """(source, product_slug, path, name) of the non-empty data files of a landing table.
+def data_files(spark: SparkSession, root: str, glob: str | None = None, slugs: list[str] | None = None,
+               source: str | None = None) -> DataFrame:
+    """(source, product_slug, path, name) of the non-empty data files of a landing table, or of some of its folders.
 
     The listing is Spark's own (hidden files such as ``_SUCCESS`` are left out)
     and stays a DataFrame; no file content is read.
@@ -51,7 +84,9 @@ def data_files(spark: SparkSession, root: str, glob: str | None = None) -> DataF
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     folder = r"/source=([^/]*)/product_slug=([^/]*)/"
-    return (reader.load(root).where("length > 0")
+    files = _loaded(lambda path: reader.load(path).select("path", "length"), spark,
+                    folder_glob(spark, root, slugs, source), FILE_SCHEMA)
+    return (files.where("length > 0")
             .select(F.regexp_extract("path", folder, 1).alias("source"),
                     F.regexp_extract("path", folder, 2).alias("product_slug"), "path",
                     F.regexp_extract("path", r"/product_slug=[^/]*/(.*)$", 1).alias("name")))
@@ -77,16 +112,20 @@ def raw_scan(spark: SparkSession, root: str, schema: StructType = RAW_WITH_ID_SC
 
     A product is stored under ``slug`` or, when its name had a trailing
     space, under ``slug_``.  Per source and product the exact folder wins when
-    it holds data; otherwise the underscore folder is used.  ``source`` and
-    ``slugs`` are partition filters: only their folders are read.
+    it holds data; otherwise the underscore folder is used.  Of ``source`` and
+    ``slugs`` only the folders are listed and read.
     ``multi_line`` reads files that each hold one JSON array or object (the
     batch-file layout) instead of JSON lines; ``glob`` filters file names.
     """
-    losing = small_side(_losing_folders(_wanted(data_files(spark, root, glob), slugs, source)))
-    reader = spark.read.schema(_landing_schema(schema)).option("multiLine", multi_line)
+    losing = small_side(_losing_folders(_wanted(data_files(spark, root, glob, slugs, source), slugs, source)))
+    kept = StructType(_landing_schema(schema).fields[:-1])
+    reader = (spark.read.schema(_landing_schema(schema)).option("multiLine", multi_line)
+                   .option("basePath", root))
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return _wanted(reader.json(root), slugs, source).join(losing, ["source", "product_slug"], "left_anti")
+    rows = _loaded(lambda path: reader.json(path).select(*kept.names), spark, folder_glob(spark, root, slugs, source),
+                   kept)
+    return _wanted(rows, slugs, source).join(losing, ["source", "product_slug"], "left_anti")
 
 
 def write_batch_files(records: DataFrame, root: str, flush_size: int = 50,
@@ -122,7 +161,7 @@ def first_n_files(spark: SparkSession, root: str, n: int = 20, glob: str = "*.{j
     object (``multiLine``); a file that does not parse is skipped but still
     takes its place among the first ``n``.
     """
-    files = _wanted(data_files(spark, root, glob), slugs, source)
+    files = _wanted(data_files(spark, root, glob, slugs, source), slugs, source)
     files = files.join(small_side(_losing_folders(files)), ["source", "product_slug"], "left_anti")
     best = top_n_per_group(files, ["source", "product_slug"], [F.col("name").asc()], n)
     chosen = [r.path for r in best.select("path").collect()]

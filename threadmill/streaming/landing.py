@@ -2,14 +2,16 @@
 
 The reference's consumer polls a queue, buffers 50 messages or 30 seconds,
 groups them by (source, product) and writes one file per group, committing
-offsets on a timer.  Here that is one streaming query per output:
+offsets on a timer.  Here:
 
 * ``maxFilesPerTrigger`` / ``maxOffsetsPerTrigger`` bound a micro-batch;
-* the file sink, partitioned by (source, product_slug), writes every batch
-  exactly once, tracked by the checkpoint (restart resumes, no duplicates);
-* undecodable messages go to a quarantine sink instead of ending the stream;
+* ``start_land`` reads the queue once and writes each micro-batch's records and
+  its undecodable messages into folders of the batch's number, overwritten on a replay;
+* ``flush.start_flush`` keeps the reference's rule - groups of at most 50
+  records, the rest after 30 seconds or at the end - as keyed state;
 * the cleaning/scoring operators are stateless, so the same functions that
-  run in batch run on the stream.
+  run in batch run on the stream; ``topn.start_topn`` goes on to the best rows
+  of every product.
 
 A Kafka source needs the Kafka connector jar on the classpath (not present
 in this environment); ``kafka_source`` shows the options and the tests use
@@ -18,10 +20,11 @@ the file source with a ``value`` column.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.text import product_slug
 from ..operators import scoring
@@ -67,35 +70,61 @@ def _trigger(writer, available_now: bool):
     return writer.trigger(processingTime=FLUSH_INTERVAL)
 
 
-def start_landing(messages: DataFrame, landing_dir: str, checkpoint_dir: str,
-                  available_now: bool = True) -> StreamingQuery:
-    """Decoded records -> landing table partitioned by (source, product_slug).
+def start_land(messages: DataFrame, landing_dir: str, quarantine_dir: str, checkpoint_dir: str,
+               available_now: bool = True) -> StreamingQuery:
+    """One read of the queue, two outputs: decoded records and messages that cannot be decoded.
+
+    Each micro-batch is decoded once and kept while both outputs are written,
+    into folders that carry its number: ``source=/product_slug=/batch=`` of the
+    landing table and ``batch=`` of the quarantine (raw text kept).  A batch that is
+    replayed after a failure overwrites its own folders, so no row comes
+    twice.  Writers are dealt by folder, and AQE splits a hot folder over
+    several of them.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        decoded = Q.decode(batch).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            number = F.lit(batch_id).cast("long").alias("batch")
+            good = Q.good_records(decoded).withColumn("product_slug", product_slug("product")).select("*", number)
+            (good.hint("rebalance", "source", "product_slug").write.mode("overwrite")
+                 .option("partitionOverwriteMode", "dynamic").partitionBy("source", "product_slug", "batch")
+                 .json(landing_dir))
+            (Q.quarantine(decoded).select("*", number).write.mode("overwrite")
+              .option("partitionOverwriteMode", "dynamic").partitionBy("batch").json(quarantine_dir))
+        finally:
+            decoded.unpersist()
+
+    w = messages.writeStream.option("checkpointLocation", checkpoint_dir).foreachBatch(write)
+    return _trigger(w, available_now).start()
 
-    Each micro-batch is dealt by folder, so it adds one file to each folder
-    it has rows for, instead of one for every task and folder; a folder's share
-    of a task is bounded by the micro-batch."""
-    good = (Q.good_records(Q.decode(messages)).withColumn("product_slug", product_slug("product"))
-             .repartition("source", "product_slug"))
-    w = (good.writeStream.format("json").outputMode("append")
-             .partitionBy("source", "product_slug")
-             .option("checkpointLocation", checkpoint_dir))
-    return _trigger(w, available_now).start(landing_dir)
 
+def dedup_stream(records: DataFrame, delay: str, key: str = "id", time_col: str = "scraped_at") -> DataFrame:
+    """The first of all copies of a record that come within ``delay`` of each other (by ``time_col``).
 
-def start_quarantine(messages: DataFrame, quarantine_dir: str, checkpoint_dir: str,
-                     available_now: bool = True) -> StreamingQuery:
-    """Undecodable messages -> quarantine folder (raw text kept)."""
-    bad = Q.quarantine(Q.decode(messages))
-    w = (bad.writeStream.format("json").outputMode("append")
-            .option("checkpointLocation", checkpoint_dir))
-    return _trigger(w, available_now).start(quarantine_dir)
+    A post that several searches find is sent once for each of them.  Spark
+    keeps one key per record until the watermark - the newest time seen less
+    ``delay`` - has passed it by ``delay``; older state goes, so it is bounded by the
+    records of that span.  Records that come later than ``delay`` behind the
+    newest are dropped as late.
+    """
+    at = "__tm_scraped"
+    return (records.withColumn(at, F.to_timestamp(F.col(time_col)))
+                   .withWatermark(at, delay).dropDuplicatesWithinWatermark([key]).drop(at))
+
+
+def start_dedup(records: DataFrame, out_dir: str, checkpoint_dir: str, delay: str,
+                available_now: bool = True) -> StreamingQuery:
+    w = (dedup_stream(records, delay).writeStream.format("parquet").outputMode("append")
+         .option("checkpointLocation", checkpoint_dir))
+    return _trigger(w, available_now).start(out_dir)
 
 
 def landing_stream(spark: SparkSession, landing_dir: str, files_per_batch: int = 1000) -> DataFrame:
     """Stream of landed records (explicit schema, partition columns included)."""
-    schema = StructType(RAW_WITH_ID_SCHEMA.fields + [StructField("product_slug", StringType())])
+    schema = StructType(RAW_WITH_ID_SCHEMA.fields + [StructField("product_slug", StringType()),
+                                                     StructField("batch", LongType())])
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-                 .json(landing_dir))
+                 .json(landing_dir).drop("batch"))
 
 
 def start_clean(landed: DataFrame, out_dir: str, checkpoint_dir: str,
