@@ -192,12 +192,16 @@ def product_status(products: DataFrame, runs: DataFrame) -> DataFrame:
                     .drop("run_status"))
 
 
+def newest_documents(documents: DataFrame) -> DataFrame:
+    """Per product the document with the greatest ``updated_at`` (the whole document breaks ties)."""
+    order = ["updated_at"] + [c for c in documents.columns if c not in ("product", "updated_at")]
+    return top_n_per_group(documents, ["product"], [F.col(c).desc() for c in order], 1)
+
+
 def faq_upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Upsert documents by product: the greatest ``updated_at`` wins.
 
-    Re-applying the same incoming batch changes nothing (ties resolve to the
-    same row because the whole document is the tie-breaker).
+    Re-applying the same incoming batch changes nothing.  ``store.upsert_documents``
+    does the same on a stored table, bucket by bucket.
     """
-    both = existing.unionByName(incoming)
-    order = ["updated_at"] + [c for c in both.columns if c not in ("product", "updated_at")]
-    return top_n_per_group(both, ["product"], [F.col(c).desc() for c in order], 1)
+    return newest_documents(existing.unionByName(incoming))

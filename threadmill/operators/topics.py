@@ -5,7 +5,10 @@
 vectors persisted for the passes of k-means.  Instead of collecting every member's text, questions and
 URL into per-cluster lists (one list per cluster grows with the data), the
 cluster summary holds counts and averages and ``topic_members`` holds the
-(id, cluster) assignment, which joins back to any column.
+(id, cluster) assignment, which joins back to any column.  ``assign_topics``
+and ``nearest_members`` use a model kept as a table of centres: new rows are
+assigned without fitting again, and each cluster's nearest members are what a
+reader looks at.
 """
 
 from __future__ import annotations
@@ -64,39 +67,104 @@ def tfidf_terms(tokenized: DataFrame, terms_col: str = "filtered") -> DataFrame:
                   .withColumn("idf", F.log((F.lit(n) + 1.0) / (F.col("doc_freq") + 1.0))))
 
 
+def term_counts(scored: DataFrame, num_features: int = NUM_FEATURES) -> DataFrame:
+    """(id, product, score, n_questions, raw_features): hashed term counts, tokenized once and stored as sparse vectors."""
+    from ..session import materialize
+    tok = tokens(scored.select("id", "product", "content_cleaned", "score",
+                               F.size("extracted_questions").alias("n_questions")))
+    return materialize(HashingTF(inputCol="filtered", outputCol="raw_features", numFeatures=num_features)
+                       .transform(tok).select("id", "product", "score", "n_questions", "raw_features"))
+
+
+def fit_topics(counts: DataFrame, k: int = NUM_CLUSTERS, seed: int = SEED):
+    """(weighted rows with ``features``, the fitted model) of ``term_counts`` rows; the rows are persisted.
+
+    Raises when there are fewer than two rows (k-means cannot run) rather
+    than silently returning another schema.
+    """
+    from pyspark import StorageLevel
+    if counts.limit(2).count() < 2:
+        raise ValueError("topic clustering needs at least two rows")
+    # the weighted vectors are what k-means passes over again and again
+    weighted = (IDF(inputCol="raw_features", outputCol="features").fit(counts).transform(counts)
+                .drop("raw_features").persist(StorageLevel.MEMORY_AND_DISK))
+    try:
+        return weighted, KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(weighted)
+    except Exception:
+        weighted.unpersist()
+        raise
+
+
 def topic_members(scored: DataFrame, k: int = NUM_CLUSTERS, seed: int = SEED,
                   num_features: int = NUM_FEATURES) -> DataFrame:
     """(id, product, cluster, score, n_questions) for every scored row.
 
-    Text is tokenized and hashed for the IDF pass and once more for the
-    weighted vectors; only these compact sparse vectors are persisted for the
-    passes of k-means (never the text).  The
-    assignments are cut from that lineage with a reliable checkpoint and the
-    vectors are released.  Raises when there are fewer than two rows
-    (k-means cannot run) rather than silently returning another schema.
+    Text is tokenized and hashed once; the stored sparse counts feed the IDF
+    pass and the weighted vectors that k-means passes over (never the text).
+    The assignments are cut from that lineage with a reliable checkpoint and the
+    vectors are released.
     """
-    from pyspark import StorageLevel
-
     from ..session import materialize
-    tok = tokens(scored.select("id", "product", "content_cleaned", "score",
-                               F.size("extracted_questions").alias("n_questions")))
-    tf = (HashingTF(inputCol="filtered", outputCol="raw_features", numFeatures=num_features)
-          .transform(tok)
-          .select("id", "product", "score", "n_questions", "raw_features"))
-    weighted = None
+    weighted, model = fit_topics(term_counts(scored, num_features), k, seed)
     try:
-        if tf.limit(2).count() < 2:
-            raise ValueError("topic clustering needs at least two rows")
-        # the weighted vectors are what k-means passes over again and again
-        weighted = (IDF(inputCol="raw_features", outputCol="features").fit(tf).transform(tf)
-                    .drop("raw_features").persist(StorageLevel.MEMORY_AND_DISK))
-        model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(weighted)
-        members = materialize(model.transform(weighted)
-                              .select("id", "product", "cluster", "score", "n_questions"))
+        return materialize(model.transform(weighted).select("id", "product", "cluster", "score", "n_questions"))
     finally:
-        if weighted is not None:
-            weighted.unpersist()
-    return members
+        weighted.unpersist()
+
+
+# --- the model as tables -------------------------------------------------------
+#
+# Vectors as rows of (.., feature, weight): hashed buckets, or terms themselves.
+
+def long_vectors(rows: DataFrame, key: str, vector: str = "features") -> DataFrame:
+    """(key, feature, weight) of the entries of sparse vectors that are not 0."""
+    from pyspark.ml.functions import vector_to_array
+    cells = F.posexplode(vector_to_array(F.col(vector))).alias("feature", "weight")
+    return rows.select(key, cells).where(F.col("weight") != 0)
+
+
+def centre_rows(model, spark) -> DataFrame:
+    """(cluster, feature, weight) of a fitted model's centres: at most clusters x features rows."""
+    return spark.createDataFrame(
+        [(c, f, float(w)) for c, centre in enumerate(model.clusterCenters()) for f, w in enumerate(centre) if w != 0],
+        "cluster int, feature int, weight double")
+
+
+def assign_topics(vectors: DataFrame, centres: DataFrame, key: str = "id") -> DataFrame:
+    """(key, cluster, distance): the nearest centre of every vector, without fitting anything.
+
+    |x - c|^2 = |x|^2 - 2 x.c + |c|^2: the products come from one join of the
+    vectors' entries with the centres' by feature.  All centres together are
+    a bounded table (clusters x features) and go to every task within the byte
+    bound of ``small_side``.  A vector that shares no feature with a centre is
+    held against it too; ties go to the smaller cluster.  Vectors without entries are not in ``vectors``.
+    """
+    from .joins import small_side
+    norms = centres.groupBy("cluster").agg(F.sum(F.col("weight") * F.col("weight")).alias("norm"))
+    # per feature one list of its centres' weights; the norms, one number per cluster, go along in the plan
+    by_feature = small_side(centres.groupBy("feature").agg(
+        F.collect_list(F.struct("cluster", F.col("weight").alias("w"))).alias("cs")))
+    known = sorted((r["cluster"], r["norm"]) for r in norms.collect())
+    clusters, lengths = F.lit([c for c, _ in known]), F.lit([n for _, n in known])
+    parts = (vectors.join(by_feature, "feature", "left")
+             .select(key, "feature", (F.col("weight") * F.col("weight")).alias("square"), "weight", F.explode_outer("cs").alias("c")))
+    dots = (parts.groupBy(key, F.col("c.cluster").alias("cluster"))
+            .agg(F.sum(F.col("weight") * F.col("c.w")).alias("dot")).where("cluster is not null"))
+    own = vectors.groupBy(key).agg(F.sum(F.col("weight") * F.col("weight")).alias("own"))
+    per_vector = own.join(dots.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("cluster", "dot"))).alias("dots")),
+                          key, "left")
+    distance = F.transform(clusters, lambda c, i: F.struct(
+        F.greatest(F.col("own") - 2 * F.coalesce(F.try_element_at(F.col("dots"), c), F.lit(0.0)) + F.get(lengths, i),
+                   F.lit(0.0)).alias("d"), c.alias("cluster")))
+    best = per_vector.select(key, F.array_min(distance).alias("best"))
+    return best.select(key, F.col("best.cluster").alias("cluster"), F.sqrt("best.d").alias("distance"))
+
+
+def nearest_members(assigned: DataFrame, n: int, key: str = "id") -> DataFrame:
+    """(cluster, rank, key, distance): the ``n`` members nearest to each centre, as a reader would look at them."""
+    from .rank import top_n_per_group
+    return (top_n_per_group(assigned, ["cluster"], [F.col("distance").asc(), F.col(key).asc()], n, rank_col="rank")
+            .select("cluster", "rank", key, "distance"))
 
 
 def topic_clusters(members: DataFrame) -> DataFrame:

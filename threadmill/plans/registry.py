@@ -305,6 +305,7 @@ def q_discover_communities(spark, d):
 from ..operators import inference as INF  # noqa: E402
 from ..operators import prompts as P  # noqa: E402
 from ..operators import responses as R  # noqa: E402
+from ..operators import store as SO  # noqa: E402
 
 CONTEXT_CUT = 10
 CUT_ITEMS = {"large": 10, "small": 5}
@@ -532,15 +533,20 @@ SELECT product, entry_pos, question FROM fentries
 WHERE contains(lower(question), '{SEARCH_TERM}') OR contains(lower(answer), '{SEARCH_TERM}')
    OR contains(lower(category), '{SEARCH_TERM}')""")
 def q_faq_search(spark, d):
-    return R.faq_search(R.faq_entries(_documents(spark, d)), SEARCH_TERM) \
-            .select("product", "entry_pos", "question")
+    """A search through the text index."""
+    root = scratch_path(spark, "entry_index")
+    SO.write_entry_index(R.faq_entries(_documents(spark, d)), root)
+    return SO.search_index(spark, root, SEARCH_TERM).select("product", "entry_pos", "question")
 
 
 @register("faq_lookup", DOCS_SQL + f"""
 SELECT product, entry_pos, question, answer, category, confidence FROM fentries
 WHERE product = '{LOOKUP_PRODUCT}'""")
 def q_faq_lookup(spark, d):
-    e = R.faq_entries(_documents(spark, d).where(F.col("product") == LOOKUP_PRODUCT))
+    """One product's entries, read from its bucket of the stored documents."""
+    root = scratch_path(spark, "documents")
+    SO.upsert_documents(_documents(spark, d), root)
+    e = R.faq_entries(SO.read_documents(spark, root, LOOKUP_PRODUCT))
     return e.select("product", "entry_pos", "question", "answer", "category", "confidence")
 
 
@@ -638,6 +644,18 @@ def q_product_page(spark, d):
                      F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
 
 
+@register("product_pages", O.with_(O.PRODUCTS) + """
+SELECT CAST(id AS VARCHAR) AS id, name, status,
+       strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at
+FROM products ORDER BY created_at DESC, products.id LIMIT 60 OFFSET 75""")
+def q_product_pages(spark, d):
+    """A deep page, read from the ranges it lies in."""
+    root = scratch_path(spark, "pages")
+    SO.write_pages(A.products(spark, d), root, range_rows=20)
+    return SO.read_page(spark, root, skip=75, limit=60).select(
+        "id", "name", "status", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+
+
 @register("insert_new_products", O.with_(O.PRODUCTS, O.COMMUNITIES) + """
 , req AS (
   SELECT c_name AS name, c_custkey AS request_pos,
@@ -788,9 +806,12 @@ def q_faq_upsert(spark, d):
     responses = _responses(spark, d, ranked)
     existing = _documents(spark, d, GEN_AT, ranked=ranked, responses=responses)
     incoming = _documents(spark, d, REGEN_AT, flip=True, ranked=ranked, responses=responses)
-    once = TB.faq_upsert(existing, incoming)
-    twice = TB.faq_upsert(once, incoming)      # same run applied again: no change
-    return twice.select("product", "model_used",
+    root = scratch_path(spark, "documents")
+    SO.upsert_documents(existing, root)
+    incoming = materialize(incoming)
+    for _ in range(2):                          # the same run applied again: no change
+        SO.upsert_documents(incoming, root)
+    return SO.read_documents(spark, root).select("product", "model_used",
                         F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"),
                         F.size("faqs").cast("long").alias("faq_count"))
 
@@ -1065,6 +1086,57 @@ def q_topic_totals(spark, d):
                  F.sum("n_questions").cast("long").alias("questions"))
 
 
+# the weighted terms of every record (count x idf), and as centres the mean vector of every product
+TOPIC_SQL = TOKENS_SQL[:-1] + """
+, counts AS (SELECT id, term, count(*) AS n FROM (SELECT id, unnest(filtered) AS term FROM tf) GROUP BY ALL),
+idf AS (SELECT term, ln(((SELECT count(*) FROM tf) + 1) / (count(*) + 1)) AS idf FROM counts GROUP BY term),
+vec AS (SELECT id, term, n * idf AS w FROM counts JOIN idf USING (term)),
+sizes AS (SELECT product, count(*) AS members, CAST(row_number() OVER (ORDER BY product) - 1 AS INTEGER) AS cluster
+          FROM cleaned GROUP BY product),
+centre AS (SELECT cluster, term, sum(w) / any_value(members) AS w
+           FROM vec JOIN cleaned USING (id) JOIN sizes USING (product) GROUP BY cluster, term),
+norm AS (SELECT cluster, sum(w * w) AS nn FROM centre GROUP BY cluster),
+own AS (SELECT id, sum(w * w) AS xx FROM vec GROUP BY id),
+dot AS (SELECT id, cluster, sum(v.w * c.w) AS xc FROM vec v JOIN centre c USING (term) GROUP BY ALL),
+dist AS (SELECT id, cluster, sqrt(greatest(xx - 2 * coalesce(xc, 0) + nn, 0)) AS distance
+         FROM own CROSS JOIN norm LEFT JOIN dot USING (id, cluster)),
+best AS (SELECT * FROM dist QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, cluster) = 1)
+"""
+
+
+def _topic_tables(spark, d):
+    """(weighted term vectors, centres): one centre per product, the mean of its records' vectors."""
+    t = materialize(TP.tokens(scoring.clean(A.social(spark, d))).select("id", "product", "filtered"))
+    idf = materialize(TP.tfidf_terms(t).select(F.col("term").alias("feature"), "idf"))
+    n_of = t.select("id", "product", F.explode("filtered").alias("feature")).groupBy("id", "product", "feature").agg(
+        F.count(F.lit(1)).alias("n"))
+    vectors = materialize(n_of.join(idf, "feature").select("id", "product", "feature",
+                                                           (F.col("n") * F.col("idf")).alias("weight")))
+    names = sorted(r["product"] for r in t.select("product").distinct().collect())     # one per source
+    number = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("product")).cast("int") - 1
+    sizes = t.groupBy("product").agg(F.count(F.lit(1)).alias("members"))
+    centres = materialize(vectors.groupBy("product", "feature").agg(F.sum("weight").alias("w")).join(sizes, "product")
+                          .select(number.alias("cluster"), "feature", (F.col("w") / F.col("members")).alias("weight")))
+    return vectors.drop("product"), centres
+
+
+@register("topic_assign", TOPIC_SQL + """
+SELECT id, cluster, round(distance, 6) AS distance FROM best""")
+def q_topic_assign(spark, d):
+    """Every record's nearest of a table of given centres, and how far it is."""
+    return TP.assign_topics(*_topic_tables(spark, d)).select("id", "cluster", F.round("distance", 6).alias("distance"))
+
+
+@register("topic_nearest", TOPIC_SQL + """
+SELECT cluster, CAST(row_number() OVER (PARTITION BY cluster ORDER BY round(distance, 6), id) AS INTEGER) AS rank, id,
+       round(distance, 6) AS distance
+FROM best QUALIFY rank <= 5""")
+def q_topic_nearest(spark, d):
+    """The 5 members nearest to each centre."""
+    assigned = TP.assign_topics(*_topic_tables(spark, d)).withColumn("distance", F.round("distance", 6))
+    return TP.nearest_members(assigned, 5)
+
+
 # ---------------------------------------------------------------------------
 # product form input
 # ---------------------------------------------------------------------------
