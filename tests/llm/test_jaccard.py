@@ -124,3 +124,40 @@ def test_word_hashes_follow_words_only():
     parts = [tuple(h[a:b]) for a, b in zip(at[:-1], at[1:])]
     assert parts[0] == parts[1] == parts[2] and parts[3] == parts[4] == () and parts[5] == parts[0][:1]
     assert len(set(h.tolist())) == 5 and len(parts[7]) == 1
+
+
+def test_bucket_work_follows_the_values_not_the_buckets():
+    import time
+
+    import numpy as np
+    from threadmill.llm import lm
+    h = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 50_000, dtype=np.uint64) << np.uint64(1))
+    start = time.perf_counter()
+    dealt = lm._dealt(h, 1 << 20)
+    assert time.perf_counter() - start < 0.5
+    assert [b for b, _ in dealt] == sorted({int(x >> np.uint64(44)) for x in h})
+    assert all((h[p] >> np.uint64(44) == b).all() for b, p in dealt[:1000])
+    assert lm._dealt(h[:0], 8) == []
+
+
+def test_components_with_and_without_contraction(spark, monkeypatch):
+    from threadmill.llm import components as C
+    rng = random.Random(4)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)]
+    edges += [(1000 + i, 1001 + i) for i in range(90)] + [(5000, 6000 + i) for i in range(300)] + [(7, 7)]
+    want: dict = {}
+    for a, b in edges:
+        want.setdefault(a, a), want.setdefault(b, b)
+    for _ in range(len(want)):
+        before = dict(want)
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+        if want == before:
+            break
+    named = {n for a, b in edges if a != b for n in (a, b)}
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(9)
+    for small in (0, 40, 10 ** 6):
+        monkeypatch.setattr(C, "SMALL", small)
+        found = {r.node: r.component for r in C.components(frame).collect()}
+        assert found == {n: want[n] for n in named}
+    assert C.components(frame.limit(0)).count() == 0

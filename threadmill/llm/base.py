@@ -9,7 +9,8 @@ import uuid
 from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import checkpoint_root
 
@@ -27,6 +28,23 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of slim tables (ids, numbers) that make one task.
+TASK_ROWS = 25_000
+
+
+def counted(df: DataFrame, rows: int | None = None, what: Column | None = None) -> tuple[DataFrame, int]:
+    """``stored`` and, counted while it is written, its rows (or those for which ``what`` holds).
+
+    ``rows``: the most rows of few bytes that ``df`` can have, where that is known:
+    it is then written by as many tasks as they need.
+    """
+    seen = Observation()
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // TASK_ROWS)))
+    out = stored(df.observe(seen, F.count(F.lit(1) if what is None else F.when(what, 1)).alias("n")))
+    return out, seen.get["n"]
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name below the shared checkpoint folder."""
     root = checkpoint_root(spark)

@@ -59,7 +59,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import broadcast_if
 from . import words as W
-from .base import packed, per_worker, release, small_batches, stored, unpacked
+from .base import counted, packed, per_worker, release, small_batches, stored, unpacked
 from .components import components
 
 BAND_RATIO = 1.5
@@ -212,15 +212,9 @@ def _shared_hashes(docs: DataFrame, n: int, percent: int, buckets: int, table: l
             spread = W.mix(dr.view(np.uint64) ^ hr) & np.uint64(buckets - 1)
             order = np.argsort(spread, kind="stable")
             hr, dr = hr[order], dr[order]
-            edges = np.searchsorted(spread[order], np.arange(buckets + 1, dtype=np.uint64))
-            rows = [(b, True, packed(hr[edges[b]:edges[b + 1]], dr[edges[b]:edges[b + 1]]))
-                    for b in range(buckets) if edges[b] < edges[b + 1]]
+            rows = [(b, True, packed(hr[p], dr[p])) for b, p in W.runs(spread[order])]
             h, d, many = h[first], d[first], copies > 1
-            edges = np.searchsorted(h >> np.uint64(shift), np.arange(buckets + 1, dtype=np.uint64))
-            for b in range(buckets):
-                p = slice(edges[b], edges[b + 1])
-                if p.start < p.stop:
-                    rows.append((b, False, packed(h[p], d[p], many[p])))
+            rows += [(b, False, packed(h[p], d[p], many[p])) for b, p in W.runs(h >> np.uint64(shift))]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()),
                                               pa.array([r[1] for r in rows], pa.bool_()),
                                               pa.array([r[2] for r in rows], pa.binary())], names)
@@ -270,13 +264,13 @@ def _possible(percent: int) -> Column:
     return sizes & (F.col("apart") <= most)
 
 
-def _candidates(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that sizes and bitmaps leave possible, with the distance of their bitmaps."""
+def _candidates(pairs: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFrame, int]:
+    """The pairs (a, b) that sizes and bitmaps leave possible, with the distance of their bitmaps; their number."""
     sized = classes.select("id", "n_shingles", "map")
     left = sized.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("map").alias("ma"))
     right = sized.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("map").alias("mb"))
-    return stored(pairs.join(left, "a").join(right, "b").withColumn("apart", _differ("ma", "mb"))
-                  .where(_possible(percent)).select("a", "b", "apart"))
+    return counted(pairs.join(left, "a").join(right, "b").withColumn("apart", _differ("ma", "mb"))
+                   .where(_possible(percent)).select("a", "b", "apart"))
 
 
 def _narrowed(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -312,8 +306,8 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percen
     those of the ``a``, each of which stands for many ``b``.  Rows that share an
     id are one document, linked if any of them is.
     """
-    pairs = stored(_narrowed(pairs, classes, percent).distinct().select("a", F.col("b").alias("id")))
-    heads = stored(pairs.select(F.col("a").alias("id")).distinct())
+    pairs, n_pairs = counted(_narrowed(pairs, classes, percent).distinct().select("a", F.col("b").alias("id")))
+    heads, n_heads = counted(pairs.select(F.col("a").alias("id")).distinct(), n_pairs)
 
     def of_b(batches):
         for batch in batches:
@@ -342,9 +336,9 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percen
             yield pa.RecordBatch.from_arrays(
                 [pa.array([v for v, k in zip(c, keep) if k], pa.int64()) for c in (a, b)], ["a", "b"])
 
-    members = (docs.join(broadcast_if(pairs, pairs.count(), MAX_BROADCAST_IDS), "id").select("id", "text", "a")
+    members = (docs.join(broadcast_if(pairs, n_pairs, MAX_BROADCAST_IDS), "id").select("id", "text", "a")
                .mapInArrow(of_b, "a long, b long, y binary"))
-    first = (docs.join(broadcast_if(heads, heads.count(), MAX_BROADCAST_IDS), "id", "left_semi")
+    first = (docs.join(broadcast_if(heads, n_heads, MAX_BROADCAST_IDS), "id", "left_semi")
              .mapInArrow(of_a, "a long, x binary"))
     with small_batches(docs.sparkSession):
         links = stored(members.join(first, "a").select("a", "b", "x", "y").mapInArrow(similar, "a long, b long"))
@@ -374,44 +368,56 @@ def near_duplicates(df: DataFrame, percent: int = 80, n: int = 5, id_col: str =
     total, largest = (v or 0 for v in classes.agg(F.sum("n_shingles"), F.max("n_shingles")).first())
     buckets = 1 << max(5, (int(total * 0.6) // BUCKET).bit_length())
     # copies need not be indexed: rows whose id is not their class's smallest
-    copies = stored(usable.select("digest", "id").join(
+    copies, n_copies = counted(usable.select("digest", "id").join(
         classes.select("digest", F.col("id").alias("first")), "digest").where("id != first").select("id")
         .distinct().join(classes.select("id"), "id", "left_anti"))
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    firsts = docs.join(broadcast_if(copies, copies.count(), MAX_BROADCAST_IDS), "id", "left_anti")
+    firsts = docs.join(broadcast_if(copies, n_copies, MAX_BROADCAST_IDS), "id", "left_anti")
     shared = stored(_shared_hashes(firsts, n, percent, buckets, bands(largest, percent)))
     release(spark)
     least = stored(shared.groupBy("hash").agg(F.min("id").alias("a")))
-    stars = _candidates(shared.join(least, "hash").where("a != id").select("a", F.col("id").alias("b")).distinct(),
-                        classes, percent)
-    links = None
+    stars, left = _candidates(shared.join(least, "hash").where("a != id").select("a", F.col("id").alias("b")).distinct(),
+                              classes, percent)
+    links = found = None
     for _ in range(STAR_ROUNDS):
+        if not left:
+            break
         # each document with the nearest star it is not yet connected to
-        best = stored(stars.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("s")).select("s.a", "b"))
+        best, _ = counted(stars.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("s")).select("s.a", "b"), left)
         new = _links(best, classes, firsts, n, percent)
-        links = new if links is None else stored(links.unionByName(new))
+        links = new if links is None else links.unionByName(new)
         found = stored(components(links))
-        stars = stored(_across(stars.join(best, ["a", "b"], "left_anti"), found).drop("ca"))
+        stars, left = counted(_across(stars.join(best, ["a", "b"], "left_anti"), found).drop("ca"), left)
         release(spark)
+    if found is None:  # no hash is shared
+        found = spark.createDataFrame([], "node long, component long")
     # hashes whose classes are still in several components: all pairs across them
     named = stored(shared.join(found.withColumnRenamed("node", "id"), "id", "left")
                    .withColumn("component", F.coalesce("component", "id")))
-    split = stored(named.groupBy("hash").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-                   .where("low != high").select("hash"))
-    sized = stored(named.join(split, "hash", "left_semi").join(classes.select("id", "n_shingles", "map"), "id"))
-    a = sized.select("hash", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"),
-                     F.col("map").alias("ma"))
-    b = sized.select("hash", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"),
-                     F.col("map").alias("mb"))
-    here = (F.col("ca") < F.col("cb")) & _possible(percent)
-    across = stored(a.join(b, "hash").withColumn("apart", _differ("ma", "mb")).where(here)
-                    .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = stored(links.unionByName(_links(across, classes, firsts, n, percent)))
+    split, some = counted(named.groupBy("hash").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+                          .where("low != high").select("hash"))
+    more = None
+    if some:
+        sized = stored(named.join(split, "hash", "left_semi").join(classes.select("id", "n_shingles", "map"), "id"))
+        a = sized.select("hash", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"),
+                         F.col("map").alias("ma"))
+        b = sized.select("hash", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"),
+                         F.col("map").alias("mb"))
+        here = (F.col("ca") < F.col("cb")) & _possible(percent)
+        across, pairs = counted(a.join(b, "hash").withColumn("apart", _differ("ma", "mb")).where(here)
+                                .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        if pairs:
+            more = _links(across, classes, firsts, n, percent)
     # rows that share an id but not their text tie their classes together
     twice = usable.select("id", "digest").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     ties = (usable.join(twice, "id", "left_semi").select("id", "digest").distinct()
             .join(classes.select("digest", F.col("id").alias("b")), "digest").select(F.col("id").alias("a"), "b"))
-    end = stored(components(links.unionByName(ties)))
+    ties, tied = counted(ties)
+    # what the stars have joined stays joined: later links only go on from there
+    joined = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    for extra in ([more] if more is not None else []) + ([ties] if tied else []):
+        joined = joined.unionByName(extra)
+    end = stored(components(joined)) if more is not None or tied else found
     of_class = stored(classes.join(end.withColumnRenamed("node", "id"), "id", "left")
                       .select("digest", F.coalesce("component", "id").alias("component_id")))
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))

@@ -131,9 +131,7 @@ def _runs(batches: Iterator[pa.RecordBatch], flush: int = FLUSH):
 
 def _dealt(order_by: np.ndarray, buckets: int):
     """(bucket, slice) of the non-empty buckets of sorted 64-bit hashes."""
-    shift = np.uint64(64 - (buckets.bit_length() - 1))
-    edges = np.searchsorted(order_by >> shift, np.arange(buckets + 1, dtype=np.uint64))
-    return [(b, slice(edges[b], edges[b + 1])) for b in range(buckets) if edges[b] < edges[b + 1]]
+    return W.runs(order_by >> np.uint64(64 - (buckets.bit_length() - 1)))
 
 
 def _rows(parts: list, names: list, kinds: list) -> pa.RecordBatch:

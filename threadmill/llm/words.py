@@ -41,6 +41,13 @@ def _powers(n: int, kept: dict) -> tuple[np.ndarray, np.ndarray]:
     return kept["up"], kept["down"]
 
 
+def runs(values: np.ndarray) -> list[tuple[int, slice]]:
+    """(value, its places) of sorted values; the work follows the values, not their range."""
+    starts = np.flatnonzero(values[1:] != values[:-1]) + 1
+    edges = [0, *starts.tolist(), len(values)]
+    return [(int(values[a]), slice(a, b)) for a, b in zip(edges[:-1], edges[1:]) if a < b]
+
+
 def word_hashes(texts: list[bytes], kept: dict) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words of ``texts``, and where each text's words start (one more at the end).
 
