@@ -66,7 +66,7 @@ BAND_RATIO = 1.5
 #: Cost of a chance candidate in indexed hashes, and the chance that an element is shared with some unrelated text.
 CANDIDATE_COST, SHARED = 4.0, 0.3
 #: Hashes in memory before a map task sends them, and hashes of one bucket.
-FLUSH, BUCKET = 500_000, 1_000_000
+FLUSH, BUCKET = 300_000, 500_000
 #: 64-bit words of the parity bitmap.
 MAP_WORDS = 8
 #: Rounds in which each document is held against its nearest star.
@@ -360,7 +360,9 @@ def near_duplicates(df: DataFrame, percent: int = 80, n: int = 5, id_col: str =
     if not 50 <= percent <= 100 or n < 1:
         raise ValueError("percent must be 50 to 100 and n at least 1")
     spark = df.sparkSession
-    rows = stored(shingled(df, n, id_col, text_col))
+    # what a batch of texts takes, it takes in the JVM as well
+    with small_batches(spark, 1000):
+        rows = stored(shingled(df, n, id_col, text_col))
     usable = rows.where("digest is not null and id is not null")
     classes = stored(usable.groupBy("digest", "n_shingles").agg(F.min("id").alias("id"))
                      .join(usable.select("digest", "id", "map", "wide"), ["digest", "id"])
@@ -373,7 +375,8 @@ def near_duplicates(df: DataFrame, percent: int = 80, n: int = 5, id_col: str =
         .distinct().join(classes.select("id"), "id", "left_anti"))
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     firsts = docs.join(broadcast_if(copies, n_copies, MAX_BROADCAST_IDS), "id", "left_anti")
-    shared = stored(_shared_hashes(firsts, n, percent, buckets, bands(largest, percent)))
+    with small_batches(spark, 1000):
+        shared = stored(_shared_hashes(firsts, n, percent, buckets, bands(largest, percent)))
     release(spark)
     least = stored(shared.groupBy("hash").agg(F.min("id").alias("a")))
     stars, left = _candidates(shared.join(least, "hash").where("a != id").select("a", F.col("id").alias("b")).distinct(),
