@@ -28,6 +28,22 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored_alone(df: DataFrame) -> DataFrame:
+    """Like ``stored``; the shuffle files that led there go as soon as it is written.
+
+    The setting holds for the one plan that is made here, and is put back.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    conf = df.sparkSession.conf
+    old = conf.get(key)
+    conf.set(key, "true")
+    try:
+        own = df.select("*")
+    finally:
+        conf.set(key, old)
+    return stored(own)
+
+
 #: Rows of slim tables (ids, numbers) that make one task.
 TASK_ROWS = 25_000
 
@@ -147,7 +163,7 @@ def unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
 
 
 def stored_compact(df: DataFrame) -> DataFrame:
-    """Like ``stored``, for many rows: kept as compressed Arrow batches."""
+    """Like ``stored_alone``, for many rows: kept as compressed Arrow batches."""
     import pyarrow as pa
 
     def pack(batches):
@@ -162,4 +178,4 @@ def stored_compact(df: DataFrame) -> DataFrame:
             for data in batch.column(0):
                 yield from pa.ipc.open_stream(data.as_buffer())
 
-    return stored(df.mapInArrow(pack, "data binary")).mapInArrow(unpack, df.schema)
+    return stored_alone(df.mapInArrow(pack, "data binary")).mapInArrow(unpack, df.schema)

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .base import packed, per_worker, release, small_batches, stored, stored_compact, trim, unpacked
+from .base import packed, per_worker, small_batches, stored_alone, stored_compact, trim, unpacked
 
 ALPHA = 0.4
 ORDER = 3
@@ -54,6 +54,8 @@ MAX_FREQUENT = 1_000_000
 #: Words in memory before a map task sends its n-grams, and words of one bucket.
 FLUSH, BUCKET = 500_000, 1_000_000
 RARE = np.uint64(1 << 63)
+#: Ranges of hashes in which n-grams of three and more words are counted.
+PASSES = 2
 
 
 class Frequent:
@@ -184,17 +186,23 @@ def _gram_columns(codes: np.ndarray, at: np.ndarray, n: int) -> tuple[list[np.nd
     return [codes[k:k + m][inside] for k in range(n)], doc[:m][inside]
 
 
-def _gram_counts(docs: DataFrame, frequent: Frequent, n: int, buckets: int) -> DataFrame:
-    """The ``n``-grams of each run with their counts, packed, by bucket of their first two words."""
+def _gram_counts(docs: DataFrame, frequent: Frequent, n: int, buckets: int, passes: int = 1, turn: int = 0) -> DataFrame:
+    """The ``n``-grams of each run with their counts, packed, by bucket of their first two words.
+
+    Of ``passes`` passes, the one of number ``turn`` counts the buckets that leave it as a remainder.
+    """
 
     def count(batches):
         for _, h, at in _runs(batches):
             columns, _ = _gram_columns(frequent.codes(h), at, n)
-            if not len(columns[0]):
-                continue
             # one sort key: the bucket of the first two words, then the whole n-gram
             bits = np.uint64(buckets.bit_length() - 1)
             lead = gram_hash(columns[:2]) >> (np.uint64(64) - bits)
+            if passes > 1:
+                now = lead % np.uint64(passes) == np.uint64(turn)
+                lead, columns = lead[now], [c[now] for c in columns]
+            if not len(lead):
+                continue
             key = lead << (np.uint64(64) - bits) | gram_hash(columns) >> bits
             sort = np.argsort(key)
             key = key[sort]
@@ -251,7 +259,18 @@ def _kept(counted: DataFrame, shorter: DataFrame | None, frequent: Frequent, n:
     sides = counted.select("bucket", F.lit(0).alias("side"), "data")
     if shorter is not None:
         sides = sides.unionByName(shorter.select("bucket", F.lit(1).alias("side"), "data"))
-    return stored(sides.groupBy("bucket").applyInPandas(merge, "bucket int, data binary"))
+    return stored_alone(sides.groupBy("bucket").applyInPandas(merge, "bucket int, data binary"))
+
+
+def _counted(docs: DataFrame, shorter: DataFrame | None, frequent: Frequent, n: int, min_count: int, buckets: int) -> DataFrame:
+    """``_kept`` of all ``n``-grams, one range of hashes after the other."""
+    passes = 1 if shorter is None else PASSES
+    out = None
+    for turn in range(passes):
+        own = None if shorter is None else shorter.where(F.col("bucket") % passes == turn)
+        part = _kept(_gram_counts(docs, frequent, n, buckets, passes, turn), own, frequent, n, min_count)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _kept_rows(kept: DataFrame, n: int) -> DataFrame:
@@ -332,7 +351,7 @@ def _sums(grams: DataFrame, gains: DataFrame, buckets: int) -> DataFrame:
 
     sides = (grams.select("bucket", F.lit(0).alias("side"), "data")
              .unionByName(gains.select("bucket", F.lit(1).alias("side"), "data")))
-    return stored(sides.groupBy("bucket").applyInPandas(join, "id long, gain double")
+    return stored_alone(sides.groupBy("bucket").applyInPandas(join, "id long, gain double")
                   .groupBy("id").agg(F.sum("gain").alias("gain")))
 
 
@@ -416,23 +435,18 @@ def score(df: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, id_col:
     buckets = 1 << max(5, (size // 5 // BUCKET).bit_length())
     # texts are handed to Python in small batches: what a batch takes, it takes in the JVM as well
     with small_batches(spark, 1000):
-        counts = stored(_word_counts(docs, buckets))
+        counts = stored_alone(_word_counts(docs, buckets))
         frequent = _frequent(counts)
-        release(spark)
         kept: list[DataFrame] = []
         for n in range(2, order + 1):
-            counted = _gram_counts(docs, frequent, n, buckets)
-            kept.append(_kept(counted, kept[-1] if kept else None, frequent, n, min_count))
-            del counted
-            release(spark)
-        gains = [stored(_table(g, frequent, n, buckets)) for n, g in enumerate(_gains(kept, counts, frequent, order), 2)]
+            kept.append(_counted(docs, kept[-1] if kept else None, frequent, n, min_count, buckets))
+        gains = [stored_alone(_table(g, frequent, n, buckets))
+                 for n, g in enumerate(_gains(kept, counts, frequent, order), 2)]
         del kept
-        release(spark)
         parts = []
         for n in range(1, order + 1):
             known = _word_table(counts) if n == 1 else gains[n - 2]
             parts.append(_sums(_asked(docs, frequent, n, buckets), known, buckets))
-            release(spark)
     total = _bases(docs, frequent, order).where("id is not null")
     for p in parts:
         total = total.unionByName(p.select("id", F.lit(0).cast("bigint").alias("n_words"), F.col("gain").alias("base")))
