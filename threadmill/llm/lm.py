@@ -22,7 +22,11 @@ counted per run of about FLUSH words before they travel, as sorted and packed
 columns, and dealt by the hash of their first two words, so that an n-gram
 meets the count of its context; a word or a word pair that the corpus is full
 of is one entry per run.  Buckets and runs are bounded, their number follows
-the corpus.  Phases are stored one by one, so that only one shuffle is kept.
+the corpus.  Texts are read twice, to count words and to store the words' codes;
+n-grams are counted and looked up from the codes.  Phases are stored one by one,
+each without the shuffle files of the one before; n-grams longer than two words
+are counted, and all n-grams looked up, in PASSES shares of the buckets one after
+the other: the disk in use is that of one share.
 
 Defined results: null or empty texts have 0 words, a sum of 0 and a null mean;
 texts are read whole; repeated rows count as often as they occur and get equal
@@ -44,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .base import packed, per_worker, small_batches, stored_alone, stored_compact, trim, unpacked
+from .base import packed, per_worker, release, small_batches, stored_alone, stored_compact, trim, unpacked
 
 ALPHA = 0.4
 ORDER = 3
@@ -54,7 +58,7 @@ MAX_FREQUENT = 1_000_000
 #: Words in memory before a map task sends its n-grams, and words of one bucket.
 FLUSH, BUCKET = 500_000, 1_000_000
 RARE = np.uint64(1 << 63)
-#: Ranges of hashes in which n-grams of three and more words are counted.
+#: Shares of the buckets that are counted and looked up one after the other.
 PASSES = 2
 
 
@@ -176,6 +180,28 @@ def _frequent(counts: DataFrame) -> Frequent:
     return Frequent(rows["hash"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64), total)
 
 
+def _coded(docs: DataFrame, frequent: Frequent) -> DataFrame:
+    """Runs of documents: ids (and whether there is one), numbers of words, and the codes of all words, packed."""
+
+    def run(batches):
+        for ids, h, at in _runs(batches):
+            known = np.array([i is not None for i in ids], np.uint8)
+            own = np.array([0 if i is None else i for i in ids], np.int64)
+            yield _rows([(packed(own, known, np.diff(at)), packed(frequent.codes(h)))],
+                        ["docs", "codes"], [pa.binary(), pa.binary()])
+
+    return docs.mapInArrow(run, "docs binary, codes binary")
+
+
+def _coded_runs(batches: Iterator[pa.RecordBatch]):
+    """(ids, whether there is one, codes, word offsets) of the runs of ``_coded``."""
+    for batch in batches:
+        for docs, codes in zip(batch.column(0), batch.column(1)):
+            ids, known, n = unpacked(docs.as_py(), "<i8", "u1", "<i8")
+            yield ids, known.astype(bool), unpacked(codes.as_py(), "<u8")[0], np.concatenate([[0], np.cumsum(n)])
+    trim()
+
+
 def _gram_columns(codes: np.ndarray, at: np.ndarray, n: int) -> tuple[list[np.ndarray], np.ndarray]:
     """The columns of all ``n``-grams inside documents, and the document of each."""
     doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
@@ -186,15 +212,15 @@ def _gram_columns(codes: np.ndarray, at: np.ndarray, n: int) -> tuple[list[np.nd
     return [codes[k:k + m][inside] for k in range(n)], doc[:m][inside]
 
 
-def _gram_counts(docs: DataFrame, frequent: Frequent, n: int, buckets: int, passes: int = 1, turn: int = 0) -> DataFrame:
+def _gram_counts(coded: DataFrame, n: int, buckets: int, passes: int = 1, turn: int = 0) -> DataFrame:
     """The ``n``-grams of each run with their counts, packed, by bucket of their first two words.
 
     Of ``passes`` passes, the one of number ``turn`` counts the buckets that leave it as a remainder.
     """
 
     def count(batches):
-        for _, h, at in _runs(batches):
-            columns, _ = _gram_columns(frequent.codes(h), at, n)
+        for _, _, codes, at in _coded_runs(batches):
+            columns, _ = _gram_columns(codes, at, n)
             # one sort key: the bucket of the first two words, then the whole n-gram
             bits = np.uint64(buckets.bit_length() - 1)
             lead = gram_hash(columns[:2]) >> (np.uint64(64) - bits)
@@ -215,7 +241,7 @@ def _gram_counts(docs: DataFrame, frequent: Frequent, n: int, buckets: int, pass
                 parts.append((b, packed(*[c[p][inner] for c in columns], times[p][inner])))
             yield _rows(parts, ["bucket", "data"], [pa.int32(), pa.binary()])
 
-    return docs.mapInArrow(count, "bucket int, data binary")
+    return coded.mapInArrow(count, "bucket int, data binary")
 
 
 def _kept(counted: DataFrame, shorter: DataFrame | None, frequent: Frequent, n: int, min_count: int) -> DataFrame:
@@ -262,13 +288,14 @@ def _kept(counted: DataFrame, shorter: DataFrame | None, frequent: Frequent, n:
     return stored_alone(sides.groupBy("bucket").applyInPandas(merge, "bucket int, data binary"))
 
 
-def _counted(docs: DataFrame, shorter: DataFrame | None, frequent: Frequent, n: int, min_count: int, buckets: int) -> DataFrame:
-    """``_kept`` of all ``n``-grams, one range of hashes after the other."""
+def _counted(coded: DataFrame, shorter: DataFrame | None, frequent: Frequent, n: int, min_count: int,
+             buckets: int) -> DataFrame:
+    """``_kept`` of all ``n``-grams, one share of the buckets after the other."""
     passes = 1 if shorter is None else PASSES
     out = None
     for turn in range(passes):
         own = None if shorter is None else shorter.where(F.col("bucket") % passes == turn)
-        part = _kept(_gram_counts(docs, frequent, n, buckets, passes, turn), own, frequent, n, min_count)
+        part = _kept(_gram_counts(coded, n, buckets, passes, turn), own, frequent, n, min_count)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -355,28 +382,44 @@ def _sums(grams: DataFrame, gains: DataFrame, buckets: int) -> DataFrame:
                   .groupBy("id").agg(F.sum("gain").alias("gain")))
 
 
-def _asked(docs: DataFrame, frequent: Frequent, n: int, buckets: int) -> DataFrame:
+def _asked(coded: DataFrame, frequent: Frequent, n: int, buckets: int, passes: int = 1, turn: int = 0) -> DataFrame:
     """The documents' ``n``-grams (for 1: the rare words), by bucket: hashes and ids, packed."""
+    shift = np.uint64(64 - (buckets.bit_length() - 1))
+    kind = np.uint16 if buckets <= 1 << 16 else np.uint64  # short numbers are sorted by radix
 
     def run(batches):
-        for ids, h, at in _runs(batches):
-            columns, doc = _gram_columns(h | RARE, at, n)
+        for ids, known, codes, at in _coded_runs(batches):
             if n == 1:
-                rare = frequent.codes(h) >= RARE
-                # words are dealt by their own hash, as their counts are
-                key, doc = h[rare], doc[rare]
+                rare = codes >= RARE
+                doc = np.repeat(np.arange(len(ids)), np.diff(at))[rare]
+                key = codes[rare] << np.uint64(1)
             else:
+                columns, doc = _gram_columns(frequent.names(codes), at, n)
                 key = gram_hash(columns)
-            own = np.array([0 if i is None else i for i in ids], np.int64)
-            known = np.array([i is not None for i in ids], bool)[doc]
-            key, doc = key[known], doc[known]
-            shift = np.uint64(64 - (buckets.bit_length() - 1))
-            sort = np.argsort(key >> shift, kind="stable")
-            key, doc = key[sort], own[doc[sort]]
-            yield _rows([(b, packed(key[p], doc[p])) for b, p in _dealt(key & ~((np.uint64(1) << shift) - np.uint64(1)), buckets)],
+            lead = key >> shift
+            now = known[doc]
+            if passes > 1:
+                now &= lead % np.uint64(passes) == np.uint64(turn)
+            lead, key, doc = lead[now], key[now], doc[now]
+            sort = np.argsort(lead.astype(kind), kind="stable")
+            lead, key, doc = lead[sort], key[sort], ids[doc[sort]]
+            yield _rows([(b, packed(key[p], doc[p])) for b, p in W.runs(lead)],
                         ["bucket", "data"], [pa.int32(), pa.binary()])
 
-    return docs.mapInArrow(run, "bucket int, data binary")
+    return coded.mapInArrow(run, "bucket int, data binary")
+
+
+def _together(batches: Iterator[pa.RecordBatch]):
+    """The rows of the batches, about FLUSH at a time."""
+    run, held = [], 0
+    for batch in batches:
+        run.append(batch)
+        held += batch.num_rows
+        if held >= FLUSH:
+            yield pa.Table.from_batches(run).combine_chunks().to_batches()[0]
+            run, held = [], 0
+    if held:
+        yield pa.Table.from_batches(run).combine_chunks().to_batches()[0]
 
 
 def _table(gains: DataFrame, frequent: Frequent, n: int, buckets: int) -> DataFrame:
@@ -384,7 +427,7 @@ def _table(gains: DataFrame, frequent: Frequent, n: int, buckets: int) -> DataFr
     shift = 64 - (buckets.bit_length() - 1)
 
     def pack(batches):
-        for batch in batches:
+        for batch in _together(batches):
             columns = [frequent.names(batch.column(k).to_numpy().view(np.uint64)) for k in range(n)]
             key = gram_hash(columns)
             sort = np.argsort(key)
@@ -396,32 +439,38 @@ def _table(gains: DataFrame, frequent: Frequent, n: int, buckets: int) -> DataFr
     return gains.mapInArrow(pack, "bucket int, data binary")
 
 
-def _word_table(counts: DataFrame) -> DataFrame:
+def _word_table(counts: DataFrame, buckets: int) -> DataFrame:
+    """Log counts of the words by bucket of their hashes' lower 63 bits, which the codes of rare words hold."""
+
     def run(frames):
         for f in frames:
-            for b, data in zip(f["bucket"], f["data"]):
+            for data in f["data"]:
                 h, c = unpacked(data, "<u8", "<i8")
-                yield pd.DataFrame({"bucket": [b], "data": [packed(h, np.log(c.astype(np.float64)))]})
+                key = h << np.uint64(1)
+                sort = np.argsort(key)
+                key, logs = key[sort], np.log(c[sort].astype(np.float64))
+                parts = [(b, packed(key[p], logs[p])) for b, p in _dealt(key, buckets)]
+                yield pd.DataFrame({"bucket": [b for b, _ in parts], "data": [d for _, d in parts]})
 
-    return counts.select("bucket", "data").mapInPandas(run, "bucket int, data binary")
+    return counts.select("data").mapInPandas(run, "bucket int, data binary")
 
 
-def _bases(docs: DataFrame, frequent: Frequent, order: int) -> DataFrame:
+def _bases(coded: DataFrame, frequent: Frequent, order: int) -> DataFrame:
     """(id, n_words, base): all of the base but the log counts of rare words."""
     step = math.log(ALPHA)
 
     def run(batches):
-        for ids, h, at in _runs(batches):
-            logs = np.nan_to_num(frequent.logs(frequent.codes(h)))
+        for ids, known, codes, at in _coded_runs(batches):
+            logs = np.nan_to_num(frequent.logs(codes))
             sums = np.concatenate([[0.0], np.cumsum(logs)])
             n = np.diff(at)
             steps = sum(np.maximum(0, n - k) for k in range(1, order))
             base = np.add.reduceat(np.append(logs, 0.0), np.minimum(at[:-1], len(logs))) if len(logs) else sums[at[:-1]]
             base = np.where(n > 0, base, 0.0) - n * frequent.log_total + steps * step
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()),
+            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=~known), pa.array(n, pa.int64()),
                                               pa.array(base, pa.float64())], ["id", "n_words", "base"])
 
-    return docs.mapInArrow(run, "id long, n_words long, base double")
+    return coded.mapInArrow(run, "id long, n_words long, base double")
 
 
 def score(df: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, id_col: str = "doc_id",
@@ -433,21 +482,28 @@ def score(df: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, id_col:
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = 1 << max(5, (size // 5 // BUCKET).bit_length())
-    # texts are handed to Python in small batches: what a batch takes, it takes in the JVM as well
+    # texts and coded runs are handed to Python in small batches: what a batch takes, it takes in the JVM as well
     with small_batches(spark, 1000):
         counts = stored_alone(_word_counts(docs, buckets))
         frequent = _frequent(counts)
-        kept: list[DataFrame] = []
+        coded = stored_alone(_coded(docs, frequent))
+    kept: list[DataFrame] = []
+    with small_batches(spark, 8):
         for n in range(2, order + 1):
-            kept.append(_counted(docs, kept[-1] if kept else None, frequent, n, min_count, buckets))
-        gains = [stored_alone(_table(g, frequent, n, buckets))
-                 for n, g in enumerate(_gains(kept, counts, frequent, order), 2)]
-        del kept
-        parts = []
+            kept.append(_counted(coded, kept[-1] if kept else None, frequent, n, min_count, buckets))
+    gains = [stored_alone(_table(g, frequent, n, buckets))
+             for n, g in enumerate(_gains(kept, counts, frequent, order), 2)]
+    del kept
+    release(spark)
+    parts = []
+    with small_batches(spark, 8):
         for n in range(1, order + 1):
-            known = _word_table(counts) if n == 1 else gains[n - 2]
-            parts.append(_sums(_asked(docs, frequent, n, buckets), known, buckets))
-    total = _bases(docs, frequent, order).where("id is not null")
+            known = _word_table(counts, buckets) if n == 1 else gains[n - 2]
+            passes = 1 if n == 1 else PASSES
+            for turn in range(passes):
+                parts.append(_sums(_asked(coded, frequent, n, buckets, passes, turn),
+                                   known.where(F.col("bucket") % passes == turn), buckets))
+        total = stored_alone(_bases(coded, frequent, order).where("id is not null"))
     for p in parts:
         total = total.unionByName(p.select("id", F.lit(0).cast("bigint").alias("n_words"), F.col("gain").alias("base")))
     return (total.groupBy("id").agg(F.sum("n_words").alias("n_words"), F.sum("base").alias("log_score"))
