@@ -47,5 +47,21 @@ def test_matches_brute_force(spark, monkeypatch, order, least, frequent, flush):
         assert (out[i].mean_log_score is None) == (n == 0)
 
 
+def test_a_common_pair_is_summed_where_it_is_found(spark, monkeypatch):
+    """A pair that makes a third of all pairs is not sent to the bucket of its hash, whatever the run."""
+    monkeypatch.setattr(lm, "MAX_FREQUENT", 100)
+    monkeypatch.setattr(lm._runs, "__defaults__", (500,))
+    sent = []
+    sums = lm._sums
+    monkeypatch.setattr(lm, "_sums", lambda grams, gains, buckets: (sent.append(grams), sums(grams, gains, buckets))[1])
+    data = [(i, " ".join(f"of the w{i % 7}x{j}" for j in range(40)), *[None] * 8) for i in range(60)]
+    out = {r.doc_id: r for r in lm.score(docs(spark, data), 3, 2).collect()}
+    for i, (n, s) in brute(data, 3, 2).items():
+        assert out[i].n_words == n and abs(out[i].log_score - s) < 1e-6 * abs(s), i
+    pair = int(lm.gram_hash([lm.W.word_hashes([w], {})[0] | lm.RARE for w in (b"of", b"the")])[0])
+    asked = [lm.unpacked(r.data, "<u8", "<i8")[0] for g in sent for r in g.where("side = 0").collect()]
+    assert sum(map(len, asked)) > 0 and all(pair not in keys for keys in asked)
+
+
 def test_empty_table(spark):
     assert lm.score(empty(spark)).count() == 0

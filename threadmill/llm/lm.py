@@ -26,7 +26,9 @@ the corpus.  Texts are read twice, to count words and to store the words' codes;
 n-grams are counted and looked up from the codes.  Phases are stored one by one,
 each without the shuffle files of the one before; n-grams longer than two words
 are counted, and all n-grams looked up, in PASSES shares of the buckets one after
-the other: the disk in use is that of one share.
+the other: the disk in use is that of one share.  N-grams as common as a frequent
+word are not sent when they are looked up: their gains, at most MAX_FREQUENT of
+each order by the same arithmetic, go to every task and are summed there.
 
 Defined results: null or empty texts have 0 words, a sum of 0 and a null mean;
 texts are read whole; repeated rows count as often as they occur and get equal
@@ -106,6 +108,28 @@ class Frequent:
         return out
 
 
+class Common:
+    """Gains of the common n-grams, by their sorted hashes."""
+
+    def __init__(self, hashes: np.ndarray, gains: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.gains = hashes[order], gains[order]
+        bits = max(1, (4 * len(hashes)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        # only hashes whose leading bits a common one has as well are searched for
+        self.there = np.zeros(1 << bits, bool)
+        self.there[(self.hashes >> self.shift).astype(np.int64)] = True
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each hash is a common n-gram's, and the gains of those that are."""
+        out = self.there[(h >> self.shift).astype(np.int64)]
+        maybe = np.flatnonzero(out)
+        at = np.minimum(np.searchsorted(self.hashes, h[maybe]), len(self.hashes) - 1)
+        hit = self.hashes[at] == h[maybe] if len(maybe) else np.zeros(0, bool)
+        out[maybe] = hit
+        return out, self.gains[at[hit]]
+
+
 def gram_hash(columns: list[np.ndarray]) -> np.ndarray:
     out = np.full(len(columns[0]), len(columns), np.uint64)
     for k, c in enumerate(columns):
@@ -316,7 +340,7 @@ def _kept_rows(kept: DataFrame, n: int) -> DataFrame:
 
 
 def _gains(kept: list[DataFrame], counts: DataFrame, frequent: Frequent, order: int) -> list[DataFrame]:
-    """Per order from 2: (w0.., gain) of every kept n-gram."""
+    """Per order from 2: (w0.., gain, log_count) of every kept n-gram."""
 
     def rare(frames):
         for f in frames:
@@ -336,7 +360,7 @@ def _gains(kept: list[DataFrame], counts: DataFrame, frequent: Frequent, order:
     pairs = stored_compact(pairs.select("w0", "w1", "log_count", "log_context", "log_last"))
     step = math.log(ALPHA)
     out = [pairs.select("w0", "w1", (F.col("log_count") - F.col("log_context") - F.lit(step)
-                                     - F.col("log_last") + F.lit(frequent.log_total)).alias("gain"))]
+                                     - F.col("log_last") + F.lit(frequent.log_total)).alias("gain"), "log_count")]
     shorter = pairs
     for n in range(3, order + 1):
         names = [f"w{k}" for k in range(n)]
@@ -344,25 +368,25 @@ def _gains(kept: list[DataFrame], counts: DataFrame, frequent: Frequent, order:
                                 (F.col("log_count") - F.col("log_context")).alias("ratio"))
         shorter = _kept_rows(kept[n - 2], n)
         out.append(shorter.join(suffix, names[1:]).select(
-            *names, (F.col("log_count") - F.col("log_context") - F.lit(step) - F.col("ratio")).alias("gain")))
+            *names, (F.col("log_count") - F.col("log_context") - F.lit(step) - F.col("ratio")).alias("gain"),
+            "log_count"))
     return out
 
 
 def _sums(grams: DataFrame, gains: DataFrame, buckets: int) -> DataFrame:
     """(id, gain): sums of the gains of each document's n-grams, joined bucket by bucket.
 
-    ``grams``: bucket, data (hashes, ids); ``gains``: bucket, data (sorted hashes, gains).
+    ``grams``: bucket, side, data (0: hashes, ids; 2: ids, sums); ``gains``: bucket, data (sorted hashes, gains).
     """
 
     def join(f: pd.DataFrame) -> pd.DataFrame:
         known = [unpacked(x, "<u8", "<f8") for x in f.loc[f["side"] == 1, "data"]]
-        if not known:
-            return pd.DataFrame({"id": [], "gain": []})
-        h, gain = (np.concatenate(x) for x in zip(*known))
+        done = [unpacked(x, "<i8", "<f8") for x in f.loc[f["side"] == 2, "data"]]
+        ids, values = [i for i, _ in done], [v for _, v in done]
+        h, gain = (np.concatenate(x) for x in zip(*known)) if known else (np.zeros(0, np.uint64), np.zeros(0))
         sort = np.argsort(h)
         h, gain = h[sort], gain[sort]
-        ids, values = [], []
-        for data in f.loc[f["side"] == 0, "data"]:
+        for data in f.loc[f["side"] == 0, "data"] if known else ():
             asked, doc = unpacked(data, "<u8", "<i8")
             at = np.minimum(np.searchsorted(h, asked), len(h) - 1)
             hit = h[at] == asked
@@ -376,16 +400,19 @@ def _sums(grams: DataFrame, gains: DataFrame, buckets: int) -> DataFrame:
         trim()
         return out
 
-    sides = (grams.select("bucket", F.lit(0).alias("side"), "data")
+    sides = (grams
              .unionByName(gains.select("bucket", F.lit(1).alias("side"), "data")))
     return stored_alone(sides.groupBy("bucket").applyInPandas(join, "id long, gain double")
                   .groupBy("id").agg(F.sum("gain").alias("gain")))
 
 
-def _asked(coded: DataFrame, frequent: Frequent, n: int, buckets: int, passes: int = 1, turn: int = 0) -> DataFrame:
-    """The documents' ``n``-grams (for 1: the rare words), by bucket: hashes and ids, packed."""
+def _asked(coded: DataFrame, frequent: Frequent, common: Common | None, n: int, buckets: int, passes: int = 1,
+           turn: int = 0) -> DataFrame:
+    """The documents' ``n``-grams (for 1: the rare words), by bucket, packed.
+
+    Side 0: sorted hashes and ids; side 2: ids and what their common n-grams gain, in a bucket by chance.
+    """
     shift = np.uint64(64 - (buckets.bit_length() - 1))
-    kind = np.uint16 if buckets <= 1 << 16 else np.uint64  # short numbers are sorted by radix
 
     def run(batches):
         for ids, known, codes, at in _coded_runs(batches):
@@ -396,17 +423,25 @@ def _asked(coded: DataFrame, frequent: Frequent, n: int, buckets: int, passes: i
             else:
                 columns, doc = _gram_columns(frequent.names(codes), at, n)
                 key = gram_hash(columns)
-            lead = key >> shift
             now = known[doc]
             if passes > 1:
-                now &= lead % np.uint64(passes) == np.uint64(turn)
-            lead, key, doc = lead[now], key[now], doc[now]
-            sort = np.argsort(lead.astype(kind), kind="stable")
-            lead, key, doc = lead[sort], key[sort], ids[doc[sort]]
-            yield _rows([(b, packed(key[p], doc[p])) for b, p in W.runs(lead)],
-                        ["bucket", "data"], [pa.int32(), pa.binary()])
+                now &= (key >> shift) % np.uint64(passes) == np.uint64(turn)
+            key, doc = key[now], doc[now]
+            out = []
+            if common is not None and len(common.hashes):
+                hit, gains = common.find(key)
+                sums = np.bincount(doc[hit], gains, len(ids))
+                some = np.flatnonzero(sums)
+                if len(some):
+                    any_bucket = int(W.mix(ids[some[:1]].view(np.uint64))[0] >> shift)
+                    out.append((any_bucket, 2, packed(ids[some], sums[some])))
+                key, doc = key[~hit], doc[~hit]
+            sort = np.argsort(key)
+            key, doc = key[sort], ids[doc[sort]]
+            out += [(b, 0, packed(key[p], doc[p])) for b, p in _dealt(key, buckets)]
+            yield _rows(out, ["bucket", "side", "data"], [pa.int32(), pa.int32(), pa.binary()])
 
-    return coded.mapInArrow(run, "bucket int, data binary")
+    return coded.mapInArrow(run, "bucket int, side int, data binary")
 
 
 def _together(batches: Iterator[pa.RecordBatch]):
@@ -423,22 +458,33 @@ def _together(batches: Iterator[pa.RecordBatch]):
 
 
 def _table(gains: DataFrame, frequent: Frequent, n: int, buckets: int) -> DataFrame:
-    """Gains by bucket of the n-gram's hash, packed."""
+    """Gains by bucket of the n-gram's hash, packed; those of common n-grams in bucket -1."""
     shift = 64 - (buckets.bit_length() - 1)
+    least = frequent.log_total - math.log(MAX_FREQUENT)
 
     def pack(batches):
         for batch in _together(batches):
             columns = [frequent.names(batch.column(k).to_numpy().view(np.uint64)) for k in range(n)]
             key = gram_hash(columns)
             sort = np.argsort(key)
-            key, gain = key[sort], batch.column(n).to_numpy()[sort]
-            yield _rows([(b, packed(key[p], gain[p])) for b, p in _dealt(key, buckets)],
+            key, gain, often = key[sort], batch.column(n).to_numpy()[sort], batch.column(n + 1).to_numpy()[sort] >= least
+            out = [(-1, packed(key[often], gain[often]))] if often.any() else []
+            key, gain = key[~often], gain[~often]
+            yield _rows(out + [(b, packed(key[p], gain[p])) for b, p in _dealt(key, buckets)],
                         ["bucket", "data"], [pa.int32(), pa.binary()])
 
     assert 0 < shift < 64
     return gains.mapInArrow(pack, "bucket int, data binary")
 
 
+def _common(gains: DataFrame) -> Common:
+    """The gains of bucket -1: at most MAX_FREQUENT."""
+    found = [unpacked(r.data, "<u8", "<f8") for r in gains.where("bucket = -1").select("data").collect()]
+    if not found:
+        return Common(np.zeros(0, np.uint64), np.zeros(0))
+    return Common(*(np.concatenate(x) for x in zip(*found)))
+
+
 def _word_table(counts: DataFrame, buckets: int) -> DataFrame:
     """Log counts of the words by bucket of their hashes' lower 63 bits, which the codes of rare words hold."""
 
@@ -499,9 +545,11 @@ def score(df: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, id_col:
     with small_batches(spark, 8):
         for n in range(1, order + 1):
             known = _word_table(counts, buckets) if n == 1 else gains[n - 2]
+            common = None if n == 1 else _common(known)
             passes = 1 if n == 1 else PASSES
+            known = known.where("bucket >= 0")
             for turn in range(passes):
-                parts.append(_sums(_asked(coded, frequent, n, buckets, passes, turn),
+                parts.append(_sums(_asked(coded, frequent, common, n, buckets, passes, turn),
                                    known.where(F.col("bucket") % passes == turn), buckets))
         total = stored_alone(_bases(coded, frequent, order).where("id is not null"))
     for p in parts:
