@@ -67,19 +67,26 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of one batch inside ``small_batches``; a batch ends with the row that reaches them.
+SMALL_BYTES = 4 << 20
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 256):
-    """Actions inside hand ``rows`` rows at a time to Python, for rows that are large.
+    """Actions inside hand ``rows`` rows, or SMALL_BYTES, at a time to Python, for rows that are large.
 
-    The session's setting is put back afterwards.
+    The session's settings are put back afterwards.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    old = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
+    inside = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows,
+              "spark.sql.execution.arrow.maxBytesPerBatch": SMALL_BYTES}
+    old = {key: spark.conf.get(key) for key in inside}
+    for key, value in inside.items():
+        spark.conf.set(key, str(value))
     try:
         yield
     finally:
-        spark.conf.set(key, old)
+        for key, value in old.items():
+            spark.conf.set(key, value)
 
 
 def release(spark: SparkSession) -> None:

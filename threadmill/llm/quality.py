@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import forget
+from .base import forget, trim
 
 DICT_BYTES = 112_640
 LEVEL = 3
@@ -192,5 +192,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text", score_col: str =
         pair = compressors(model) if model.weights else None
         for texts in batches:
             yield pd.Series(score_texts(texts.tolist(), model, pair))
+        del pair
+        trim()
 
     return df.withColumn(score_col, good(F.col(text_col)))

@@ -18,7 +18,7 @@ BYTE[SPACE] = 0
 BYTE[ord("A"):ord("Z") + 1] = BYTE[ord("a"):ord("z") + 1]
 STEP = _RNG.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bytes of text that are hashed in one go.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
