@@ -111,10 +111,20 @@ def test_a_long_chunk_is_encoded_and_not_kept():
     from tokenizers import Tokenizer
     import public_tokenizers
     text = "ab1" * 200_000 + " x " + "q" * 100_000
-    pieces = wordbpe.Pieces("word_bpe_49k.json")
+    pieces = wordbpe.Pieces(NAME)
     encoder = wordbpe.Encoder(pieces, bpe.BacktrackingBpe(pieces.spec).encode)
     ids = np.frombuffer(encoder.encode(text), "<u4").tolist()
-    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    library = Tokenizer.from_file(public_tokenizers.path(NAME))
     assert ids == library.encode(text, add_special_tokens=False).ids
     assert max(map(len, encoder.chunks)) <= wordbpe.MAX_KEPT_CHARS
     assert max(map(len, encoder.chunks.piece_ids)) <= wordbpe.MAX_KEPT_CHARS
+
+
+def test_one_pass_equals_encoding_and_decoding(spark):
+    rows = [(i, t, "x") for i, t in enumerate(["", None, "One  two\nthree", "ünïcode 漢字 <s> \x1c", "a" * 5000, "Again again"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, decoded string")
+    both = {r.doc_id: (r.token_ids, r.decoded) for r in bpe.encode_decode(df, NAME).collect()}
+    apart = bpe.decode(bpe.encode(df, NAME), NAME)
+    assert both == {r.doc_id: (r.token_ids, r.decoded) for r in apart.collect()}
+    assert bpe.encode_decode(df, NAME).columns == ["doc_id", "token_ids", "decoded"]
+    assert bpe.encode_decode(df.limit(0), NAME).count() == 0

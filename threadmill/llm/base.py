@@ -146,6 +146,33 @@ def per_worker(name: str, make, group: str | None = None):
     return kept[name]
 
 
+#: Rows of a slice of a batch that becomes Python objects at once.
+SLICE_ROWS = 256
+
+
+def arrow_columns(df: DataFrame, fields: list, source: str, make, keep: bool = True) -> DataFrame:
+    """``df`` with the columns ``fields``, the arrays that ``make`` returns for a slice of column ``source``.
+
+    Other columns pass through; those named like a new one are replaced, and
+    ``source`` goes as well where ``keep`` is false.
+    """
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    new = [f.name for f in fields]
+    kept = [c for c in df.columns if c not in new or c == source]
+    out = [c for c in kept if c not in new and (keep or c != source)]
+
+    def run(batches):
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(start, SLICE_ROWS)
+                made = make(batch.column(kept.index(source)))
+                yield pa.RecordBatch.from_arrays([batch.column(kept.index(c)) for c in out] + made, [*out, *new])
+        trim()
+
+    return df.select(*kept).mapInArrow(run, T.StructType([df.schema[c] for c in out] + fields))
+
+
 def packed(*columns: np.ndarray) -> bytes:
     """Columns of equal length in one compressed value.
 

@@ -28,20 +28,16 @@ column is replaced.  Long texts are encoded whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import wordbpe
-from .base import per_worker
+from .base import arrow_columns, per_worker, trim
 
 #: Entries of a worker's pair-compatibility table before it is emptied.
 MAX_PAIRS = 200_000
-#: Rows that are encoded or decoded at a time; a batch holds far more.
-SLICE_ROWS = 256
 #: Added to a character's code to make the letter that ends a word.
 END = 0xE000
 
@@ -189,7 +185,10 @@ def token_strings(spec: dict) -> list[bytes]:
 def _encoder(tokenizer: str) -> wordbpe.Encoder:
     def make():
         pieces = wordbpe.Pieces(tokenizer)
-        return wordbpe.Encoder(pieces, BacktrackingBpe(pieces.spec).encode)
+        bpe = BacktrackingBpe(pieces.spec)
+        pieces.spec = None  # the file's contents are in the tables now
+        trim()
+        return wordbpe.Encoder(pieces, bpe.encode)
     return per_worker(f"bpe {tokenizer}", make, "bpe")
 
 
@@ -197,37 +196,37 @@ def _table(tokenizer: str) -> OffsetTable:
     def make():
         import json
         with open(wordbpe.resolve(tokenizer), encoding="utf-8") as f:
-            return OffsetTable([s + b" " for s in token_strings(json.load(f))])
+            table = OffsetTable([s + b" " for s in token_strings(json.load(f))])
+        trim()
+        return table
     return per_worker(f"decode {tokenizer}", make, "bpe")
 
 
-def _with_column(df: DataFrame, name: str, kind: T.DataType, source: str, make) -> DataFrame:
-    """``df`` with the Arrow column ``make(batch column)``; other columns pass through."""
-    kept = [c for c in df.columns if c != name or c == source]
-    out = [c for c in kept if c != name]
-    schema = T.StructType([df.schema[c] for c in out] + [T.StructField(name, kind, False)])
+def _encoded(texts: pa.Array, tokenizer: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all ``texts`` in a row, and where each text's ids start (one more at the end)."""
+    encoder = _encoder(tokenizer)
+    rows = [encoder.encode(t) if t else b"" for t in texts.to_pylist()]
+    offsets = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])]).astype(np.int64)
+    return np.frombuffer(b"".join(rows), "<u4").astype(np.int32), offsets
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, SLICE_ROWS):
-                batch = whole.slice(start, SLICE_ROWS)
-                made = make(batch.column(kept.index(source)))
-                yield pa.RecordBatch.from_arrays([batch.column(kept.index(c)) for c in out] + [made], [*out, name])
 
-    return df.select(*kept).mapInArrow(run, schema)
+def _lists(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32), pa.int32()), pa.array(flat, pa.int32()))
 
 
-def encode(df: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
-    """``df`` with the ids of ``text_col`` as ``array<int>``."""
+def _decoded(flat: np.ndarray, offsets: np.ndarray, tokenizer: str) -> pa.Array:
+    data, bounds = _table(tokenizer).gather(flat, offsets)
+    data = data.tobytes()
+    return pa.array([data[a:max(a, b - 1)].decode() for a, b in zip(bounds[:-1], bounds[1:])], pa.string())
 
-    def make(texts):
-        encoder = _encoder(tokenizer)
-        rows = [encoder.encode(t) if t else b"" for t in texts.to_pylist()]
-        offsets = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])]).astype(np.int32)
-        flat = np.frombuffer(b"".join(rows), "<u4").astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
 
-    return _with_column(df, ids_col, T.ArrayType(T.IntegerType(), False), text_col, make)
+IDS = T.ArrayType(T.IntegerType(), False)
+
+
+def encode(df: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
+    """``df`` with the ids of ``text_col`` as ``array<int>``."""
+    return arrow_columns(df, [T.StructField(ids_col, IDS, False)], text_col,
+                         lambda texts: [_lists(*_encoded(texts, tokenizer))])
 
 
 def decode(df: DataFrame, tokenizer: str, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
@@ -237,9 +236,18 @@ def decode(df: DataFrame, tokenizer: str, ids_col: str = "token_ids", text_col:
         flat = lists.flatten().to_numpy(zero_copy_only=False)
         sizes = np.array([len(x) if x is not None else 0 for x in lists], np.int64) if lists.null_count else \
             np.diff(lists.offsets.to_numpy())  # a slice's offsets do not start at 0, its flattened values do
-        offsets = np.concatenate([[0], np.cumsum(sizes)])
-        data, bounds = _table(tokenizer).gather(flat, offsets)
-        data = data.tobytes()
-        return pa.array([data[a:max(a, b - 1)].decode() for a, b in zip(bounds[:-1], bounds[1:])], pa.string())
+        return [_decoded(flat, np.concatenate([[0], np.cumsum(sizes)]), tokenizer)]
+
+    return arrow_columns(df, [T.StructField(text_col, T.StringType(), False)], ids_col, make)
+
+
+def encode_decode(df: DataFrame, tokenizer: str, text_col: str = "text", ids_col: str = "token_ids",
+                  decoded_col: str = "decoded") -> DataFrame:
+    """``df`` with the ids of ``text_col``, and the text decoded from them, in place of ``text_col``: one pass in one worker."""
+
+    def make(texts):
+        flat, offsets = _encoded(texts, tokenizer)
+        return [_lists(flat, offsets), _decoded(flat, offsets, tokenizer)]
 
-    return _with_column(df, text_col, T.StringType(), ids_col, make)
+    return arrow_columns(df, [T.StructField(ids_col, IDS, False), T.StructField(decoded_col, T.StringType(), False)],
+                         text_col, make, keep=False)

@@ -31,10 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .base import forget
+from .base import arrow_columns, forget
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -401,11 +403,10 @@ def mask(df: DataFrame, text_col: str = "text", lines: list[str] | None = None)
             at = max(at, b)
         return "".join(out) + text[at:]
 
-    @F.pandas_udf("string")
-    def masked(texts: pd.Series) -> pd.Series:
+    def masked(texts):
         forget()
-        values = texts.tolist()
+        values = texts.to_pylist()
         found = all_spans([t or "" for t in values], field)
-        return pd.Series([hidden(t, s) if s else t for t, (_, s) in zip(values, found)], dtype=object)
+        return [pa.array([hidden(t, s) if s else t for t, (_, s) in zip(values, found)], pa.string())]
 
-    return df.withColumn(text_col, masked(F.col(text_col)))
+    return arrow_columns(df, [T.StructField(text_col, T.StringType())], text_col, masked).select(*df.columns)
