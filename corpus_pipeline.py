@@ -59,8 +59,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), TOKENIZER).drop("text")
-    return bpe.decode(encoded.withColumn("n_tokens", F.size("token_ids").cast("bigint")), TOKENIZER)
+    done = bpe.encode_decode(docs.select("doc_id", "lang", "source", "text"), TOKENIZER)
+    return done.select("doc_id", "lang", "source", "token_ids",
+                       F.size("token_ids").cast("bigint").alias("n_tokens"), "decoded")
 
 
 STAGES = [
