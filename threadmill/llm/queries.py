@@ -111,9 +111,9 @@ def _of_kind(kind: str):
 
 @register("op5_crf_personal_data")
 def op5_crf_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's personal data: counts by kind, digest of the rule spans, all spans."""
+    """Every document's personal data: counts by kind and digest of the rule spans, all spans."""
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("spans", _of_kind(kind))).cast("bigint").alias(f"n_{kind}") for kind in pii.KINDS]
+    counts = [F.size(F.filter("base", _of_kind(kind))).cast("bigint").alias(f"n_{kind}") for kind in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(_listed("base").cast("binary"), 256).alias("base_sha256"),
                         _listed("spans").alias("spans"))
 
