@@ -162,6 +162,26 @@ def test_keyword_match_by_hand(spark):
     assert sorted(rows) == [("phone", "battery", 4, 1), ("phone", "battery", 6, 2)]
 
 
+def test_keyword_match_queries_search_all_records(spark, scratch):
+    import duckdb
+    from threadmill.plans import registry as R
+    text = "alpha alpha alpha beta beta gamma"
+    rows = [(i, f"{text} {i}" if i % 4 else "alpha alone", "en" if i % 2 else "de", "src0") for i in range(24)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(
+        f"{scratch}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{scratch}/documents.parquet/*.parquet')")
+    for name, cap in (("keyword_match", 25), ("keyword_match_cut", 5)):
+        got = R.QUERIES[name](spark, scratch)
+        found = {(r.subreddit, r.keyword, r.id) for r in got.collect()}
+        want = {(s, k, i) for s, odd in (("en", 1), ("de", 0)) for k in ("beta", "gamma")
+                for i in sorted((i for i in range(24) if i % 4 and i % 2 == odd), reverse=True)[:cap]}
+        assert found == want and any(i % 3 for _, _, i in found)    # every third is a post
+        sql = con.execute(R.ORACLES[name])
+        order = [c[0] for c in sql.description]
+        assert sorted(map(tuple, got.select(*order).collect())) == sorted(sql.fetchall())
+
+
 def test_a_post_meets_few_of_many_searches(spark):
     """20,000 searches in one subreddit: a post is tested against those that share its rare trigrams only."""
     n = 20_000

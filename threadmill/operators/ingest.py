@@ -169,7 +169,7 @@ def _keyed(wanted: DataFrame, posts: DataFrame) -> DataFrame:
     return wanted.join(rarest.select(*search, "key"), search, "left")
 
 
-def candidates(docs: DataFrame, tasks: DataFrame) -> DataFrame:
+def candidates(docs: DataFrame, tasks: DataFrame, kinds: tuple[str, ...] | None = ("post",)) -> DataFrame:
     """(id, subreddit, created_at, __tm_text, product, keyword, p, k): the posts that hold a search's rarest trigram.
 
     Every post that a search finds is among them, since it holds all of the
@@ -177,9 +177,10 @@ def candidates(docs: DataFrame, tasks: DataFrame) -> DataFrame:
     those that are some search's key meet it, so a post is held against the
     searches whose rarest trigram it has, not against all of its subreddit.
     Searches too short for a trigram meet every post of their subreddit.
+    ``kinds``: the data types that are searched, or None for every record.
     """
-    posts = docs.where(F.col("data_type") == "post").select("id", "subreddit", "created_at",
-                                                            F.lower("content").alias("__tm_text"))
+    posts = docs if kinds is None else docs.where(F.col("data_type").isin(*kinds))
+    posts = posts.select("id", "subreddit", "created_at", F.lower("content").alias("__tm_text"))
     wanted = materialize(tasks.select("subreddit", "product", "keyword").distinct()
                          .withColumn("p", F.lower("product")).withColumn("k", F.lower("keyword")))
     keyed = materialize(_keyed(wanted, posts))
@@ -191,11 +192,13 @@ def candidates(docs: DataFrame, tasks: DataFrame) -> DataFrame:
     return found.unionByName(short)
 
 
-def keyword_match(docs: DataFrame, tasks: DataFrame, per_search: int = SEARCH_PAGE) -> DataFrame:
+def keyword_match(docs: DataFrame, tasks: DataFrame, per_search: int = SEARCH_PAGE,
+                  kinds: tuple[str, ...] | None = ("post",)) -> DataFrame:
     """The searches of a task grid: which posts every ("product" AND keyword) finds in its subreddit.
 
     ``tasks`` = (product, subreddit, keyword), as ``search_grid`` gives them.  A
-    search returns posts only (``data_type``), never comments.  A post is found
+    search returns records of ``kinds`` (``data_type``): posts alone, as the
+    scraper's search does, or with None all records, comments too.  A record is found
     when its text contains the product's name and the keyword, whatever their
     case; the newest ``per_search`` of each task are kept.  Returns (product,
     subreddit, keyword, id, created_at, search_rank), product being the one
@@ -205,7 +208,7 @@ def keyword_match(docs: DataFrame, tasks: DataFrame, per_search: int = SEARCH_PA
     posts with that trigram are tested for the whole product and keyword.
     """
     text = F.col("__tm_text")
-    found = (candidates(docs, tasks).where(text.contains(F.col("p")) & text.contains(F.col("k")))
+    found = (candidates(docs, tasks, kinds).where(text.contains(F.col("p")) & text.contains(F.col("k")))
              .select("product", "subreddit", "keyword", "id", "created_at"))
     return top_n_per_group(found, ["product", "subreddit", "keyword"],
                            [F.col("created_at").desc(), F.col("id").asc()], per_search,

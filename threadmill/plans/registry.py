@@ -239,7 +239,7 @@ def q_search_grid(spark, d):
 
 def _keyword_match(spark, d, **caps):
     tasks = I.search_grid(A.searched_products(spark, d))
-    m = I.keyword_match(A.social(spark, d), tasks, **caps)
+    m = I.keyword_match(A.social(spark, d), tasks, kinds=None, **caps)  # posts and comments
     return m.select("product", "subreddit", "keyword", "id", "created_at", "search_rank")
 
 
