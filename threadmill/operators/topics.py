@@ -130,29 +130,52 @@ def centre_rows(model, spark) -> DataFrame:
         "cluster int, feature int, weight double")
 
 
+def term_rows(tokenized: DataFrame, *keys: str, terms_col: str = "filtered") -> DataFrame:
+    """(keys, feature, n): how often each row has each of its terms, counted inside the row, without a shuffle.
+
+    The row's terms are sorted, and a term's count is the length of its run.
+    Rows of equal keys stay apart.
+    """
+    col = "__tm_sorted"
+    at = lambda i: F.get(F.col(col), i)
+    rows = tokenized.where(F.size(terms_col) > 0).select(*keys, F.sort_array(terms_col).alias(col))
+    runs = rows.withColumn("__tm_from", F.filter(F.sequence(F.lit(0), F.size(col) - 1),
+                                                 lambda i: (i == 0) | (at(i) != at(i - 1))))
+    end = lambda k: F.coalesce(F.get(F.col("__tm_from"), k + 1), F.size(col))
+    return runs.select(*keys, F.inline(F.transform("__tm_from", lambda i, k: F.struct(
+        at(i).alias("feature"), (end(k) - i).cast("long").alias("n")))))
+
+
 def assign_topics(vectors: DataFrame, centres: DataFrame, key: str = "id") -> DataFrame:
     """(key, cluster, distance): the nearest centre of every vector, without fitting anything.
 
     |x - c|^2 = |x|^2 - 2 x.c + |c|^2: the products come from one join of the
-    vectors' entries with the centres' by feature.  All centres together are
-    a bounded table (clusters x features) and go to every task within the byte
-    bound of ``small_side``.  A vector that shares no feature with a centre is
+    vectors' entries with the centres' by feature, in which the most common
+    features are broadcast (``common_first_join``).  Where the entries of a
+    vector lie together, as ``term_rows`` gives them, they are summed before anything is
+    shuffled: what is shuffled are the entries of rare features and one number
+    per vector and centre.  A vector that shares no feature with a centre is
     held against it too; ties go to the smaller cluster.  Vectors without entries are not in ``vectors``.
     """
-    from .joins import small_side
+    from ..session import stored_rows
+    from .joins import common_first_join
     norms = centres.groupBy("cluster").agg(F.sum(F.col("weight") * F.col("weight")).alias("norm"))
-    # per feature one list of its centres' weights; the norms, one number per cluster, go along in the plan
-    by_feature = small_side(centres.groupBy("feature").agg(
-        F.collect_list(F.struct("cluster", F.col("weight").alias("w"))).alias("cs")))
+    # the norms, one number per cluster, go along in the plan
     known = sorted((r["cluster"], r["norm"]) for r in norms.collect())
     clusters, lengths = F.lit([c for c, _ in known]), F.lit([n for _, n in known])
-    parts = (vectors.join(by_feature, "feature", "left")
-             .select(key, "feature", (F.col("weight") * F.col("weight")).alias("square"), "weight", F.explode_outer("cs").alias("c")))
-    dots = (parts.groupBy(key, F.col("c.cluster").alias("cluster"))
-            .agg(F.sum(F.col("weight") * F.col("c.w")).alias("dot")).where("cluster is not null"))
-    own = vectors.groupBy(key).agg(F.sum(F.col("weight") * F.col("weight")).alias("own"))
-    per_vector = own.join(dots.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("cluster", "dot"))).alias("dots")),
-                          key, "left")
+    # per feature one list of its centres' weights
+    often = vectors.groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+    by_feature = stored_rows(centres.groupBy("feature").agg(F.collect_list(F.struct("cluster", F.col("weight").alias("w"))).alias("cs"))
+                             .join(often, "feature"), "centres")
+    # an entry's own square stands beside its products with the centres, without a cluster
+    own = F.array(F.struct(F.lit(None).cast("int").alias("cluster"), F.col("weight").alias("w")))
+    parts = (common_first_join(vectors, by_feature, "feature", "left")
+             .select(key, "weight", F.explode(F.when(F.col("cs").isNull(), own).otherwise(F.concat(own, "cs"))).alias("c")))
+    sums = parts.groupBy(key, F.col("c.cluster").alias("cluster")).agg(F.sum(F.col("weight") * F.col("c.w")).alias("dot"))
+    of_centre = F.col("cluster").isNotNull() & F.col(key).isNotNull()
+    per_vector = sums.groupBy(key).agg(
+        F.max(F.when(F.col("cluster").isNull(), F.col("dot"))).alias("own"),
+        F.map_from_entries(F.collect_list(F.when(of_centre, F.struct("cluster", "dot")))).alias("dots"))
     distance = F.transform(clusters, lambda c, i: F.struct(
         F.greatest(F.col("own") - 2 * F.coalesce(F.try_element_at(F.col("dots"), c), F.lit(0.0)) + F.get(lengths, i),
                    F.lit(0.0)).alias("d"), c.alias("cluster")))

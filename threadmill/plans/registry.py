@@ -16,7 +16,7 @@ from ..functions import text as T
 from ..operators import scoring
 from ..sources import adapters as A
 from . import oracle as O
-from ..session import materialize, scratch_path
+from ..session import materialize, scratch_path, stored_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -1032,6 +1032,7 @@ def q_stream_flush(spark, d):
 # ---------------------------------------------------------------------------
 
 from ..operators import topics as TP  # noqa: E402
+from ..operators.joins import common_first_join  # noqa: E402
 
 STOP_SQL = "[" + ", ".join(O.q(w) for w in TP.ENGLISH_STOP_WORDS) + "]"
 TOKENS_SQL = O.with_(O.SOCIAL, O.CLEANED) + f"""
@@ -1106,17 +1107,20 @@ best AS (SELECT * FROM dist QUALIFY row_number() OVER (PARTITION BY id ORDER BY
 
 def _topic_tables(spark, d):
     """(weighted term vectors, centres): one centre per product, the mean of its records' vectors."""
-    t = materialize(TP.tokens(scoring.clean(A.social(spark, d))).select("id", "product", "filtered"))
-    idf = materialize(TP.tfidf_terms(t).select(F.col("term").alias("feature"), "idf"))
-    n_of = t.select("id", "product", F.explode("filtered").alias("feature")).groupBy("id", "product", "feature").agg(
-        F.count(F.lit(1)).alias("n"))
-    vectors = materialize(n_of.join(idf, "feature").select("id", "product", "feature",
-                                                           (F.col("n") * F.col("idf")).alias("weight")))
+    t = stored_rows(TP.tokens(scoring.clean(A.social(spark, d))).select("id", "product", "filtered"), "tokens")
+    idf = stored_rows(TP.tfidf_terms(t).select(F.col("term").alias("feature"), "idf", F.col("doc_freq").alias("n")), "idf")
+    counts = TP.term_rows(t, "id", "product").withColumnRenamed("n", "count")
+    if t.groupBy("id", "product").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        counts = counts.groupBy("id", "product", "feature").agg(F.sum("count").alias("count"))
+    counts = stored_rows(counts, "counts")
+    vectors = stored_rows(common_first_join(counts, idf, "feature").select(
+        "id", "product", "feature", (F.col("count") * F.col("idf")).alias("weight")), "vectors")
     names = sorted(r["product"] for r in t.select("product").distinct().collect())     # one per source
     number = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("product")).cast("int") - 1
     sizes = t.groupBy("product").agg(F.count(F.lit(1)).alias("members"))
-    centres = materialize(vectors.groupBy("product", "feature").agg(F.sum("weight").alias("w")).join(sizes, "product")
-                          .select(number.alias("cluster"), "feature", (F.col("w") / F.col("members")).alias("weight")))
+    centres = stored_rows(vectors.groupBy("product", "feature").agg(F.sum("weight").alias("w")).join(sizes, "product")
+                          .select(number.alias("cluster"), "feature", (F.col("w") / F.col("members")).alias("weight")),
+                          "centre")
     return vectors.drop("product"), centres
 
 

@@ -105,3 +105,10 @@ def materialize(df):
     never ``localCheckpoint``)."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored_rows(df, name: str):
+    """Like ``materialize``, for tables that grow with the input: compressed Parquet in a scratch folder."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
