@@ -24,6 +24,7 @@ from ..functions.text import product_slug
 from ..operators.joins import small_side
 from ..operators.rank import top_n_per_group
 from ..schemas import FAQ_READY_SCHEMA, RAW_WITH_ID_SCHEMA
+from ..session import materialize
 
 #: Folders of the landing table; ``batch`` is the micro-batch, or BATCH_LOAD for rows written by a batch job.
 PARTITIONS = [StructField("source", StringType()), StructField("product_slug", StringType()),
@@ -128,26 +129,38 @@ def raw_scan(spark: SparkSession, root: str, schema: StructType = RAW_WITH_ID_SC
     return _wanted(rows, slugs, source).join(losing, ["source", "product_slug"], "left_anti")
 
 
+#: Flushes whose files share a folder; a file's number in it has three digits.
+FLUSH_RUN = 500
+
+
 def write_batch_files(records: DataFrame, root: str, flush_size: int = 50,
                       offset_col: str = "id") -> None:
     """Write records as JSON-array files, one per (flush, source, product).
 
     A flush is ``flush_size`` consecutive offsets (the consumer's batch);
     each group holds at most ``flush_size`` records, so collecting it is
-    bounded.
+    bounded.  Runs of FLUSH_RUN flushes share a folder, which one task writes
+    in the order of the flushes, so the order of the names is that of the
+    flushes and there are few folders to make, commit and list.
     """
-    flush = F.format_string("f%010d", F.floor(F.col(offset_col) / flush_size).cast("long"))
+    number = F.floor(F.col(offset_col) / flush_size).cast("long")
+    named = lambda n: F.format_string("f%010d", n)
     rec = F.struct(*[F.col(c) for c in records.columns])
+    folder = ["source", "product_slug", "flush"]
     (records.withColumn("product_slug", product_slug("product"))
-            .withColumn("flush", flush)
-            .groupBy("source", "product_slug", "flush")
-            .agg(F.sort_array(F.collect_list(F.struct(F.col(offset_col).alias("o"),
-                                                      F.to_json(rec).alias("r")))).alias("pairs"))
+            .withColumn("__tm_flush", named(number))
+            .withColumn("flush", named((F.floor(number / FLUSH_RUN) * FLUSH_RUN).cast("long")))
+            .select(*folder, "__tm_flush", F.struct(F.col(offset_col).alias("o"), F.to_json(rec).alias("r")).alias("pair"))
+            # (not by source: where it is one value, Spark drops it from the groups and would shuffle again)
+            .repartition("product_slug", "flush")
+            .groupBy(*folder, "__tm_flush")
+            .agg(F.sort_array(F.collect_list("pair")).alias("pairs"))
             # the file body is the offset-ordered JSON array of the records
-            .select("source", "product_slug", "flush",
+            .select(*folder, "__tm_flush",
                     F.concat(F.lit("["), F.array_join(F.transform("pairs", lambda x: x["r"]), ","),
                              F.lit("]")).alias("value"))
-            .write.mode("append").partitionBy("source", "product_slug", "flush").text(root))
+            .sortWithinPartitions(*folder, "__tm_flush").drop("__tm_flush")
+            .write.mode("append").option("maxRecordsPerFile", 1).partitionBy(*folder).text(root))
 
 
 def first_n_files(spark: SparkSession, root: str, n: int = 20, glob: str = "*.{json,txt}",
@@ -161,7 +174,9 @@ def first_n_files(spark: SparkSession, root: str, n: int = 20, glob: str = "*.{j
     object (``multiLine``); a file that does not parse is skipped but still
     takes its place among the first ``n``.
     """
-    files = _wanted(data_files(spark, root, glob, slugs, source), slugs, source)
+    listed = _wanted(data_files(spark, root, glob, slugs, source), slugs, source)
+    # one row per file: read by as many tasks as a shuffle has, not by one for every few files
+    files = materialize(listed.coalesce(int(spark.conf.get("spark.sql.shuffle.partitions"))))
     files = files.join(small_side(_losing_folders(files)), ["source", "product_slug"], "left_anti")
     best = top_n_per_group(files, ["source", "product_slug"], [F.col("name").asc()], n)
     chosen = [r.path for r in best.select("path").collect()]
