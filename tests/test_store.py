@@ -79,6 +79,21 @@ def test_pages_equal_the_sorted_table(spark, scratch):
     SO.write_pages(products.limit(0), os.path.join(scratch, "none"))
 
 
+def test_small_ranges_make_few_folders(spark, scratch, monkeypatch):
+    """Folders and tasks follow the rows, not the ranges; a range may lie in two blocks."""
+    products = spark.range(5000).select(
+        "id", F.concat(F.lit("n"), "id").alias("name"), F.lit("pending").alias("status"),
+        (F.col("id") * 37 % 41).cast("timestamp").alias("created_at")).repartition(3)
+    for block in (SO.BLOCK_ROWS, 700):
+        monkeypatch.setattr(SO, "BLOCK_ROWS", block)
+        root = os.path.join(scratch, f"pages{block}")
+        SO.write_pages(products, root, range_rows=20)
+        assert len([f for f in os.listdir(f"{root}/rows") if "=" in f]) <= -(-5000 // block)
+        for skip, limit in ((0, 10), (75, 60), (3333, 100), (4990, 50)):
+            want = [tuple(r) for r in TB.product_page(products, skip, limit).collect()]
+            assert [tuple(r) for r in SO.read_page(spark, root, skip, limit).collect()] == want
+
+
 def test_assigned_topics_equal_the_fitted_model(spark):
     """Centres as rows and one join give the clusters and distances that the model gives."""
     import numpy as np

@@ -114,20 +114,34 @@ def search_index(spark: SparkSession, root: str, term: str, buckets: int = GRAM_
 
 # --- pages -------------------------------------------------------------------
 
-RANGE = "__tm_range"
+RANGE, BLOCK = "__tm_range", "__tm_block"
+#: Rows of a folder of the page table, where ranges are smaller.
+BLOCK_ROWS = 100_000
 
 
 def write_pages(products: DataFrame, root: str, range_rows: int = RANGE_ROWS) -> None:
-    """Products in ranges of the listing's order (newest first, then id), and the directory of the ranges."""
+    """Products in ranges of the listing's order (newest first, then id), and the directory of the ranges.
+
+    Tasks and folders are made by blocks of rows, however small the ranges
+    are; inside a block's file the ranges follow each other.
+    """
     stored = materialize(products)
-    n = max(1, -(-stored.count() // range_rows))
-    ranged = materialize(stored.repartitionByRange(n, F.col("created_at").desc(), F.col("id").asc())
-                         .withColumn(RANGE, F.spark_partition_id()))
-    ranged.write.mode("overwrite").partitionBy(RANGE).parquet(f"{root}/rows")
-    # one row per range: how many rows it has, and how many stand before it
-    upto = Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    counts = materialize(ranged.groupBy(RANGE).agg(F.count(F.lit(1)).alias("n")))
-    (counts.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+    n = max(1, -(-stored.count() // max(range_rows, BLOCK_ROWS)))
+    order = [F.col("created_at").desc(), F.col("id").asc()]
+    # the id's upper bits are the task's number, the lower ones the row's place in it
+    ordered = materialize(stored.repartitionByRange(n, *order).sortWithinPartitions(*order)
+                          .withColumn("__tm_at", F.monotonically_increasing_id()))
+    ordered = ordered.withColumn(BLOCK, F.shiftright("__tm_at", 33).cast("int"))
+    upto = Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = materialize(ordered.groupBy(BLOCK).agg(F.count(F.lit(1)).alias("n")))  # one row per block
+    first = sizes.select(BLOCK, F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("__tm_first"))
+    place = F.col("__tm_first") + F.col("__tm_at").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = (ordered.join(F.broadcast(first), BLOCK).withColumn("__tm_place", place)
+              .withColumn(RANGE, F.floor(F.col("__tm_place") / range_rows).cast("long")))
+    (placed.drop("__tm_at", "__tm_first", "__tm_place").write.mode("overwrite").partitionBy(BLOCK)
+     .parquet(f"{root}/rows"))
+    # one row per range (two or more where it lies in several blocks): how many rows it has, and how many stand before it
+    (placed.groupBy(RANGE, BLOCK).agg(F.count(F.lit(1)).alias("n"), F.min("__tm_place").alias("before"))
      .write.mode("overwrite").parquet(f"{root}/directory"))
 
 
@@ -141,10 +155,11 @@ def read_page(spark: SparkSession, root: str, skip: int = 0, limit: int = 50) ->
         raise ValueError("skip must be >= 0 and limit within 1..100")
     here = (spark.read.parquet(f"{root}/directory")
             .where((F.col("before") < skip + limit) & (F.col("before") + F.col("n") > skip))
-            .orderBy(RANGE).collect())  # each of them holds a row of the page, so at most ``limit``
+            .orderBy("before").collect())  # each of them holds a row of the page, so at most ``limit``
     if not here:
-        return spark.read.parquet(f"{root}/rows").drop(RANGE).where(F.lit(False)).withColumn("id", F.col("id").cast("string"))
+        return spark.read.parquet(f"{root}/rows").drop(RANGE, BLOCK).where(F.lit(False)).withColumn("id", F.col("id").cast("string"))
     first = here[0]["before"]
-    rows = spark.read.parquet(f"{root}/rows").where(F.col(RANGE).isin([r[RANGE] for r in here]))
-    ordered = rows.drop(RANGE).orderBy(F.col("created_at").desc(), F.col("id").asc())
+    rows = spark.read.parquet(f"{root}/rows").where(F.col(BLOCK).isin(sorted({r[BLOCK] for r in here}))
+                                                    & F.col(RANGE).isin(sorted({r[RANGE] for r in here})))
+    ordered = rows.drop(RANGE, BLOCK).orderBy(F.col("created_at").desc(), F.col("id").asc())
     return ordered.offset(skip - first).limit(limit).withColumn("id", F.col("id").cast("string"))
