@@ -393,3 +393,34 @@ def test_dedup_state_is_bounded(spark, scratch):
     assert sorted(r.id for r in out.collect()) == list(range(600))
     held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
     assert held and held[-1] < 300      # 30 minutes of records behind the watermark, not all 600
+
+
+def test_staged_files_grow_in_number_with_the_input(spark, scratch):
+    """Many input splits make many queue files, and a micro-batch takes a bounded number of them."""
+    from threadmill.plans import registry as R
+    spark.range(2000).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 20) AS text", "'en' AS lang",
+                                 "concat('src', id % 3) AS source").repartition(6).write.parquet(f"{scratch}/documents.parquet")
+    size = sum(os.path.getsize(f"{scratch}/documents.parquet/{f}") for f in os.listdir(f"{scratch}/documents.parquet"))
+    conf = {"spark.sql.files.maxPartitionBytes": str(size // 40), "spark.sql.files.openCostInBytes": "0"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        R._staged_stream(spark, scratch, f"{scratch}/s")
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    files = [f for f in os.listdir(f"{scratch}/s/inbox") if f.endswith(".txt")]
+    lines = [sum(1 for _ in open(f"{scratch}/s/inbox/{f}")) for f in files]
+    assert len(files) >= 40 and sum(lines) == 2000 and max(lines) <= 2 * 2000 / len(files)
+
+
+def test_files_of_many_flushes_share_few_folders(spark, scratch):
+    root = os.path.join(scratch, "batches")
+    recs = spark.range(3000).selectExpr("id", "'reddit' AS source", "concat('P ', id % 2) AS product", "concat('t', id) AS content")
+    FS.write_batch_files(recs, root, flush_size=2)
+    folders = [p for p, _, files in os.walk(root) if any(f.endswith(".txt") for f in files)]
+    assert len(folders) == 6        # 3 runs of 500 flushes for each product
+    assert sum(f.endswith(".txt") for p in folders for f in os.listdir(p)) == 3000
+    got = FS.first_n_files(spark, root, n=700).select("id", "product_slug").collect()
+    assert sorted(map(tuple, got)) == [(i, f"p_{i % 2}") for i in range(1400)]

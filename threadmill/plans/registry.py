@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import scoring
+from ..operators.rank import map_tasks
 from ..sources import adapters as A
 from . import oracle as O
 from ..session import materialize, scratch_path, stored_rows
@@ -979,14 +980,25 @@ social AS (SELECT * REPLACE (coalesce(source, 'unknown') AS source, coalesce(pro
            FROM qrec WHERE id % 50 <> 0)""")
 
 
+def _staged_stream(spark, d, base: str):
+    """The queue as a stream of at least two micro-batches.
+
+    There are as many files as the input has splits, so that no task writes more of them when the input
+    grows, and at most 16 a batch, so that no batch does.
+    """
+    messages = A.queue_messages(spark, d)
+    n_files = max(4, map_tasks(messages))
+    ST.stage_messages(messages, base + "/inbox", n_files=n_files)
+    return ST.file_queue_source(spark, base + "/inbox", files_per_batch=min(n_files // 2, 16))
+
+
 @register("stream_topn", LANDED[:-1] + "," + O.CLEANED + "," + O.SCORED + "," + O.READY + ","
           + O.ranked_ready(scoring.FAQ_READY_CAP) + f"""
 SELECT {READY_OUT} FROM ranked""")
 def q_stream_topn(spark, d):
     """The best rows of every product after all micro-batches, one file a batch at least."""
     base = scratch_path(spark, "stream")
-    ST.stage_messages(A.queue_messages(spark, d), base + "/inbox", n_files=4)
-    msgs = ST.file_queue_source(spark, base + "/inbox", files_per_batch=2)
+    msgs = _staged_stream(spark, d, base)
     ST.run_to_end(TN.start_topn(QU.good_records(QU.decode(msgs)), base + "/best", base + "/ck"))
     return _ready_out(TN.read_topn(spark, base + "/best"))
 
@@ -1014,8 +1026,7 @@ SELECT source, product_slug, n_records, sum_ids, ceil(n_records / 50)::BIGINT AS
 def q_stream_flush(spark, d):
     """Files of at most 50 records of one (source, product), and the rest when the query has ended."""
     base = scratch_path(spark, "stream")
-    ST.stage_messages(A.queue_messages(spark, d), base + "/inbox", n_files=4)
-    msgs = ST.file_queue_source(spark, base + "/inbox", files_per_batch=2)
+    msgs = _staged_stream(spark, d, base)
     # with one lane the number of files follows from the counts
     ST.run_to_end(FL.start_flush(QU.good_records(QU.decode(msgs)), base + "/files", base + "/ck", lanes=1))
     FL.flush_rest(spark, base + "/files", base + "/ck")
