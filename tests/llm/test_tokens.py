@@ -3,6 +3,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from texts import docs, empty, rows
 from tokenizers import Tokenizer
@@ -128,3 +129,33 @@ def test_one_pass_equals_encoding_and_decoding(spark):
     assert both == {r.doc_id: (r.token_ids, r.decoded) for r in apart.collect()}
     assert bpe.encode_decode(df, NAME).columns == ["doc_id", "token_ids", "decoded"]
     assert bpe.encode_decode(df.limit(0), NAME).count() == 0
+
+
+def test_the_backtracking_encoder_keeps_no_second_vocabulary(library):
+    """The library only normalises and splits there; a worker held its vocabulary and merges besides its own tables."""
+    encoder = bpe._encoder(NAME)
+    assert encoder.pieces.library.get_vocab_size() == 0
+    for t in odd_texts():
+        assert np.frombuffer(encoder.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
+def test_encoding_and_decoding_takes_few_rows_at_once(spark, library, monkeypatch):
+    sizes = []
+
+    class Plan:
+        columns, schema = ["doc_id", "text"], spark.range(0).withColumnsRenamed({"id": "doc_id"}).schema
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    monkeypatch.setattr(bpe, "_encoded", lambda texts, _, f=bpe._encoded: (sizes.append(len(texts)), f(texts, _))[1])
+    texts = [f"text number {i} あ" for i in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    out = pa.Table.from_batches(list(bpe.encode_decode(Plan(), NAME)(iter([batch]))))
+    assert max(sizes) <= 64 and out.column("doc_id").to_pylist() == list(range(300))
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert out.column("token_ids").to_pylist() == want
+    assert out.column("decoded").to_pylist() == [library.decode(i, skip_special_tokens=False) for i in want]

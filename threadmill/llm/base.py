@@ -150,8 +150,8 @@ def per_worker(name: str, make, group: str | None = None):
 SLICE_ROWS = 256
 
 
-def arrow_columns(df: DataFrame, fields: list, source: str, make, keep: bool = True) -> DataFrame:
-    """``df`` with the columns ``fields``, the arrays that ``make`` returns for a slice of column ``source``.
+def arrow_columns(df: DataFrame, fields: list, source: str, make, keep: bool = True, rows: int = SLICE_ROWS) -> DataFrame:
+    """``df`` with the columns ``fields``, the arrays that ``make`` returns for a slice of ``rows`` rows of column ``source``.
 
     Other columns pass through; those named like a new one are replaced, and
     ``source`` goes as well where ``keep`` is false.
@@ -164,8 +164,8 @@ def arrow_columns(df: DataFrame, fields: list, source: str, make, keep: bool = T
 
     def run(batches):
         for whole in batches:
-            for start in range(0, whole.num_rows, SLICE_ROWS):
-                batch = whole.slice(start, SLICE_ROWS)
+            for start in range(0, whole.num_rows, rows):
+                batch = whole.slice(start, rows)
                 made = make(batch.column(kept.index(source)))
                 yield pa.RecordBatch.from_arrays([batch.column(kept.index(c)) for c in out] + made, [*out, *new])
         trim()

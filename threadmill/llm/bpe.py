@@ -38,6 +38,8 @@ from .base import arrow_columns, per_worker, trim
 
 #: Entries of a worker's pair-compatibility table before it is emptied.
 MAX_PAIRS = 200_000
+#: Rows of a slice that is encoded and decoded at once.
+DECODE_ROWS = 64
 #: Added to a character's code to make the letter that ends a word.
 END = 0xE000
 
@@ -56,14 +58,13 @@ class BacktrackingBpe:
                 return body[:-1] + chr(ord(body[-1]) + END)
             return token
 
-        self.letters = {i: letters(t) for t, i in model["vocab"].items()}
-        self.ids = {s: i for i, s in self.letters.items()}
+        self.ids = {letters(t): i for t, i in model["vocab"].items()}
         self.merges = {}
         self.halves = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             left, right, made = model["vocab"][a], model["vocab"][b], model["vocab"][a + b]
-            self.merges[left, right] = rank
+            self.merges[left << 32 | right] = rank
             self.halves.setdefault(made, (left, right, rank))
         self.shorter = {}
         longest: dict[str, int] = {}
@@ -75,7 +76,7 @@ class BacktrackingBpe:
                     break
             self.shorter[self.ids[s]] = best
             longest[s] = self.ids[s]
-        self.size = {i: len(s) for i, s in self.letters.items()}
+        self.size = {i: len(s) for s, i in self.ids.items()}
         self.automaton = ahocorasick.Automaton()
         for s, i in self.ids.items():
             self.automaton.add_word(s[::-1], i)
@@ -113,7 +114,7 @@ class BacktrackingBpe:
         merges = self.merges
         for a, made_a, used_a in self.chain(first, 1):
             for b, made_b, used_b in self.chain(second, 0):
-                rank = merges.get((a, b))
+                rank = merges.get(a << 32 | b)
                 if rank is not None:
                     due = max(rank, made_a, made_b)
                     # of two equal merges the left one comes first
@@ -170,7 +171,9 @@ class OffsetTable:
         sizes = self.sizes[ids]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
-        index = np.repeat(self.starts[ids] - ends + sizes, sizes) + np.arange(total)
+        # four bytes a place: the characters of a slice are far fewer than 2^31
+        index = np.repeat((self.starts[ids] - ends + sizes).astype(np.int32 if total < 1 << 31 else np.int64), sizes)
+        index += np.arange(total, dtype=index.dtype)
         bounds = np.concatenate([[0], ends])[offsets]
         return self.data[index], bounds
 
@@ -184,7 +187,7 @@ def token_strings(spec: dict) -> list[bytes]:
 
 def _encoder(tokenizer: str) -> wordbpe.Encoder:
     def make():
-        pieces = wordbpe.Pieces(tokenizer)
+        pieces = wordbpe.Pieces(tokenizer, model=False)
         bpe = BacktrackingBpe(pieces.spec)
         pieces.spec = None  # the file's contents are in the tables now
         trim()
@@ -250,4 +253,4 @@ def encode_decode(df: DataFrame, tokenizer: str, text_col: str = "text", ids_col
         return [_lists(flat, offsets), _decoded(flat, offsets, tokenizer)]
 
     return arrow_columns(df, [T.StructField(ids_col, IDS, False), T.StructField(decoded_col, T.StringType(), False)],
-                         text_col, make, keep=False)
+                         text_col, make, keep=False, rows=DECODE_ROWS)

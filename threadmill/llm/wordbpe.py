@@ -51,14 +51,21 @@ def class_ranges(kind: str, upto: int = 0x250) -> str:
 
 
 class Pieces:
-    """A tokenizer file's pre-tokenisation; ``encode_piece`` (bytes shown as characters -> ids) is given."""
+    """A tokenizer file's pre-tokenisation; ``encode_piece`` (bytes shown as characters -> ids) is given.
 
-    def __init__(self, tokenizer: str):
+    The library is loaded without the vocabulary and merges where ``model`` is false: it only normalises and splits then.
+    """
+
+    def __init__(self, tokenizer: str, model: bool = True):
         from tokenizers import Tokenizer
         path = resolve(tokenizer)
         with open(path, encoding="utf-8") as f:
             self.spec = json.load(f)
-        self.library = Tokenizer.from_file(path)
+        if model:
+            self.library = Tokenizer.from_file(path)
+        else:
+            empty = self.spec | {"model": self.spec["model"] | {"vocab": {}, "merges": []}, "added_tokens": []}
+            self.library = Tokenizer.from_str(json.dumps(empty))
         self.library.no_truncation()
         self.library.no_padding()
         special = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
