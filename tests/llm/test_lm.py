@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from texts import docs, empty, rows
 
 from threadmill.llm import lm
@@ -65,3 +66,17 @@ def test_a_common_pair_is_summed_where_it_is_found(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert lm.score(empty(spark)).count() == 0
+
+
+def test_texts_are_read_once(spark):
+    """Words are counted and coded from the stored runs, not from the texts again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(text):
+        seen.add(1)
+        return text
+
+    table = docs(spark, [(i, f"some words of text {i % 3}", *[None] * 8) for i in range(40)])
+    once = F.udf(read, "string").asNondeterministic()
+    assert lm.score(table.select("doc_id", once("text").alias("text"))).count() == 40
+    assert seen.value == 40

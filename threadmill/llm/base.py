@@ -180,7 +180,7 @@ def packed(*columns: np.ndarray) -> bytes:
     bytes, ...), so small numbers and runs cost next to nothing.
     """
     import zstandard
-    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns]
+    planes = [np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T) for c in columns]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
@@ -191,7 +191,10 @@ def unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
     sizes = [np.dtype(k).itemsize for k in kinds]
     n, out, at = len(raw) // sum(sizes), [], 0
     for k, size in zip(kinds, sizes):
-        out.append(np.ascontiguousarray(raw[at:at + n * size].reshape(size, n).T).view(k).ravel())
+        column = np.empty((n, size), np.uint8)
+        for i, plane in enumerate(raw[at:at + n * size].reshape(size, n)):
+            column[:, i] = plane
+        out.append(column.view(k).ravel())
         at += n * size
     return out
 

@@ -22,8 +22,9 @@ counted per run of about FLUSH words before they travel, as sorted and packed
 columns, and dealt by the hash of their first two words, so that an n-gram
 meets the count of its context; a word or a word pair that the corpus is full
 of is one entry per run.  Buckets and runs are bounded, their number follows
-the corpus.  Texts are read twice, to count words and to store the words' codes;
-n-grams are counted and looked up from the codes.  Phases are stored one by one,
+the corpus.  Texts are read once: a run is stored as the hashes and counts of its
+distinct words and, for each word of its texts, which of them it is.  Words and n-grams are
+counted and looked up from these runs.  Phases are stored one by one,
 each without the shuffle files of the one before; n-grams longer than two words
 are counted, and all n-grams looked up, in PASSES shares of the buckets one after
 the other: the disk in use is that of one share.  N-grams as common as a frequent
@@ -50,15 +51,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .base import packed, per_worker, release, small_batches, stored_alone, stored_compact, trim, unpacked
+from .base import packed, per_worker, release, small_batches, stored_alone, trim, unpacked
 
 ALPHA = 0.4
 ORDER = 3
 MIN_COUNT = 2
 #: A word with at least this share of all words is coded by its rank.
 MAX_FREQUENT = 1_000_000
-#: Words in memory before a map task sends its n-grams, and words of one bucket.
-FLUSH, BUCKET = 500_000, 1_000_000
+#: Words in memory before a map task sends its n-grams, words of one bucket, and of one where n-grams are looked up:
+#: runs are met one by one there, and the fewer buckets, the fewer sums a document has.
+FLUSH, BUCKET, LOOKUP_BUCKET = 1_000_000, 2_000_000, 4_000_000
 RARE = np.uint64(1 << 63)
 #: Shares of the buckets that are counted and looked up one after the other.
 PASSES = 2
@@ -168,14 +170,47 @@ def _rows(parts: list, names: list, kinds: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[i] for p in parts], k) for i, k in enumerate(kinds)], names)
 
 
-def _word_counts(docs: DataFrame, buckets: int) -> DataFrame:
+def _stored_runs(docs: DataFrame) -> DataFrame:
+    """Runs of documents, packed: ids (and whether there is one) and numbers of words; the hashes of the
+    distinct words, the most frequent first, and their counts; for each word its place among them."""
+
+    def run(batches):
+        for ids, h, at in _runs(batches):
+            known = np.array([i is not None for i in ids], np.uint8)
+            own = np.array([0 if i is None else i for i in ids], np.int64)
+            u, place, c = np.unique(h, return_inverse=True, return_counts=True)
+            often = np.argsort(-c, kind="stable")
+            rank = np.empty(len(u), "<u4")
+            rank[often] = np.arange(len(u), dtype="<u4")
+            yield _rows([(packed(own, known, np.diff(at)), packed(u[often], c[often].astype("<u4")),
+                          packed(rank[place]), len(h))],
+                        ["docs", "words", "places", "n"], [pa.binary(), pa.binary(), pa.binary(), pa.int64()])
+
+    return docs.mapInArrow(run, "docs binary, words binary, places binary, n long")
+
+
+def _read_runs(batches: Iterator[pa.RecordBatch]):
+    """(ids, whether there is one, hashes of distinct words, places among them, word offsets) of ``_stored_runs``."""
+    for batch in batches:
+        for docs, words, places in zip(batch.column(0), batch.column(1), batch.column(2)):
+            ids, known, n = unpacked(docs.as_py(), "<i8", "u1", "<i8")
+            hashes, _ = unpacked(words.as_py(), "<u8", "<u4")
+            yield ids, known.astype(bool), hashes, unpacked(places.as_py(), "<u4")[0], np.concatenate([[0], np.cumsum(n)])
+    trim()
+
+
+def _word_counts(runs: DataFrame, buckets: int) -> DataFrame:
     """Per bucket: the words' hashes (sorted) and counts, packed, and the number of all words."""
 
     def count(batches):
-        for _, h, _ in _runs(batches):
-            u, c = np.unique(h, return_counts=True)
-            yield _rows([(b, packed(u[p], c[p].astype("<i8"))) for b, p in _dealt(u, buckets)],
-                        ["bucket", "data"], [pa.int32(), pa.binary()])
+        for batch in batches:
+            for words in batch.column(0):
+                u, c = unpacked(words.as_py(), "<u8", "<u4")
+                sort = np.argsort(u)
+                u, c = u[sort], c[sort].astype("<i8")
+                yield _rows([(b, packed(u[p], c[p])) for b, p in _dealt(u, buckets)],
+                            ["bucket", "data"], [pa.int32(), pa.binary()])
+        trim()
 
     def merge(f: pd.DataFrame) -> pd.DataFrame:
         parts = [unpacked(x, "<u8", "<i8") for x in f["data"]]
@@ -186,7 +221,7 @@ def _word_counts(docs: DataFrame, buckets: int) -> DataFrame:
         trim()
         return pd.DataFrame({"bucket": [f["bucket"].iloc[0]], "data": [packed(u, total)], "n": [int(total.sum())]})
 
-    return (docs.mapInArrow(count, "bucket int, data binary").groupBy("bucket")
+    return (runs.select("words").mapInArrow(count, "bucket int, data binary").groupBy("bucket")
             .applyInPandas(merge, "bucket int, data binary, n long"))
 
 
@@ -204,28 +239,6 @@ def _frequent(counts: DataFrame) -> Frequent:
     return Frequent(rows["hash"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64), total)
 
 
-def _coded(docs: DataFrame, frequent: Frequent) -> DataFrame:
-    """Runs of documents: ids (and whether there is one), numbers of words, and the codes of all words, packed."""
-
-    def run(batches):
-        for ids, h, at in _runs(batches):
-            known = np.array([i is not None for i in ids], np.uint8)
-            own = np.array([0 if i is None else i for i in ids], np.int64)
-            yield _rows([(packed(own, known, np.diff(at)), packed(frequent.codes(h)))],
-                        ["docs", "codes"], [pa.binary(), pa.binary()])
-
-    return docs.mapInArrow(run, "docs binary, codes binary")
-
-
-def _coded_runs(batches: Iterator[pa.RecordBatch]):
-    """(ids, whether there is one, codes, word offsets) of the runs of ``_coded``."""
-    for batch in batches:
-        for docs, codes in zip(batch.column(0), batch.column(1)):
-            ids, known, n = unpacked(docs.as_py(), "<i8", "u1", "<i8")
-            yield ids, known.astype(bool), unpacked(codes.as_py(), "<u8")[0], np.concatenate([[0], np.cumsum(n)])
-    trim()
-
-
 def _gram_columns(codes: np.ndarray, at: np.ndarray, n: int) -> tuple[list[np.ndarray], np.ndarray]:
     """The columns of all ``n``-grams inside documents, and the document of each."""
     doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
@@ -236,24 +249,26 @@ def _gram_columns(codes: np.ndarray, at: np.ndarray, n: int) -> tuple[list[np.nd
     return [codes[k:k + m][inside] for k in range(n)], doc[:m][inside]
 
 
-def _gram_counts(coded: DataFrame, n: int, buckets: int, passes: int = 1, turn: int = 0) -> DataFrame:
+def _gram_counts(stored_runs: DataFrame, frequent: Frequent, n: int, buckets: int, passes: int = 1,
+                 turn: int = 0) -> DataFrame:
     """The ``n``-grams of each run with their counts, packed, by bucket of their first two words.
 
     Of ``passes`` passes, the one of number ``turn`` counts the buckets that leave it as a remainder.
     """
 
     def count(batches):
-        for _, _, codes, at in _coded_runs(batches):
-            columns, _ = _gram_columns(codes, at, n)
+        for _, _, hashes, places, at in _read_runs(batches):
+            columns, _ = _gram_columns(frequent.codes(hashes)[places], at, n)
             # one sort key: the bucket of the first two words, then the whole n-gram
             bits = np.uint64(buckets.bit_length() - 1)
-            lead = gram_hash(columns[:2]) >> (np.uint64(64) - bits)
+            own = gram_hash(columns[:2])
+            lead = own >> (np.uint64(64) - bits)
             if passes > 1:
                 now = lead % np.uint64(passes) == np.uint64(turn)
-                lead, columns = lead[now], [c[now] for c in columns]
+                own, lead, columns = own[now], lead[now], [c[now] for c in columns]
             if not len(lead):
                 continue
-            key = lead << (np.uint64(64) - bits) | gram_hash(columns) >> bits
+            key = lead << (np.uint64(64) - bits) | (own if n == 2 else gram_hash(columns)) >> bits
             sort = np.argsort(key)
             key = key[sort]
             first = np.flatnonzero(np.diff(key, prepend=key[:1] ^ np.uint64(1)))
@@ -265,7 +280,7 @@ def _gram_counts(coded: DataFrame, n: int, buckets: int, passes: int = 1, turn:
                 parts.append((b, packed(*[c[p][inner] for c in columns], times[p][inner])))
             yield _rows(parts, ["bucket", "data"], [pa.int32(), pa.binary()])
 
-    return coded.mapInArrow(count, "bucket int, data binary")
+    return stored_runs.mapInArrow(count, "bucket int, data binary")
 
 
 def _kept(counted: DataFrame, shorter: DataFrame | None, frequent: Frequent, n: int, min_count: int) -> DataFrame:
@@ -312,35 +327,55 @@ def _kept(counted: DataFrame, shorter: DataFrame | None, frequent: Frequent, n:
     return stored_alone(sides.groupBy("bucket").applyInPandas(merge, "bucket int, data binary"))
 
 
-def _counted(coded: DataFrame, shorter: DataFrame | None, frequent: Frequent, n: int, min_count: int,
+def _counted(stored_runs: DataFrame, shorter: DataFrame | None, frequent: Frequent, n: int, min_count: int,
              buckets: int) -> DataFrame:
     """``_kept`` of all ``n``-grams, one share of the buckets after the other."""
     passes = 1 if shorter is None else PASSES
     out = None
     for turn in range(passes):
         own = None if shorter is None else shorter.where(F.col("bucket") % passes == turn)
-        part = _kept(_gram_counts(coded, n, buckets, passes, turn), own, frequent, n, min_count)
+        part = _kept(_gram_counts(stored_runs, frequent, n, buckets, passes, turn), own, frequent, n, min_count)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _kept_rows(kept: DataFrame, n: int) -> DataFrame:
-    """Kept n-grams as rows: w0.., log_count, log_context, log_last (null where not known)."""
-    names = [f"w{k}" for k in range(n)]
+def _kept_pairs(kept: DataFrame, frequent: Frequent, known: bool) -> DataFrame:
+    """Kept pairs as rows (key, log_count, log_context, log_last) where both logs are known; or those where one is
+    not (it is null), with the codes w0 and w1 of their words besides."""
+
+    def run(batches):
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                *codes, log_count, log_context, log_last = unpacked(data, "<u8", "<u8", "<f8", "<f8", "<f8")
+                own = np.isnan(log_context) | np.isnan(log_last)
+                own = np.flatnonzero(~own if known else own)
+                codes = [c[own] for c in codes]
+                longs = [gram_hash([frequent.names(c) for c in codes])] + ([] if known else codes)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c[own], from_pandas=True) for c in (log_count, log_context, log_last)]
+                    + [pa.array(c.view(np.int64)) for c in longs], columns)
+
+    columns = ["log_count", "log_context", "log_last", "key"] + ([] if known else ["w0", "w1"])
+    return kept.select("data").mapInArrow(run, ", ".join(f"{c} {'double' if c[0] == 'l' else 'long'}" for c in columns))
+
+
+def _kept_longer(kept: DataFrame, frequent: Frequent, n: int) -> DataFrame:
+    """Kept n-grams of more words as rows: key, suffix (the key of the n-gram without its first word), log_count, log_context."""
 
     def run(batches):
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                columns = unpacked(data, *["<i8"] * n, "<f8", "<f8", "<f8")
+                *codes, log_count, log_context, _ = unpacked(data, *["<u8"] * n, "<f8", "<f8", "<f8")
+                names = [frequent.names(c) for c in codes]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, from_pandas=True) for c in columns], [*names, "log_count", "log_context", "log_last"])
+                    [pa.array(gram_hash(x).view(np.int64)) for x in (names, names[1:])]
+                    + [pa.array(log_count), pa.array(log_context)], ["key", "suffix", "log_count", "log_context"])
 
-    schema = ", ".join(f"{c} long" for c in names) + ", log_count double, log_context double, log_last double"
-    return kept.select("data").mapInArrow(run, schema)
+    return kept.select("data").mapInArrow(run, "key long, suffix long, log_count double, log_context double")
 
 
-def _gains(kept: list[DataFrame], counts: DataFrame, frequent: Frequent, order: int) -> list[DataFrame]:
-    """Per order from 2: (w0.., gain, log_count) of every kept n-gram."""
+def _gains(kept: list[DataFrame], counts: DataFrame, frequent: Frequent, order: int, buckets: int) -> list[DataFrame]:
+    """Per order from 2 the stored ``_table`` of every kept n-gram's gain."""
 
     def rare(frames):
         for f in frames:
@@ -351,25 +386,25 @@ def _gains(kept: list[DataFrame], counts: DataFrame, frequent: Frequent, order:
                 yield pd.DataFrame({"code": codes[keep].view(np.int64), "log": np.log(c[keep].astype(np.float64))})
 
     words = counts.select("data").mapInPandas(rare, "code long, log double")
-    pairs = _kept_rows(kept[0], 2)
+    pairs = _kept_pairs(kept[0], frequent, True)
+    asked = stored_alone(_kept_pairs(kept[0], frequent, False))
     for word, log in (("w0", "log_context"), ("w1", "log_last")):
-        known = pairs.where(F.col(log).isNotNull())
-        looked = (pairs.where(F.col(log).isNull()).join(words.withColumnRenamed("code", word), word)
+        # only rare words are looked up, so no word's pairs fill a task
+        looked = (asked.where(F.col(log).isNull()).join(words.withColumnRenamed("code", word), word)
                   .withColumn(log, F.col("log")).drop("log"))
-        pairs = known.unionByName(looked)
-    pairs = stored_compact(pairs.select("w0", "w1", "log_count", "log_context", "log_last"))
+        asked = asked.where(F.col(log).isNotNull()).unionByName(looked)
+    pairs = pairs.unionByName(asked.drop("w0", "w1"))
     step = math.log(ALPHA)
-    out = [pairs.select("w0", "w1", (F.col("log_count") - F.col("log_context") - F.lit(step)
-                                     - F.col("log_last") + F.lit(frequent.log_total)).alias("gain"), "log_count")]
-    shorter = pairs
+    ratio = F.col("log_count") - F.col("log_context")
+    out = [stored_alone(_table(
+        pairs.select("key", (ratio - F.lit(step) - F.col("log_last") + F.lit(frequent.log_total)).alias("gain"),
+                     "log_count", ratio.alias("ratio")), frequent, buckets, order > 2))]
     for n in range(3, order + 1):
-        names = [f"w{k}" for k in range(n)]
-        suffix = shorter.select(*[F.col(f"w{k}").alias(f"w{k + 1}") for k in range(n - 1)],
-                                (F.col("log_count") - F.col("log_context")).alias("ratio"))
-        shorter = _kept_rows(kept[n - 2], n)
-        out.append(shorter.join(suffix, names[1:]).select(
-            *names, (F.col("log_count") - F.col("log_context") - F.lit(step) - F.col("ratio")).alias("gain"),
-            "log_count"))
+        # both sides are joined by one long number, which Spark sorts without comparing rows
+        longer = _kept_longer(kept[n - 2], frequent, n).join(_ratios(out[-1]), "suffix")
+        out.append(stored_alone(_table(
+            longer.select("key", (ratio - F.lit(step) - F.col("ratio")).alias("gain"), "log_count", ratio.alias("ratio")),
+            frequent, buckets, n < order)))
     return out
 
 
@@ -406,7 +441,7 @@ def _sums(grams: DataFrame, gains: DataFrame, buckets: int) -> DataFrame:
                   .groupBy("id").agg(F.sum("gain").alias("gain")))
 
 
-def _asked(coded: DataFrame, frequent: Frequent, common: Common | None, n: int, buckets: int, passes: int = 1,
+def _asked(stored_runs: DataFrame, frequent: Frequent, common: Common | None, n: int, buckets: int, passes: int = 1,
            turn: int = 0) -> DataFrame:
     """The documents' ``n``-grams (for 1: the rare words), by bucket, packed.
 
@@ -415,13 +450,14 @@ def _asked(coded: DataFrame, frequent: Frequent, common: Common | None, n: int,
     shift = np.uint64(64 - (buckets.bit_length() - 1))
 
     def run(batches):
-        for ids, known, codes, at in _coded_runs(batches):
+        for ids, known, hashes, places, at in _read_runs(batches):
             if n == 1:
-                rare = codes >= RARE
+                rare = (frequent.codes(hashes) >= RARE)[places]
                 doc = np.repeat(np.arange(len(ids)), np.diff(at))[rare]
-                key = codes[rare] << np.uint64(1)
+                key = (hashes << np.uint64(1))[places[rare]]
             else:
-                columns, doc = _gram_columns(frequent.names(codes), at, n)
+                # a word's name is its hash with the top bit set, frequent or not
+                columns, doc = _gram_columns((hashes | RARE)[places], at, n)
                 key = gram_hash(columns)
             now = known[doc]
             if passes > 1:
@@ -441,7 +477,7 @@ def _asked(coded: DataFrame, frequent: Frequent, common: Common | None, n: int,
             out += [(b, 0, packed(key[p], doc[p])) for b, p in _dealt(key, buckets)]
             yield _rows(out, ["bucket", "side", "data"], [pa.int32(), pa.int32(), pa.binary()])
 
-    return coded.mapInArrow(run, "bucket int, side int, data binary")
+    return stored_runs.mapInArrow(run, "bucket int, side int, data binary")
 
 
 def _together(batches: Iterator[pa.RecordBatch]):
@@ -457,24 +493,41 @@ def _together(batches: Iterator[pa.RecordBatch]):
         yield pa.Table.from_batches(run).combine_chunks().to_batches()[0]
 
 
-def _table(gains: DataFrame, frequent: Frequent, n: int, buckets: int) -> DataFrame:
-    """Gains by bucket of the n-gram's hash, packed; those of common n-grams in bucket -1."""
+def _table(gains: DataFrame, frequent: Frequent, buckets: int, with_ratios: bool) -> DataFrame:
+    """Rows (key, gain, log_count, ratio) by bucket of the key, packed: the sorted keys and gains, and (or null) the ratios;
+    those of common n-grams in bucket -1."""
     shift = 64 - (buckets.bit_length() - 1)
     least = frequent.log_total - math.log(MAX_FREQUENT)
 
+    def shown(ratio):
+        return packed(ratio) if with_ratios else None
+
     def pack(batches):
         for batch in _together(batches):
-            columns = [frequent.names(batch.column(k).to_numpy().view(np.uint64)) for k in range(n)]
-            key = gram_hash(columns)
+            key, gain, log_count, ratio = (batch.column(k).to_numpy() for k in range(4))
+            key = key.view(np.uint64)
             sort = np.argsort(key)
-            key, gain, often = key[sort], batch.column(n).to_numpy()[sort], batch.column(n + 1).to_numpy()[sort] >= least
-            out = [(-1, packed(key[often], gain[often]))] if often.any() else []
-            key, gain = key[~often], gain[~often]
-            yield _rows(out + [(b, packed(key[p], gain[p])) for b, p in _dealt(key, buckets)],
-                        ["bucket", "data"], [pa.int32(), pa.binary()])
+            key, gain, ratio, often = key[sort], gain[sort], ratio[sort], log_count[sort] >= least
+            out = [(-1, packed(key[often], gain[often]), shown(ratio[often]))] if often.any() else []
+            key, gain, ratio = key[~often], gain[~often], ratio[~often]
+            yield _rows(out + [(b, packed(key[p], gain[p]), shown(ratio[p])) for b, p in _dealt(key, buckets)],
+                        ["bucket", "data", "ratios"], [pa.int32(), pa.binary(), pa.binary()])
 
     assert 0 < shift < 64
-    return gains.mapInArrow(pack, "bucket int, data binary")
+    return gains.mapInArrow(pack, "bucket int, data binary, ratios binary")
+
+
+def _ratios(table: DataFrame) -> DataFrame:
+    """(suffix, ratio): the keys of a ``_table`` and the logs of count over the context's count."""
+
+    def run(batches):
+        for batch in batches:
+            for data, ratios in zip(batch.column(0), batch.column(1)):
+                key, _ = unpacked(data.as_py(), "<u8", "<f8")
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(unpacked(ratios.as_py(), "<f8")[0])],
+                                                 ["suffix", "ratio"])
+
+    return table.select("data", "ratios").mapInArrow(run, "suffix long, ratio double")
 
 
 def _common(gains: DataFrame) -> Common:
@@ -501,13 +554,13 @@ def _word_table(counts: DataFrame, buckets: int) -> DataFrame:
     return counts.select("data").mapInPandas(run, "bucket int, data binary")
 
 
-def _bases(coded: DataFrame, frequent: Frequent, order: int) -> DataFrame:
+def _bases(stored_runs: DataFrame, frequent: Frequent, order: int) -> DataFrame:
     """(id, n_words, base): all of the base but the log counts of rare words."""
     step = math.log(ALPHA)
 
     def run(batches):
-        for ids, known, codes, at in _coded_runs(batches):
-            logs = np.nan_to_num(frequent.logs(codes))
+        for ids, known, hashes, places, at in _read_runs(batches):
+            logs = np.nan_to_num(frequent.logs(frequent.codes(hashes)))[places]
             sums = np.concatenate([[0.0], np.cumsum(logs)])
             n = np.diff(at)
             steps = sum(np.maximum(0, n - k) for k in range(1, order))
@@ -516,7 +569,7 @@ def _bases(coded: DataFrame, frequent: Frequent, order: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, mask=~known), pa.array(n, pa.int64()),
                                               pa.array(base, pa.float64())], ["id", "n_words", "base"])
 
-    return coded.mapInArrow(run, "id long, n_words long, base double")
+    return stored_runs.mapInArrow(run, "id long, n_words long, base double")
 
 
 def score(df: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, id_col: str = "doc_id",
@@ -526,32 +579,31 @@ def score(df: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, id_col:
         raise ValueError("the order must be at least 2 and min_count at least 1")
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    size = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    buckets = 1 << max(5, (size // 5 // BUCKET).bit_length())
-    # texts and coded runs are handed to Python in small batches: what a batch takes, it takes in the JVM as well
+    # texts and runs are handed to Python in small batches: what a batch takes, it takes in the JVM as well
     with small_batches(spark, 1000):
-        counts = stored_alone(_word_counts(docs, buckets))
-        frequent = _frequent(counts)
-        coded = stored_alone(_coded(docs, frequent))
+        runs = stored_alone(_stored_runs(docs))
+    size = runs.agg(F.sum("n")).first()[0] or 0
+    buckets, look = (1 << max(6, (size // n).bit_length()) for n in (BUCKET, LOOKUP_BUCKET))
     kept: list[DataFrame] = []
     with small_batches(spark, 8):
+        counts = stored_alone(_word_counts(runs, buckets))
+        frequent = _frequent(counts)
         for n in range(2, order + 1):
-            kept.append(_counted(coded, kept[-1] if kept else None, frequent, n, min_count, buckets))
-    gains = [stored_alone(_table(g, frequent, n, buckets))
-             for n, g in enumerate(_gains(kept, counts, frequent, order), 2)]
+            kept.append(_counted(runs, kept[-1] if kept else None, frequent, n, min_count, buckets))
+    gains = _gains(kept, counts, frequent, order, look)
     del kept
     release(spark)
     parts = []
     with small_batches(spark, 8):
         for n in range(1, order + 1):
-            known = _word_table(counts, buckets) if n == 1 else gains[n - 2]
+            known = _word_table(counts, look) if n == 1 else gains[n - 2].select("bucket", "data")
             common = None if n == 1 else _common(known)
             passes = 1 if n == 1 else PASSES
             known = known.where("bucket >= 0")
             for turn in range(passes):
-                parts.append(_sums(_asked(coded, frequent, common, n, buckets, passes, turn),
-                                   known.where(F.col("bucket") % passes == turn), buckets))
-        total = stored_alone(_bases(coded, frequent, order).where("id is not null"))
+                parts.append(_sums(_asked(runs, frequent, common, n, look, passes, turn),
+                                   known.where(F.col("bucket") % passes == turn), look))
+        total = stored_alone(_bases(runs, frequent, order).where("id is not null"))
     for p in parts:
         total = total.unionByName(p.select("id", F.lit(0).cast("bigint").alias("n_words"), F.col("gain").alias("base")))
     return (total.groupBy("id").agg(F.sum("n_words").alias("n_words"), F.sum("base").alias("log_score"))
