@@ -399,6 +399,9 @@ def _gains(kept: list[DataFrame], counts: DataFrame, frequent: Frequent, order:
     out = [stored_alone(_table(
         pairs.select("key", (ratio - F.lit(step) - F.col("log_last") + F.lit(frequent.log_total)).alias("gain"),
                      "log_count", ratio.alias("ratio")), frequent, buckets, order > 2))]
+    # the pairs are in their table now: what they came from goes before longer n-grams are joined
+    kept[0] = pairs = asked = looked = None
+    release(counts.sparkSession)
     for n in range(3, order + 1):
         # both sides are joined by one long number, which Spark sorts without comparing rows
         longer = _kept_longer(kept[n - 2], frequent, n).join(_ratios(out[-1]), "suffix")
