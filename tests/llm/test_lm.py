@@ -2,6 +2,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from texts import docs, empty, rows
@@ -80,3 +81,22 @@ def test_texts_are_read_once(spark):
     once = F.udf(read, "string").asNondeterministic()
     assert lm.score(table.select("doc_id", once("text").alias("text"))).count() == 40
     assert seen.value == 40
+
+
+@pytest.mark.parametrize("keys", [[], [7], [5, 4, 3, 3, 2 ** 63, 5], [(i * 7919) % 40 for i in range(500)],
+                                  [(i % 3 << 60) + (i * 37) % 11 for i in range(500)]])
+def test_sorted_order_is_the_stable_order(keys):
+    """Also where keys differ only in the bits that give way to places while they are sorted."""
+    keys = np.array(keys, np.uint64)
+    order, out = lm.W.sorted_order(keys)
+    assert order.tolist() == np.argsort(keys, kind="stable").tolist() and out.tolist() == sorted(keys.tolist())
+    assert out[lm.W.firsts(out)].tolist() == sorted(set(keys.tolist()))
+    assert sorted(lm.W.rough_order(keys).tolist()) == list(range(len(keys)))
+
+
+def test_ngrams_stay_inside_documents():
+    sizes = [0, 3, 1, 0, 2, 5, 0]
+    doc, at = np.repeat(np.arange(len(sizes)), sizes), np.concatenate([[0], np.cumsum(sizes)])
+    for n in (2, 3, 4):
+        assert lm._inside(at, n).tolist() == (doc[:len(doc) - n + 1] == doc[n - 1:]).tolist()
+    assert not lm._inside(np.array([0, 1]), 3).size and not lm._inside(np.array([0]), 2).size

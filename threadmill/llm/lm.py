@@ -178,12 +178,16 @@ def _stored_runs(docs: DataFrame) -> DataFrame:
         for ids, h, at in _runs(batches):
             known = np.array([i is not None for i in ids], np.uint8)
             own = np.array([0 if i is None else i for i in ids], np.int64)
-            u, place, c = np.unique(h, return_inverse=True, return_counts=True)
+            sort, u = W.sorted_order(h)
+            first = W.firsts(u)
+            u, c = u.take(first), np.diff(first, append=len(h))
             often = np.argsort(-c, kind="stable")
             rank = np.empty(len(u), "<u4")
             rank[often] = np.arange(len(u), dtype="<u4")
+            places = np.empty(len(h), "<u4")
+            places[sort] = np.repeat(rank, c)
             yield _rows([(packed(own, known, np.diff(at)), packed(u[often], c[often].astype("<u4")),
-                          packed(rank[place]), len(h))],
+                          packed(places), len(h))],
                         ["docs", "words", "places", "n"], [pa.binary(), pa.binary(), pa.binary(), pa.int64()])
 
     return docs.mapInArrow(run, "docs binary, words binary, places binary, n long")
@@ -206,8 +210,8 @@ def _word_counts(runs: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for words in batch.column(0):
                 u, c = unpacked(words.as_py(), "<u8", "<u4")
-                sort = np.argsort(u)
-                u, c = u[sort], c[sort].astype("<i8")
+                sort, u = W.sorted_order(u)
+                c = c.take(sort).astype("<i8")
                 yield _rows([(b, packed(u[p], c[p])) for b, p in _dealt(u, buckets)],
                             ["bucket", "data"], [pa.int32(), pa.binary()])
         trim()
@@ -215,9 +219,10 @@ def _word_counts(runs: DataFrame, buckets: int) -> DataFrame:
     def merge(f: pd.DataFrame) -> pd.DataFrame:
         parts = [unpacked(x, "<u8", "<i8") for x in f["data"]]
         h, c = (np.concatenate(x) for x in zip(*parts))
-        u, inverse = np.unique(h, return_inverse=True)
-        total = np.bincount(inverse, c, len(u)).astype(np.int64)
-        del parts, h, c, inverse
+        sort, u = W.sorted_order(h)
+        first = W.firsts(u)
+        u, total = u.take(first), np.add.reduceat(c.take(sort), first) if len(h) else c
+        del parts, h, c, sort, first
         trim()
         return pd.DataFrame({"bucket": [f["bucket"].iloc[0]], "data": [packed(u, total)], "n": [int(total.sum())]})
 
@@ -239,14 +244,13 @@ def _frequent(counts: DataFrame) -> Frequent:
     return Frequent(rows["hash"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64), total)
 
 
-def _gram_columns(codes: np.ndarray, at: np.ndarray, n: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """The columns of all ``n``-grams inside documents, and the document of each."""
-    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    m = len(codes) - n + 1
-    if m <= 0:
-        return [codes[:0]] * n, doc[:0]
-    inside = doc[:m] == doc[n - 1:]
-    return [codes[k:k + m][inside] for k in range(n)], doc[:m][inside]
+def _inside(at: np.ndarray, n: int) -> np.ndarray:
+    """Whether the ``n`` words from each place on are of one document (for the places where there are as many)."""
+    out = np.ones(max(0, int(at[-1]) - n + 1), bool)
+    for k in range(1, n):
+        last = at[1:] - k
+        out[last[(last >= 0) & (last < len(out))]] = False
+    return out
 
 
 def _gram_counts(stored_runs: DataFrame, frequent: Frequent, n: int, buckets: int, passes: int = 1,
@@ -257,28 +261,36 @@ def _gram_counts(stored_runs: DataFrame, frequent: Frequent, n: int, buckets: in
     """
 
     def count(batches):
+        bits = buckets.bit_length() - 1
         for _, _, hashes, places, at in _read_runs(batches):
-            columns, _ = _gram_columns(frequent.codes(hashes)[places], at, n)
-            # one sort key: the bucket of the first two words, then the whole n-gram
-            bits = np.uint64(buckets.bit_length() - 1)
-            own = gram_hash(columns[:2])
-            lead = own >> (np.uint64(64) - bits)
+            now = _inside(at, n)
+            m = len(now)
+            own = frequent.codes(hashes)
+            codes = own.take(places)
+            lead_hash = gram_hash([codes[:m], codes[1:m + 1]])
+            lead = lead_hash >> np.uint64(64 - bits)
             if passes > 1:
-                now = lead % np.uint64(passes) == np.uint64(turn)
-                own, lead, columns = own[now], lead[now], [c[now] for c in columns]
-            if not len(lead):
+                now &= lead % np.uint64(passes) == np.uint64(turn)
+            where = np.flatnonzero(now)
+            if not len(where):
                 continue
-            key = lead << (np.uint64(64) - bits) | (own if n == 2 else gram_hash(columns)) >> bits
-            sort = np.argsort(key)
-            key = key[sort]
-            first = np.flatnonzero(np.diff(key, prepend=key[:1] ^ np.uint64(1)))
-            times = np.diff(first, append=len(key)).astype("<u4")
-            key, columns = key[first], [c[sort[first]] for c in columns]
-            parts = []
-            for b, p in _dealt(key, buckets):
-                inner = np.argsort(columns[0][p], kind="stable")
-                parts.append((b, packed(*[c[p][inner] for c in columns], times[p][inner])))
-            yield _rows(parts, ["bucket", "data"], [pa.int32(), pa.binary()])
+            full = lead_hash if n == 2 else gram_hash([codes[k:m + k] for k in range(n)])
+            full, lead = full.take(where), lead.take(where)
+            # one sort key: the bucket of the first two words, the first word, then the whole n-gram
+            word = np.empty(len(own), np.uint64)
+            word[np.argsort(own)] = np.arange(len(own), dtype=np.uint64)
+            word_bits = min(len(own).bit_length(), 63 - bits)
+            key = (lead << np.uint64(64 - bits) | word.take(places.take(where)) << np.uint64(64 - bits - word_bits)
+                   | full >> np.uint64(bits + word_bits))
+            sort = W.rough_order(key)
+            # equal n-grams that do not stand together are only counted apart here
+            first = W.firsts(full.take(sort))
+            times = np.diff(first, append=len(sort)).astype("<u4")
+            sort = sort.take(first)
+            where = where.take(sort)
+            columns = [codes.take(where + k) for k in range(n)]
+            yield _rows([(b, packed(*[c[p] for c in columns], times[p])) for b, p in W.runs(lead.take(sort))],
+                        ["bucket", "data"], [pa.int32(), pa.binary()])
 
     return stored_runs.mapInArrow(count, "bucket int, data binary")
 
@@ -296,30 +308,28 @@ def _kept(counted: DataFrame, shorter: DataFrame | None, frequent: Frequent, n:
             return pd.DataFrame({"bucket": [], "data": []}).astype({"bucket": "int32"})
         columns = [np.concatenate([p[k] for p in parts]) for k in range(n)]
         times = np.concatenate([p[n] for p in parts]).astype(np.int64)
-        full = gram_hash(columns)
-        sort = np.argsort(full)
-        full = full[sort]
-        first = np.flatnonzero(np.diff(full, prepend=full[:1] ^ np.uint64(1)))
-        total = np.add.reduceat(times[sort], first)
-        keep = total >= min_count
-        at = sort[first[keep]]
-        columns, total = [c[at] for c in columns], total[keep]
+        sort, full = W.sorted_order(gram_hash(columns))
+        first = W.firsts(full)
+        total = np.add.reduceat(times.take(sort), first)
+        keep = np.flatnonzero(total >= min_count)
+        at = sort.take(first.take(keep))
+        columns, total = [c.take(at) for c in columns], total.take(keep)
         if n == 2:
             context = frequent.logs(columns[0])
         else:
             known = [unpacked(x, *["<u8"] * (n - 1), "<f8", "<f8", "<f8") for x in f.loc[f["side"] == 1, "data"]]
             above = gram_hash([np.concatenate([k[i] for k in known]) for i in range(n - 1)]) if known else full[:0]
             logs = np.concatenate([k[n - 1] for k in known]) if known else np.zeros(0)
-            order = np.argsort(above)
-            where = order[np.searchsorted(above[order], gram_hash(columns[:-1]))] if len(total) else order[:0]
+            order, above = W.sorted_order(above)
+            where = order[np.searchsorted(above, gram_hash(columns[:-1]))] if len(total) else order[:0]
             context = logs[where]
         # rows in the order of their first word: its column is made of runs
-        by = np.argsort(columns[0], kind="stable")
+        by, _ = W.sorted_order(columns[0])
         del parts, times, full, sort, first
         trim()
         logs = [np.log(total.astype(np.float64)), context, frequent.logs(columns[-1])]
         return pd.DataFrame({"bucket": [np.int32(f["bucket"].iloc[0])],
-                             "data": [packed(*[c[by] for c in columns + logs])]})
+                             "data": [packed(*[c.take(by) for c in columns + logs])]})
 
     sides = counted.select("bucket", F.lit(0).alias("side"), "data")
     if shorter is not None:
@@ -411,6 +421,18 @@ def _gains(kept: list[DataFrame], counts: DataFrame, frequent: Frequent, order:
     return out
 
 
+def _summed(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids and the sums of their values; without a sort where the ids are close to each other."""
+    low = int(ids.min())
+    span = int(ids.max()) - low + 1
+    if span <= 8 * len(ids):
+        at = ids - low
+        u = np.flatnonzero(np.bincount(at, minlength=span))
+        return u + low, np.bincount(at, values, span).take(u)
+    u, at = np.unique(ids, return_inverse=True)
+    return u, np.bincount(at, values, len(u))
+
+
 def _sums(grams: DataFrame, gains: DataFrame, buckets: int) -> DataFrame:
     """(id, gain): sums of the gains of each document's n-grams, joined bucket by bucket.
 
@@ -422,15 +444,16 @@ def _sums(grams: DataFrame, gains: DataFrame, buckets: int) -> DataFrame:
         done = [unpacked(x, "<i8", "<f8") for x in f.loc[f["side"] == 2, "data"]]
         ids, values = [i for i, _ in done], [v for _, v in done]
         h, gain = (np.concatenate(x) for x in zip(*known)) if known else (np.zeros(0, np.uint64), np.zeros(0))
-        sort = np.argsort(h)
-        h, gain = h[sort], gain[sort]
+        sort, h = W.sorted_order(h)
+        gain = gain.take(sort)
         for data in f.loc[f["side"] == 0, "data"] if known else ():
             asked, doc = unpacked(data, "<u8", "<i8")
             at = np.minimum(np.searchsorted(h, asked), len(h) - 1)
-            hit = h[at] == asked
-            u, inverse = np.unique(doc[hit], return_inverse=True)
-            ids.append(u)
-            values.append(np.bincount(inverse, gain[at[hit]], len(u)))
+            hit = np.flatnonzero(h.take(at) == asked)
+            if len(hit):
+                u, sums = _summed(doc.take(hit), gain.take(at.take(hit)))
+                ids.append(u)
+                values.append(sums)
         if not ids:
             return pd.DataFrame({"id": [], "gain": []})
         out = pd.DataFrame({"id": np.concatenate(ids), "gain": np.concatenate(values)})
@@ -448,24 +471,26 @@ def _asked(stored_runs: DataFrame, frequent: Frequent, common: Common | None, n:
            turn: int = 0) -> DataFrame:
     """The documents' ``n``-grams (for 1: the rare words), by bucket, packed.
 
-    Side 0: sorted hashes and ids; side 2: ids and what their common n-grams gain, in a bucket by chance.
+    Side 0: hashes and ids; side 2: ids and what their common n-grams gain, in a bucket by chance.
     """
     shift = np.uint64(64 - (buckets.bit_length() - 1))
 
     def run(batches):
         for ids, known, hashes, places, at in _read_runs(batches):
             if n == 1:
-                rare = (frequent.codes(hashes) >= RARE)[places]
-                doc = np.repeat(np.arange(len(ids)), np.diff(at))[rare]
-                key = (hashes << np.uint64(1))[places[rare]]
+                now = (frequent.codes(hashes) >= RARE).take(places)
+                key = (hashes << np.uint64(1)).take(places)
             else:
                 # a word's name is its hash with the top bit set, frequent or not
-                columns, doc = _gram_columns((hashes | RARE)[places], at, n)
-                key = gram_hash(columns)
-            now = known[doc]
+                names, now = (hashes | RARE).take(places), _inside(at, n)
+                key = gram_hash([names[k:len(now) + k] for k in range(n)])
+            doc = np.repeat(np.arange(len(ids)), np.diff(at))[:len(now)]
+            if not known.all():
+                now &= known.take(doc)
             if passes > 1:
                 now &= (key >> shift) % np.uint64(passes) == np.uint64(turn)
-            key, doc = key[now], doc[now]
+            now = np.flatnonzero(now)
+            key, doc = key.take(now), doc.take(now)
             out = []
             if common is not None and len(common.hashes):
                 hit, gains = common.find(key)
@@ -474,9 +499,10 @@ def _asked(stored_runs: DataFrame, frequent: Frequent, common: Common | None, n:
                 if len(some):
                     any_bucket = int(W.mix(ids[some[:1]].view(np.uint64))[0] >> shift)
                     out.append((any_bucket, 2, packed(ids[some], sums[some])))
-                key, doc = key[~hit], doc[~hit]
-            sort = np.argsort(key)
-            key, doc = key[sort], ids[doc[sort]]
+                rest = np.flatnonzero(~hit)
+                key, doc = key.take(rest), doc.take(rest)
+            sort = W.rough_order(key)
+            key, doc = key.take(sort), ids.take(doc.take(sort))
             out += [(b, 0, packed(key[p], doc[p])) for b, p in _dealt(key, buckets)]
             yield _rows(out, ["bucket", "side", "data"], [pa.int32(), pa.int32(), pa.binary()])
 
@@ -509,10 +535,11 @@ def _table(gains: DataFrame, frequent: Frequent, buckets: int, with_ratios: bool
         for batch in _together(batches):
             key, gain, log_count, ratio = (batch.column(k).to_numpy() for k in range(4))
             key = key.view(np.uint64)
-            sort = np.argsort(key)
-            key, gain, ratio, often = key[sort], gain[sort], ratio[sort], log_count[sort] >= least
+            sort, key = W.sorted_order(key)
+            gain, ratio, often = gain.take(sort), ratio.take(sort), log_count.take(sort) >= least
             out = [(-1, packed(key[often], gain[often]), shown(ratio[often]))] if often.any() else []
-            key, gain, ratio = key[~often], gain[~often], ratio[~often]
+            if out:
+                key, gain, ratio = key[~often], gain[~often], ratio[~often]
             yield _rows(out + [(b, packed(key[p], gain[p]), shown(ratio[p])) for b, p in _dealt(key, buckets)],
                         ["bucket", "data", "ratios"], [pa.int32(), pa.binary(), pa.binary()])
 
@@ -549,8 +576,8 @@ def _word_table(counts: DataFrame, buckets: int) -> DataFrame:
             for data in f["data"]:
                 h, c = unpacked(data, "<u8", "<i8")
                 key = h << np.uint64(1)
-                sort = np.argsort(key)
-                key, logs = key[sort], np.log(c[sort].astype(np.float64))
+                sort, key = W.sorted_order(key)
+                logs = np.log(c.take(sort).astype(np.float64))
                 parts = [(b, packed(key[p], logs[p])) for b, p in _dealt(key, buckets)]
                 yield pd.DataFrame({"bucket": [b for b, _ in parts], "data": [d for _, d in parts]})
 

@@ -48,6 +48,49 @@ def runs(values: np.ndarray) -> list[tuple[int, slice]]:
     return [(int(values[a]), slice(a, b)) for a, b in zip(edges[:-1], edges[1:]) if a < b]
 
 
+def _with_places(keys: np.ndarray) -> tuple[np.ndarray, int]:
+    """Sorted 64-bit keys whose lowest bits gave way to their places, and the number of these bits."""
+    bits = max(0, len(keys) - 1).bit_length()
+    out = keys >> np.uint64(bits) << np.uint64(bits)
+    out |= np.arange(len(keys), dtype=np.uint64)
+    out.sort()
+    return out, bits
+
+
+def rough_order(keys: np.ndarray) -> np.ndarray:
+    """The places of 64-bit keys in ascending order of all but their lowest bits, as many as a place takes.
+
+    Numbers alone are sorted several times as fast as places by their keys.
+    """
+    out, bits = _with_places(keys)
+    return (out & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def sorted_order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of 64-bit keys in ascending order, equal ones in that of their places, and the sorted keys."""
+    order = rough_order(keys)
+    out = keys.take(order)
+    wrong = np.flatnonzero(out[1:] < out[:-1])
+    if len(wrong):
+        # keys that differ in their lowest bits alone: the few runs of these are sorted anew
+        top = out >> np.uint64(max(0, len(keys) - 1).bit_length())
+        held = np.unique(top[wrong])
+        edge = np.zeros(len(keys) + 1, np.int64)
+        edge[np.searchsorted(top, held, "left")] += 1
+        edge[np.searchsorted(top, held, "right")] -= 1
+        run = np.flatnonzero(np.cumsum(edge[:-1]))
+        again = np.argsort(out[run], kind="stable")
+        order[run], out[run] = order[run[again]], out[run[again]]
+    return order, out
+
+
+def firsts(values: np.ndarray) -> np.ndarray:
+    """The places in ``values`` where another value than the one before starts."""
+    if not len(values):
+        return np.zeros(0, np.int64)
+    return np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1])
+
+
 def word_hashes(texts: list[bytes], kept: dict) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words of ``texts``, and where each text's words start (one more at the end).
 
