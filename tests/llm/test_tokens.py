@@ -159,3 +159,20 @@ def test_encoding_and_decoding_takes_few_rows_at_once(spark, library, monkeypatc
     want = [library.encode(t, add_special_tokens=False).ids for t in texts]
     assert out.column("token_ids").to_pylist() == want
     assert out.column("decoded").to_pylist() == [library.decode(i, skip_special_tokens=False) for i in want]
+
+
+def test_words_of_letters_are_not_split(monkeypatch):
+    """A word that is one piece by its letters is neither split nor shown byte by byte; the ids stay the library's."""
+    encoder = wordbpe.library_encoder(NAME)
+    split, find, library = [], encoder.pieces.pattern.findall, encoder.pieces.library
+
+    class Pattern:
+        findall = staticmethod(lambda chunk: (split.append(chunk), find(chunk))[1])
+
+    monkeypatch.setattr(encoder.pieces, "pattern", Pattern)
+    text = "Some été words, it's x1 ½ a\x01b ªº ßĸ end."
+    for _ in range(2):
+        assert list(struct.unpack(f"<{len(encoder.encode(text)) // 4}I", encoder.encode(text))) == \
+            library.encode(text, add_special_tokens=False).ids
+    assert sorted(split) == sorted(["words,", "it's", "x1", "½", "a\x01b", "end."])
+    assert encoder.pieces.show(word := "".join(["lett", "ers"])) is word

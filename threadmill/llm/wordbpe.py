@@ -18,10 +18,9 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import unicodedata
 
-import numpy as np
-
 #: Entries of a worker's tables; a full table is emptied and filled anew.
 MAX_CHUNKS = 300_000
 MAX_PIECES = 200_000
@@ -50,6 +49,11 @@ def class_ranges(kind: str, upto: int = 0x250) -> str:
     return "".join(re.escape(chr(i)) for i in range(upto) if unicodedata.category(chr(i))[0] == kind)
 
 
+def packed_ids(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers; most lists are short."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Pieces:
     """A tokenizer file's pre-tokenisation; ``encode_piece`` (bytes shown as characters -> ids) is given.
 
@@ -77,6 +81,8 @@ class Pieces:
         self.shown = shown_bytes()
 
     def show(self, piece: str) -> str:
+        if piece.isascii() and piece.isprintable() and " " not in piece:
+            return piece
         shown = self.shown
         return "".join([shown[b] for b in piece.encode()])
 
@@ -97,7 +103,9 @@ class _Chunks(dict):
         self.pieces, self.piece_ids = pieces, piece_ids
 
     def __missing__(self, chunk: str) -> bytes:
-        out = b"".join([self.piece_ids[p] for p in self.pieces.pattern.findall(chunk)])
+        # letters alone are one piece
+        out = (self.piece_ids[chunk] if chunk.isalpha()
+               else b"".join([self.piece_ids[p] for p in self.pieces.pattern.findall(chunk)]))
         if len(chunk) <= MAX_KEPT_CHARS:
             if len(self) >= MAX_CHUNKS:
                 self.clear()
@@ -112,8 +120,7 @@ class _PieceIds(dict):
         self.pieces, self.encode_shown = pieces, encode_shown
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.encode_shown(self.pieces.show(piece))
-        out = np.asarray(ids, "<u4").tobytes()
+        out = packed_ids(self.encode_shown(self.pieces.show(piece)))
         if len(piece) <= MAX_KEPT_CHARS:
             if len(self) >= MAX_PIECES:
                 self.clear()
@@ -143,7 +150,7 @@ class Encoder:
                 out.append(known)
             else:
                 out.extend(self.encode_shown(piece))
-        return np.asarray(out, "<u4").tobytes()
+        return packed_ids(out)
 
 
 def library_encoder(tokenizer: str) -> Encoder:
