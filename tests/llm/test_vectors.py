@@ -66,6 +66,82 @@ def test_links_match_brute_force(spark, monkeypatch, block, pivot):
         assert (r.n_links, r.component_id, r.kept) == (len(links[i]), comp[i], comp[i] == i), i
 
 
+def brute(rows, threshold, measure=cosine):
+    """Per id: links and component, pair by pair."""
+    good = usable(rows)
+    links = {i: {j for j in good if i != j and measure(good[i], good[j]) >= threshold} for i in good}
+    out = {}
+    for i in sorted(good):
+        todo = [i]
+        while todo:
+            k = todo.pop()
+            if k not in out:
+                out[k] = (len(links[k]), out[i][1] if i in out else i)
+                todo += links[k]
+    return out
+
+
+def test_no_table_grows_with_the_visits(spark, monkeypatch):
+    # vectors without structure visit most of the 50 cells
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(rng.standard_normal((1000, 32)).astype(np.float32))]
+    monkeypatch.setattr(metric_join, "PER_PIVOT", 20)
+    monkeypatch.setattr(metric_join, "BLOCK", 256)
+    seen, kept = [], metric_join.stored
+
+    def stored(df):
+        seen.append(kept(df))
+        return seen[-1]
+
+    monkeypatch.setattr(metric_join, "stored", stored)
+    out = metric_join.near_links(spark.createDataFrame(rows, SCHEMA), 0.9)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in out.collect()} == brute(rows, 0.9)
+    assert max(df.count() for df in seen) <= len(rows)
+
+
+def test_links_in_small_strips_and_many_partitions(spark, monkeypatch):
+    for name, value in (("PER_PIVOT", 30), ("BLOCK", 16), ("STRIP", 64), ("VISIT_ROWS", 7), ("PARTITIONS", 3),
+                        ("PER_PARTITION", 9), ("KEPT_BYTES", 4000)):
+        monkeypatch.setattr(metric_join, name, value, raising=False)
+    rng = np.random.default_rng(6)
+    rows = [(3 * i, [float(v) for v in r], 0) for i, r in enumerate(rng.standard_normal((240, 5)))]  # not exact as floats
+    rows += [(1000 + i, [1e300 * v for v in r[1]], 0) for i, r in enumerate(rows[:20])]
+    rows += [(2000 + i, [v + 1e-3 for v in r[1]] + [0.5], 0) for i, r in enumerate(rows[:60])]
+    out = metric_join.near_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), 0.9).collect()
+    big = [(i, [v / 1e300 for v in x] if 1000 <= i < 2000 else x, c) for i, x, c in rows]  # the same directions
+    assert {r.vec_id: (r.n_links, r.component_id) for r in out} == brute(big, 0.9)
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.6 + 1e-12, 0.6 - 1e-12, 1.0])
+def test_cosines_at_the_threshold(spark, threshold):
+    # cosines of exactly 0.6 and 1, and others as close as doubles get
+    rows = [(0, [1.0, 0.0], 0), (1, [3.0, 4.0], 0), (2, [5.0, 0.0], 0), (3, [0.0, 2.0], 0), (4, [-3.0, 4.0], 0),
+            (5, [3.0, 4.0 + 1e-15], 0), (6, [3.0, 4.0000001], 0), (7, [6.0, 8.0], 0)]
+    out = metric_join.near_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), threshold)
+    exact = brute(rows, threshold, lambda a, b: metric_join.V.cosine_pairs(a[None, :], b[None, :])[0])
+    assert {r.vec_id: (r.n_links, r.component_id) for r in out.collect()} == exact
+
+
+def test_near_copies_of_whole_blocks_take_bounded_memory(spark):
+    import tracemalloc
+    rng = np.random.default_rng(8)
+    x = (rng.standard_normal(16) + 0.01 * rng.standard_normal((4000, 16))).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in r], 0) for i, r in enumerate(x)], SCHEMA)
+    a, b = metric_join._Block.__new__(metric_join._Block), metric_join._Block.__new__(metric_join._Block)
+    for k, (block, part) in enumerate(((a, x[:2000]), (b, x[2000:]))):
+        block.cell, block.dim, block.x, block.ids = k, 16, part, np.arange(2000) + 2000 * k
+        block.copies, block.bits = np.ones(2000, np.int64), np.full((2000, 1), 255, np.uint8)
+        block.unit = metric_join.V.scaled(part.astype(np.float64)).astype(np.float32)
+    tracemalloc.start()
+    ids, links, heads = metric_join._join_blocks(a, b, 0.9)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (ids == np.arange(4000)).all() and (links == 2000).all() and (heads == 0).all()
+    assert peak < 48 << 20  # of 4,000,000 links
+    out = metric_join.near_links(df, 0.9).selectExpr("min(n_links)", "max(n_links)", "max(component_id)", "count(*)")
+    assert tuple(out.first()) == (3999, 3999, 0, 4000)
+
+
 def test_no_usable_vector_and_empty_table(spark):
     df = spark.createDataFrame([(1, None, 0), (2, [0.0], 0)], SCHEMA)
     assert [tuple(r) for r in metric_join.near_links(df, 0.9).orderBy("vec_id").collect()] == [
