@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectors as V
-from .base import small_batches, stored, trim
+from .base import TASK_ROWS, counted, small_batches, stored, trim
 from .components import components, forest
 
 #: Classes per pivot, and the most pivots (they are sent to every task).
@@ -273,9 +273,11 @@ def near_links(df: DataFrame, threshold: float, id_col: str = "vec_id", vec_col:
                  for d, p in pivots.items()}
         per_cell = {cell: -(-c["n"] // max(1, min(BLOCK, BLOCK_BYTES // (8 * cell[0])))) for cell, c in cells.items()}
         n = sum(per_cell.values())
+        parts = max(min(n, PARTITIONS), -(-n // PER_PARTITION))
         blocks = stored(_blocks(_homes(classes, pivots, ["id", "copies", "dim", "vec"]), per_cell, pivots, reach, r)
-                        .repartition(max(min(n, PARTITIONS), -(-n // PER_PARTITION))))
-        found = stored(_found(blocks, threshold))
+                        .repartition(parts))
+        found, n = counted(_found(blocks, threshold))
+    found = found.coalesce(max(1, -(-n // TASK_ROWS), parts * parts // PER_PARTITION))  # most tasks find little
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("id").alias("a"), F.col("head").alias("b")))
     of_class = stored(classes.join(links, "id", "left").join(comp.withColumnRenamed("node", "id"), "id", "left")
